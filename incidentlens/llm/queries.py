@@ -2,17 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from incidentlens.llm import chat, decontaminate, htmltext, langid, media, minhash, mixing, sharding, tokencounts, toxicity
 from incidentlens.llm.common import table
-from incidentlens.llm.minhash import near_duplicates
 
 
-def op3_minhash_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.plan(table(spark, sf_dir, "documents")).taken()
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.suffix_sums(tokencounts.histogram(table(spark, sf_dir, "documents")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
 
 
-def queries() -> dict:
-    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        f.__name__: f
+        for f in (
+            op1_mix_sources, op2_html_text, op3_minhash_dedup, op4_token_counts, op5_language_id, op6_decontaminate, op7_shard_rows, op8_toxicity,
+            op9_media_columns, op10_chat_format,
+        )
+    }
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    """None: keyed permutations, rolling hashes, learned models and automata are beyond SQL; tests/llm compares with brute force."""
     return {}
