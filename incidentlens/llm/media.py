@@ -180,7 +180,7 @@ class MediaStore:
 
     def restore(self) -> DataFrame:
         """doc_id, n_bytes, payload: every row's payload rebuilt from the store (the round trip)."""
-        own = self.store.select("key", F.inline("own")).select("key", "at", "samples")
+        own = self.store.dropDuplicates(["key"]).select("key", F.inline("own")).select("key", "at", "samples")
         lent = self.borrowed.join(own.select(F.col("key").alias("owner"), F.col("at").alias("owner_at"), "samples"), ["owner", "owner_at"]).select("key", "at", "samples")
         parts = own.union(lent).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "samples"))).alias("parts"))
         return self.recipes.select("doc_id", "key", "n_bytes").join(parts, "key").select("doc_id", "n_bytes", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.samples))").alias("payload"))

@@ -34,7 +34,7 @@ from incidentlens.llm import kernels as K
 from incidentlens.llm.common import drop, materialize, maybe_broadcast
 from incidentlens.llm.components import components
 
-ROWS, STEP, BLOCK = 5, 20, 512
+ROWS, STEP, BLOCK, BLOCK_BYTES = 5, 20, 512, 16 << 20
 
 
 def bands_for(percent: int, miss: float, rows: int = ROWS) -> int:
@@ -124,41 +124,83 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, bounds: dict[int, int], width: i
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def _cross_pairs(members: DataFrame, bounds: dict[int, int], width: int, rows: int) -> DataFrame:
-    """Unpruned pairs of a bucket whose ends are in different components, each from its first shared band.
+_GROUP = ["band", "key", "i", "j"]
 
-    members: band, key, node, root, sig.  A bucket is dealt into blocks of about BLOCK nodes and each
-    pair of blocks is one bounded group.
+
+def _tried(group: pd.DataFrame, bounds: dict[int, int], width: int):
+    """Unpruned pairs (row, rows) of a pair of blocks whose ends are in different components, each in its first shared band."""
+    band, i, j = (int(group[c].iat[0]) for c in ("band", "i", "j"))
+    sig, root, own = _matrix(group["sig"], width), pd.factorize(group["root"])[0], group["own"].to_numpy()
+    left = np.arange(len(group)) if i == j else np.flatnonzero(own == i)
+    right = left if i == j else np.flatnonzero(own != i)
+    for at, x in enumerate(left):
+        against = right[at + 1 :] if i == j else right
+        against = against[root[against] != root[x]]
+        against = against[surviving(np.broadcast_to(sig[x], (len(against), width)), sig[against], bounds)]
+        if len(against):
+            before = (sig[against, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(against), band, ROWS).all(axis=2).any(axis=1)
+            against = against[~before]
+            if len(against):
+                yield int(x), against
+
+
+def _cross_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, bounds: dict[int, int], width: int, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Links between different components of a bucket: a row for each pair of components that a pair of blocks joins.
+
+    members: band, key, node, root, sig, n.  A bucket is dealt into blocks of bounded rows and bytes and each
+    pair of blocks is one group.  The first pass, over signatures, finds the nodes with an unpruned pair;
+    the second brings those nodes' full sets to the group and compares exactly.
     """
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = members.groupBy("band", "key").agg(blocks.alias("blocks"))
     placed = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "band", "key", "node", "root", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        band, same = int(group["band"].iat[0]), group["i"].iat[0] == group["j"].iat[0]
-        sig = _matrix(group["sig"], width)
-        root = pd.factorize(group["root"])[0]
-        own, node, i = group["own"].to_numpy(), group["node"].to_numpy(), group["i"].iat[0]
-        found: list[tuple[bytes, bytes]] = []
-        left = np.arange(len(group)) if same else np.flatnonzero(own == i)
-        right = left if same else np.flatnonzero(own != i)
-        for at, x in enumerate(left):
-            against = right[at + 1 :] if same else right
-            against = against[root[against] != root[x]]
-            against = against[surviving(np.broadcast_to(sig[x], (len(against), width)), sig[against], bounds)]
-            if len(against):
-                shared = (sig[against, : band * rows] == sig[x, : band * rows]).reshape(len(against), band, rows).all(axis=2).any(axis=1)
-                found += [(node[x], node[y]) for y in against[~shared]]
+    def find(group: pd.DataFrame) -> pd.DataFrame:
+        rows: set[int] = set()
+        for x, against in _tried(group, bounds, width):
+            rows.update((x, *against.tolist()))
+        return group.iloc[sorted(rows)]
+
+    def confirm(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, dtype="<u8") for x in group["items"]]
+        root, node, joined, found = pd.factorize(group["root"])[0], group["node"].to_numpy(), {}, []
+
+        def top(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for x, against in _tried(group, bounds, width):
+            for y in against:
+                a, b = top(int(root[x])), top(int(root[y]))
+                if a != b and _linked(sets[x], sets[y], percent):
+                    joined[max(a, b)] = min(a, b)
+                    found.append((node[x], node[y]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, "a binary, b binary")
+    shape = "band int, key long, node binary, root binary, sig binary, own int, i int, j int"
+    involved, involved_at = materialize(dealt.groupBy(*_GROUP).applyInPandas(find, shape), "involved")
+    held, held_at = _sets(involved.select("node").distinct(), docs, nodes, id_col, text_col, k)
+    full = involved.join(held, "node").groupBy(*_GROUP).applyInPandas(confirm, "a binary, b binary")
+    links, _ = materialize(full, "cross")
+    drop(docs.sparkSession, involved_at)
+    drop(docs.sparkSession, held_at)
+    return links
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on full sets, read again from the texts."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct items."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, str]:
+    """(node, items): the full shingle sets of the wanted nodes, read again from their carriers' texts."""
     carriers, carriers_at = materialize(nodes.select("node", "doc_id").join(wanted, "node"), "carriers")
 
     def sets(batches):
@@ -174,26 +216,26 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
     ids = carriers.select("doc_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.where("doc_id is not null").join(maybe_broadcast(ids, 16), "doc_id").select("text")
-    held, held_at = materialize(texts.mapInArrow(sets, "node binary, items binary").dropDuplicates(["node"]), "sets")
+    held = materialize(texts.mapInArrow(sets, "node binary, items binary").dropDuplicates(["node"]), "sets")
+    drop(docs.sparkSession, carriers_at)
+    return held
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """The pairs that are links by their full sets."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    held, held_at = _sets(wanted, docs, nodes, id_col, text_col, k)
 
     def confirm(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = pa.array([_linked(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), percent) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     left = held.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = held.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-    links, links_at = materialize(joined.mapInArrow(confirm, "a binary, b binary"), "links")
-    drop(docs.sparkSession, carriers_at)
+    links, _ = materialize(joined.mapInArrow(confirm, "a binary, b binary"), "links")
     drop(docs.sparkSession, held_at)
     return links
 
@@ -216,7 +258,7 @@ def near_duplicates(
     rows, rows_at = materialize(_fingerprints(docs, id_col, text_col, shingle, multipliers(width, seed)), "fingerprints")
     # A text without an id never carries its node's text: such a node is joined only through equality.
     nodes, nodes_at = materialize(
-        rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig")), "nodes"
+        rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "nodes"
     )
     keys = F.array(*[
         F.struct(F.lit(j).alias("band"), F.xxhash64(F.substring("sig", j * ROWS * 4 + 1, ROWS * 4)).alias("key")) for j in range(bands)
@@ -232,9 +274,8 @@ def near_duplicates(
 
     labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band", "key")
-    members = labelled.join(mixed, ["band", "key"]).select("band", "key", "node", "root").join(nodes.select("node", "sig"), "node")
-    cross, cross_at = materialize(_cross_pairs(members, bounds, width, ROWS), "cross")
-    cross_links = cross if cross.isEmpty() else _confirmed(cross, docs, nodes, id_col, text_col, shingle, percent)
+    members = labelled.join(mixed, ["band", "key"]).select("band", "key", "node", "root").join(nodes.select("node", "sig", "n"), "node")
+    cross_links = _cross_links(members, docs, nodes, bounds, width, id_col, text_col, shingle, percent)
 
     # Rows that repeat an id with another text join their nodes too: they are one document.
     same_id = rows.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
@@ -245,7 +286,7 @@ def near_duplicates(
     rooted = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "component_id")
-    for path in (buckets_at, stars_at, cross_at, roots_at):
+    for path in (buckets_at, stars_at, roots_at):
         drop(spark, path)  # ``final`` is written; only ``rows`` and ``nodes`` are still read
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select(
