@@ -20,10 +20,10 @@ def initial_map(shards: int, slots: int = SLOTS) -> list[int]:
 
 
 def rebalanced(owner: list[int], weight: list[int], shards: int) -> list[int]:
-    """Edits the map: while it helps, a slot goes from the heaviest shard to the lightest.
+    """Edits the map: while it helps, a slot goes from the heaviest shard that can give one to the lightest.
 
-    Of the heaviest shard's slots it moves the one nearest to half the gap and below the gap, so
-    every move lowers the sum of squares and the loop ends.  Ties: the lowest shard, the lowest slot.
+    It moves the slot nearest to half the gap and below the gap, so every move lowers the sum of squares
+    and the loop ends.  Ties: the lowest shard, the lowest slot.
     """
     owner = list(owner)
     load = [0] * shards
@@ -33,10 +33,13 @@ def rebalanced(owner: list[int], weight: list[int], shards: int) -> list[int]:
         if weight[slot]:
             held[shard].append(slot)
     while True:
-        high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
-        gap = load[high] - load[low]
-        fit = [slot for slot in held[high] if weight[slot] < gap]
-        if not fit:
+        low = min(range(shards), key=lambda s: (load[s], s))
+        for high in sorted(range(shards), key=lambda s: (-load[s], s)):
+            gap = load[high] - load[low]
+            fit = [slot for slot in held[high] if weight[slot] < gap]
+            if fit:
+                break
+        else:
             return owner
         slot = min(fit, key=lambda s: (abs(2 * weight[s] - gap), s))
         held[high].remove(slot)
