@@ -1,11 +1,234 @@
-"""Registry of the engine's own queries and their SQL oracles."""
+"""Registry of the engine's own queries and their SQL oracles.
+
+A query is added with the SQL that gives the same rows, or with none where SQL cannot express it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from incidentlens.functions import severity as S
+from incidentlens.functions import texts, times
+from incidentlens.operators import aggregates as A
+from incidentlens.operators import evaluate, notes, reads, scoring
+from incidentlens.plans import guard
+from incidentlens.plans import views as V
+
+_queries: dict[str, Callable] = {}
+_oracles: dict[str, str] = {}
+
+
+def add(name: str, run: Callable, sql: str | None = None) -> None:
+    _queries[name] = run
+    if sql is not None:
+        _oracles[name] = sql
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
+
+
+def over_events(f: Callable[[DataFrame], DataFrame]) -> Callable:
+    return lambda spark, d: f(V.log_events(spark, d))
+
+
+def over_both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable:
+    return lambda spark, d: f(V.log_events(spark, d), V.scored_templates(spark, d))
+
+
+_SLICE = ["id", "ts", "source", "severity", "template_id", "message", "trace_id"]
+_SLICE_SQL = f"SELECT id, {V.ISO.format('ts')} AS ts, source, severity, template_id, message, trace_id"
+_TOP = ["template_id", "pattern", "occurrence_count", "first_seen", "last_seen", "max_severity_rank", "anomaly_score"]
+_TOP_SQL = f"SELECT template_id, pattern, occurrence_count, {V.ISO.format('first_seen')} AS first_seen, {V.ISO.format('last_seen')} AS last_seen, max_severity_rank, anomaly_score FROM scored"
+_FROM, _TO = "2024-01-10 00:00:00", "2024-01-20 12:00:00"
+_NOISE = reads.Noise(share=0.002, ceiling=0.5)
+_NOISE_SQL = "SELECT template_id FROM scored WHERE anomaly_score < 0.5 AND occurrence_count >= 0.002::DOUBLE * (SELECT sum(occurrence_count) FROM scored)"
+
+# ---- slices
+add("slice_window", over_events(lambda e: V.iso(reads.get_slice(e, 60, start=_FROM, end=_TO, severity="ERROR").select(*_SLICE))), V.sql(V.LOG_EVENTS, select=f"{_SLICE_SQL} FROM log_events WHERE ts >= TIMESTAMP '{_FROM}' AND ts <= TIMESTAMP '{_TO}' AND severity = 'ERROR' ORDER BY log_events.ts, id LIMIT 60"))
+add("slice_count", over_events(lambda e: reads.slice_count(e, source="svc-1", severity="WARN")), V.sql(V.LOG_EVENTS, select="SELECT count(*) AS n FROM log_events WHERE source = 'svc-1' AND severity = 'WARN'"))
+add("slice_trace", over_events(lambda e: V.iso(reads.get_slice(e, 200, trace_id="u5").select(*_SLICE))), V.sql(V.LOG_EVENTS, select=f"{_SLICE_SQL} FROM log_events WHERE trace_id = 'u5' ORDER BY log_events.ts, id LIMIT 200"))
+add("slice_noise_excluded", over_both(lambda e, t: V.iso(reads.get_slice(e, 200, templates=t, noise=_NOISE, source="svc-2").select(*_SLICE))), V.sql(*V.SCORED, f"noise AS ({_NOISE_SQL})", select=f"{_SLICE_SQL} FROM log_events WHERE source = 'svc-2' AND template_id NOT IN (SELECT template_id FROM noise) ORDER BY log_events.ts, id LIMIT 200"))
+add("events_by_id", over_events(lambda e: V.iso(reads.by_ids(e, [3, 77, 500, 10**9]).select(*_SLICE))), V.sql(V.LOG_EVENTS, select=f"{_SLICE_SQL} FROM log_events WHERE id IN (3, 77, 500, 1000000000)"))
+add("known_templates", lambda s, d: reads.known_templates(V.templates(s, d), s.createDataFrame([(1001,), (2050,), (77,), (1001,)], "template_id long")), V.sql(*V.BASE, select="SELECT DISTINCT template_id FROM templates WHERE template_id IN (1001, 2050, 77)"))
+add("unresolved_ids", lambda s, d: reads.unresolved(s.createDataFrame([(1001,), (2050,), (77,), (78,)], "template_id long"), V.templates(s, d), "template_id"), V.sql(*V.BASE, select="SELECT x::BIGINT AS template_id FROM (VALUES (1001), (2050), (77), (78)) v(x) WHERE x NOT IN (SELECT template_id FROM templates)"))
+add("template_patterns", lambda s, d: V.templates(s, d).select("template_id", "pattern", "occurrence_count").orderBy(F.desc("occurrence_count"), "template_id"), V.sql(*V.BASE, select="SELECT template_id, pattern, occurrence_count FROM templates"))
+
+# ---- rankings
+for _name, (_a, _b) in reads.ORDERINGS.items():
+    add(f"top_templates_{_name}", lambda s, d, o=_name: V.iso(reads.top_templates(V.scored_templates(s, d), 15, o).select(*_TOP)), V.sql(*V.SCORED, select=f"{_TOP_SQL} ORDER BY scored.{_a} DESC, scored.{_b} DESC, template_id LIMIT 15"))
+add("top_templates_without_noise", lambda s, d: V.iso(reads.top_templates(V.scored_templates(s, d), 50, "count", _NOISE).select(*_TOP)), V.sql(*V.SCORED, f"noise AS ({_NOISE_SQL})", select=f"{_TOP_SQL} WHERE template_id NOT IN (SELECT template_id FROM noise) ORDER BY scored.occurrence_count DESC, scored.max_severity_rank DESC, template_id LIMIT 50"))
+add("noise_templates", lambda s, d: reads.noise_templates(V.scored_templates(s, d), _NOISE), V.sql(*V.SCORED, select=_NOISE_SQL))
+
+# ---- text
+add("text_search", over_events(lambda e: reads.text_search(e, 'Error {"K": 4')), V.sql(V.LOG_EVENTS, select="""SELECT DISTINCT template_id FROM log_events WHERE contains(lower(message), lower('Error {"K": 4')) OR contains(lower(raw), lower('Error {"K": 4')) ORDER BY template_id LIMIT 5000"""))
+add("matching_events", over_events(lambda e: reads.matching_events(e, "SIGNUP")), V.sql(V.LOG_EVENTS, select="SELECT template_id, count(*) AS n FROM log_events WHERE contains(lower(message), 'signup') GROUP BY template_id"))
+add("document_search", lambda s, d: V.doc_lines(s, d).where(F.lower("line").contains("the")).groupBy("doc_id").agg(F.count("*").alias("n")), V.sql(V.DOC_LINES, select="SELECT doc_id, count(*) AS n FROM doc_lines WHERE contains(lower(line), 'the') GROUP BY doc_id"))
+add("raw_samples", over_events(lambda e: reads.first_per_source(e, 20).select("source", "id", "raw")), V.sql(V.LOG_EVENTS, select="SELECT source, id, raw FROM log_events QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 20"))
+add("stride_scan", over_events(lambda e: reads.regex_counts(e, {"failure": A.FAILURE, "even": r"[02468]\}$"}, 3)), V.sql(V.LOG_EVENTS, select=rf"SELECT template_id, count(*) AS events, count(*) FILTER (regexp_matches(message, '{A.FAILURE}')) AS failure, count(*) FILTER (regexp_matches(message, '[02468]\}}$')) AS even FROM log_events WHERE id % 3 = 0 GROUP BY template_id"))
+add("orphan_events", lambda s, d: A.orphans(V.log_events(s, d), V.templates(s, d).where("template_id % 10 != 3")), V.sql(V.LOG_EVENTS, select="SELECT count(*) AS n FROM log_events WHERE template_id % 10 = 3"))
+
+# ---- aggregates
+for _w in (1, 5, 7, 60):
+    add(f"burst_stats_{_w}", lambda s, d, w=_w: A.burst_stats(V.log_events(s, d), V.templates(s, d), w), V.sql(*V.BASE, V.burst_sql(_w), select="SELECT template_id, occurrence_count, max_severity_rank, max_per_bucket, buckets FROM burst"))
+    add(f"bucket_count_{_w}", over_events(lambda e, w=_w: A.bucket_count(e, w)), V.sql(V.LOG_EVENTS, select=f"SELECT count(DISTINCT {V.bucket_sql(_w)}) AS n_buckets FROM log_events"))
+add("severity_counts", over_events(A.severity_counts), V.sql(V.LOG_EVENTS, select="SELECT severity, count(*) AS n FROM log_events GROUP BY severity"))
+add("source_activity", over_events(lambda e: V.iso(A.source_activity(e))), V.sql(V.LOG_EVENTS, select=f"SELECT source, count(*) AS events, count(*) FILTER (severity IN ('ERROR', 'FATAL')) AS bad, {V.ISO.format("min(ts) FILTER (severity IN ('ERROR', 'FATAL'))")} AS first_bad, {V.ISO.format("max(ts) FILTER (severity IN ('ERROR', 'FATAL'))")} AS last_bad FROM log_events GROUP BY source"))
+add("template_window", over_events(lambda e: V.iso(A.template_window(e, [2001, 2002]))), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('min(ts)')} AS first_ts, {V.ISO.format('max(ts)')} AS last_ts FROM log_events WHERE template_id IN (2001, 2002)"))
+add("time_bounds", over_events(lambda e: V.iso(A.time_bounds(e))), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('min(ts)')} AS first_ts, {V.ISO.format('max(ts)')} AS last_ts FROM log_events"))
+add("event_count", over_events(lambda e: e.agg(F.count("*").alias("n"))), "SELECT count(*) AS n FROM events")
+add("source_minutes", over_events(A.source_minutes), V.sql(V.LOG_EVENTS, select="SELECT DISTINCT source, epoch_us(ts) // 60000000 AS minute FROM log_events"))
+add("template_summary", lambda s, d: V.iso(V.templates(s, d)), V.sql(*V.BASE, select=f"SELECT * REPLACE ({V.ISO.format('first_seen')} AS first_seen, {V.ISO.format('last_seen')} AS last_seen) FROM templates"))
+add("run_stats", lambda s, d: A.run_stats(V.templates(s, d)), V.sql(*V.BASE, select="SELECT CAST(sum(occurrence_count) AS BIGINT) AS events, count(*) AS templates, sum(occurrence_count) / count(*) AS reduction_factor, count(*) / sum(occurrence_count) AS ratio, max(occurrence_count) / sum(occurrence_count) AS dominant_share FROM templates"))
+add("chronic_templates", lambda s, d: A.chronic(V.templates(s, d), V.log_events(s, d)), V.sql(*V.BASE, V.CHRONIC, select="SELECT template_id FROM chronic"))
+_MERGED = "merged AS (SELECT template_id // 50 AS template_id, max(max_severity_rank) AS a, min(min_severity_rank) AS b FROM templates GROUP BY 1)"
+add("over_merged", lambda s, d: A.over_merged(A.template_summary(V.log_events(s, d).withColumn("template_id", F.col("template_id") % 100)), 3), V.sql(V.LOG_EVENTS, select=f"SELECT template_id % 100 AS template_id, max({V.RANK.format('severity')}) - min({V.RANK.format('severity')}) + 1 AS span FROM log_events GROUP BY 1 HAVING span >= 3"))
+_LINE_T = "lt AS (SELECT line AS pattern, count(*) AS occurrence_count FROM doc_lines GROUP BY line)"
+
+
+def _line_templates(s, d):
+    return V.doc_lines(s, d).groupBy(F.col("line").alias("pattern")).agg(F.count("*").alias("occurrence_count"))
+
+
+_TOK = r"list_filter(string_split_regex(trim(regexp_replace(pattern, '[ \t\n\r\f\x0B]+', ' ', 'g')), ' '), lambda x: x <> '')"
+add("split_templates", lambda s, d: A.split_templates(_line_templates(s, d)), V.sql(V.DOC_LINES, _LINE_T, f"tails AS (SELECT occurrence_count, list_slice({_TOK}, greatest(len({_TOK}) - 3, 1), len({_TOK})) AS tail FROM lt)", "g AS (SELECT tail, count(*) AS n, sum(occurrence_count) AS e FROM tails WHERE len(list_filter(tail, lambda x: x <> '<*>')) >= 2 GROUP BY tail HAVING n > 1)", select="SELECT CAST(coalesce(sum(e), 0) AS BIGINT) AS events, coalesce(sum(e), 0) / (SELECT sum(occurrence_count) FROM lt) AS share FROM g"))
+add("unmasked_ids", lambda s, d: A.literal_ids(_line_templates(s, d)), V.sql(V.DOC_LINES, _LINE_T, select=rf"SELECT CAST(coalesce(sum(occurrence_count), 0) AS BIGINT) AS events, coalesce(sum(occurrence_count), 0) / (SELECT sum(occurrence_count) FROM lt) AS share FROM lt WHERE len(list_filter({_TOK}, lambda x: regexp_matches(x, '{A.ID_TOKEN}'))) > 0"))
+
+
+def _line_events(s, d):
+    """Documents' lines as events, a template for each line's first word."""
+    t = F.coalesce(F.element_at(texts.tokens(F.col("line")), 1), F.lit(""))
+    return V.doc_lines(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), F.col("line").alias("message"), F.col("line").alias("raw"), t.alias("template_id"))
+
+
+add("hidden_failures", lambda s, d: A.text_scan(_line_events(s, d), _line_events(s, d).select("template_id", F.col("template_id").alias("pattern")).distinct()), V.sql(V.DOC_LINES, f"le AS (SELECT line, coalesce(list_extract({_TOK.replace('pattern', 'line')}, 1), '') AS t FROM doc_lines)", f"c AS (SELECT t, count(*) AS events, count(*) FILTER (regexp_matches(line, '{A.FAILURE}')) AS failure, count(*) FILTER (regexp_matches(line, '{A.CONTINUATION}')) AS continuation FROM le GROUP BY t)", select=f"SELECT CAST(sum(failure) AS BIGINT) AS failure_lines, CAST(coalesce(sum(failure) FILTER (failure > 0 AND failure < events AND NOT regexp_matches(t, '{A.FAILURE}')), 0) AS BIGINT) AS hidden, CAST(sum(events) AS BIGINT) AS examined, CAST(sum(continuation) AS BIGINT) AS continuation FROM c"))
+
+
+def _zoned(s, d):
+    """Raw lines that write time in four notations by source."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(F.col("source") == "svc-0", "Z").when(F.col("source") == "svc-1", "+05:30").when(F.col("source") == "svc-2", "+0530").otherwise("")
+    return V.log_events(s, d).select("source", F.concat(stamp, zone, F.lit(" "), F.col("message")).alias("text"))
+
+
+add("zone_notation", lambda s, d: A.zone_notation(_zoned(s, d)), V.sql(V.LOG_EVENTS, select="SELECT source, CASE source WHEN 'svc-0' THEN 'utc' WHEN 'svc-3' THEN 'naive' ELSE '+05:30' END AS zone, count(*) AS n FROM log_events GROUP BY ALL"))
+_SKEW = "m AS (SELECT DISTINCT source, (epoch_us(ts) // 60000000 + CASE WHEN source = 'svc-1' THEN 330 ELSE 0 END) // 15 AS slot FROM log_events WHERE id % 40 < 4)"
+
+
+def _skewed(s, d):
+    e = V.log_events(s, d).where("id % 40 < 4")
+    return A.source_minutes(e).withColumn("minute", F.col("minute") + F.when(F.col("source") == "svc-1", 330).otherwise(0))
+
+
+add("clock_skew", lambda s, d: A.best_shift(A.shift_overlaps(_skewed(s, d), "svc-0")), V.sql(V.LOG_EVENTS, _SKEW, "sizes AS (SELECT source, count(*) AS size FROM m GROUP BY source)", """o AS (SELECT b.source, k * 15 AS shift, count(*) / least(any_value(z.size), (SELECT size FROM sizes WHERE source = 'svc-0')) AS overlap
+  FROM m b, (SELECT unnest(range(-56, 57)) AS k), m a, sizes z WHERE b.source <> 'svc-0' AND a.source = 'svc-0' AND a.slot = b.slot + k AND z.source = b.source GROUP BY b.source, k)""", "best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY overlap DESC, abs(shift), shift) = 1)", select="SELECT best.source, best.shift, best.overlap, coalesce(o.overlap, 0) AS unshifted FROM best LEFT JOIN o ON o.source = best.source AND o.shift = 0"))
+
+# ---- scalar functions
+_LEVELS = ["trace", " Verbose", "FINE", "notice", "Warning", "err", "SEVERE", "crit", "panic", "wat", "", None, "information"]
+_LEVEL_SQL = "(VALUES ('trace', 'TRACE'), (' Verbose', 'TRACE'), ('FINE', 'DEBUG'), ('notice', 'INFO'), ('Warning', 'WARN'), ('err', 'ERROR'), ('SEVERE', 'ERROR'), ('crit', 'FATAL'), ('panic', 'FATAL'), ('wat', NULL), ('', NULL), (NULL, NULL), ('information', 'INFO')) v(x, m)"
+add("severity_normalize", lambda s, d: s.createDataFrame([(x,) for x in _LEVELS], "x string").select("x", S.normalize(F.col("x")).alias("level"), S.mapped(F.col("x")).isNotNull().alias("mapped"), S.rank(S.normalize(F.col("x"))).alias("rank")), f"SELECT x, coalesce(m, 'INFO') AS level, m IS NOT NULL AS mapped, {V.RANK.format("coalesce(m, 'INFO')")} AS rank FROM {_LEVEL_SQL}")
+add("epoch_units", over_events(lambda e: e.select("id", *[times.epoch_micros((F.unix_micros("ts") * m if m > 1 else F.floor(F.unix_micros("ts") / n))).alias(f"from_{u}") for u, m, n in (("s", 1, 10**6), ("ms", 1, 10**3), ("us", 1, 1), ("ns", 1000, 1))])), V.sql(V.LOG_EVENTS, select="SELECT id, epoch_us(ts) // 1000000 * 1000000 AS from_s, epoch_us(ts) // 1000 * 1000 AS from_ms, epoch_us(ts) AS from_us, epoch_us(ts) AS from_ns FROM log_events"))
+add("iso_round_trip", over_events(lambda e: e.select("id", times.iso(F.col("ts")).alias("text"), F.unix_micros(times.parse(times.iso(F.col("ts")))).alias("micros"))), V.sql(V.LOG_EVENTS, select=f"SELECT id, {V.ISO.format('ts')} AS text, epoch_us(ts) AS micros FROM log_events"))
+add("lexical_severity", lambda s, d: V.doc_lines(s, d).groupBy(S.lexical(F.col("line")).alias("weight")).agg(F.count("*").alias("n")), V.sql(V.DOC_LINES, select=f"SELECT {V.LEXICAL.format('line')} AS weight, count(*) AS n FROM doc_lines GROUP BY 1"))
+add("ansi_strip", lambda s, d: V.doc_lines(s, d).select("doc_id", "line_no", F.length(S.strip_ansi(F.concat(F.lit("\x1b[31m"), "line", F.lit("\x1b[0m")))).alias("n")), V.sql(V.DOC_LINES, select="SELECT doc_id, line_no, length(regexp_replace(line, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g')) AS n FROM doc_lines"))
+add("trace_id", over_events(lambda e: e.select("id", texts.trace_id(F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.lit(" ").alias("trace_id"), F.concat(F.lit("t"), "id").alias("traceId")))).otherwise(F.to_json(F.struct(F.col("id").alias("dd.trace_id"))))).alias("trace"))), "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 't' || event_id ELSE event_id::VARCHAR END AS trace FROM events")
+add("header_mask", lambda s, d: V.log_events(s, d).select("id", texts.mask_header(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" host "), F.col("message"))).alias("masked")), V.sql(V.LOG_EVENTS, select="SELECT id, '<TS> host ' || message AS masked FROM log_events"))
+add("transport_mask", lambda s, d: V.log_events(s, d).select("id", texts.mask_transport(F.concat(times.iso(F.col("ts")), F.lit(" by [EMAIL:0011aabb] "), F.col("message"))).alias("masked")), V.sql(V.LOG_EVENTS, select="SELECT id, '<TS> by <REDACTED> ' || message AS masked FROM log_events"))
+add("clip_text", lambda s, d: V.table(s, d, "documents").select("doc_id", texts.clip(F.coalesce("text", F.lit("")), 80).alias("clipped")), r"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 80 THEN t[1:80] || '...(+' || (length(t) - 80) || ' more chars)' ELSE t END AS clipped FROM f""")
+
+# ---- scores
+add("score_components", lambda s, d: V.scores(s, d), V.sql(*V.SCORED, select="SELECT template_id, score, severity, burstiness, rarity FROM scores"))
+add("score_lexical", lambda s, d: V.scores(s, d, False), V.sql(*V.BASE, V.burst_sql(), V.scores_sql("lexical"), select="SELECT template_id, score, severity, burstiness, rarity FROM scores"))
+
+
+def _unlabelled(s, d):
+    e, t = V.log_events(s, d), V.templates(s, d)
+    stats = A.burst_stats(e, t).withColumn("pattern", F.lit("plain text"))
+    return scoring.score(stats, A.bucket_count(e), False).select("template_id", "score", "burstiness", "rarity")
+
+
+add("score_without_severity", _unlabelled, V.sql(*V.BASE, V.burst_sql(), V.scores_sql("none"), select="SELECT template_id, score, burstiness, rarity FROM scores"))
+add("signal_set", lambda s, d: scoring.signal_set(V.scores(s, d)), V.sql(*V.SCORED, V.SIGNAL, select="SELECT template_id, score, rank FROM signal"))
+add("needle_position", lambda s, d: scoring.needle_position(V.scores(s, d), V.templates(s, d)), V.sql(*V.SCORED, V.SIGNAL, select="SELECT template_id, rank FROM ranked WHERE template_id = (SELECT template_id FROM templates ORDER BY max_severity_rank DESC, template_id LIMIT 1)"))
+
+
+def _filled(s, d):
+    from pyspark.sql import Window
+
+    e = V.log_events(s, d).withColumn("own", F.when(F.col("id") % 3 != 0, F.col("ts")))
+    before = Window.partitionBy("source").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    return V.iso(e.select("id", F.coalesce(F.last("own", ignorenulls=True).over(before), F.timestamp_seconds("id")).alias("ts")))
+
+
+add("forward_fill_ts", _filled, V.sql(V.LOG_EVENTS, select=f"SELECT id, {V.ISO.format('coalesce(last_value(CASE WHEN id % 3 <> 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), make_timestamp(id * 1000000))')} AS ts FROM log_events"))
+
+# ---- notes
+_STATS = """facts AS (SELECT n.note_id, coalesce(max(s.score), 0) AS top_score, coalesce(sum(t.occurrence_count), 0) AS mass, coalesce(sum(s.score * t.occurrence_count), 0) AS score_x_mass, coalesce(max(s.score * ln(1.0::DOUBLE + t.occurrence_count)), 0) AS peak_scaled
+  FROM notes n LEFT JOIN cited c USING (note_id) LEFT JOIN templates t ON t.template_id = c.template_id LEFT JOIN scores s ON s.template_id = t.template_id GROUP BY n.note_id),
+nr AS (SELECT n.*, f.* EXCLUDE (note_id), CASE WHEN role = 'accounting' THEN 0 ELSE 1 END AS rr, CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS cr FROM notes n JOIN facts f USING (note_id)),
+rn AS (SELECT *, row_number() OVER (ORDER BY rr DESC, synthesis DESC, top_score DESC, cr DESC, step, note_id) AS rank FROM nr)"""
+_all = lambda s, d: (V.notes(s, d), V.scores(s, d), V.templates(s, d))
+add("note_ranking", lambda s, d: notes.rank_notes(*_all(s, d)).select("note_id", "rank", "top_score", "mass"), V.sql(*V.SCORED, V.NOTES, _STATS, select="SELECT note_id, rank, top_score, CAST(mass AS BIGINT) AS mass FROM rn"))
+add("alternative_note_orders", lambda s, d: notes.alternative_ranks(*_all(s, d)), V.sql(*V.SCORED, V.NOTES, _STATS, select="SELECT 'current' AS ordering, note_id, rank FROM rn UNION ALL " + " UNION ALL ".join(f"SELECT '{o}', note_id, row_number() OVER (ORDER BY {o} DESC, cr DESC, step, note_id) FROM nr" for o in ("mass", "score_x_mass", "peak_scaled"))))
+add("issue_list", lambda s, d: notes.issues(*_all(s, d), A.chronic(V.templates(s, d), V.log_events(s, d))).select("rank", "note_id", "note", "top_score", "role", "chronic"), V.sql(*V.SCORED, V.NOTES, _STATS, V.CHRONIC, select="SELECT rank, note_id, note, top_score, role, coalesce((SELECT bool_and(c.template_id IN (SELECT template_id FROM chronic)) FROM cited c WHERE c.note_id = rn.note_id), false) AS chronic FROM rn"))
+add("citation_check", lambda s, d: notes.broken_citations(V.notes(s, d), V.log_events(s, d), V.templates(s, d)), V.sql(*V.BASE, V.NOTES, select="SELECT note_id, 'template' AS kind, template_id AS id FROM cited WHERE template_id NOT IN (SELECT template_id FROM templates) UNION SELECT note_id, 'event', e FROM (SELECT note_id, unnest(log_event_ids) AS e FROM notes) WHERE e NOT IN (SELECT id FROM log_events)"))
+add("uncited_signal", lambda s, d: notes.uncited_signal(scoring.signal_set(V.scores(s, d)), V.notes(s, d), A.chronic(V.templates(s, d), V.log_events(s, d))), V.sql(*V.SCORED, V.SIGNAL, V.NOTES, V.CHRONIC, select="SELECT template_id, template_id IN (SELECT template_id FROM chronic) AS chronic FROM signal WHERE template_id NOT IN (SELECT template_id FROM cited)"))
+add("unopened_digest", lambda s, d: notes.unopened(V.scored_templates(s, d), V.notes(s, d), V.templates(s, d).where("template_id % 2 = 0").select("template_id")).select("template_id"), V.sql(*V.SCORED, V.NOTES, "top AS (SELECT * FROM scored ORDER BY anomaly_score DESC, occurrence_count DESC, template_id LIMIT 40)", select="SELECT template_id FROM top WHERE template_id % 2 <> 0 AND template_id NOT IN (SELECT template_id FROM cited) ORDER BY anomaly_score DESC, occurrence_count DESC, template_id LIMIT 3"))
+add("response_pairing", lambda s, d: notes.paired(s.createDataFrame([("o1", "a", "high"), ("o2", "b", "low")], "objection_id string, claim string, severity string"), s.createDataFrame([(1, "o1", "first", False), (2, "o1", "yes", True), (3, "o9", "what", False)], "position int, objection_id string, response string, conceded boolean")), "SELECT * FROM (VALUES ('o1', 'a', 'high', 'yes', true), ('o2', 'b', 'low', NULL, NULL), ('o9', '', 'unmatched_response', 'what', false)) v(objection_id, claim, severity, response, conceded)")
+add("digest_recall", lambda s, d: notes.marker_ranks(s.createDataFrame([('Error {"k": 7}',), ("purchase",), ("absent",)], "marker string"), V.log_events(s, d), V.scored_templates(s, d)), V.sql(*V.SCORED, "m AS (SELECT * FROM (VALUES ('Error {\"k\": 7}'), ('purchase'), ('absent')) v(marker))", "rk AS (SELECT template_id, row_number() OVER (ORDER BY anomaly_score DESC, occurrence_count DESC, template_id) AS rank FROM scored)", select="SELECT marker, min(rank) AS rank FROM m LEFT JOIN log_events e ON contains(lower(e.message), lower(marker)) LEFT JOIN rk USING (template_id) GROUP BY marker"))
+_four = lambda s, d: (V.log_events(s, d), V.scored_templates(s, d), scoring.signal_set(V.scores(s, d)), A.chronic(V.templates(s, d), V.log_events(s, d)))
+add("mechanical_critique", lambda s, d: notes.critique(V.notes(s, d), *_four(s, d), thin_share=0.01), V.sql(*V.SCORED, V.SIGNAL, V.NOTES, V.CHRONIC, """tot AS (SELECT count(*) AS total FROM log_events), sig AS (SELECT count(*) AS s, count(*) FILTER (template_id NOT IN (SELECT template_id FROM chronic)) AS acute, (SELECT sum(occurrence_count) FROM templates WHERE template_id IN (SELECT template_id FROM signal)) AS ev FROM signal),
+per AS (SELECT note_id, bool_and(c.template_id IN (SELECT template_id FROM chronic)) AS oc, coalesce(sum(occurrence_count), 0) AS covered FROM cited c LEFT JOIN templates t USING (template_id) WHERE role <> 'accounting' GROUP BY note_id)""", select="""SELECT 'nonexistent-citation' AS check_name, note_id FROM (SELECT note_id FROM cited WHERE template_id NOT IN (SELECT template_id FROM templates) UNION SELECT note_id FROM (SELECT note_id, unnest(log_event_ids) AS e FROM notes) WHERE e NOT IN (SELECT id FROM log_events))
+UNION ALL SELECT 'signal-ignored', NULL FROM sig WHERE s > 0 AND NOT EXISTS (SELECT 1 FROM cited WHERE template_id IN (SELECT template_id FROM signal))
+UNION ALL SELECT 'chronic-as-cause', note_id FROM per, sig WHERE oc AND (SELECT count(*) FROM chronic) > 0 AND (s = 0 OR acute > 0)
+UNION ALL SELECT 'thin-evidence', note_id FROM per, sig, tot WHERE coalesce(ev / total, CASE WHEN s > 0 THEN 0 ELSE 1 END) >= 0.01 AND covered > 0 AND covered / total < 0.01"""))
+add("seeded_selection", lambda s, d: notes.seeded_targets(V.scored_templates(s, d), scoring.signal_set(V.scores(s, d)), A.chronic(V.templates(s, d), V.log_events(s, d)), V.log_events(s, d), 0.01), V.sql(*V.SCORED, V.SIGNAL, V.CHRONIC, "outside AS (SELECT * FROM scored WHERE template_id NOT IN (SELECT template_id FROM signal))", select="""SELECT * FROM (SELECT 'chronic-as-acute' AS name, template_id FROM scored WHERE template_id IN (SELECT template_id FROM chronic) ORDER BY occurrence_count DESC, template_id LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'volume-led', template_id FROM outside WHERE occurrence_count >= 2 ORDER BY occurrence_count DESC, template_id LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'thin-evidence', template_id FROM (SELECT * FROM scored ORDER BY occurrence_count, template_id LIMIT 1) WHERE occurrence_count / (SELECT count(*) FROM log_events) < 0.01)
+UNION ALL SELECT 'fabricated-citation', max(template_id) + 1000 FROM scored
+UNION ALL SELECT * FROM (SELECT 'signal-ignored', template_id FROM outside ORDER BY anomaly_score, template_id LIMIT 1)"""))
+
+# ---- evaluation
+for _templated in (True, False):
+    _key = "template_id::VARCHAR" if _templated else r"regexp_replace(message, '\d+', '#', 'g')"
+    add("grep_templated" if _templated else "grep_naive", over_events(lambda e, t=_templated: evaluate.grep_baseline(e, t)), V.sql(V.LOG_EVENTS, f"r AS (SELECT *, {_key} AS key FROM log_events WHERE regexp_matches(raw, '{evaluate.ERROR_WORDS}'))", "g AS (SELECT key, count(*) AS top_count, min(id) AS first_id, arg_min(template_id, id) AS template_id FROM r GROUP BY key)", "t AS (SELECT * FROM g ORDER BY top_count DESC, first_id LIMIT 1)", select="SELECT (SELECT count(*) FROM r) AS matching, (SELECT count(*) FROM g) AS n_groups, top_count, template_id, (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM (SELECT id FROM r WHERE key = t.key ORDER BY id LIMIT 5)) AS cited FROM t"))
+add("grouping_accuracy", over_events(lambda e: evaluate.grouping_accuracy(e.select(F.regexp_replace(F.regexp_replace("message", r"\d+", "#"), "^(click|view)", "x").alias("parsed"), F.regexp_extract("message", r"^(\w+)", 1).alias("truth")))), V.sql(V.LOG_EVENTS, r"l AS (SELECT regexp_replace(regexp_replace(message, '\d+', '#', 'g'), '^(click|view)', 'x') AS p, regexp_extract(message, '^(\w+)', 1) AS t FROM log_events)", select="SELECT (sum(n) FILTER (n = np AND n = nt)) / sum(n) AS grouping_accuracy FROM (SELECT p, t, count(*) AS n, sum(count(*)) OVER (PARTITION BY p) AS np, sum(count(*)) OVER (PARTITION BY t) AS nt FROM l GROUP BY p, t)"))
+
+# ---- the guarded channel
+_GUARDED = "WITH bad AS (SELECT source, template_id, count(*) AS n FROM log_events WHERE severity = 'ERROR' GROUP BY source, template_id) SELECT b.source, count(*) AS templates, max(b.n) AS most, sum(t.occurrence_count) AS events FROM bad b JOIN templates t ON t.template_id = b.template_id GROUP BY b.source HAVING count(*) > 1"
+add("guarded_sql", lambda s, d: guard.run_readonly(s, _GUARDED, {"log_events": V.log_events(s, d), "templates": V.templates(s, d)}), V.sql(*V.BASE, select="SELECT source, templates, most, CAST(events AS BIGINT) AS events FROM (" + _GUARDED + ")"))
+_REFUSED = ["DELETE FROM log_events", "DROP TABLE log_events", "WITH x AS (SELECT 1) DELETE FROM log_events", "SELECT 1; SELECT 2", "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SELECT * FROM vault", "SELECT * FROM parquet.`/tmp`", "INSERT INTO log_events SELECT * FROM log_events", "SET x = 1", "CACHE TABLE log_events", "SELECT id FROM log_events WHERE id IN (SELECT id FROM vault)", "EXPLAIN SELECT 1"]
+
+
+def _refusals(s, d):
+    out = []
+    for sql in _REFUSED:
+        try:
+            guard.run_readonly(s, sql, {"log_events": V.log_events(s, d)})
+            out.append((sql, False))
+        except guard.ReadOnlyViolation:
+            out.append((sql, True))
+    return s.createDataFrame(out, "statement string, refused boolean")
+
+
+add("guarded_sql_refusals", _refusals, "SELECT statement, true AS refused FROM (VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in _REFUSED) + ") v(statement)")
+
+# ---- metrics
+add("token_totals", lambda s, d: A.token_totals(s.createDataFrame([("loop", "input_tokens", 100), ("loop", "cached_input_tokens", 40), ("loop", "output_tokens", 7), ("critique", "input_tokens", 9), ("loop", "input_tokens", 50)], "stage string, metric string, value long")), "SELECT * FROM (VALUES ('loop', 150::BIGINT, 40::BIGINT, 7::BIGINT, 157::BIGINT), ('critique', 9, 0, 0, 9)) v(stage, input_tokens, cached_input_tokens, output_tokens, total_tokens)")
+add("pass_rates", over_events(lambda e: A.pass_rates(e.select(F.col("source").alias("check_name"), F.when(F.col("severity") == "INFO", None).otherwise(F.col("severity") == "ERROR").alias("passed")))), V.sql(V.LOG_EVENTS, select="SELECT source AS check_name, count(*) FILTER (severity = 'ERROR') AS passed, count(*) FILTER (severity <> 'INFO') AS scorable FROM log_events GROUP BY source"))
+
+
+def _skeleton(s, d):
+    from incidentlens.operators import investigate
 
-def queries() -> dict:
-    return {}
+    return V.iso(investigate.skeleton(V.log_events(s, d), V.scored_templates(s, d)))
 
 
-def oracle_sql() -> dict:
-    return {}
+add("skeleton_investigation", _skeleton, V.sql(*V.SCORED, "t AS (SELECT * FROM scored ORDER BY max_severity_rank DESC, occurrence_count DESC, template_id LIMIT 1)", select=f"SELECT t.template_id, t.pattern, 'ERROR' AS severity, t.occurrence_count, {V.ISO.format('t.first_seen')} AS first_seen, {V.ISO.format('t.last_seen')} AS last_seen, e.id AS event_id, {V.ISO.format('e.ts')} AS event_ts, e.message, 'low' AS confidence FROM t JOIN (SELECT * FROM log_events WHERE template_id = (SELECT template_id FROM t) ORDER BY ts, id LIMIT 5) e ON true"))
