@@ -16,6 +16,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Entities in the order they apply, those on by default, and their patterns.
 ENTITIES = ("api_key", "email", "ipv6", "ipv4", "ssn", "phone")
@@ -99,8 +100,9 @@ def redact_columns(df: DataFrame, redactor: Redactor, text: tuple[str, ...] = ("
 
     Text columns with the same content are redacted, and counted, once.
     """
-    columns = [c for c in df.columns if c not in (*text, *fields)]
-    names = [c for c in (*text, *fields) if c in df.columns]
+    every = list(df.columns)
+    columns = [c for c in every if c not in (*text, *fields)]
+    names = [c for c in (*text, *fields) if c in every]
     item = pa.struct([("entity", pa.string()), ("token", pa.string()), ("value", pa.string())])
 
     def run(batches):
@@ -119,10 +121,8 @@ def redact_columns(df: DataFrame, redactor: Redactor, text: tuple[str, ...] = ("
                             done[value] = redactor.redact(value, found)
                         out[c].append(done[value])
                 log.append([{"entity": e, "token": t, "value": v} for e, t, v in found])
-            arrays = [batch.column(batch.schema.names.index(c)) if c in columns else pa.array(out[c], pa.string()) for c in df.columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(log, pa.list_(item))], names=[*df.columns, "redactions"])
-
-    from pyspark.sql import types as T
+            arrays = [batch.column(batch.schema.names.index(c)) if c in columns else pa.array(out[c], pa.string()) for c in every]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(log, pa.list_(item))], names=[*every, "redactions"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("redactions", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("entity", "token", "value")])))])
     return df.mapInArrow(run, schema)

@@ -232,3 +232,65 @@ def _skeleton(s, d):
 
 
 add("skeleton_investigation", _skeleton, V.sql(*V.SCORED, "t AS (SELECT * FROM scored ORDER BY max_severity_rank DESC, occurrence_count DESC, template_id LIMIT 1)", select=f"SELECT t.template_id, t.pattern, 'ERROR' AS severity, t.occurrence_count, {V.ISO.format('t.first_seen')} AS first_seen, {V.ISO.format('t.last_seen')} AS last_seen, e.id AS event_id, {V.ISO.format('e.ts')} AS event_ts, e.message, 'low' AS confidence FROM t JOIN (SELECT * FROM log_events WHERE template_id = (SELECT template_id FROM t) ORDER BY ts, id LIMIT 5) e ON true"))
+
+# ---- readers: events written in each format and read back
+from incidentlens.operators import drain, redaction  # noqa: E402
+from incidentlens.sources import bootstrap, detect, readers  # noqa: E402
+from incidentlens.sources import records as R  # noqa: E402
+
+_READ = ["line_no", "ts", "source", "severity", "message", "status"]
+_READ_SQL = V.sql(V.LOG_EVENTS, select=f"SELECT id AS line_no, {V.ISO.format('ts')} AS ts, source, severity, message, 'ok' AS status FROM log_events")
+
+
+def _round_trip(line: Callable[[DataFrame], F.Column], read: Callable[[DataFrame], DataFrame]) -> Callable:
+    def run(s, d):
+        e = V.log_events(s, d)
+        return V.iso(read(R.from_lines(e.select("id", line(e).alias("line")), order="id")).select(*_READ))
+
+    return run
+
+
+_nanos = F.concat(F.unix_micros("ts"), F.lit("000"))
+_pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+_labels = F.struct(F.col("source").alias("service_name"), F.col("severity").alias("level"))
+_otlp_line = lambda e: F.to_json(F.struct(F.array(F.struct(
+    F.struct(F.array(_pair("service.name", F.col("source"))).alias("attributes")).alias("resource"),
+    F.array(F.struct(F.array(F.struct(_nanos.alias("timeUnixNano"), F.col("severity").alias("severityText"), F.struct(F.col("message").alias("stringValue")).alias("body"), F.col("trace_id").alias("traceId"))).alias("logRecords"))).alias("scopeLogs"),
+)).alias("resourceLogs")))
+add("jsonl_roundtrip", _round_trip(lambda e: F.to_json(F.struct(times.iso(F.col("ts")).alias("timestamp"), F.col("severity").alias("level"), F.col("source").alias("service"), "message", "value")), readers.json_lines), _READ_SQL)
+add("otlp_roundtrip", _round_trip(_otlp_line, readers.otlp), _READ_SQL)
+add("loki_roundtrip", _round_trip(lambda e: F.to_json(F.struct(F.struct(F.lit("streams").alias("resultType"), F.array(F.struct(_labels.alias("stream"), F.array(F.array(_nanos, "message")).alias("values"))).alias("result")).alias("data"))), readers.loki), _READ_SQL)
+add("elastic_roundtrip", _round_trip(lambda e: F.to_json(F.struct(F.lit("logs").alias("_index"), F.struct(times.iso(F.col("ts")).alias("@timestamp"), "message", F.struct(F.col("severity").alias("level")).alias("log"), F.struct(F.col("source").alias("name")).alias("service")).alias("_source"))), readers.elastic), _READ_SQL)
+add("raw_roundtrip", _round_trip(lambda e: F.concat_ws(" ", times.iso(F.col("ts")), "severity", "message"), lambda df: readers.raw_lines(df, "iso8601")), V.sql(V.LOG_EVENTS, select=f"SELECT id AS line_no, {V.ISO.format('ts')} AS ts, NULL AS source, severity, concat_ws(' ', {V.ISO.format('ts')}, severity, message) AS message, 'ok' AS status FROM log_events"))
+_schema = bootstrap.LineSchema("iso8601", True, True)
+_schema_line = lambda e: F.concat(times.iso(F.col("ts")), F.lit(" "), "severity", F.lit(" "), "source", F.lit(": "), "message")
+add("inferred_roundtrip", _round_trip(_schema_line, lambda df: bootstrap.read(df, _schema)), _READ_SQL)
+add("schema_match_rate", lambda s, d: bootstrap.match_rate(V.log_events(s, d).select(F.when(F.col("id") % 4 == 0, F.lit("at no time")).otherwise(_schema_line(None)).alias("line")), _schema), "SELECT (count(*) FILTER (event_id % 4 <> 0)) / count(*) AS rate FROM events")
+add("reader_counters", lambda s, d: R.counters(readers.json_lines(R.from_lines(V.log_events(s, d).select("id", F.when(F.col("id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("ts", F.when(F.col("id") % 2 == 0, F.col("severity")).otherwise(F.lit("odd")).alias("level")))).alias("line")), order="id"))), "SELECT count(*) AS lines_read, count(*) FILTER (event_id % 5 <> 0) AS records, count(*) FILTER (event_id % 5 = 0) AS parse_errors, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 <> 0) AS unmapped_severity FROM events")
+_SAMPLES = {
+    "json": ['{"timestamp": "2026-01-01T00:00:00Z", "level": "INFO", "message": "x"}', '{"a": 1}', "plain"],
+    "otlp": ['{"resourceLogs": []}'], "loki": ['{"data": {"resultType": "streams", "result": []}}'], "logcli": ['{"labels": {}, "line": "x", "timestamp": "1"}', "no"],
+    "elastic": ['{"_index": "a", "_source": {"message": "m"}}'], "ecs": ['{"@timestamp": "2026-01-01T00:00:00Z", "log.level": "info", "service": {"name": "s"}}'], "text": ["Aug 30 14:22:01 host app: x"],
+}
+add("format_detection_matrix", lambda s, d: s.createDataFrame(detect.matrix(_SAMPLES), "sample string, reader string, score double"), "SELECT s AS sample, r AS reader, coalesce(x, 0.0::DOUBLE) AS score FROM (SELECT unnest(['json', 'otlp', 'loki', 'logcli', 'elastic', 'ecs', 'text']) AS s), (SELECT unnest(['json_lines', 'otlp', 'loki', 'elastic', 'raw_lines']) AS r) LEFT JOIN (VALUES ('json', 'json_lines', 2::DOUBLE / 3 * (0.4::DOUBLE + 0.6::DOUBLE * 0.5::DOUBLE)), ('otlp', 'json_lines', 0.4::DOUBLE), ('otlp', 'otlp', 0.98::DOUBLE), ('loki', 'json_lines', 0.4::DOUBLE), ('loki', 'loki', 0.98::DOUBLE), ('logcli', 'json_lines', 0.5::DOUBLE), ('logcli', 'loki', 0.6::DOUBLE + 0.38::DOUBLE * 0.5::DOUBLE), ('elastic', 'json_lines', 0.4::DOUBLE), ('elastic', 'elastic', 0.6::DOUBLE + 0.38::DOUBLE), ('ecs', 'json_lines', 1.0::DOUBLE), ('ecs', 'elastic', 0.6::DOUBLE + 0.35::DOUBLE)) v(a, b, x) ON a = s AND b = r")
+_STAMP_SQL = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in times.SHAPES.items()) + " END"
+_TOK_L = _TOK.replace("pattern", "line")
+add("line_shapes", lambda s, d: bootstrap.line_shapes(V.doc_lines(s, d)), V.sql(V.DOC_LINES, f"t AS (SELECT line, {_TOK_L} AS tok FROM doc_lines WHERE trim(line) <> '')", select=rf"SELECT {_STAMP_SQL} AS timestamp, regexp_matches(line, '(?i)\b(?:{bootstrap.WORD})\b') AS has_severity, len(list_filter(tok[1:5], lambda x: regexp_matches(x, '{bootstrap.SOURCE_TOKEN}'))) > 0 AS has_source, CASE WHEN len(tok) <= 6 THEN 'short' WHEN len(tok) <= 15 THEN 'medium' ELSE 'long' END AS width, count(*) AS n FROM t GROUP BY ALL"))
+_ORDERED = "(doc_id * 100000 + line_no)"
+add("diverse_sample", lambda s, d: bootstrap.diverse_sample(V.doc_lines(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("line_no"), "line")), V.sql(V.DOC_LINES, select=rf"SELECT min({_ORDERED}) AS line_no, arg_min(line, {_ORDERED}) AS line FROM doc_lines WHERE trim(line) <> '' GROUP BY regexp_replace(line, '\d+', '#', 'g') ORDER BY line_no LIMIT 40"))
+
+# ---- redaction and templates
+_OCT = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def _tokens(s, d):
+    redactor = redaction.Redactor("salt", ("email",), "sha256")
+    out = redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redactor)
+    return out.select("doc_id", F.inline("redactions")).groupBy("doc_id", "entity", "token").agg(F.count("*").alias("n"))
+
+
+add("redact_tokens", _tokens, r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.-]*[A-Za-z]\b')) AS v FROM documents) SELECT doc_id, 'email' AS entity, '[EMAIL:' || substr(sha256('salt:email:' || v), 1, 8) || ']' AS token, count(*) AS n FROM m GROUP BY ALL""")
+add("redact_documents", lambda s, d: redaction.tallies(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redaction.Redactor("salt"))))
+add("vault", lambda s, d: redaction.reveal(redaction.vault(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redaction.Redactor("salt"))), everything=True))
+add("drain_templates", lambda s, d: drain.cluster(V.doc_lines(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), F.col("line").alias("message"))).groupBy("template_id", "pattern").agg(F.count("*").alias("n")))
+add("drain_coverage", lambda s, d: drain.cluster(V.log_events(s, d)).agg(F.count("*").alias("events"), F.count("template_id").alias("covered")), "SELECT count(*) AS events, count(*) AS covered FROM events")

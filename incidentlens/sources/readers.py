@@ -72,6 +72,11 @@ def severity_of_number(n):
     return F.when(n.between(1, 24), F.element_at(F.array(*[F.lit(x) for x in ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")]), (F.floor((n - 1) / 4) + 1).cast("int")))
 
 
+def _with(entries, name: str, value):
+    """A map with one entry set."""
+    return F.map_concat(F.map_filter(entries, lambda k, _: k != name), F.map_from_arrays(F.array(F.lit(name)), F.array(value)))
+
+
 def otlp(df: DataFrame) -> DataFrame:
     """Export requests, one a line: resource, scope and record levels flattened, both spellings of every name."""
     from incidentlens.functions.severity import mapped
@@ -91,7 +96,7 @@ def otlp(df: DataFrame) -> DataFrame:
     trace, span = F.nullif(_text(v, "$.traceId", "$.trace_id"), F.lit("")), F.nullif(_text(v, "$.spanId", "$.span_id"), F.lit(""))
     merged = F.map_concat(F.map_filter(resource, lambda k, _: ~F.array_contains(F.map_keys(own), k) & ~k.isin(*OTLP_SERVICE)), own)
     for name, value in (("trace_id", trace), ("span_id", span)):
-        merged = F.when(value.isNull(), merged).otherwise(F.map_concat(F.map_filter(merged, lambda k, _, name=name: k != name), F.map_from_arrays(F.array(F.lit(name)), F.array(value))))
+        merged = F.when(value.isNull(), merged).otherwise(_with(merged, name, value))
     body = any_value(F.coalesce(F.try_variant_get(v, "$.body", "variant"), F.parse_json(F.lit("{}"))))
     service = F.coalesce(*[resource[F.lit(k)] for k in OTLP_SERVICE])
     good = R.record(recs, ts=times.from_epoch(when), source=service, level=level, raw=F.to_json(v), message=F.coalesce(body, F.lit("")), fields=F.to_json(merged), fmt="otlp")

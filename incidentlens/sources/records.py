@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incidentlens.functions import severity as S
@@ -21,15 +21,13 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     A file is split over tasks; its line numbers are the running counts of its splits, so no file has
     to fit into a task.
     """
-    from pyspark.sql import Window
-
     rows = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
     )
-    return number_lines(rows, Window)
+    return number_lines(rows)
 
 
-def number_lines(rows: DataFrame, Window) -> DataFrame:
+def number_lines(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("source_file", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = per.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
