@@ -294,3 +294,28 @@ add("redact_documents", lambda s, d: redaction.tallies(redaction.redact_columns(
 add("vault", lambda s, d: redaction.reveal(redaction.vault(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redaction.Redactor("salt"))), everything=True))
 add("drain_templates", lambda s, d: drain.cluster(V.doc_lines(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), F.col("line").alias("message"))).groupBy("template_id", "pattern").agg(F.count("*").alias("n")))
 add("drain_coverage", lambda s, d: drain.cluster(V.log_events(s, d)).agg(F.count("*").alias("events"), F.count("template_id").alias("covered")), "SELECT count(*) AS events, count(*) AS covered FROM events")
+
+
+def _health(s, d):
+    from incidentlens.operators import health
+
+    e, t = V.log_events(s, d), V.templates(s, d)
+    found = health.report(e, t, {"lines_read": 10, "parse_errors": 0})
+    return found.frame(s).select("check_name", "status")
+
+
+add("health_report", _health, "SELECT * FROM (VALUES ('events', 'ok'), ('timestamps', 'ok'), ('timezones', 'ok'), ('parse_errors', 'ok'), ('template_coverage', 'ok'), ('template_count', 'ok'), ('dominant_template', 'ok'), ('split_templates', 'ok'), ('unmasked_ids', 'ok'), ('over_merged', 'ok'), ('hidden_failures', 'ok'), ('multiline', 'ok')) v(check_name, status)")
+
+
+def _triggers(s, d):
+    from incidentlens.operators import health
+
+    metrics = s.createDataFrame([("a", "m1", "0.7", 0.7), ("a", "m2", "0.0", 0.0), ("b", "m2", "1.5", 1.5), ("b", "m3", "skipped", None), ("c", "m9", "1", 1.0)], "stage string, metric string, value string, value_num double")
+    rules = s.createDataFrame([("m1", "gt", 0.6, None, None), ("m2", "lt", 2.0, 0.0, None), ("m3", "in", None, None, ["skipped", "none"])], "metric string, op string, bound double, floor double, values array<string>")
+    return health.triggers(metrics, rules)
+
+
+add("metric_triggers", _triggers, "SELECT * FROM (VALUES ('a', 'm1'), ('b', 'm2'), ('b', 'm3')) v(stage, metric)")
+add("redact_nested", lambda s, d: redaction.redact_columns(s.createDataFrame([(1, '{"a": ["x@y.org", {"b": "10.1.2.3"}], "n": 4}')], "id long, fields string"), redaction.Redactor("k", digest="sha256")).select("id", F.get_json_object("fields", "$.a[0]").alias("first"), F.get_json_object("fields", "$.a[1].b").alias("second")), "SELECT 1::BIGINT AS id, '[EMAIL:' || substr(sha256('k:email:x@y.org'), 1, 8) || ']' AS first, '[IPV4:' || substr(sha256('k:ipv4:10.1.2.3'), 1, 8) || ']' AS second")
+add("drain_parameters", lambda s, d: drain.parameters(drain.cluster(V.log_events(s, d)).join(V.log_events(s, d).select("id", "message"), "id")).groupBy("pattern").agg(F.count_if(F.size("params") > 0).alias("with_params"), F.count("*").alias("n")))
+add("severity_mix", lambda s, d: A.severity_mix(V.templates(s, d)).select("template_id", F.array_join(F.array_sort(F.map_keys("severity_mix")), ",").alias("levels"), F.aggregate(F.map_values("severity_mix"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n")), V.sql(*V.BASE, select="SELECT template_id, CASE template_id // 1000 WHEN 2 THEN 'ERROR' WHEN 3 THEN 'WARN' WHEN 5 THEN 'DEBUG' ELSE 'INFO' END AS levels, occurrence_count AS n FROM templates"))
