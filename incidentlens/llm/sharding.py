@@ -1,6 +1,6 @@
 """Sharding over fixed virtual slots, by DataFrame operations only.
 
-Rows hash into a fixed number of virtual slots; bytes are summed per slot; a
+Texts hash into a fixed number of virtual slots; bytes are summed per slot; a
 versioned map sends slots to shards and is *edited* when it is rebalanced, so
 that only the rows of moved slots change place.  The map has ``slots`` rows
 whatever the data, which is why it may be collected and broadcast.
@@ -8,10 +8,12 @@ whatever the data, which is why it may be collected and broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS = 4096
+from incidentlens.llm.common import materialize
+
+SLOTS, PARTS, HEAVY = 4096, 8, 1 / 16
 
 
 def initial_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -78,9 +80,20 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return [r["shard"] for r in rows.where(F.col("version") == version).orderBy("vslot").collect()]
 
 
-def virtual_slot(id_col: Column, text: Column, slots: int = SLOTS) -> Column:
-    """The text takes part, so that rows without an id (or with one id) still spread."""
-    return F.pmod(F.xxhash64(id_col, F.coalesce(text, F.lit(""))), F.lit(slots)).cast("int")
+def virtual_slots(rows: DataFrame, slots: int = SLOTS, heavy: float = HEAVY) -> DataFrame:
+    """``rows`` (doc_id, size, group) with ``vslot`` and ``part``.
+
+    Equal texts share a slot, so that a map's shard holds all copies.  A group of copies with more than ``heavy``
+    of all bytes or rows would unbalance any map: its rows spread by id.  At most 2 / heavy groups can be so large.
+    ``part`` cuts a slot's rows by id into PARTS, so that numbering them is never one task's work.
+    """
+    groups = rows.groupBy("group").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    total = F.broadcast(rows.agg(F.sum("size").alias("all_b"), F.count("*").alias("all_n")))  # one row
+    large = groups.join(total, (F.col("b") > F.col("all_b") * heavy) | (F.col("n") > F.col("all_n") * heavy)).select("group", F.lit(True).alias("large"))
+    by_id = F.xxhash64("group", "doc_id")
+    key = F.when(F.col("large"), by_id).otherwise(F.xxhash64("group"))
+    marked = rows.join(F.broadcast(large), "group", "left")  # 2 / heavy rows
+    return marked.select(*rows.columns, F.pmod(key, F.lit(slots)).cast("int").alias("vslot"), F.pmod(F.shiftrightunsigned(by_id, 24), F.lit(PARTS)).cast("int").alias("part"))
 
 
 def shard_rows(
@@ -88,29 +101,31 @@ def shard_rows(
 ) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
-    ``size`` is the text's UTF-8 bytes plus 1 (a null text has 1).  ``owner`` is an existing map to edit;
-    without one, version 0 is.  Law ``bytes``: shards differ by less than the smallest slot that could
-    still move.  ``slot`` numbers the rows of a shard from 0 without gaps, in order of virtual slot, id
-    and checksum; rows equal in all of these are interchangeable.  An empty table gives no rows.
+    ``size`` is the text's UTF-8 bytes plus 1 (a null text has 1 and the checksum of an empty one).  ``owner`` is an
+    existing map to edit; without one, version 0 is.  Law ``bytes``: shards differ by less than the smallest slot
+    that could still move.  ``slot`` numbers the rows of a shard from 0 without gaps, in order of virtual slot, part,
+    id and checksum; rows equal in all of these are interchangeable.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(F.col(id_col), F.col(text_col), slots).alias("vslot"),
+        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group"),
     )
-    per = {r["vslot"]: (r["bytes"], r["n"]) for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    weight = [per.get(s, (0, 0))[0] for s in range(slots)]
-    placed = rebalanced(owner or initial_map(shards, slots), weight, shards)
+    narrow, _ = materialize(rows, "sizes")  # the texts are read once
+    placed, _ = materialize(virtual_slots(narrow, slots), "slots")
+    counts = {(r["vslot"], r["part"]): (r["b"], r["n"]) for r in placed.groupBy("vslot", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}  # slots * PARTS
+    weight = [0] * slots
+    for (slot, _part), (size, _n) in counts.items():
+        weight[slot] += size
+    owners = rebalanced(owner or initial_map(shards, slots), weight, shards)
     start, offsets = [0] * shards, []
-    for s, shard in enumerate(placed):
-        offsets.append((s, shard, start[shard]))
-        start[shard] += per.get(s, (0, 0))[1]
-    where = F.broadcast(spark.createDataFrame(offsets, "vslot int, shard int, offset long"))  # ``slots`` rows
-    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("rank", F.row_number().over(within)).join(where, "vslot")
+    for slot, part in sorted(counts):
+        offsets.append((slot, part, owners[slot], start[owners[slot]]))
+        start[owners[slot]] += counts[slot, part][1]
+    where = F.broadcast(spark.createDataFrame(offsets, "vslot int, part int, shard int, offset long"))  # slots * PARTS rows
+    within = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")
+    numbered = placed.withColumn("rank", F.row_number().over(within)).join(where, ["vslot", "part"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("offset") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
     )
-

@@ -22,10 +22,23 @@ def test_rows_against_brute_force(spark):
         assert sorted(slots) == list(range(len(slots)))
     light = [s for s in load if load[s] < 25_000]  # one document is larger than a fair share
     assert max(load[s] for s in light) - min(load[s] for s in light) <= 500
+    texts = {}
+    for i, t, _, _ in rows:
+        texts.setdefault(t or "", set()).add(i)
+    shard = defaultdict(set)
+    for r in got:
+        shard[r["text_crc32"]].add(r["shard"])
+    assert all(len(s) == 1 for s in shard.values())  # copies stay together
     again = sharding.shard_rows(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_a_huge_group_of_copies_is_split(spark):
+    rows = [(i, "copy", "s", 1) for i in range(900)] + [(i, f"own text {i}", "s", 1) for i in range(900, 2000)]
+    load = Counter(r["shard"] for r in sharding.shard_rows(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert max(load.values()) - min(load.values()) < 120
+
+
 def test_map_is_edited_and_versioned(spark, tmp_path):
     weight = [(i * i) % 97 + 1 for i in range(512)]
     first = sharding.initial_map(8, 512)
