@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="scratch-"))
+        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
     return _fallback[0]
 
 

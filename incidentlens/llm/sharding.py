@@ -88,8 +88,8 @@ def virtual_slots(rows: DataFrame, slots: int = SLOTS, heavy: float = HEAVY) ->
     ``part`` cuts a slot's rows by id into PARTS, so that numbering them is never one task's work.
     """
     groups = rows.groupBy("group").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    total = F.broadcast(rows.agg(F.sum("size").alias("all_b"), F.count("*").alias("all_n")))  # one row
-    large = groups.join(total, (F.col("b") > F.col("all_b") * heavy) | (F.col("n") > F.col("all_n") * heavy)).select("group", F.lit(True).alias("large"))
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    large = groups.where((F.col("b") > total * heavy) | (F.col("n") > count * heavy)).select("group", F.lit(True).alias("large"))
     by_id = F.xxhash64("group", "doc_id")
     key = F.when(F.col("large"), by_id).otherwise(F.xxhash64("group"))
     marked = rows.join(F.broadcast(large), "group", "left")  # 2 / heavy rows
