@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from incidentlens.llm import kernels as K
 from incidentlens.llm.langid import held_out
 
-MAX_ROWS, MAX_FEATURES = 6_000, 200_000
+MAX_ROWS, MAX_FEATURES = 3_000, 200_000
 PRIOR, DRIFT, LEAST_LOG_ODDS, ALPHA = 8.0, 0.4, 1.5, 0.05
 #: Lengths of the beginnings that a word backs off through; the last level is the word itself.
 STEMS = (4, 5, 6)
@@ -160,14 +160,18 @@ class Counts:
         near[1:-1] = word
         context = K.mix(near[:-2] * np.uint64(3) + word * np.uint64(5) + near[2:] * np.uint64(7))
         _, order = np.unique(context, return_index=True)  # a context counts for the first text that has it
+        order = order.astype(np.int32)
+        del near, context, word
         self.keys, self.parent, self.which, self.text = [], [], [], doc[order]
         inverse = None
-        for hashes in levels:
+        for level in range(LEVELS):
             above = inverse
-            keys, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            keys, index, inverse = np.unique(levels[level], return_index=True, return_inverse=True)
+            levels[level] = None  # as large as the sample: let each go in turn
+            inverse = inverse.astype(np.int32)
             self.keys.append(keys)
             self.parent.append(np.zeros(len(keys), dtype=np.int64) if above is None else above[index])
-            self.which.append(inverse[order].astype(np.int32))
+            self.which.append(inverse[order])
 
     def log_odds(self, toxic: np.ndarray, use: np.ndarray) -> list[dict[int, float]]:
         """Posterior log-odds by level of the features that say something, learned from the texts in ``use``.
