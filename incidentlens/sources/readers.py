@@ -53,11 +53,31 @@ def _text(v, *paths: str):
     return F.coalesce(*[F.try_variant_get(v, p, "string") for p in paths])
 
 
-def any_value(v):
-    """A tagged wire value as text: scalars as they are, lists and key-value lists as their JSON."""
+def _scalar(v):
+    """A wire value's scalar as text."""
     tags = [f"$.{n}Value" for n in ("string", "int", "bool", "double", "bytes")] + [f"$.{n}_value" for n in ("string", "int", "bool", "double", "bytes")]
-    nested = [F.to_json(F.try_variant_get(v, f"$.{n}", "variant")) for n in ("arrayValue", "array_value", "kvlistValue", "kvlist_value")]
-    return F.coalesce(_text(v, *tags), *nested, F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    return _text(v, *tags)
+
+
+def _json_of(v, depth: int):
+    """A tagged wire value as plain JSON: tags go, whole numbers that came as text are numbers again; ``depth`` levels of nesting."""
+    text = _text(v, "$.stringValue", "$.string_value", "$.bytesValue", "$.bytes_value")
+    quoted = F.substring(F.to_json(F.struct(text.alias("v"))), 6, 1 << 30)
+    bare = _text(v, "$.intValue", "$.int_value", "$.boolValue", "$.bool_value", "$.doubleValue", "$.double_value")
+    out = F.when(text.isNotNull(), F.regexp_replace(quoted, r"\}$", "")).when(bare.isNotNull(), bare)
+    if depth:
+        items = F.coalesce(F.try_variant_get(v, "$.arrayValue.values", "array<variant>"), F.try_variant_get(v, "$.array_value.values", "array<variant>"))
+        pairs = F.coalesce(F.try_variant_get(v, "$.kvlistValue.values", "array<variant>"), F.try_variant_get(v, "$.kvlist_value.values", "array<variant>"))
+        name = lambda p: F.regexp_replace(F.substring(F.to_json(F.struct(F.try_variant_get(p, "$.key", "string").alias("v"))), 6, 1 << 30), r"\}$", "")
+        inner = lambda p: F.coalesce(_json_of(p, depth - 1), F.lit("null"))
+        out = out.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(items, inner), ","), F.lit("]")))
+        out = out.when(pairs.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(name(p), F.lit(":"), inner(F.try_variant_get(p, "$.value", "variant")))), ","), F.lit("}")))
+    return out
+
+
+def any_value(v):
+    """A tagged wire value as text: scalars as they are, lists and key-value lists (to two levels) as plain JSON."""
+    return F.coalesce(_scalar(v), _json_of(v, 2), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def _attributes(v, path: str):
@@ -152,13 +172,27 @@ def elastic(df: DataFrame) -> DataFrame:
     v = F.col("src")
     first = lambda paths: F.coalesce(*[F.nullif(F.trim(_at(v, p)), F.lit("")) for p in paths])
     message = first(ELASTIC_MESSAGE)
+    used = (*ELASTIC_TS, *ELASTIC_SEVERITY, *ELASTIC_MESSAGE, *ELASTIC_SOURCE)
+    rest = F.filter(flat(v), lambda e: ~e["key"].isin(*used))
     good = R.record(
         docs, ts=R.parse_ts(first(ELASTIC_TS)), source=first(ELASTIC_SOURCE), level=first(ELASTIC_SEVERITY), raw=F.to_json(v), message=F.coalesce(message, F.to_json(v)),
-        fields=F.to_json(v), fmt="elastic",
+        fields=R.object_of(rest), fmt="elastic",
     )
     return good.unionByName(_errors(bad, "elastic"))
 
 
+def flat(v, prefix=None, depth: int = 4):
+    """An object's leaves as (dotted key, JSON text); ``depth`` levels are opened, deeper objects stay JSON."""
+    entries = F.map_entries(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))))
+
+    def leaf(e):
+        key = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
+        own = F.array(F.struct(key.alias("key"), F.to_json(e["value"]).alias("value")))
+        return F.when(F.schema_of_variant(e["value"]).startswith("OBJECT"), flat(e["value"], key, depth - 1)).otherwise(own) if depth > 1 else own
+
+    return F.flatten(F.transform(entries, leaf))
+
+
 def adopt_shape(sample: list[str], share: float = 0.9, year: int | None = None) -> str | None:
     """The first shape that reads in at least ``share`` of the sampled lines."""
     import re

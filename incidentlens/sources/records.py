@@ -72,12 +72,17 @@ def as_map(line: Column) -> Column:
     return F.when(F.trim(line).startswith("{"), F.transform_values(F.try_variant_get(F.try_parse_json(line), "$", "map<string,variant>"), lambda _, v: F.to_json(v)))
 
 
-def to_fields(rest: Column) -> Column:
-    """A map of JSON texts back as one JSON object with its keys in order."""
-    entries = F.array_sort(F.map_entries(rest))
-    pieces = F.transform(entries, lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["key"].alias("k")))) - 6), F.lit(":"), F.coalesce(e["value"], F.lit("null"))))
+def object_of(entries: Column) -> Column:
+    """Entries (key, JSON text) as one JSON object with its keys in order."""
+    quoted = lambda k: F.regexp_replace(F.substring(F.to_json(F.struct(k.alias("k"))), 6, 1 << 30), r"\}$", "")
+    pieces = F.transform(F.array_sort(entries), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null"))))
     return F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}"))
 
 
+def to_fields(rest: Column) -> Column:
+    """A map of JSON texts as one JSON object."""
+    return object_of(F.map_entries(rest))
+
+
 def parse_ts(text: Column, year: int | None = None) -> Column:
     return times.parse(text, year)

@@ -176,7 +176,10 @@ def test_otlp_edges(spark):
         {"time_unix_nano": "0", "body": {"stringValue": "x"}}]}]}]}
     rows = readers.otlp(lines(spark, "{cut off", json.dumps(doc))).orderBy("line_no", "severity").collect()
     assert [(r["status"], r["source"], r["severity"]) for r in rows] == [("error", None, "INFO"), ("ok", "s", "ERROR"), ("error", "s", "INFO")]
-    assert json.loads(rows[1]["fields"]) == {"zone": "own"} and "boolValue" in rows[1]["message"]
+    assert json.loads(rows[1]["fields"]) == {"zone": "own"} and json.loads(rows[1]["message"]) == {"a": True}
+    nested = {"kvlistValue": {"values": [{"key": 'q"', "value": {"arrayValue": {"values": [{"intValue": "3"}, {"stringValue": "x"}, {}]}}}]}}
+    body = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "1756476000000000000", "body": nested}]}]}]}
+    assert json.loads(readers.otlp(lines(spark, json.dumps(body))).first()["message"]) == {'q"': [3, "x", None]}
 
 
 def test_loki_and_elastic_edges(spark):
@@ -185,6 +188,8 @@ def test_loki_and_elastic_edges(spark):
     assert parsed(got) == [(1, "a", "WARN", "one", "ok"), (1, "a", "WARN", "two", "ok"), (2, "j", "INFO", "z", "ok"), (3, None, "INFO", '{"data": {"resultType": "matrix", "result": []}}', "error")]
     assert json.loads(got.where("message = 'one'").first()["fields"]) == {"x": "1", "y": "2"}
     found = {"hits": {"hits": [{"_source": {"@timestamp": "2026-01-01T00:00:00Z", "message": "m", "log.level": "error", "host": {"name": "h"}}}]}}
+    deep = {"@timestamp": "2026-01-01T00:00:00Z", "message": "m", "a": {"b": {"c": 1, "d": [2]}}, "host": {"name": "h", "os": "x"}}
+    assert json.loads(readers.elastic(lines(spark, json.dumps(deep))).first()["fields"]) == {"a.b.c": 1, "a.b.d": [2], "host.os": "x"}
     got = readers.elastic(lines(spark, json.dumps(found), '{"timestamp": "2026-01-01T00:00:00Z", "log": {"level": "fatal"}, "msg": "n"}', "nope"))
     assert parsed(got) == [(1, "h", "ERROR", "m", "ok"), (2, None, "FATAL", "n", "ok"), (3, None, "INFO", "nope", "error")]
 
