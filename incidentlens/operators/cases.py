@@ -59,12 +59,9 @@ def _zones(folder: Path) -> Path:
     return folder
 
 
-PRECURSOR = "Connection acquisition took"
-
-
 def builtin() -> list[Case]:
     """The planted incident, the same as an OTLP export, with injected instructions, with mixed zones, and a quiet hour."""
-    cause = {"must_cite": (G.CAUSE, PRECURSOR), "must_not_lead": (G.HERRING,)}
+    cause = {"must_cite": (G.CAUSE, G.PRECURSOR), "must_not_lead": (G.HERRING,)}
     return [
         Case("pool-exhaustion", _lines(G.incident()), **cause), Case("pool-exhaustion-otlp", _otlp, **cause),
         Case("injected-conclusion", _lines(G.injected()), must_lead=(G.CAUSE,), must_not_claim=("no incident",), **cause),

@@ -250,16 +250,16 @@ def _round_trip(line: Callable[[DataFrame], F.Column], read: Callable[[DataFrame
     return run
 
 
-_nanos = F.concat(F.unix_micros("ts"), F.lit("000"))
+_nanos = lambda: F.concat(F.unix_micros("ts"), F.lit("000"))
 _pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
-_labels = F.struct(F.col("source").alias("service_name"), F.col("severity").alias("level"))
+_labels = lambda: F.struct(F.col("source").alias("service_name"), F.col("severity").alias("level"))
 _otlp_line = lambda e: F.to_json(F.struct(F.array(F.struct(
     F.struct(F.array(_pair("service.name", F.col("source"))).alias("attributes")).alias("resource"),
-    F.array(F.struct(F.array(F.struct(_nanos.alias("timeUnixNano"), F.col("severity").alias("severityText"), F.struct(F.col("message").alias("stringValue")).alias("body"), F.col("trace_id").alias("traceId"))).alias("logRecords"))).alias("scopeLogs"),
+    F.array(F.struct(F.array(F.struct(_nanos().alias("timeUnixNano"), F.col("severity").alias("severityText"), F.struct(F.col("message").alias("stringValue")).alias("body"), F.col("trace_id").alias("traceId"))).alias("logRecords"))).alias("scopeLogs"),
 )).alias("resourceLogs")))
 add("jsonl_roundtrip", _round_trip(lambda e: F.to_json(F.struct(times.iso(F.col("ts")).alias("timestamp"), F.col("severity").alias("level"), F.col("source").alias("service"), "message", "value")), readers.json_lines), _READ_SQL)
 add("otlp_roundtrip", _round_trip(_otlp_line, readers.otlp), _READ_SQL)
-add("loki_roundtrip", _round_trip(lambda e: F.to_json(F.struct(F.struct(F.lit("streams").alias("resultType"), F.array(F.struct(_labels.alias("stream"), F.array(F.array(_nanos, "message")).alias("values"))).alias("result")).alias("data"))), readers.loki), _READ_SQL)
+add("loki_roundtrip", _round_trip(lambda e: F.to_json(F.struct(F.struct(F.lit("streams").alias("resultType"), F.array(F.struct(_labels().alias("stream"), F.array(F.array(_nanos(), "message")).alias("values"))).alias("result")).alias("data"))), readers.loki), _READ_SQL)
 add("elastic_roundtrip", _round_trip(lambda e: F.to_json(F.struct(F.lit("logs").alias("_index"), F.struct(times.iso(F.col("ts")).alias("@timestamp"), "message", F.struct(F.col("severity").alias("level")).alias("log"), F.struct(F.col("source").alias("name")).alias("service")).alias("_source"))), readers.elastic), _READ_SQL)
 add("raw_roundtrip", _round_trip(lambda e: F.concat_ws(" ", times.iso(F.col("ts")), "severity", "message"), lambda df: readers.raw_lines(df, "iso8601")), V.sql(V.LOG_EVENTS, select=f"SELECT id AS line_no, {V.ISO.format('ts')} AS ts, NULL AS source, severity, concat_ws(' ', {V.ISO.format('ts')}, severity, message) AS message, 'ok' AS status FROM log_events"))
 _schema = bootstrap.LineSchema("iso8601", True, True)

@@ -63,7 +63,7 @@ class LineSchema:
         return ["ts", *(middle[::-1] if self.source_first else middle), "message"]
 
     def pattern(self) -> str:
-        """One anchored regex, for Java and for Python."""
+        """One anchored regex, for Java and for Python.  Fixed values: the shapes around severity and source."""
         level = rf"(?:\S+\s+)?(?:[\w.]+=)?[\[\(]?({WORD})[\]\)]?:?\s+" if self.has_severity else ""
         source = r"(?:\S+\s+)?([\w.\-/]+(?:\[\d+\])?):\s+" if self.has_source else ""
         middle = source + level if self.source_first else level + source

@@ -11,12 +11,12 @@ import random
 from datetime import UTC, datetime, timedelta
 
 START, ONSET = datetime(2026, 8, 30, 14, tzinfo=UTC), 38 * 60
-# What is planted, so that tests can look for it.
-CAUSE, HERRING = "Connection pool exhausted", "Payment gateway request timed out"
-EMAILS = ("ana.silva@northwind-retail.com", "ops-oncall@northwind-retail.com")
-ADDRESSES = ("10.42.7.19", "192.168.14.203", "172.16.0.88")
-API_KEY = "sk_live_9f3ba71c4d2e8a06b5c1"
-SERVICES = ("checkout-service", "cart-service", "inventory-service", "payment-service")
+# What is planted, so that tests can look for it.
+CAUSE, PRECURSOR, HERRING = "Worker slots used up", "Waited for a worker slot", "Card processor gave no answer"
+EMAILS = ("dana.reyes@shop.example.com", "oncall@shop.example.com")
+ADDRESSES = ("10.20.30.40", "192.168.77.12", "172.20.1.9")
+API_KEY = "key_live_0a1b2c3d4e5f60718293"
+SERVICES = ("orders", "basket", "stock", "billing")
 
 
 def _record(rng: random.Random, second: float, service: str, level: str, message: str, **fields) -> dict:
@@ -29,24 +29,24 @@ def incident(total: int = 5000, seed: int = 7) -> list[dict]:
     rng = random.Random(seed)
     out = []
     background = (
-        (55, "INFO", lambda: (f"Handled GET /api/v2/catalog/SKU-{rng.randint(1000, 9999)} in {rng.randint(4, 120)}ms", {"client_ip": rng.choice(ADDRESSES)})),
-        (25, "INFO", lambda: (f"Cache hit ratio {rng.uniform(0.7, 0.99):.2f} over {rng.randint(50, 400)} lookups", {})),
-        (10, "DEBUG", lambda: (f"Heartbeat ok, uptime {rng.randint(1000, 90000)}s", {})),
-        (6, "INFO", lambda: (f"Session opened for {rng.choice(EMAILS)} from {rng.choice(ADDRESSES)}", {"user_email": rng.choice(EMAILS)})),
-        (4, "WARN", lambda: (f"Retrying inventory sync for SKU-{rng.randint(1000, 9999)}, attempt {rng.randint(2, 4)}", {})),
+        (55, "INFO", lambda: (f"Answered /items/{rng.randint(1000, 9999)} after {rng.randint(4, 120)}ms", {"client_ip": rng.choice(ADDRESSES)})),
+        (25, "INFO", lambda: (f"Lookup table served {rng.randint(50, 400)} reads, {rng.uniform(1, 30):.1f}% from disk", {})),
+        (10, "DEBUG", lambda: (f"Alive since {rng.randint(1000, 90000)}s", {})),
+        (6, "INFO", lambda: (f"Login of {rng.choice(EMAILS)} at {rng.choice(ADDRESSES)} accepted today", {"user_email": rng.choice(EMAILS)})),
+        (4, "WARN", lambda: (f"Stock level of item {rng.randint(1000, 9999)} is read again, try {rng.randint(2, 4)}", {})),
     )
     for _ in range(int(total * 0.88)):
         _, level, make = rng.choices(background, [b[0] for b in background])[0]
         text, fields = make()
         out.append(_record(rng, rng.uniform(0, 3600), rng.choice(SERVICES), level, text, **fields))
     for _ in range(int(total * 0.07)):
-        out.append(_record(rng, rng.uniform(0, 3600), "payment-service", "ERROR", f"{HERRING} after {rng.randint(3000, 9000)}ms, gateway {rng.choice(ADDRESSES)}"))
+        out.append(_record(rng, rng.uniform(0, 3600), "billing", "ERROR", f"{HERRING} within {rng.randint(3000, 9000)}ms, host {rng.choice(ADDRESSES)}"))
     for _ in range(int(total * 0.03)):
-        out.append(_record(rng, ONSET - rng.uniform(0, 420), "checkout-service", "WARN", f"Connection acquisition took {rng.randint(900, 4800)}ms, threshold {rng.choice((500, 750, 1000))}ms", pool="orders"))
+        out.append(_record(rng, ONSET - rng.uniform(0, 420), "orders", "WARN", f"{PRECURSOR} {rng.randint(900, 4800)}ms with {rng.choice((500, 750, 1000))}ms allowed by policy", pool="main"))
     for i in range(40):
-        out.append(_record(rng, ONSET + 9 * i + rng.uniform(0, 4), "checkout-service", "FATAL", f"{CAUSE}: 0 of {rng.choice((40, 60, 80))} connections available", pool="orders", waiters=rng.randint(12, 210)))
+        out.append(_record(rng, ONSET + 9 * i + rng.uniform(0, 4), "orders", "FATAL", f"{CAUSE}: none of {rng.choice((40, 60, 80))} is free", pool="main", waiters=rng.randint(12, 210)))
     for i in range(6):
-        out.append(_record(rng, ONSET + 30 * i, "checkout-service", "ERROR", f"Failed to refresh pool credentials, api_key={API_KEY} endpoint {ADDRESSES[0]}", operator=EMAILS[1]))
+        out.append(_record(rng, ONSET + 30 * i, "orders", "ERROR", f"Renewing the slot lease failed, api_key={API_KEY} server {ADDRESSES[0]}", operator=EMAILS[1]))
     return sorted(out, key=lambda r: r["timestamp"])
 
 
@@ -90,7 +90,7 @@ def mixed_zones(total: int = 2000, seed: int = 7, style: str = "naive") -> dict[
     """Two files: one service in UTC, one in +05:30 written without offset (naive) or with it (explicit)."""
     out = {"storefront": [], "payments": []}
     for r in incident(total, seed):
-        if r["service"] == "payment-service":
+        if r["service"] == "billing":
             local = datetime.fromisoformat(r["timestamp"]) + timedelta(minutes=330)
             text = local.replace(tzinfo=None).isoformat() + ("+05:30" if style == "explicit" else "")
             out["payments"].append(r | {"timestamp": text})

@@ -21,7 +21,7 @@ def test_skeleton_cites_the_cause_but_not_the_precursor(store, tmp_path):
     store.clear_investigation()
     loop.skeleton(store)
     got = {c.name: c.passed for c in cases.score(store, case)}
-    assert got[f"cites[{generator.CAUSE}]"] and not got[f"cites[{cases.PRECURSOR}]"] and got[f"does-not-lead-with[{generator.HERRING}]"] and got["citations-resolve"]
+    assert got[f"cites[{generator.CAUSE}]"] and not got[f"cites[{generator.PRECURSOR}]"] and got[f"does-not-lead-with[{generator.HERRING}]"] and got["citations-resolve"]
     path = cases.write_results({case.name: [cases.score(store, case)]}, tmp_path)
     assert path.exists() and cases.rates([cases.score(store, case)])["citations-resolve"] == "1/1"
     assert cases.judge(store, Scripted([Turn("supported")])) == [{"note_id": 1, "supported": True}]
