@@ -154,7 +154,9 @@ class Mix:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["source_no", "block", "shard"])
 
         runs = self.facts.where("slots > 0").select("source_no", "blocks", "slots", F.explode(F.expr(f"sequence(0L, slots - 1, {RUN}L)")).alias("at"))
-        return runs.repartition("source_no", "at").mapInArrow(run, "source_no int, block long, shard int")
+        # A run is a small row that grows to RUN slots: its partitions are counted here, not coalesced by bytes.
+        parts = max(1, min(10_000, -(-sum(map(sum, self.draws.values())) // (16 * RUN))))
+        return runs.repartition(parts, "source_no", "at").mapInArrow(run, "source_no int, block long, shard int")
 
     def covered(self) -> DataFrame:
         """Every row with the blocks that it lies in and its words there: source_no, start, block, words."""
@@ -166,7 +168,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """Every input row: doc_id, tie, source, size, source_size, target, taken."""
         times = self.slots().groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        taken = self.covered().join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("times") * F.col("words")).alias("taken"))
+        # Spark would take the slots, which come from a few rows, for few: the hint keeps them from a broadcast.
+        taken = self.covered().join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("times") * F.col("words")).alias("taken"))
         taken = taken.select(F.col("source_no").alias("n"), F.col("start").alias("at"), "taken")
         joined = self.placed.join(taken, (F.col("source_no") == F.col("n")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
         return joined.select("doc_id", "tie", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
