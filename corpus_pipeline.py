@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from incidentlens.llm import decontaminate, minhash, mixing, sharding, toxicity
-from incidentlens.llm.common import maybe_broadcast, scratch_root, table
+from incidentlens.llm.common import materialize, maybe_broadcast, scratch_root, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +19,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at similarity 0.8 the one with the smallest id stays.
 
-    Rows without an id name no group and stay.  Rows that repeat an id are one document, of which one row stays.
+    Rows that repeat an id are one document, of which one row stays.  Rows without an id and with equal shingle sets
+    are one document too: one of them stays, or none if a named document has that set.  Without an id and words, a row stays.
     """
-    found = minhash.near_duplicates(docs, percent=80)
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    found = minhash.near_duplicates(docs, percent=80, with_node=True)
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("node")).alias("node")
+    ids = found.groupBy("doc_id", unnamed).agg(F.min("kept").alias("kept"), F.count("*").alias("n"), F.max("component_id").alias("component_id"))
+    marks, _ = materialize(
+        ids.where("if(doc_id is null, component_id is not null, not kept or n > 1)").select("doc_id", "node", "kept"), "marks"
+    )
+    named = marks.where("doc_id is not null")
+    single = docs.where("doc_id is not null").join(maybe_broadcast(named.select("doc_id"), 16), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(maybe_broadcast(named.where("kept").select("doc_id"), 16), "doc_id", "left_semi").select(*docs.columns)
+    nameless = minhash.keyed(docs.where("doc_id is null"))
+    carried = marks.where("doc_id is null").select(F.col("node").alias("_node"))
+    fresh = nameless.where("_node is not null").join(maybe_broadcast(carried, 64), "_node", "left_anti")
+    blank = nameless.where("_node is null").select(*docs.columns)
+    return single.union(_one_each(repeated, "doc_id", docs.columns)).union(_one_each(fresh, "_node", docs.columns)).union(blank)
+
+
+def _one_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The row with the smallest hash for each key; every task reduces its own rows first, so a frequent key stays small."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

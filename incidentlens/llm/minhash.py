@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from incidentlens.llm import kernels as K
 from incidentlens.llm.common import drop, materialize, maybe_broadcast
@@ -242,9 +243,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80,
-    miss: float = 1e-6, seed: int = 20240607,
+    miss: float = 1e-6, seed: int = 20240607, with_node: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept; with ``with_node`` also node, the key of its shingle set.
 
     Null, empty or blank text: no shingles, its own component, kept.  Fewer words than ``shingle``: the
     whole sequence is one shingle.  Equal ids are one document of the components; repeated rows each
@@ -291,5 +292,20 @@ def near_duplicates(
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"), *["node"] * with_node,
     )
+
+
+def keyed(docs: DataFrame, text_col: str = "text", *, shingle: int = 5) -> DataFrame:
+    """``docs`` with a last column _node: the key of the row's shingle set, null if its text has no words."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [K.lowered(x) for x in batch.column(at).to_pylist()]
+            words, first = K.word_hashes(texts)
+            sets = [K.shingles(words[first[i] : first[i + 1]], shingle) for i in range(len(texts))]
+            node = pa.array([K.set_key(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_node", BinaryType())]))

@@ -87,3 +87,17 @@ def test_empty(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_nameless_rows_are_one_document(spark):
+    text = lambda tag, n=40: " ".join(f"{tag}{i}" for i in range(n))
+    row = lambda i, t: (i, t, "en", "s", 7)
+    repeated = [row(1, text("a"))] * 30 + [row(2, text("b")), row(2, text("c")), row(3, None), row(3, None)]
+    nameless = [row(None, text("d"))] * 5 + [row(None, text("a")), row(None, text("e")), row(None, None), row(None, " ")]
+    others = [row(4, text("f")), row(5, text("f")), row(5, text("f")), row(6, text("g"))]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(repeated + nameless + others, DOCS), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = [tuple(r) for r in out.collect()]
+    assert Counter(r[0] for r in got) == {1: 1, 2: 1, 3: 1, 4: 1, 6: 1, None: 4}
+    assert row(1, text("a")) in got and next(r for r in got if r[0] == 2)[1] in (text("b"), text("c"))
+    assert Counter(r[1] for r in got if r[0] is None) == {text("d"): 1, text("e"): 1, None: 1, " ": 1}
