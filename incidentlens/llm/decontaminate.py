@@ -2,7 +2,7 @@
 
 For every benchmark item, each run of as many words in a document is a window.
 Windows and items are compared as weighted sets of word shingles; a shingle
-weighs the logarithm of its rarity among the items.
+weighs the logarithm of its rarity among all items, in however many passes they are compared.
 
 A window that shares no shingle with any item has similarity 0, so fingerprints
 are built around shared shingles only; this loses nothing.  A fingerprint has
@@ -16,7 +16,6 @@ standard deviation of 4.  What the index finds is confirmed exactly.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +36,21 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The benchmark of one pass: fingerprints, block index and exact sets."""
+    """The benchmark of one pass: fingerprints, block index and exact sets.
 
-    def __init__(self, rows: list[tuple[int, str | None]], k: int):
+    ``corpus`` has the statistics of a benchmark of several passes; without it, ``rows`` are the whole benchmark.
+    """
+
+    def __init__(self, rows: list[tuple[int, str | None]], k: int, corpus: tuple[int, np.ndarray, np.ndarray] | None = None):
         words, first = K.word_hashes([K.lowered(t) for _, t in rows])
         kept = [(i, words[first[n] : first[n + 1]]) for n, (i, _) in enumerate(rows) if first[n + 1] > first[n]]
         self.k, self.ids = k, [i for i, _ in kept]
         self.length = np.array([len(w) for _, w in kept], dtype=np.int64)
         self.sets = [K.shingles(w, k) for _, w in kept]
-        df = Counter(int(h) for s in self.sets for h in s)
-        self.weight = {h: math.log(1 + len(kept) / n) for h, n in df.items()}
-        self.other = math.log(1 + len(kept)) if kept else 0.0
-        self.known = np.array(sorted(self.weight), dtype=np.uint64)
-        self.known_weight = np.array([self.weight[int(h)] for h in self.known])
+        self.known, df = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *self.sets]), return_counts=True)
+        total, self.common, df = corpus or (len(kept), self.known[df > 1], df[df > 1])
+        self.common_weight = np.log(1 + total / df)
+        self.other = math.log(1 + total)  # of a shingle that one item has, or none
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         prints = np.array([np.packbits((_bits(s) * self.weights(s)[:, None]).sum(axis=0) > 0) for s in self.sets], dtype=np.uint8).reshape(-1, BLOCKS)
@@ -59,10 +60,10 @@ class Items:
         self.by_length = {int(n): np.flatnonzero(self.length == n) for n in np.unique(self.length)}
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.common):
             return np.full(len(hashes), self.other)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.known_weight[at], self.other)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.common_weight[at], self.other)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of the shingles that some item has."""
@@ -126,6 +127,36 @@ class Items:
                     found[int(item)] = (value, int(lo + s), min(n, n_words))
 
 
+def _statistics(rows: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of all items: how many have words, the shingles that two or more have, in order, and how many have each.
+
+    A shingle of one item weighs what an unknown one does, so these are all the weights that any pass needs.
+    """
+
+    def run(batches):
+        for batch in batches:
+            words, first = K.word_hashes([K.lowered(x) for x in batch.column(1).to_pylist()])
+            sets = [K.shingles(words[first[i] : first[i + 1]], k).view(np.int64) for i in range(batch.num_rows) if first[i + 1] > first[i]]
+            if sets:  # a null for each item counts the items
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(sets), pa.int64()), pa.array(np.concatenate(sets))])], names=["shingle"])
+
+    found = rows.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("shingle is null or n > 1").toArrow()
+    shingle, n = found.column(0).combine_chunks(), found.column(1).to_numpy()
+    null = shingle.is_null().to_numpy(zero_copy_only=False)
+    common, df = shingle.drop_null().to_numpy().view(np.uint64), n[~null]
+    order = np.argsort(common)
+    return int(n[null].sum()), common[order], df[order]
+
+
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, k: int):
+    """The items of each pass in turn, all with the weights of the whole benchmark."""
+    parts = _slices(benchmark, item_col, text_col)
+    whole = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    corpus = _statistics(whole, k) if len(parts) > 1 else None
+    for part in parts:
+        yield Items([tuple(r) for r in part.collect()], k, corpus)  # PASS_BYTES at most
+
+
 def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
@@ -145,8 +176,7 @@ def contaminated(
     reported as null.  Either table empty: no rows.
     """
     out = None
-    for part in _slices(benchmark, item_col, item_text_col):
-        items = Items([tuple(r) for r in part.collect()], shingle)  # PASS_BYTES at most
+    for items in _passes(benchmark, item_col, item_text_col, shingle):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -175,8 +205,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     The flag is computed beside the row, so neither a join nor a shuffle is needed; columns stay.
     """
     kept = docs
-    for part in _slices(benchmark, options.pop("item_col", "item_id"), options.pop("item_text_col", "text")):
-        items = Items([tuple(r) for r in part.collect()], options.get("shingle", 5))
+    for items in _passes(benchmark, options.pop("item_col", "item_id"), options.pop("item_text_col", "text"), options.get("shingle", 5)):
         shared, threshold = docs.sparkSession.sparkContext.broadcast(items), options.get("threshold", 0.8)
         at = docs.columns.index(text_col)
 

@@ -68,3 +68,22 @@ def test_empty(spark, empty):
     frames = [spark.createDataFrame([(1, "a b c d e f", "", 0.0)], DOCS), spark.createDataFrame([(1, "a b c d e f", "")], ITEMS)]
     frames[empty] = frames[empty].limit(0)
     assert D.contaminated(*frames).collect() == []
+
+
+def test_passes_share_the_weights_of_the_whole_benchmark(spark, monkeypatch):
+    rng = random.Random(8)
+    template = [f"t{j}" for j in range(25)]
+    items = [(i, " ".join(template + [f"w{i}x{j}" for j in range(10)])) for i in range(30)] + [(40, " ".join(template))] * 3
+    docs = []
+    for d in range(120):
+        words = rng.choice(items[:30])[1].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = f"changed{d}"
+        docs.append((d, " ".join(words[rng.choice([0, 0, 2]) :])))
+    frames = spark.createDataFrame([(d, t, "", 0.0) for d, t in docs], DOCS), spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)
+    found = lambda: sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in D.contaminated(*frames).collect())
+    once, kept = found(), sorted(r[0] for r in D.clean_documents(*frames).collect())
+    monkeypatch.setattr(D, "PASS_BYTES", 1000)
+    assert len(D._slices(frames[1], "item_id", "text")) > 5
+    assert found() == once and 0 < len(kept) < len(docs)
+    assert sorted(r[0] for r in D.clean_documents(*frames).collect()) == kept
