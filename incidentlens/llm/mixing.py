@@ -4,7 +4,8 @@
    and cut into blocks of ``block`` words; running positions come from two
    levels of sums, so a source with a third of all rows is spread over buckets.
 2. Targets are filled up by weight under a cap of ``max_repeats`` times a
-   source's size; a target in words becomes a whole number of block slots.
+   source's size; a target in words becomes whole passes over the source and,
+   of the next pass, the number of block slots whose real lengths come nearest.
 3. Output shards draw their source counts.  The draw is the multinomial one
    conditioned on the sources' slot totals (that is, without replacement), so
    every shard is random and yet each total meets its target to a block.
@@ -69,6 +70,29 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return at.astype(np.int64)
 
 
+def place(value: int, n: int, key: int) -> int:
+    """Where ``permute`` has ``value``: its rounds and walk backwards."""
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    mask, at = (1 << half) - 1, value
+    while True:
+        left, right = at >> half, at & mask
+        for r in range(3, -1, -1):
+            f = (left + ((key >> 7 * r) & 0xFFFFFFFF)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            left, right = right ^ ((f >> 33) & mask), left
+        at = (left << half) | right
+        if at < n:
+            return at
+
+
+def slot_count(goal: float, source, size: int, block: int, seed: int) -> int:
+    """The slots whose words come nearest to ``goal``: a source's last block is shorter, and counts as long as it is."""
+    n, passes = -(-size // block), int(goal // size)
+    short, rest = n * block - size, goal - passes * size
+    last = place(n - 1, n, _key(source, passes, seed))
+    near = {min(n, max(0, int(x // block) + up)) for x in (rest, rest + short) for up in (0, 1)}
+    return passes * n + min(near, key=lambda r: (abs(r * block - short * (r > last) - rest), r))
+
+
 def shard_draws(slots: dict, shards: int = SHARDS, seed: int = SEED) -> dict[object, list[int]]:
     """By source: its slots in each output shard; they sum to ``slots``, and shards are equal to one slot."""
     names, rng = list(slots), np.random.default_rng(seed)
@@ -114,7 +138,7 @@ class Mix:
         sizes = {r["source"]: r["words"] for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()}
         self.sizes, self.goal = sizes, targets(sizes, weights(list(sizes)), max_repeats)
         self.blocks = {s: -(-n // block) for s, n in sizes.items()}
-        slots = {s: min(max_repeats * self.blocks[s], round(self.goal[s] / block)) for s in sorted(sizes, key=lambda s: (s is None, s or "")) if sizes[s]}
+        slots = {s: min(max_repeats * self.blocks[s], slot_count(self.goal[s], s, sizes[s], block, seed)) for s in sorted(sizes, key=lambda s: (s is None, s or "")) if sizes[s]}
         self.draws = shard_draws(slots, shards, seed)
         self.numbers = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
         facts = self.spark.createDataFrame(

@@ -92,3 +92,19 @@ def test_empty(spark):
     blank = spark.createDataFrame([(1, None, None, 0, ""), (2, " ", "s", 0, "")], SCHEMA)
     assert [(r["taken"], r["target"]) for r in mixing.plan(blank).taken().collect()] == [(0, 0.0)] * 2
     assert mixing.mixed_documents(blank).count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
+def test_place_is_the_permutation_backwards(n):
+    order = mixing.permute(np.arange(n), n, 12345678901).tolist()
+    assert [mixing.place(x, n, 12345678901) for x in order] == list(range(n))
+
+
+def test_small_sources_meet_their_targets(spark):
+    sizes = {"ten": 10, "forty": 40, "more": 130, "odd": 1001, "big": 30_000}
+    rows = [(i, "w " * n, s, n, "t") for i, (s, n) in enumerate(sizes.items())]
+    weights = {"ten": 1, "forty": 1, "more": 1, "odd": 0.07, "big": 1}
+    planned = mixing.plan(spark.createDataFrame(rows, SCHEMA), weights=lambda names: {s: weights[s] for s in names})
+    taken = {r["source"]: r["taken"] for r in planned.taken().collect()}
+    assert (taken["ten"], taken["forty"], taken["more"]) == (30, 120, 390)
+    assert all(abs(taken[s] - planned.goal[s]) <= 32 for s in sizes)
