@@ -218,15 +218,16 @@ def held_out(id_col: str) -> Column:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, slice_chars: int) -> DataFrame:
     """At most ``per_language`` slices a language, of training rows chosen by a hash of id and text."""
-    own = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in own.groupBy(lang_col).agg(F.count("*")).collect()}  # a row per language; no text is read
+    own = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
     key = F.xxhash64(F.col(id_col), F.col(text_col))
+    # A row per language: its distinct rows with text, for the hash passes all equal rows or none.
+    counts = {r[0]: r[1] for r in own.groupBy(lang_col).agg(F.approx_count_distinct(key)).collect()}
     # A hash leaves about four times what a language needs, however many rows it has; then the smallest hashes are taken.
     share = F.lit(1.0)
     for lang, n in counts.items():
         if n > 4 * per_language:
             share = F.when(F.col(lang_col) == lang, F.lit(4 * per_language / n)).otherwise(share)
-    rows = own.where((F.length(text_col) > 0) & (F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)))
+    rows = own.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30))
     place = F.pmod(key, F.greatest(F.lit(1), F.length(text_col) - slice_chars)) + 1
     cut = rows.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).substr(place.cast("int"), F.lit(slice_chars)).alias("piece"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("key", "piece"))  # limited per task before the shuffle

@@ -266,10 +266,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Ids with several labels take the highest; null labels and ids teach nothing.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    # The hash leaves about four times what is needed, however many labels there are; then the smallest hashes are taken.
-    share = min(1.0, 4 * max_rows / max(1, marked.count()))
-    marked = marked.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30)) < int(share * (1 << 30)))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
+    # The hash leaves about four times the ids needed, however many there are; then the smallest hashes are taken.
+    share = min(1.0, 4 * max_rows / max(1, marked.count()))
+    marked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = text.join(F.broadcast(marked), "_id").select("_text", "_toxic")  # max_rows rows

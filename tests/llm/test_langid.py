@@ -70,3 +70,11 @@ def test_little_to_learn_from(spark):
     assert L.identify(spark.createDataFrame([], schema)).collect() == []
     assert L.identify(spark.createDataFrame([(1, "abc", None)], schema)).first()["lang_pred"] == "und"
     assert {r["lang_pred"] for r in L.identify(spark.createDataFrame([(1, "abc", "en"), (2, "def", "en"), (3, "x", None)], schema)).collect()} <= {"en", "und"}
+
+
+def test_rows_without_text_do_not_thin_a_language(spark):
+    real = [(i, f"real text {i}", "xx") for i in range(400)] + [(i, f"other {i}", "yy") for i in range(10)]
+    hollow = [(1000 + i, "" if i % 2 else None, "xx") for i in range(30_000)] + [(9_001, "the same text", "xx")] * 30_000
+    docs = spark.createDataFrame(real + hollow, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in L.sample(docs, "doc_id", "text", "lang", 20, 100).collect()]
+    assert sum(r[1] == "xx" for r in got) == 20 and len({r[0] for r in got if r[1] == "xx" and r[0].startswith("real")}) > 10

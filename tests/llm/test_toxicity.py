@@ -74,3 +74,12 @@ def test_empty_and_single_class(spark):
     assert 0 <= T.score(docs, T.learn(docs, labels)).first()["score"] <= 1
     assert T.score(docs.limit(0), T.learn(docs.limit(0), labels)).collect() == []
     assert T.fit([("a b c", 0), ("d e", 0)]).score(["a"])[0][0] < 0.5
+
+
+def test_repeated_labels_do_not_thin_the_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(600) for _ in range(100 if i % 2 else 1)] + [(7, 1)] * 40_000, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda examples: seen.append(examples))
+    T.learn(docs, labels, max_rows=100)
+    assert len(seen[0]) == 100
