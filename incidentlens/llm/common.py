@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
-_fallback: list[str] = []
+_local: list[str] = []
+_written: set[str] = set()
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -32,14 +33,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of this process only where none is named (local tests)."""
+    """This application's folder in the shared folder of the cluster, removed when the driver exits.
+
+    Only a session on one machine (tests) may do without a shared folder: its scratch is then local.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="scratch-"))
-        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
-    return _fallback[0]
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="scratch-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        return _local[0]
+    root = f"{named.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _written:
+        _written.add(root)
+        atexit.register(_remove_at_exit, spark, root)
+    return root
+
+
+def _remove_at_exit(spark: SparkSession, root: str) -> None:
+    """What results still read can't go earlier; a session that has ended before the driver leaves its folder."""
+    if spark.sparkContext._jsc is not None:
+        drop(spark, root)
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:

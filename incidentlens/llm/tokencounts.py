@@ -1,6 +1,7 @@
 """Exact length histogram of a corpus under a tokenizer, and suffix sums over it.
 
-Documents are encoded once and counted by encoded length.  The histogram is as
+Documents are encoded once and counted by encoded length; the histogram is
+written and read again, so that its two readers below don't encode twice.  It is as
 long as there are distinct lengths; sums over its tail answer, for every context
 limit, how many documents pass it, and how many tokens a cut at it would keep.
 The tail sums run in two levels (runs of ``SPAN`` lengths, then the runs), so
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from incidentlens.llm.common import materialize
+
 SPAN = 1024
 
 _loaded: dict[tuple[str, str], object] = {}
@@ -52,10 +55,11 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", *, path: str, patte
 
 
 def histogram(docs: DataFrame, text_col: str = "text", *, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """n_tokens, n_docs: every length that occurs.  An empty table gives no rows."""
+    """n_tokens, n_docs: every length that occurs, as a written table.  An empty table gives no rows."""
     if path is None:
         path, pattern = default_vocabulary()
-    return encoded_lengths(docs, text_col, path=path, pattern=pattern).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    counted = encoded_lengths(docs, text_col, path=path, pattern=pattern).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return materialize(counted, "lengths")[0]
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from incidentlens.llm import tokencounts as T
@@ -25,3 +27,13 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "text string")
     assert T.suffix_sums(T.histogram(empty)).collect() == []
+
+
+def test_documents_are_encoded_once_and_a_long_run_is_one_document(spark):
+    texts = ["a b", None, "", "x" * 300_000, "é" * 50_000, " " * 100_000]
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, n_docs int")
+    got = T.suffix_sums(T.histogram(docs))
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    rows = {r["n_tokens"]: r["n_docs"] for r in got.collect()}
+    encode = T.encoder(*T.default_vocabulary()).encode_ordinary
+    assert rows == dict(Counter(len(encode(t or "")) for t in texts))
