@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from incidentlens.llm import kernels as K
 from incidentlens.llm.langid import held_out
 
-MAX_ROWS, MAX_FEATURES = 3_000, 200_000
+MAX_ROWS = 3_000
 PRIOR, DRIFT, LEAST_LOG_ODDS, ALPHA = 8.0, 0.4, 1.5, 0.05
 #: Lengths of the beginnings that a word backs off through; the last level is the word itself.
 STEMS = (4, 5, 6)
@@ -83,12 +83,15 @@ def all_maximal(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, flo
 
 
 class Model:
-    """Sorted feature hashes with their scores per level; the extreme-value and logistic parameters."""
+    """Feature hashes with their scores per level (hashes ascending); the extreme-value and logistic parameters.
 
-    def __init__(self, features: list[dict[int, float]], drift: float = DRIFT):
+    It holds every feature that says something: as many as the bounded sample has, whatever the corpus.
+    """
+
+    def __init__(self, features: list[tuple[np.ndarray, np.ndarray]], drift: float = DRIFT):
         self.drift = drift
-        self.keys = [np.array(sorted(f), dtype=np.uint64) for f in features]
-        self.values = [np.array([f[k] for k in sorted(f)]) for f in features]
+        self.keys = [keys for keys, _ in features]
+        self.values = [values for _, values in features]
         self.seen = []
         for keys in self.keys:
             seen = np.zeros(1 << 20, dtype=bool)
@@ -173,7 +176,7 @@ class Counts:
             self.parent.append(np.zeros(len(keys), dtype=np.int64) if above is None else above[index])
             self.which.append(inverse[order])
 
-    def log_odds(self, toxic: np.ndarray, use: np.ndarray) -> list[dict[int, float]]:
+    def log_odds(self, toxic: np.ndarray, use: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Posterior log-odds by level of the features that say something, learned from the texts in ``use``.
 
         The toxic share of a feature's contexts has a Dirichlet (two outcomes: beta) prior with PRIOR
@@ -188,18 +191,10 @@ class Counts:
             share = (t + PRIOR * share[parent]) / (t + c + PRIOR)
             lift = np.log(share / (1 - share)) - math.log(base / (1 - base))
             kept = (t + c > 0) & ((lift > LEAST_LOG_ODDS) | kept[parent])
-            out.append(dict(zip(keys[kept].tolist(), lift[kept].tolist(), strict=True)))
+            out.append((keys[kept], lift[kept]))
         return out
 
 
-def _limited(features: list[dict[int, float]]) -> list[dict[int, float]]:
-    """The MAX_FEATURES strongest; a documented bound on what is broadcast."""
-    if sum(map(len, features)) <= MAX_FEATURES:
-        return features
-    floor = sorted((abs(v) for f in features for v in f.values()), reverse=True)[MAX_FEATURES]
-    return [{k: v for k, v in f.items() if abs(v) > floor} for f in features]
-
-
 def fit(examples: list[tuple[str, int]]) -> Model:
     """A model from (text, 0 or 1) pairs; equal texts count once.  Deterministic."""
     labels: dict[str, int] = {}
@@ -208,12 +203,12 @@ def fit(examples: list[tuple[str, int]]) -> Model:
     texts = sorted(labels)
     y = np.array([labels[t] for t in texts], dtype=np.int64)
     if not texts:
-        return Model([{} for _ in range(LEVELS)])
+        return Model([(np.zeros(0, dtype=np.uint64), np.zeros(0))] * LEVELS)
     counts = Counts(texts)
     fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) >> 8 & 1 for t in texts], dtype=np.int64)
     rows = []
     for k in (0, 1):  # each half is scored by log-odds of the other
-        model, own = Model(_limited(counts.log_odds(y, fold != k))), np.flatnonzero(fold == k)
+        model, own = Model(counts.log_odds(y, fold != k)), np.flatnonzero(fold == k)
         for lo in range(0, len(own), 512):
             part = own[lo : lo + 512]
             levels, first = tokens([texts[i] for i in part])
@@ -221,7 +216,7 @@ def fit(examples: list[tuple[str, int]]) -> Model:
             for j, i in enumerate(part):
                 scores = values[first[j] : first[j + 1]]
                 rows.append((i, len(scores), model.segments(scores), scores))
-    final = Model(_limited(counts.log_odds(y, np.ones(len(texts), dtype=bool))))
+    final = Model(counts.log_odds(y, np.ones(len(texts), dtype=bool)))
     final.rate, final.size = extreme_value([r for r in rows if y[r[0]] == 0], final.drift)
     x = np.array([final.inputs(r[2], r[1]) for r in rows])
     final.weights = logistic(x, y[[r[0] for r in rows]])

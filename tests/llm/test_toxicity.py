@@ -83,3 +83,12 @@ def test_repeated_labels_do_not_thin_the_ids(spark, monkeypatch):
     monkeypatch.setattr(T, "fit", lambda examples: seen.append(examples))
     T.learn(docs, labels, max_rows=100)
     assert len(seen[0]) == 100
+
+
+def test_every_informative_feature_is_kept(spark):
+    words = [f"t{''.join(chr(97 + int(c)) for c in f'{i:06d}')}" for i in range(210_000)]
+    examples = [(" ".join(words[i : i + 500]), 1) for i in range(0, 210_000, 500)] + [(f"clean calm {'ab' * (i % 7)} {i}", 0) for i in range(2000)]
+    model = T.fit(examples)
+    assert sum(map(len, model.keys)) > 200_000  # ties in their log-odds included
+    levels, _ = T.tokens([" ".join(words)])
+    assert (model.token_scores(levels) > T.DRIFT).all()
