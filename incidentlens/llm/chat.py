@@ -32,6 +32,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 3, 1, 1, 2
 BLOCK = 4096
+SHORT, CACHED_TURNS = 32, 1 << 17
 INF = 1 << 40
 
 
@@ -104,9 +105,12 @@ def settle(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=65536)
 def repair_codes(codes: bytes, enter: int = START, leave: int | None = None) -> tuple[tuple[tuple[int, ...], str, int, int], ...]:
     """For each turn (inserted before, action, role after, state before); a leave of None closes the conversation."""
+    return (_cached_repair if len(codes) <= SHORT else _repair)(codes, enter, leave)
+
+
+def _repair(codes: bytes, enter: int, leave: int | None) -> tuple[tuple[tuple[int, ...], str, int, int], ...]:
     rest = np.full((len(codes) + 1, 4), INF, dtype=np.int64)
     rest[-1] = CLOSE if leave is None else np.where(np.arange(4) == leave, 0, INF)
     for i in range(len(codes) - 1, -1, -1):
@@ -120,8 +124,12 @@ def repair_codes(codes: bytes, enter: int = START, leave: int | None = None) ->
     return tuple(out)
 
 
+#: Short conversations repeat their role sequences; the cache holds at most this many turns in all, some 30 MB.
+_cached_repair = lru_cache(maxsize=CACHED_TURNS // SHORT)(_repair)
+
+
 def safe(text: str | None) -> str:
-    """Text that can't be read as a marker."""
+    """Text that can't be read as a marker: a turn's own ``<|`` is rendered as ``< |``.  The input column keeps the original."""
     return (text or "").replace("<|", "< |")
 
 
@@ -193,6 +201,7 @@ def repair(
 
     Turns go by their number (nulls first), then by role and text.  ``inserted_*`` are the roles of the
     empty turns put in there; the ``rendered`` parts of a conversation, in order, are its whole text.
+    A ``<|`` inside a text is rendered as ``< |``, so that no text can pass for a marker.
     Null or unknown roles may take any role at a low cost; a null text is empty.  Null conversation ids
     form one conversation.  Repeated rows are turns of their own.  An empty table gives no rows.
     """
