@@ -2,9 +2,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from incidentlens.llm import decontaminate as D
+from incidentlens.llm import kernels as K
 
 DOCS, ITEMS = "doc_id long, text string, item_id string, similarity double", "item_id long, text string, doc_id string"
 
@@ -87,3 +89,53 @@ def test_passes_share_the_weights_of_the_whole_benchmark(spark, monkeypatch):
     assert len(D._slices(frames[1], "item_id", "text")) > 5
     assert found() == once and 0 < len(kept) < len(docs)
     assert sorted(r[0] for r in D.clean_documents(*frames).collect()) == kept
+
+
+def test_items_with_repeated_words(spark):
+    items = [(1, "la la la la la la la la song of the day"), (2, "one two three " * 20), (3, "a b c d e f g h i j k l m n o p q r s t")]
+    docs = [(1, "x y z la la la la la la la la song of the day z"), (2, "start " + "one two three " * 30), (3, "one two three four"), (4, items[2][1].upper() + " end"), (5, "la la la la la la")]
+    frames = spark.createDataFrame([(d, t, "", 0.0) for d, t in docs], DOCS), spark.createDataFrame([(i, t, "") for i, t in items], ITEMS)
+    got = sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in D.contaminated(*frames).collect())
+    assert got == brute_force(docs, items) and {g[:2] for g in got} == {(1, 1), (2, 2), (4, 3)}
+
+
+def test_index_lists_every_item_within_the_radius():
+    rng = np.random.default_rng(3)
+    items = D.Items([(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(300)], 5, 0.8)
+    prints = items.prints[rng.integers(0, 300, 400)].copy()
+    bits = np.unpackbits(prints, axis=1)
+    for row in bits:
+        row[rng.choice(D.BITS, rng.integers(0, 60), replace=False)] ^= 1
+    prints = np.packbits(bits, axis=1)
+    distance = np.bitwise_count(prints[:, None, :] ^ items.prints[None, :, :]).sum(axis=2, dtype=np.int64)
+    want = sorted(zip(*np.nonzero(distance <= D.RADIUS), strict=True))
+    window, item, d = items.within_radius(12, prints)
+    assert sorted(zip(window, item, strict=True)) == want and len(want) > 200 and (distance[window, item] == d).all()
+
+
+def test_pieces_of_a_long_document(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (7, 12, 12, 30, 90)]
+    words = []
+    for _ in range(150):
+        passage = rng.choice(texts).split()
+        passage[rng.randrange(len(passage))] = "z"
+        words += passage + ["x"] * rng.randint(0, 3)
+    hashes, _ = K.word_hashes([" ".join(words).encode()])
+    items = D.Items(list(enumerate(texts)), 5, 0.8)
+    whole = items.matches(hashes)
+    monkeypatch.setattr(D, "PIECE_WINDOWS", 64)
+    assert items.matches(hashes) == whole and len(whole) >= 2
+
+
+def test_memory_of_a_very_long_dense_document():
+    import tracemalloc
+
+    text = " ".join(f"i{j}" for j in range(200))
+    hashes = np.tile(K.word_hashes([text.encode()])[0], 3000)  # 600,000 words of one item
+    items = D.Items([(1, text)], 5, 0.8)
+    tracemalloc.start()
+    assert items.matches(hashes)[0][:2] == (1.0, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
