@@ -4,9 +4,11 @@ A payload (the text's UTF-8 bytes, padded with zero bytes to a positive multiple
 of 64) is cut where a rolling gear hash of its last 32 bytes has ten zero bits, so
 equal passages of different payloads give equal chunks.  Spark joins digests, not
 payloads: they decide which payload stores a shared chunk.  The store is a Parquet
-table of chunk samples (8 bit) in the shared folder.  Payloads are rebuilt from it:
+table in the shared folder: of each payload its ordered chunk list (digest, length) and the
+samples (8 bit) of the chunks it stores.  Payloads are rebuilt from it:
 most hold all their chunks and are rebuilt where they are read; only chunks that
-another payload stores travel.
+another payload stores travel.  What is read back is held against the stored chunk list and
+the digest of the text; a chunk that is missing or differs fails the job.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def feature(data: bytes, parts: list[bytes]) -> str:
 
 
 _CHUNK = "array<struct<digest:binary,n:int>>"
-_STORED = "key binary, n_chunks int, own array<struct<at:int,samples:binary>>"
+_STORED = f"key binary, n_bytes long, listed {_CHUNK}, own array<struct<at:int,samples:binary>>"
 _MEDIA = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -111,11 +113,25 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _keyed(docs, id_col, text_col).mapInArrow(run, f"doc_id long, key binary, n_bytes long, chunks {_CHUNK}")
 
 
+def verified(key: bytes, n_bytes: int, listed: list[dict], own: list[dict]) -> list[bytes]:
+    """The payload's chunks in order, each equal to its entry in the stored list; else an error."""
+    held = {c["at"]: c["samples"] for c in own}
+    for i, entry in enumerate(listed):
+        if i not in held:
+            raise ValueError(f"chunk {i} of payload {key.hex()} is missing")
+        if len(held[i]) != entry["n"] or digest(held[i]) != entry["digest"]:
+            raise ValueError(f"chunk {i} of payload {key.hex()} differs from its digest")
+    parts = [held[i] for i in range(len(listed))]
+    if hashlib.sha256(b"".join(parts)[:n_bytes]).digest() != key:
+        raise ValueError(f"payload {key.hex()} differs from its digest")
+    return parts
+
+
 class MediaStore:
     """Chunks of ``docs`` in the shared folder.
 
-    ``recipes``: every row's chunk list; ``store``: per payload the samples it stores; ``borrowed``:
-    (key, at, owner, owner_at) for each chunk that another place stores.
+    ``recipes``: every row's chunk list; ``store``: per payload its chunk list and the samples it stores;
+    ``borrowed``: (key, at, owner, owner_at) for each chunk that another place stores.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -138,35 +154,39 @@ class MediaStore:
 
         def write(batches):
             for batch in batches:
-                own = []
-                count = []
+                own, listed, sizes = [], [], []
                 for text, skip in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    parts, left_out = chunks(payload(text)[0]), set(skip or ())
-                    count.append(len(parts))
+                    data, n = payload(text)
+                    parts, left_out = chunks(data), set(skip or ())
+                    sizes.append(n)
+                    listed.append([{"digest": digest(c), "n": len(c)} for c in parts])
                     own.append([{"at": i, "samples": c} for i, c in enumerate(parts) if i not in left_out])
+                shapes = [pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())])), pa.list_(pa.struct([("at", pa.int32()), ("samples", pa.binary())]))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(count, pa.int32()), pa.array(own, pa.list_(pa.struct([("at", pa.int32()), ("samples", pa.binary())])))],
-                    names=["key", "n_chunks", "own"],
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(listed, shapes[0]), pa.array(own, shapes[1])], names=["key", "n_bytes", "listed", "own"],
                 )
 
         self.store, self.store_path = materialize(writers.select("key", "text", "skip").mapInArrow(write, _STORED), "media")
 
     def media(self) -> DataFrame:
-        """Per payload, read back from the store: key, sizes, digests and features; verified against the recipe's digests."""
-        whole = self.store.where(F.size("own") == F.col("n_chunks")).select("key", "own")
-        partial = self.store.where(F.size("own") < F.col("n_chunks")).select("key", "own")
+        """Per payload, read back from the store and verified: key, sizes, digests and features.
+
+        A missing chunk, one that differs from its digest in the stored list, or a payload that differs from its key is an error.
+        """
+        whole = self.store.where(F.size("own") == F.size("listed")).select("key", "n_bytes", "listed", "own")
+        partial = self.store.where(F.size("own") < F.size("listed")).select("key", "n_bytes", "listed", "own")
         needed = self.borrowed.select(F.col("owner").alias("okey"), F.col("owner_at").alias("oat"), "key", "at")
         lenders = self.borrowed.select(F.col("owner").alias("okey")).distinct()
         lent = self.store.select(F.col("key").alias("okey"), "own").join(maybe_broadcast(lenders, 48), "okey")
         lent = lent.select("okey", F.inline("own")).select("okey", F.col("at").alias("oat"), "samples")
         come = needed.join(lent.dropDuplicates(["okey", "oat"]), ["okey", "oat"]).groupBy("key").agg(F.collect_list(F.struct("at", "samples")).alias("come"))
-        filled = partial.join(come, "key").select("key", F.concat("own", "come").alias("own"))
+        filled = partial.join(come, "key", "left").select("key", "n_bytes", "listed", F.when(F.col("come").isNull(), F.col("own")).otherwise(F.concat("own", "come")).alias("own"))
 
         def rebuild(batches):
             for batch in batches:
                 rows = []
-                for own in batch.column(1).to_pylist():
-                    parts = [c["samples"] for c in sorted(own, key=lambda c: c["at"])]
+                for key, n, listed, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    parts = verified(key, n, listed, own)
                     data, form = b"".join(parts), stored_form(parts)
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(form), hashlib.sha256(form).hexdigest(), feature(data, parts)))
                 types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -194,5 +214,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     store = MediaStore(docs, id_col, text_col)
     media, _ = materialize(store.media().dropDuplicates(["key"]), "readback")
-    rows = store.recipes.select("doc_id", "key", "n_bytes").join(media, "key")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = store.recipes.select("doc_id", "key", "n_bytes").join(media, "key", "left")
+    present = F.when(F.col("payload_sha256").isNull(), F.raise_error(F.lit("a payload is missing from the store"))).otherwise(F.col("payload_sha256"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", present.alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")

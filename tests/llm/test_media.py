@@ -2,6 +2,9 @@ import hashlib
 import random
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from incidentlens.llm import media
 
 SCHEMA = "doc_id long, text string, key string, own string"
@@ -60,3 +63,24 @@ def test_round_trip_and_columns(spark):
 
 def test_empty(spark):
     assert media.media_columns(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_damaged_store_fails(spark):
+    rng = random.Random(9)
+    shared = " ".join(str(rng.randrange(10**6)) for _ in range(2000))
+    store = media.MediaStore(spark.createDataFrame([(1, shared, "", ""), (2, "head " + shared, "", ""), (3, "z" * 500, "", "")], SCHEMA))
+    good, borrowed = store.store, store.borrowed
+    assert len(store.media().collect()) == 3 and borrowed.count()
+    flipped = F.transform("own", lambda c: F.struct(c.at.alias("at"), F.concat(c.samples, F.lit(b"!")).alias("samples")))
+    store.store = good.withColumn("own", flipped)
+    with pytest.raises(Exception, match="differs from its digest"):
+        store.media().collect()
+    store.store = good.withColumn("own", F.slice("own", 1, 1))
+    with pytest.raises(Exception, match="is missing"):
+        store.media().collect()
+    store.store, store.borrowed = good, borrowed.limit(0)
+    with pytest.raises(Exception, match="is missing"):
+        store.media().collect()
+    store.store, store.borrowed = good.withColumn("n_bytes", F.col("n_bytes") - 1), borrowed
+    with pytest.raises(Exception, match="payload .* differs"):
+        store.media().collect()
