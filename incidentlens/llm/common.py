@@ -73,6 +73,11 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
     """Whether ``df`` has at most ``limit`` bytes, by counting its rows."""
     return df.limit(limit // row_bytes + 1).count() * row_bytes <= limit

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from incidentlens.llm import chat, decontaminate, htmltext, langid, media, minhash, mixing, sharding, tokencounts, toxicity
-from incidentlens.llm.common import table
+from incidentlens.llm.common import scratch_root, table
+
+
+def map_path(spark: SparkSession, sf_dir: str, user: str) -> str:
+    """Where the shard map of one data set and user is: later runs over it in this application edit what earlier ones stored."""
+    return f"{scratch_root(spark)}/shard-map-{user}-{zlib.crc32(sf_dir.encode())}"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), map_path(spark, sf_dir, "op7"), shards=8)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,12 @@
 Texts hash into a fixed number of virtual slots; bytes are summed per slot; a
 versioned map sends slots to shards and is *edited* when it is rebalanced, so
 that only the rows of moved slots change place.  The map has ``slots`` rows
-whatever the data, which is why it may be collected and broadcast.
+whatever the data, which is why it may be collected and broadcast.  Its versions
+are stored: a run reads the last one, edits it and appends what it changed.
+
+One rule places rows at every size of table: a text's copies go together in pieces of
+about ``COPIES``.  Up to that many share a slot; of more, the id (and, for equal
+rows, their number) decides the piece.
 """
 
 from __future__ import annotations
@@ -11,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from incidentlens.llm.common import materialize
+from incidentlens.llm.common import exists, materialize, maybe_broadcast
 
-SLOTS, PARTS, HEAVY = 4096, 8, 1 / 16
+SLOTS, PARTS, COPIES = 4096, 8, 64
 
 
 def initial_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -67,42 +72,54 @@ def grown(owner: list[int], weight: list[int], shards: int) -> list[int]:
 
 
 def write_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
-    """Appends a version; earlier ones stay readable."""
+    """Appends a version; earlier ones stay readable.  A map has one writer at a time."""
     rows = spark.createDataFrame([(version, s, o) for s, o in enumerate(owner)], "version int, vslot int, shard int")
     rows.coalesce(1).write.mode("append").parquet(path)
 
 
-def read_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
-    """The owners by slot of one version, the latest by default."""
-    rows = spark.read.parquet(path)
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
+    """(version, owners by slot): the latest version by default."""
+    rows = spark.read.schema("version int, vslot int, shard int").parquet(path)
     if version is None:
         version = rows.agg(F.max("version")).first()[0]
-    return [r["shard"] for r in rows.where(F.col("version") == version).orderBy("vslot").collect()]
+    return version, [r["shard"] for r in rows.where(F.col("version") == version).orderBy("vslot").collect()]  # slots rows
+
+
+def edited_map(spark: SparkSession, path: str, weight: list[int], shards: int) -> list[int]:
+    """The last stored version rebalanced for ``weight``; a change is appended as the next version and read back."""
+    if not exists(spark, path):
+        write_map(spark, path, 0, initial_map(shards, len(weight)))
+    version, owner = read_map(spark, path)
+    if len(owner) != len(weight) or max(owner) >= shards:
+        raise ValueError(f"the map at {path} has {len(owner)} slots and {max(owner) + 1} shards, not {len(weight)} and {shards}")
+    changed = rebalanced(owner, weight, shards)
+    if changed != owner:
+        write_map(spark, path, version + 1, changed)
+    return read_map(spark, path)[1]
 
 
-def virtual_slots(rows: DataFrame, slots: int = SLOTS, heavy: float = HEAVY) -> DataFrame:
-    """``rows`` (doc_id, size, group) with ``vslot`` and ``part``.
+def virtual_slots(rows: DataFrame, slots: int = SLOTS, copies: int = COPIES) -> DataFrame:
+    """``rows`` (doc_id, size, text_crc32, group, times) one by one, with ``vslot`` and ``part``.
 
-    Equal texts share a slot, so that a map's shard holds all copies.  A group of copies with more than ``heavy``
-    of all bytes or rows would unbalance any map: its rows spread by id.  At most 2 / heavy groups can be so large.
+    A text with more than ``copies`` rows is cut into that many fewer pieces, each with a slot of its own.
     ``part`` cuts a slot's rows by id into PARTS, so that numbering them is never one task's work.
     """
-    groups = rows.groupBy("group").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    large = groups.where((F.col("b") > total * heavy) | (F.col("n") > count * heavy)).select("group", F.lit(True).alias("large"))
-    by_id = F.xxhash64("group", "doc_id")
-    key = F.when(F.col("large"), by_id).otherwise(F.xxhash64("group"))
-    marked = rows.join(F.broadcast(large), "group", "left")  # 2 / heavy rows
-    return marked.select(*rows.columns, F.pmod(key, F.lit(slots)).cast("int").alias("vslot"), F.pmod(F.shiftrightunsigned(by_id, 24), F.lit(PARTS)).cast("int").alias("part"))
+    groups = rows.groupBy("group").agg(F.sum("times").alias("n")).where(F.col("n") > copies)
+    pieces = groups.select("group", F.ceil(F.col("n") / copies).alias("pieces"))
+    each = rows.join(maybe_broadcast(pieces, 24), "group", "left").withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
+    by_id = F.xxhash64("doc_id", F.floor(F.col("copy") / copies))
+    piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(by_id, F.col("pieces")))
+    part = F.pmod(F.shiftrightunsigned(F.xxhash64("group", "doc_id"), 24), F.lit(PARTS))
+    return each.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("group", piece.cast("long")), F.lit(slots)).cast("int").alias("vslot"), part.cast("int").alias("part"))
 
 
 def shard_rows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8, slots: int = SLOTS, owner: list[int] | None = None,
+    docs: DataFrame, map_path: str, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8, slots: int = SLOTS,
 ) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
-    ``size`` is the text's UTF-8 bytes plus 1 (a null text has 1 and the checksum of an empty one).  ``owner`` is an
-    existing map to edit; without one, version 0 is.  Law ``bytes``: shards differ by less than the smallest slot
+    ``size`` is the text's UTF-8 bytes plus 1 (a null text has 1 and the checksum of an empty one).  ``map_path`` holds the
+    map's versions; where nothing is, version 0 deals the slots out in turn.  Law ``bytes``: shards differ by less than the smallest slot
     that could still move.  ``slot`` numbers the rows of a shard from 0 without gaps, in order of virtual slot, part,
     id and checksum; rows equal in all of these are interchangeable.  An empty table gives no rows.
     """
@@ -111,13 +128,13 @@ def shard_rows(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group"),
     )
-    narrow, _ = materialize(rows, "sizes")  # the texts are read once
+    narrow, _ = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("times")), "sizes")  # the texts are read once
     placed, _ = materialize(virtual_slots(narrow, slots), "slots")
     counts = {(r["vslot"], r["part"]): (r["b"], r["n"]) for r in placed.groupBy("vslot", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}  # slots * PARTS
     weight = [0] * slots
     for (slot, _part), (size, _n) in counts.items():
         weight[slot] += size
-    owners = rebalanced(owner or initial_map(shards, slots), weight, shards)
+    owners = edited_map(spark, map_path, weight, shards)
     start, offsets = [0] * shards, []
     for slot, part in sorted(counts):
         offsets.append((slot, part, owners[slot], start[owners[slot]]))

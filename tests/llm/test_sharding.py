@@ -1,15 +1,17 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from incidentlens.llm import sharding
 
 SCHEMA = "doc_id long, text string, shard string, size long"
 
 
-def test_rows_against_brute_force(spark):
+def test_rows_against_brute_force(spark, tmp_path):
     rows = [(i, "x" * (i * 37 % 400) + "é" * (i % 3), "s", 1) for i in range(500)]
     rows += [(7, None, "s", 1), (None, "n", "s", 1), (3, "long " * 5000, "s", 1), *rows[:4]]
-    got = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "a")).collect()
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in rows)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     places, load, home = defaultdict(list), Counter(), {}
@@ -29,14 +31,43 @@ def test_rows_against_brute_force(spark):
     for r in got:
         shard[r["text_crc32"]].add(r["shard"])
     assert all(len(s) == 1 for s in shard.values())  # copies stay together
-    again = sharding.shard_rows(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
-    assert sorted(map(str, again)) == sorted(map(str, got))
+    for path in "ab":  # from the stored map, and from none
+        again = sharding.shard_rows(spark.createDataFrame(rows[::-1], SCHEMA), str(tmp_path / path)).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
+    assert sharding.read_map(spark, str(tmp_path / "a"))[0] == 1  # the second run had nothing to change
+
+
+def test_a_huge_group_of_copies_is_split(spark, tmp_path):
+    rows = [(i, "copy", "s", 1) for i in range(900)] + [(i, f"own text {i}", "s", 1) for i in range(900, 2000)] + [(5000, "repeated row", "s", 1)] * 700
+    got, load = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "a")).collect(), Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert len(got) == 2700 and max(load.values()) - min(load.values()) < 40
+    spread = Counter(r["shard"] for r in got if r["doc_id"] == 5000)
+    assert max(spread.values()) < 350 and len({r["vslot"] for r in got if r["doc_id"] < 900}) > 6
+
+
+def test_where_copies_go_does_not_depend_on_the_table(spark, tmp_path):
+    own = [(i, "copy", "s", 1) for i in range(60)]
+    rest = [(i, f"own text {i}", "s", 1) for i in range(100, 3000)]
+    for name, rows in (("small", own), ("large", own + rest)):
+        got = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA), str(tmp_path / name)).where("doc_id < 100").collect()
+        assert len({r["vslot"] for r in got}) == 1 and len(got) == 60
 
 
-def test_a_huge_group_of_copies_is_split(spark):
-    rows = [(i, "copy", "s", 1) for i in range(900)] + [(i, f"own text {i}", "s", 1) for i in range(900, 2000)]
-    load = Counter(r["shard"] for r in sharding.shard_rows(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert max(load.values()) - min(load.values()) < 120
+def test_a_grown_table_edits_the_stored_map(spark, tmp_path):
+    path, rows = str(tmp_path / "map"), [(i, "x" * (i % 50), "s", 1) for i in range(3000)]
+    before = {r["doc_id"]: (r["vslot"], r["shard"]) for r in sharding.shard_rows(spark.createDataFrame(rows, SCHEMA), path).collect()}
+    first = sharding.read_map(spark, path)
+    rows += [(i, f"more {i} " + "y" * (i % 90), "s", 1) for i in range(3000, 4500)]
+    after = sharding.shard_rows(spark.createDataFrame(rows, SCHEMA), path).collect()
+    second = sharding.read_map(spark, path)
+    assert second[0] == first[0] + 1 and sharding.read_map(spark, path, first[0]) == first
+    moved = {slot for slot, (a, b) in enumerate(zip(first[1], second[1], strict=True)) if a != b}
+    assert 0 < len(moved) < sharding.SLOTS / 4
+    assert all((r["shard"] != before[r["doc_id"]][1]) == (r["vslot"] in moved) for r in after if r["doc_id"] < 3000)
+    with pytest.raises(ValueError, match="shards"):
+        sharding.shard_rows(spark.createDataFrame(rows, SCHEMA), path, shards=4)
 
 
 def test_map_is_edited_and_versioned(spark, tmp_path):
@@ -53,8 +84,8 @@ def test_map_is_edited_and_versioned(spark, tmp_path):
     path = str(tmp_path / "map")
     for version, owner in enumerate((first, second, third)):
         sharding.write_map(spark, path, version, owner)
-    assert sharding.read_map(spark, path) == third and sharding.read_map(spark, path, 0) == first
+    assert sharding.read_map(spark, path) == (2, third) and sharding.read_map(spark, path, 0) == (0, first)
 
 
-def test_empty(spark):
-    assert sharding.shard_rows(spark.createDataFrame([], SCHEMA)).collect() == []
+def test_empty(spark, tmp_path):
+    assert sharding.shard_rows(spark.createDataFrame([], SCHEMA), str(tmp_path / "a")).collect() == []
