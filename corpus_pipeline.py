@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens.llm import decontaminate, minhash, mixing, sharding, toxicity
+from incidentlens.llm.queries import map_path
 from incidentlens.llm.common import materialize, maybe_broadcast, scratch_root, table
 
 
@@ -55,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's shard and place in it."""
-    return sharding.shard_rows(docs, shards=8)
+    return sharding.shard_rows(docs, map_path(spark, sf_dir, "pipeline"), shards=8)
 
 
 STAGES = [
