@@ -7,10 +7,13 @@ Steps, each a distributed table in the shared folder:
 2. banding: nodes that share a band key are candidates.  ``bands`` follows from
    the threshold, the rows of a band and the chosen miss probability;
 3. links within a bucket are first tried against the bucket's smallest node (a
-   star), which joins most of a group of copies at a linear number of pairs;
+   star), which joins most of a group of copies at a linear number of pairs; where
+   many nodes of a bucket stay outside its largest component, other nodes of that
+   component are centres of further stars;
 4. pairs of a bucket that this left in *different* components are all compared,
    in blocks of bounded size, so a hot bucket is spread over tasks and no pair
-   goes untried;
+   goes untried; two blocks of the largest component need not meet.  Blocks of
+   many small buckets share a group;
 5. every pair tried is compared batch by batch of its signature: it is pruned
    as soon as the posterior probability that its similarity reaches the
    threshold falls below the miss probability; survivors are confirmed on the
@@ -35,7 +38,7 @@ from incidentlens.llm import kernels as K
 from incidentlens.llm.common import drop, materialize, maybe_broadcast
 from incidentlens.llm.components import components
 
-ROWS, STEP, BLOCK, BLOCK_BYTES = 5, 20, 512, 16 << 20
+ROWS, STEP, BLOCK, BLOCK_BYTES, DEAL_BYTES, STARS = 5, 20, 512, 16 << 20, 8 << 20, 4
 
 
 def bands_for(percent: int, miss: float, rows: int = ROWS) -> int:
@@ -125,19 +128,31 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, bounds: dict[int, int], width: i
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-_GROUP = ["band", "key", "i", "j"]
+_DEALT = "band int, key long, node binary, root binary, sig binary, own int, i int, j int, deal long"
 
 
-def _tried(group: pd.DataFrame, bounds: dict[int, int], width: int):
-    """Unpruned pairs (row, rows) of a pair of blocks whose ends are in different components, each in its first shared band."""
-    band, i, j = (int(group[c].iat[0]) for c in ("band", "i", "j"))
-    sig, root, own = _matrix(group["sig"], width), pd.factorize(group["root"])[0], group["own"].to_numpy()
-    left = np.arange(len(group)) if i == j else np.flatnonzero(own == i)
+def _segments(group: pd.DataFrame):
+    """(rows, band, i, j) of every pair of blocks in a group."""
+    keys = [group[c].to_numpy() for c in ("j", "i", "key", "band")]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), dtype=bool)
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    for rows in np.split(order, np.flatnonzero(new)):
+        at = rows[0]
+        yield rows, int(keys[3][at]), int(keys[1][at]), int(keys[0][at])
+
+
+def _tried(sig: np.ndarray, root: np.ndarray, own: np.ndarray, band: int, i: int, j: int, bounds: dict[int, int]):
+    """Unpruned pairs (row, rows) of two blocks whose ends are in different components, each in its first shared band."""
+    left = np.arange(len(own)) if i == j else np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own != i)
     for at, x in enumerate(left):
         against = right[at + 1 :] if i == j else right
         against = against[root[against] != root[x]]
-        against = against[surviving(np.broadcast_to(sig[x], (len(against), width)), sig[against], bounds)]
+        if not len(against):
+            continue
+        against = against[surviving(np.broadcast_to(sig[x], (len(against), sig.shape[1])), sig[against], bounds)]
         if len(against):
             before = (sig[against, : band * ROWS] == sig[x, : band * ROWS]).reshape(len(against), band, ROWS).all(axis=2).any(axis=1)
             against = against[~before]
@@ -145,50 +160,76 @@ def _tried(group: pd.DataFrame, bounds: dict[int, int], width: int):
                 yield int(x), against
 
 
-def _cross_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, bounds: dict[int, int], width: int, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def _mixed(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(members, sizes, scratch path of the sizes) of the buckets with nodes of two components or more.
+
+    members: band, key, node, root; sizes: per bucket its largest root and rows and bytes of that and of the others.
+    """
+    labelled = buckets.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = labelled.join(nodes.select("node", "n"), "node").groupBy("band", "key", "root").agg(F.count("*").alias("rows"), F.sum(F.col("n") * 8).alias("bytes"))
+    sizes = each.groupBy("band", "key").agg(
+        F.max_by("root", F.struct("rows", "root")).alias("big"), F.max(F.struct("rows", "root", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots"),
+    ).where("roots > 1")
+    sizes, sizes_at = materialize(sizes.select(
+        "band", "key", "big", F.col("top.rows").alias("big_rows"), F.col("top.bytes").alias("big_bytes"),
+        (F.col("rows") - F.col("top.rows")).alias("other_rows"), (F.col("bytes") - F.col("top.bytes")).alias("other_bytes"),
+    ), "mixed")
+    return labelled, sizes, sizes_at
+
+
+def _cross_links(buckets: DataFrame, roots: DataFrame, docs: DataFrame, nodes: DataFrame, bounds: dict[int, int], width: int, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Links between different components of a bucket: a row for each pair of components that a pair of blocks joins.
 
-    members: band, key, node, root, sig, n.  A bucket is dealt into blocks of bounded rows and bytes and each
-    pair of blocks is one group.  The first pass, over signatures, finds the nodes with an unpruned pair;
+    A bucket's largest component and its other nodes are dealt into blocks of bounded rows and bytes, and each
+    pair of blocks but those of the largest component is compared, in groups that hold about DEAL_BYTES.
+    The first pass, over signatures, finds the nodes with an unpruned pair;
     the second brings those nodes' full sets to the group and compares exactly.
     """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
-    sizes = members.groupBy("band", "key").agg(blocks.alias("blocks"))
-    placed = members.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "band", "key", "node", "root", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
+    labelled, sizes, sizes_at = _mixed(buckets, roots, nodes)
+    blocks = lambda part: F.greatest(F.ceil(F.col(f"{part}_rows") / BLOCK), F.ceil(F.col(f"{part}_bytes") / BLOCK_BYTES)).cast("int").alias(f"{part}_blocks")
+    sizes = sizes.select("*", blocks("big"), blocks("other"))
+    copies = lambda unit: F.col(f"big_{unit}") * F.col("other_blocks") + F.col(f"other_{unit}") * (F.col("big_blocks") + F.col("other_blocks"))
+    total = sizes.agg(F.coalesce(F.sum(copies("rows") * (width * 4 + 96) + copies("bytes")), F.lit(0))).first()[0]
+    shape = sizes.select("band", "key", "big", "big_blocks", "other_blocks")
+    placed = labelled.join(maybe_broadcast(shape, 64), ["band", "key"]).withColumn("in_big", F.col("root") == F.col("big"))
+    own = F.when(F.col("in_big"), F.pmod(F.hash("node"), F.col("big_blocks"))).otherwise(F.col("big_blocks") + F.pmod(F.hash("node"), F.col("other_blocks")))
+    others = F.sequence(F.when(F.col("in_big"), F.col("big_blocks")).otherwise(F.lit(0)), F.col("big_blocks") + F.col("other_blocks") - 1)
+    dealt = placed.withColumn("own", own).withColumn("other", F.explode(others)).select("band", "key", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    deal = F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(1 + total // DEAL_BYTES))
+    dealt = dealt.join(nodes.select("node", "sig"), "node").select("band", "key", "node", "root", "sig", "own", "i", "j", deal.alias("deal"))
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
-        rows: set[int] = set()
-        for x, against in _tried(group, bounds, width):
-            rows.update((x, *against.tolist()))
-        return group.iloc[sorted(rows)]
+        sig, root, own, kept = _matrix(group["sig"], width), pd.factorize(group["root"])[0], group["own"].to_numpy(), []
+        for rows, band, i, j in _segments(group):
+            for x, against in _tried(sig[rows], root[rows], own[rows], band, i, j, bounds):
+                kept += [rows[x], *rows[against]]
+        return group.iloc[np.unique(np.array(kept, dtype=np.int64))]
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, dtype="<u8") for x in group["items"]]
-        root, node, joined, found = pd.factorize(group["root"])[0], group["node"].to_numpy(), {}, []
-
-        def top(x: int) -> int:
-            while joined.get(x, x) != x:
-                x = joined[x]
-            return x
-
-        for x, against in _tried(group, bounds, width):
-            for y in against:
-                a, b = top(int(root[x])), top(int(root[y]))
-                if a != b and _linked(sets[x], sets[y], percent):
-                    joined[max(a, b)] = min(a, b)
-                    found.append((node[x], node[y]))
+        sig, root, own = _matrix(group["sig"], width), pd.factorize(group["root"])[0], group["own"].to_numpy()
+        sets, node, found = group["items"].to_numpy(), group["node"].to_numpy(), []
+        for rows, band, i, j in _segments(group):
+            joined: dict[int, int] = {}
+
+            def top(x: int, joined=joined) -> int:
+                while joined.get(x, x) != x:
+                    x = joined[x]
+                return x
+
+            for x, against in _tried(sig[rows], root[rows], own[rows], band, i, j, bounds):
+                for y in against:
+                    a, b = top(int(root[rows[x]])), top(int(root[rows[y]]))
+                    if a != b and _linked(*(np.frombuffer(sets[rows[z]], dtype="<u8") for z in (x, y)), percent):
+                        joined[max(a, b)] = min(a, b)
+                        found.append((node[rows[x]], node[rows[y]]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    shape = "band int, key long, node binary, root binary, sig binary, own int, i int, j int"
-    involved, involved_at = materialize(dealt.groupBy(*_GROUP).applyInPandas(find, shape), "involved")
+    involved, involved_at = materialize(dealt.groupBy("deal").applyInPandas(find, _DEALT), "involved")
     held, held_at = _sets(involved.select("node").distinct(), docs, nodes, id_col, text_col, k)
-    full = involved.join(held, "node").groupBy(*_GROUP).applyInPandas(confirm, "a binary, b binary")
+    full = involved.join(held, "node").groupBy("deal").applyInPandas(confirm, "a binary, b binary")
     links, _ = materialize(full, "cross")
-    drop(docs.sparkSession, involved_at)
-    drop(docs.sparkSession, held_at)
+    for path in (sizes_at, involved_at, held_at):
+        drop(docs.sparkSession, path)
     return links
 
 
@@ -268,15 +309,28 @@ def near_duplicates(
     shared = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets, buckets_at = materialize(banded.join(shared, ["band", "key"]), "buckets")
 
-    stars = buckets.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars, stars_at = materialize(_pruned(stars, nodes, bounds, width), "stars")
-    star_links = _confirmed(stars, docs, nodes, id_col, text_col, shingle, percent)
-    roots, roots_at = components(star_links)
-
-    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band", "key")
-    members = labelled.join(mixed, ["band", "key"]).select("band", "key", "node", "root").join(nodes.select("node", "sig", "n"), "node")
-    cross_links = _cross_links(members, docs, nodes, bounds, width, id_col, text_col, shingle, percent)
+    def star(pairs: DataFrame) -> DataFrame:
+        tried, tried_at = materialize(_pruned(pairs, nodes, bounds, width), "stars")
+        links = _confirmed(tried, docs, nodes, id_col, text_col, shingle, percent)
+        drop(spark, tried_at)
+        return links
+
+    roots, roots_at = components(star(buckets.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
+    for turn in range(STARS):
+        labelled, sizes, sizes_at = _mixed(buckets, roots, nodes)
+        wide = sizes.where(F.col("other_rows") > BLOCK).select("band", "key", "big")
+        if wide.isEmpty():
+            drop(spark, sizes_at)
+            break
+        within = labelled.join(maybe_broadcast(wide, 48), ["band", "key"])
+        centres = within.where("root = big").groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
+        more = within.where("root != big").join(centres, ["band", "key"]).select("a", F.col("node").alias("b")).distinct()
+        further = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(star(more).select("a", "b"))
+        before_at = roots_at
+        roots, roots_at = components(further)
+        drop(spark, before_at)
+        drop(spark, sizes_at)
+    cross_links = _cross_links(buckets, roots, docs, nodes, bounds, width, id_col, text_col, shingle, percent)
 
     # Rows that repeat an id with another text join their nodes too: they are one document.
     same_id = rows.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
@@ -287,7 +341,7 @@ def near_duplicates(
     rooted = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "component_id")
-    for path in (buckets_at, stars_at, roots_at):
+    for path in (buckets_at, roots_at):
         drop(spark, path)  # ``final`` is written; only ``rows`` and ``nodes`` are still read
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select(

@@ -98,3 +98,47 @@ def test_bounds():
     bounds = least_matches(120, 85, 1e-6)
     assert all(0 < m < n for n, m in bounds.items() if n > 20)
     assert list(bounds.values()) == sorted(bounds.values())
+
+
+def test_further_stars_and_blocks_by_component(spark, monkeypatch, capsys):
+    from incidentlens.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(11)
+    base, rows = [f"t{i}" for i in range(100)], []
+    for i in range(600):  # chains of copies of copies: many lie too far from any one centre
+        words = list(base) if i < 5 else rows[rng.randrange(len(rows))][1].split()
+        words[rng.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    dealt, real = [], minhash.materialize
+
+    def spy(df, label):
+        out = real(df, label)
+        if label == "mixed":
+            dealt.append(out[0].agg({"big_rows": "max", "other_rows": "max"}).first())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", spy)
+    assert run(spark, rows) == brute_force(rows, 85)
+    assert len(dealt) > 2  # further stars were tried before blocks
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_against_all_pairs(spark, percent, capsys):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in docs.collect()}
+    holders = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    shared = {}
+    for ids in holders.values():
+        for n, a in enumerate(ids):
+            for b in ids[:n]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+    component = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, percent=percent).collect()}
+    found = sum(component[a] == component[b] for a, b in links)
+    with capsys.disabled():
+        print(f"\nlinks at {percent}: {len(links)}, found {found}, recall {found / len(links):.4f}")
+    assert len(links) > 50 and found == len(links)
