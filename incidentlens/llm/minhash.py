@@ -160,13 +160,13 @@ def _tried(sig: np.ndarray, root: np.ndarray, own: np.ndarray, band: int, i: int
                 yield int(x), against
 
 
-def _mixed(buckets: DataFrame, roots: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+def _mixed(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """(members, sizes, scratch path of the sizes) of the buckets with nodes of two components or more.
 
-    members: band, key, node, root; sizes: per bucket its largest root and rows and bytes of that and of the others.
+    members: band, key, node, n, root; sizes: per bucket its largest root and rows and bytes of that and of the others.
     """
-    labelled = buckets.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    each = labelled.join(nodes.select("node", "n"), "node").groupBy("band", "key", "root").agg(F.count("*").alias("rows"), F.sum(F.col("n") * 8).alias("bytes"))
+    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("rows"), F.sum(F.col("n") * 8).alias("bytes"))
     sizes = each.groupBy("band", "key").agg(
         F.max_by("root", F.struct("rows", "root")).alias("big"), F.max(F.struct("rows", "root", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots"),
     ).where("roots > 1")
@@ -185,7 +185,7 @@ def _cross_links(buckets: DataFrame, roots: DataFrame, docs: DataFrame, nodes: D
     The first pass, over signatures, finds the nodes with an unpruned pair;
     the second brings those nodes' full sets to the group and compares exactly.
     """
-    labelled, sizes, sizes_at = _mixed(buckets, roots, nodes)
+    labelled, sizes, sizes_at = _mixed(buckets, roots)
     blocks = lambda part: F.greatest(F.ceil(F.col(f"{part}_rows") / BLOCK), F.ceil(F.col(f"{part}_bytes") / BLOCK_BYTES)).cast("int").alias(f"{part}_blocks")
     sizes = sizes.select("*", blocks("big"), blocks("other"))
     copies = lambda unit: F.col(f"big_{unit}") * F.col("other_blocks") + F.col(f"other_{unit}") * (F.col("big_blocks") + F.col("other_blocks"))
@@ -300,14 +300,17 @@ def near_duplicates(
     rows, rows_at = materialize(_fingerprints(docs, id_col, text_col, shingle, multipliers(width, seed)), "fingerprints")
     # A text without an id never carries its node's text: such a node is joined only through equality.
     nodes, nodes_at = materialize(
-        rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "nodes"
-    )
+        rows.where("node is not null and doc_id is not null").groupBy("node", F.col("n_shingles").alias("n"), "sig").agg(F.min("doc_id").alias("doc_id"))
+        .withColumn("h", F.xxhash64("node")), "nodes"
+    )  # a node has one signature: as keys they keep the aggregate a hash aggregate
     keys = F.array(*[
         F.struct(F.lit(j).alias("band"), F.xxhash64(F.substring("sig", j * ROWS * 4 + 1, ROWS * 4)).alias("key")) for j in range(bands)
     ])
-    banded = nodes.select("node", F.inline(keys))
-    shared = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets, buckets_at = materialize(banded.join(shared, ["band", "key"]), "buckets")
+    # Nodes go by the 8 bytes of h here: rows are short and of fixed width.  Should two nodes share an h, more pairs are tried.
+    banded = nodes.select("h", F.inline(keys))
+    shared = banded.groupBy("band", "key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shorts, shorts_at = materialize(banded.join(shared, ["band", "key"]), "buckets")
+    buckets, buckets_at = materialize(shorts.select("band", "key", "h").join(nodes.select("h", "node", "n"), "h").drop("h"), "members")
 
     def star(pairs: DataFrame) -> DataFrame:
         tried, tried_at = materialize(_pruned(pairs, nodes, bounds, width), "stars")
@@ -315,9 +318,12 @@ def near_duplicates(
         drop(spark, tried_at)
         return links
 
-    roots, roots_at = components(star(buckets.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
+    least = nodes.select(F.col("h").alias("least"), F.col("node").alias("a"))
+    first = shorts.where("h != least").select("least", "h").distinct().join(least, "least").join(nodes.select("h", F.col("node").alias("b")), "h").select("a", "b")
+    roots, roots_at = components(star(first))
+    drop(spark, shorts_at)
     for turn in range(STARS):
-        labelled, sizes, sizes_at = _mixed(buckets, roots, nodes)
+        labelled, sizes, sizes_at = _mixed(buckets, roots)
         wide = sizes.where(F.col("other_rows") > BLOCK).select("band", "key", "big")
         if wide.isEmpty():
             drop(spark, sizes_at)
