@@ -58,8 +58,12 @@ def _remove_at_exit(spark: SparkSession, root: str) -> None:
         drop(spark, root)
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends in replicated files."""
+def materialize(df: DataFrame, label: str, *, merge: bool = False) -> tuple[DataFrame, str]:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends in replicated files.
+
+    ``merge`` has Spark even out the partitions first, so that many tasks with short results don't leave as many files.
+    """
+    df = df.hint("rebalance") if merge else df
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

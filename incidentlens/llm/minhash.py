@@ -165,7 +165,7 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame,
 
     members: band, key, node, n, root; sizes: per bucket its largest root and rows and bytes of that and of the others.
     """
-    labelled = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = buckets.select("band", "key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     each = labelled.groupBy("band", "key", "root").agg(F.count("*").alias("rows"), F.sum(F.col("n") * 8).alias("bytes"))
     sizes = each.groupBy("band", "key").agg(
         F.max_by("root", F.struct("rows", "root")).alias("big"), F.max(F.struct("rows", "root", "bytes")).alias("top"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots"),
@@ -173,11 +173,11 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame,
     sizes, sizes_at = materialize(sizes.select(
         "band", "key", "big", F.col("top.rows").alias("big_rows"), F.col("top.bytes").alias("big_bytes"),
         (F.col("rows") - F.col("top.rows")).alias("other_rows"), (F.col("bytes") - F.col("top.bytes")).alias("other_bytes"),
-    ), "mixed")
+    ), "mixed", merge=True)
     return labelled, sizes, sizes_at
 
 
-def _cross_links(buckets: DataFrame, roots: DataFrame, docs: DataFrame, nodes: DataFrame, bounds: dict[int, int], width: int, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def _cross_links(labelled: DataFrame, sizes: DataFrame, docs: DataFrame, nodes: DataFrame, bounds: dict[int, int], width: int, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Links between different components of a bucket: a row for each pair of components that a pair of blocks joins.
 
     A bucket's largest component and its other nodes are dealt into blocks of bounded rows and bytes, and each
@@ -185,7 +185,6 @@ def _cross_links(buckets: DataFrame, roots: DataFrame, docs: DataFrame, nodes: D
     The first pass, over signatures, finds the nodes with an unpruned pair;
     the second brings those nodes' full sets to the group and compares exactly.
     """
-    labelled, sizes, sizes_at = _mixed(buckets, roots)
     blocks = lambda part: F.greatest(F.ceil(F.col(f"{part}_rows") / BLOCK), F.ceil(F.col(f"{part}_bytes") / BLOCK_BYTES)).cast("int").alias(f"{part}_blocks")
     sizes = sizes.select("*", blocks("big"), blocks("other"))
     copies = lambda unit: F.col(f"big_{unit}") * F.col("other_blocks") + F.col(f"other_{unit}") * (F.col("big_blocks") + F.col("other_blocks"))
@@ -199,11 +198,12 @@ def _cross_links(buckets: DataFrame, roots: DataFrame, docs: DataFrame, nodes: D
     dealt = dealt.join(nodes.select("node", "sig"), "node").select("band", "key", "node", "root", "sig", "own", "i", "j", deal.alias("deal"))
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
-        sig, root, own, kept = _matrix(group["sig"], width), pd.factorize(group["root"])[0], group["own"].to_numpy(), []
+        sig, root, own, kept = _matrix(group["sig"], width), pd.factorize(group["root"])[0], group["own"].to_numpy(), np.zeros(len(group), dtype=bool)
         for rows, band, i, j in _segments(group):
             for x, against in _tried(sig[rows], root[rows], own[rows], band, i, j, bounds):
-                kept += [rows[x], *rows[against]]
-        return group.iloc[np.unique(np.array(kept, dtype=np.int64))]
+                kept[rows[x]] = True
+                kept[rows[against]] = True
+        return group[kept]
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
         sig, root, own = _matrix(group["sig"], width), pd.factorize(group["root"])[0], group["own"].to_numpy()
@@ -224,11 +224,11 @@ def _cross_links(buckets: DataFrame, roots: DataFrame, docs: DataFrame, nodes: D
                         found.append((node[rows[x]], node[rows[y]]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    involved, involved_at = materialize(dealt.groupBy("deal").applyInPandas(find, _DEALT), "involved")
+    involved, involved_at = materialize(dealt.groupBy("deal").applyInPandas(find, _DEALT), "involved", merge=True)
     held, held_at = _sets(involved.select("node").distinct(), docs, nodes, id_col, text_col, k)
     full = involved.join(held, "node").groupBy("deal").applyInPandas(confirm, "a binary, b binary")
-    links, _ = materialize(full, "cross")
-    for path in (sizes_at, involved_at, held_at):
+    links, _ = materialize(full, "cross", merge=True)
+    for path in (involved_at, held_at):
         drop(docs.sparkSession, path)
     return links
 
@@ -243,7 +243,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, str]:
     """(node, items): the full shingle sets of the wanted nodes, read again from their carriers' texts."""
-    carriers, carriers_at = materialize(nodes.select("node", "doc_id").join(wanted, "node"), "carriers")
+    carriers, carriers_at = materialize(nodes.select("node", "doc_id").join(wanted, "node"), "carriers", merge=True)
 
     def sets(batches):
         for batch in batches:
@@ -277,7 +277,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str,
     left = held.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     right = held.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-    links, _ = materialize(joined.mapInArrow(confirm, "a binary, b binary"), "links")
+    links, _ = materialize(joined.mapInArrow(confirm, "a binary, b binary"), "links", merge=True)
     drop(docs.sparkSession, held_at)
     return links
 
@@ -309,24 +309,21 @@ def near_duplicates(
     # Nodes go by the 8 bytes of h here: rows are short and of fixed width.  Should two nodes share an h, more pairs are tried.
     banded = nodes.select("h", F.inline(keys))
     shared = banded.groupBy("band", "key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shorts, shorts_at = materialize(banded.join(shared, ["band", "key"]), "buckets")
-    buckets, buckets_at = materialize(shorts.select("band", "key", "h").join(nodes.select("h", "node", "n"), "h").drop("h"), "members")
+    buckets, buckets_at = materialize(banded.join(shared, ["band", "key"]).join(nodes.select("h", "node", "n"), "h"), "buckets")
 
     def star(pairs: DataFrame) -> DataFrame:
-        tried, tried_at = materialize(_pruned(pairs, nodes, bounds, width), "stars")
+        tried, tried_at = materialize(_pruned(pairs, nodes, bounds, width), "stars", merge=True)
         links = _confirmed(tried, docs, nodes, id_col, text_col, shingle, percent)
         drop(spark, tried_at)
         return links
 
     least = nodes.select(F.col("h").alias("least"), F.col("node").alias("a"))
-    first = shorts.where("h != least").select("least", "h").distinct().join(least, "least").join(nodes.select("h", F.col("node").alias("b")), "h").select("a", "b")
+    first = buckets.where("h != least").select("least", F.col("node").alias("b")).distinct().join(least, "least").select("a", "b")
     roots, roots_at = components(star(first))
-    drop(spark, shorts_at)
-    for turn in range(STARS):
+    for turn in range(STARS + 1):
         labelled, sizes, sizes_at = _mixed(buckets, roots)
         wide = sizes.where(F.col("other_rows") > BLOCK).select("band", "key", "big")
-        if wide.isEmpty():
-            drop(spark, sizes_at)
+        if turn == STARS or wide.isEmpty():
             break
         within = labelled.join(maybe_broadcast(wide, 48), ["band", "key"])
         centres = within.where("root = big").groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
@@ -336,7 +333,7 @@ def near_duplicates(
         roots, roots_at = components(further)
         drop(spark, before_at)
         drop(spark, sizes_at)
-    cross_links = _cross_links(buckets, roots, docs, nodes, bounds, width, id_col, text_col, shingle, percent)
+    cross_links = _cross_links(labelled, sizes, docs, nodes, bounds, width, id_col, text_col, shingle, percent)
 
     # Rows that repeat an id with another text join their nodes too: they are one document.
     same_id = rows.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
@@ -347,7 +344,7 @@ def near_duplicates(
     rooted = nodes.select("node", "doc_id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "component_id")
-    for path in (buckets_at, roots_at):
+    for path in (buckets_at, roots_at, sizes_at):
         drop(spark, path)  # ``final`` is written; only ``rows`` and ``nodes`` are still read
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select(

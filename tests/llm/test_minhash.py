@@ -112,8 +112,8 @@ def test_further_stars_and_blocks_by_component(spark, monkeypatch, capsys):
         rows.append((i, " ".join(words)))
     dealt, real = [], minhash.materialize
 
-    def spy(df, label):
-        out = real(df, label)
+    def spy(df, label, **options):
+        out = real(df, label, **options)
         if label == "mixed":
             dealt.append(out[0].agg({"big_rows": "max", "other_rows": "max"}).first())
         return out
