@@ -38,7 +38,9 @@ from incidentlens.llm import kernels as K
 from incidentlens.llm.common import drop, materialize, maybe_broadcast
 from incidentlens.llm.components import components
 
-ROWS, STEP, BLOCK, BLOCK_BYTES, DEAL_BYTES, STARS = 5, 20, 512, 16 << 20, 8 << 20, 4
+ROWS, STEP, BLOCK, BLOCK_BYTES, DEAL_BYTES = 5, 20, 512, 16 << 20, 8 << 20
+#: Buckets with more nodes outside their largest component get up to STARS further stars before their pairs of blocks; the result is the same.
+STARS, STAR_ROWS = 3, 8192
 
 
 def bands_for(percent: int, miss: float, rows: int = ROWS) -> int:
@@ -322,7 +324,7 @@ def near_duplicates(
     roots, roots_at = components(star(first))
     for turn in range(STARS + 1):
         labelled, sizes, sizes_at = _mixed(buckets, roots)
-        wide = sizes.where(F.col("other_rows") > BLOCK).select("band", "key", "big")
+        wide = sizes.where(F.col("other_rows") > STAR_ROWS).select("band", "key", "big")
         if turn == STARS or wide.isEmpty():
             break
         within = labelled.join(maybe_broadcast(wide, 48), ["band", "key"])

@@ -104,6 +104,7 @@ def test_further_stars_and_blocks_by_component(spark, monkeypatch, capsys):
     from incidentlens.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "STAR_ROWS", 16)
     rng = random.Random(11)
     base, rows = [f"t{i}" for i in range(100)], []
     for i in range(600):  # chains of copies of copies: many lie too far from any one centre
