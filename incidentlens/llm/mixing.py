@@ -6,12 +6,15 @@
 2. Targets are filled up by weight under a cap of ``max_repeats`` times a
    source's size; a target in words becomes whole passes over the source and,
    of the next pass, the number of block slots whose real lengths come nearest.
-3. Output shards draw their source counts.  The draw is the multinomial one
-   conditioned on the sources' slot totals (that is, without replacement), so
-   every shard is random and yet each total meets its target to a block.
+3. Output shards draw their source counts: a source's slots fall to the shards by one
+   multinomial draw, so that a shard's counts over sources are random (multinomial,
+   given how many slots it has) and yet each source's total meets its target to a block.
 4. A source's k-th slot holds block ``permute(k mod blocks)`` under a keyed
    Feistel permutation of its indices, a new key for each pass over the source,
    and slots join blocks by (source, index).
+
+Sources are a table like any other: their numbers, weights, targets and draws are
+computed in it, and only sums over it come to the driver.
 """
 
 from __future__ import annotations
@@ -20,35 +23,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentlens.llm.common import materialize, maybe_broadcast
 
 BLOCK, BUCKETS, RUN, SHARDS, MAX_REPEATS, SEED = 64, 1024, 4096, 64, 3, 20240611
-MAX_PASSES = 64
-
-
-def targets(sizes: dict, weights: dict, cap: float = MAX_REPEATS) -> dict:
-    """Shares ``sum(sizes)`` by weight; no target passes ``cap`` times its size, and what it can't take is reshared."""
-    out, open_, left = {s: 0.0 for s in sizes}, set(sizes), float(sum(sizes.values()))
-    while open_:
-        total = sum(weights[s] for s in open_)
-        over = {s for s in open_ if left * weights[s] / total >= cap * sizes[s]}
-        if not over:
-            return out | {s: left * weights[s] / total for s in open_}
-        for s in over:
-            out[s] = float(cap * sizes[s])
-        left -= sum(out[s] for s in over)
-        open_ -= over
-    return out
-
-
-def cyclic_weights(sources: list) -> dict:
-    """1, 2, 3, repeating, over sources in code point order with null last."""
-    ordered = sorted((s for s in sources if s is not None), key=lambda s: s.encode()) + [None] * (None in sources)
-    return {s: 1 + i % 3 for i, s in enumerate(ordered)}
-
 
 def _key(source, epoch: int, seed: int) -> int:
     name = b"\x00" if source is None else b"\x01" + source.encode()
@@ -93,28 +73,46 @@ def slot_count(goal: float, source, size: int, block: int, seed: int) -> int:
     return passes * n + min(near, key=lambda r: (abs(r * block - short * (r > last) - rest), r))
 
 
-def shard_draws(slots: dict, shards: int = SHARDS, seed: int = SEED) -> dict[object, list[int]]:
-    """By source: its slots in each output shard; they sum to ``slots``, and shards are equal to one slot."""
-    names, rng = list(slots), np.random.default_rng(seed)
-    left, out = np.array([slots[s] for s in names], dtype=np.int64), {s: [] for s in names}
-    for shard in range(shards):
-        rest = int(left.sum())
-        size = rest // (shards - shard)
-        for i, name in enumerate(names):  # one category at a time, each hypergeometric given the ones before
-            rest -= int(left[i])
-            drawn = _hypergeometric(rng, int(left[i]), rest, size)
-            left[i] -= drawn
-            size -= drawn
-            out[name].append(drawn)
-    return out
+def shard_draws(slots: int, source, shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
+    """How many of a source's slots each output shard draws; they sum to ``slots``."""
+    return np.random.default_rng(_key(source, -1, seed)).multinomial(slots, np.full(shards, 1 / shards))
+
+
+def cyclic_weight(source: Column, number: Column) -> Column:
+    """1, 2, 3, repeating, over sources in code point order with null last."""
+    return 1 + number % 3
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` (source, ...) with number: 0 and up in code point order, null last.  Two levels, no global sort in one task."""
+    ranged, _ = materialize(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranged")
+    starts, at = [], 0
+    for part, n in sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()):  # as many as partitions
+        starts.append((part, at))
+        at += n
+    starts = F.broadcast(sources.sparkSession.createDataFrame(starts, "part int, start long"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("number", within - 1).join(starts, "part").withColumn("number", F.col("start") + F.col("number")).drop("part", "start")
 
 
-def _hypergeometric(rng, good: int, bad: int, size: int) -> int:
-    if not size or not good:
-        return 0
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, size))
-    return int(np.clip(rng.binomial(size, good / (good + bad)), max(0, size - bad), min(size, good)))
+def filled(sources: DataFrame, cap: float = MAX_REPEATS) -> DataFrame:
+    """``sources`` (size, weight, ...) with target: all sizes' sum shared by weight; no target passes ``cap`` times its size,
+    and what it can't take is reshared.
+
+    The share of a weight of 1 grows as sources reach their caps; each step is one sum over the table, and it ends when no other does.
+    """
+    limit = F.col("size") * float(cap)
+    total, weight = sources.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    share, capped = (total / weight if weight else 0.0), 0
+    while weight:
+        full = limit <= share * F.col("weight")
+        taken, open_, n = sources.agg(
+            F.coalesce(F.sum(F.when(full, limit)), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)), F.coalesce(F.sum(full.cast("long")), F.lit(0))
+        ).first()
+        if n == capped or not open_:
+            break
+        share, capped = (total - taken) / open_, n
+    return sources.withColumn("target", F.least(limit, share * F.col("weight")))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -127,25 +125,31 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     ).withColumn("bucket", F.pmod("tie", F.lit(BUCKETS)).cast("int"))
 
 
+_FACTS = "source_no long, source string, source_size long, target double, blocks long, slots long, ends array<long>"
+
+
 class Mix:
-    """A planned mix: ``sources`` (driver-side facts), ``placed`` (rows with their start) and ``slots``."""
+    """A planned mix: ``facts`` (a row per source), ``placed`` (rows with their start) and ``slots``."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, block: int, shards: int, max_repeats: int, seed: int):
         self.spark, self.block, self.seed = docs.sparkSession, block, seed
         rows, _ = materialize(_sized(docs, id_col, text_col, source_col, seed), "sized")
         sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-        # As many sources as weights that a person sets: this table alone comes to the driver.
-        sizes = {r["source"]: r["words"] for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()}
-        self.sizes, self.goal = sizes, targets(sizes, weights(list(sizes)), max_repeats)
-        self.blocks = {s: -(-n // block) for s, n in sizes.items()}
-        slots = {s: min(max_repeats * self.blocks[s], slot_count(self.goal[s], s, sizes[s], block, seed)) for s in sorted(sizes, key=lambda s: (s is None, s or "")) if sizes[s]}
-        self.draws = shard_draws(slots, shards, seed)
-        self.numbers = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
-        facts = self.spark.createDataFrame(
-            [(i, s, sizes[s], self.goal[s], self.blocks[s], slots.get(s, 0)) for s, i in self.numbers.items()],
-            "source_no int, s string, source_size long, target double, blocks long, slots long",
-        )
-        self.facts = F.broadcast(facts)
+        sources = numbered(rows.groupBy("source").agg(F.sum("size").alias("size")))
+        sources, _ = materialize(sources.withColumn("weight", weights(F.col("source"), F.col("number")).cast("double")), "weights")
+
+        def draw(batches):
+            for batch in batches:
+                out = []
+                for no, source, size, goal in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    n = -(-size // block)
+                    slots = min(max_repeats * n, slot_count(goal, source, size, block, seed)) if size else 0
+                    out.append((no, source, size, goal, n, slots, np.cumsum(shard_draws(slots, source, shards, seed))))
+                types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                columns = list(zip(*out, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["source_no", "source", "source_size", "target", "blocks", "slots", "ends"])
+
+        self.facts, _ = materialize(filled(sources, max_repeats).select("number", "source", "size", "target").mapInArrow(draw, _FACTS), "facts")
         self.placed = self._placed(rows, sums)
 
     def _placed(self, rows: DataFrame, sums: DataFrame) -> DataFrame:
@@ -155,32 +159,29 @@ class Mix:
         within = Window.partitionBy("source", "bucket").orderBy("tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
         inner = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
         placed = inner.join(begins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("base") + F.col("inner"))
-        return placed.select("doc_id", "tie", "source", "size", "start").join(
-            self.facts.select("source_no", "s", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))
-        ).drop("s")
+        facts = self.facts.select("source_no", F.col("source").alias("s"), "source_size", "target")
+        return placed.select("doc_id", "tie", "source", "size", "start").join(maybe_broadcast(facts, 256), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     def slots(self) -> DataFrame:
         """Every slot of the mix: source_no, block, shard.  Slots of a source go to the shards in turn of its draws."""
-        keys = {(no, e): _key(s, e, self.seed) for s, no in self.numbers.items() for e in range(MAX_PASSES)}
-        ends = {self.numbers[s]: np.cumsum(drawn) for s, drawn in self.draws.items()}
+        seed = self.seed
 
         def run(batches):
             for batch in batches:
-                parts = []
-                for no, n, total, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for no, source, n, total, ends, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     k = np.arange(at, min(total, at + RUN))
                     block = np.empty(len(k), dtype=np.int64)
                     for epoch in np.unique(k // n):
                         own = k // n == epoch
-                        block[own] = permute(k[own] % n, n, keys[no, int(epoch)])
-                    parts.append((np.full(len(k), no, dtype=np.int32), block, np.searchsorted(ends[no], k, side="right").astype(np.int32)))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["source_no", "block", "shard"])
+                        block[own] = permute(k[own] % n, n, _key(source, int(epoch), seed))
+                    shard = np.searchsorted(np.array(ends), k, side="right").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), no, dtype=np.int64)), pa.array(block), pa.array(shard)], names=["source_no", "block", "shard"])
 
-        runs = self.facts.where("slots > 0").select("source_no", "blocks", "slots", F.explode(F.expr(f"sequence(0L, slots - 1, {RUN}L)")).alias("at"))
+        runs = self.facts.where("slots > 0").select("source_no", "source", "blocks", "slots", "ends", F.explode(F.expr(f"sequence(0L, slots - 1, {RUN}L)")).alias("at"))
         # A run is a small row that grows to RUN slots: its partitions are counted here, not coalesced by bytes.
-        parts = max(1, min(10_000, -(-sum(map(sum, self.draws.values())) // (16 * RUN))))
-        return runs.repartition(parts, "source_no", "at").mapInArrow(run, "source_no int, block long, shard int")
+        total = self.facts.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+        parts = max(1, min(10_000, -(-total // (16 * RUN))))
+        return runs.repartition(parts, "source_no", "at").mapInArrow(run, "source_no long, block long, shard int")
 
     def covered(self) -> DataFrame:
         """Every row with the blocks that it lies in and its words there: source_no, start, block, words."""
@@ -200,12 +201,12 @@ class Mix:
 
 
 def plan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=cyclic_weights,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights=cyclic_weight,
     block: int = BLOCK, shards: int = SHARDS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
 ) -> Mix:
     """Plans a mix of ``docs``.
 
-    ``weights`` maps the list of sources (null included, if there) to positive numbers.  Null or blank
+    ``weights`` makes a positive number of the columns (source, its number in code point order, null last).  Null or blank
     text: size 0, nothing taken.  A null source is a source of its own.  Repeated rows are laid out one
     after the other, each with its own words.  An empty table gives no rows.
     """
@@ -214,15 +215,14 @@ def plan(
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with every row repeated as the mix takes it: taken / size copies, its fraction rounded by a
-    uniform hash of the row, so that a source keeps its share.  Columns stay; a row without words is kept once."""
+    uniform hash of the row, so that a source keeps its share.  Columns stay, whatever their names; a row without words is kept once."""
     planned = plan(docs, id_col, text_col, source_col, **options)
     rate = F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0))
-    copies = planned.taken().groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(rate.alias("rate"))
-    chance = F.pmod(F.xxhash64(F.lit(planned.seed + 1), "_tie", "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = copies.select("_id", "_tie", F.floor(F.col("rate") + chance).cast("int").alias("_copies")).where("_copies > 0")
+    copies = planned.taken().groupBy(F.col("doc_id").alias("id"), "tie").agg(rate.alias("rate"))
+    chance = F.pmod(F.xxhash64(F.lit(planned.seed + 1), "tie", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = copies.select("id", "tie", F.floor(F.col("rate") + chance).cast("int").alias("copies")).where("copies > 0")
     copies, _ = materialize(copies, "copies")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_row_tie", F.xxhash64(F.lit(planned.seed), F.col(id_col), text))
-    held = maybe_broadcast(copies, 32)
-    joined = keyed.join(held, (keyed["_row_tie"] == held["_tie"]) & keyed[id_col].cast("long").eqNullSafe(held["_id"]))
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*[keyed[c] for c in docs.columns])
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.lit(planned.seed), F.col(id_col), text).alias("own_tie"), F.col(id_col).cast("long").alias("own_id"))
+    joined = keyed.join(maybe_broadcast(copies, 32), (F.col("own_tie") == F.col("tie")) & F.col("own_id").eqNullSafe(F.col("id")))
+    return joined.select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")

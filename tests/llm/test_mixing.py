@@ -5,7 +5,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from incidentlens.llm import mixing
+from tests.llm import plain_mixing
 
 SCHEMA = "doc_id long, text string, source string, size long, tie string"
 
@@ -24,13 +27,17 @@ def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-def test_targets_fill_up_under_the_cap():
-    sizes, weights = {"a": 100, "b": 10, "c": 90}, {"a": 1, "b": 2, "c": 3}
-    got = mixing.targets(sizes, weights)
-    assert got["b"] == 30 and sum(got.values()) == pytest.approx(200)
-    assert got["c"] / got["a"] == pytest.approx(3)
-    assert mixing.targets({"a": 0}, {"a": 1}) == {"a": 0.0} and mixing.targets({}, {}) == {}
-    assert mixing.cyclic_weights(["b", None, "a", "é"]) == {"a": 1, "b": 2, "é": 3, None: 1}
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_fill_up_under_the_cap(spark, seed):
+    rng = random.Random(seed)
+    names = rng.sample(["a", "b", "c", "é", "z", "A", "", "𝔘", "\uffff", None], rng.randint(1, 10))
+    sizes = {s: rng.choice([0, 1, 10, 90, 100, 5000]) for s in names}
+    sources = mixing.numbered(spark.createDataFrame(list(sizes.items()), "source string, size long"))
+    rows = mixing.filled(sources.withColumn("weight", mixing.cyclic_weight(F.col("source"), F.col("number")).cast("double"))).collect()
+    weights = plain_mixing.cyclic_weights(names)
+    assert {r["source"]: r["weight"] for r in rows} == weights and sorted(r["number"] for r in rows) == list(range(len(names)))
+    want = plain_mixing.targets(sizes, weights)
+    assert {r["source"]: r["target"] for r in rows} == pytest.approx(want) and sum(want.values()) == pytest.approx(sum(sizes.values()))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
@@ -38,13 +45,11 @@ def test_permutation(n):
     assert sorted(mixing.permute(np.arange(n), n, 12345678901).tolist()) == list(range(n))
 
 
-def test_draws_meet_the_totals():
-    slots = {"a": 1000, "b": 37, "c": 0, "d": 1}
-    got = mixing.shard_draws(slots, shards=16)
-    assert {s: sum(d) for s, d in got.items()} == slots
-    per_shard = [sum(got[s][i] for s in slots) for i in range(16)]
-    assert max(per_shard) - min(per_shard) <= 1
-    assert len(set(got["b"])) > 1  # random, not dealt out evenly
+def test_draws_are_multinomial_and_meet_the_totals():
+    got = {s: mixing.shard_draws(n, s, 16) for s, n in {"a": 16_000, "b": 37, "c": 0, None: 1}.items()}
+    assert [int(x.sum()) for x in got.values()] == [16_000, 37, 0, 1]
+    assert len(set(got["b"])) > 1 and 15 < np.std(got["a"]) < 60  # of a multinomial draw: 30.6
+    assert (got["a"] == mixing.shard_draws(16_000, "a", 16)).all() and (got["a"] != mixing.shard_draws(16_000, "d", 16)).any()
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -72,7 +77,7 @@ def test_taken_against_brute_force(spark, seed):
     for r in got:
         per[r["source"]] += r["taken"]
         assert r["taken"] <= 3 * r["size"]
-    for source, target in planned.goal.items():
+    for source, target in ((r["source"], r["target"]) for r in planned.facts.collect()):
         assert abs(per[source] - target) <= 16 * 5
     again = mixing.plan(spark.createDataFrame(rows[::-1], SCHEMA), block=16).taken().collect()
     key = lambda x: sorted((r["doc_id"], r["taken"]) for r in x)
@@ -103,8 +108,23 @@ def test_place_is_the_permutation_backwards(n):
 def test_small_sources_meet_their_targets(spark):
     sizes = {"ten": 10, "forty": 40, "more": 130, "odd": 1001, "big": 30_000}
     rows = [(i, "w " * n, s, n, "t") for i, (s, n) in enumerate(sizes.items())]
-    weights = {"ten": 1, "forty": 1, "more": 1, "odd": 0.07, "big": 1}
-    planned = mixing.plan(spark.createDataFrame(rows, SCHEMA), weights=lambda names: {s: weights[s] for s in names})
+    planned = mixing.plan(spark.createDataFrame(rows, SCHEMA), weights=lambda source, number: F.when(source == "odd", 0.07).otherwise(1.0))
+    goal = {r["source"]: r["target"] for r in planned.facts.collect()}
     taken = {r["source"]: r["taken"] for r in planned.taken().collect()}
     assert (taken["ten"], taken["forty"], taken["more"]) == (30, 120, 390)
-    assert all(abs(taken[s] - planned.goal[s]) <= 32 for s in sizes)
+    assert all(abs(taken[s] - goal[s]) <= 32 for s in sizes)
+
+
+def test_more_sources_than_a_person_names_and_clashing_columns(spark):
+    rows = [(i, "w x " * (1 + i % 40), f"s{i:04d}" if i % 3 else "hot") for i in range(1500)]
+    names = ["_copies", "tie", "id", "row", "copies", "size", "source_no"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(7).alias(n) for n in names])
+    planned = mixing.plan(df)
+    taken, goal = Counter(), {}
+    for r in planned.taken().collect():
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(goal) == 1001 and all(abs(taken[s] - g) <= 64 for s, g in goal.items())
+    assert mixing.mixed_documents(df).columns == df.columns
+    assert mixing.mixed_documents(df, max_repeats=100).count() > 0  # no bound on passes

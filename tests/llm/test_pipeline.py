@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from incidentlens.llm import mixing
+from tests.llm import plain_mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,7 +67,7 @@ def test_stages(spark, corpus):
     words = Counter()
     for r in seen["decontamination"].collect():
         words[r["source"]] += len(r["text"].split())
-    goal = mixing.targets(dict(words), mixing.cyclic_weights(list(words)))
+    goal = plain_mixing.targets(dict(words), plain_mixing.cyclic_weights(list(words)))
     mixed = Counter()
     for r in seen["source_mix"].collect():
         mixed[r["source"]] += len(r["text"].split())
