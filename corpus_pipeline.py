@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens.llm import decontaminate, minhash, mixing, sharding, toxicity
-from incidentlens.llm.queries import map_path
 from incidentlens.llm.common import materialize, maybe_broadcast, scratch_root, table
+from incidentlens.llm.queries import map_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard and place in it."""
-    return sharding.shard_rows(docs, map_path(spark, sf_dir, "pipeline"), shards=8)
+    """Every row with its shard and place in it: the columns of ``sharding.shard_rows``, then those of ``docs`` that have other names.
+
+    Rows with one id and text are copies that the mix made, so one of them carries the text for all.
+    """
+    placed = sharding.shard_rows(docs, map_path(spark, sf_dir, "pipeline"), shards=8)
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.crc32(text.cast("binary")).alias("_crc"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.struct(*docs.columns).alias("_row"))
+    once = own.groupBy("_id", "_crc", "_size").agg(F.first("_row").alias("_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_crc32") == F.col("_crc")) & (F.col("size") == F.col("_size"))
+    return placed.join(once, same).select(*placed.columns, *[F.col("_row")[c].alias(c) for c in docs.columns if c not in placed.columns])
 
 
 STAGES = [
