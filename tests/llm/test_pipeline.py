@@ -73,7 +73,7 @@ def test_stages(spark, corpus):
         mixed[r["source"]] += len(r["text"].split())
     assert all(abs(mixed[s] - goal[s]) < 0.15 * goal[s] for s in goal)
     last = seen["sharding"].collect()
-    assert Counter(r["doc_id"] for r in last) == Counter(r["doc_id"] for r in seen["source_mix"].collect())
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in last) == Counter((r["doc_id"], r["text"], r["source"]) for r in seen["source_mix"].collect())
 
 
 def test_run_is_the_stages(spark, corpus):
@@ -101,3 +101,17 @@ def test_repeated_and_nameless_rows_are_one_document(spark):
     assert Counter(r[0] for r in got) == {1: 1, 2: 1, 3: 1, 4: 1, 6: 1, None: 4}
     assert row(1, text("a")) in got and next(r for r in got if r[0] == 2)[1] in (text("b"), text("c"))
     assert Counter(r[1] for r in got if r[0] is None) == {text("d"): 1, text("e"): 1, None: 1, " ": 1}
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    words = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(i, words(f"d{i}x"), "en", None if i % 5 else "s", 7, "extra", i) for i in range(40)]
+    rows += [(50, None, None, None, None, None, None), (51, "", "en", "s", 0, "e", 1), (None, words("n"), "en", "s", 1, "e", 2), (52, "long " + words("L", 60_000), "en", "t", 1, "e", 3), rows[0], rows[0]]
+    spark.createDataFrame(rows, DOCS + ", shard string, slot int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, words("d7x", 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in got}
+    assert 7 not in ids and {50, 51} <= ids and ids <= {*range(40), 50, 51, 52, None}
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r["text"] == texts[r["doc_id"]] for r in got) and {r["shard"] for r in got} <= set(range(8))
