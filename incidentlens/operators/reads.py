@@ -22,6 +22,20 @@ ORDERINGS = {
 }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(column: Column) -> Column:
+    """A-Z folded, every other letter as it is."""
+    return F.translate(column, _UPPER, _LOWER)
+
+
+def _holds(text: str) -> Column:
+    """Whether the message or the raw line holds the text, in any ASCII case."""
+    low = text.translate(str.maketrans(_UPPER, _LOWER))
+    return F.coalesce(ascii_lower(F.col("message")).contains(low), F.lit(False)) | F.coalesce(ascii_lower(F.col("raw")).contains(low), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Noise:
     """What counts as noise: a large share of events in a template that isn't anomalous."""
@@ -95,8 +109,7 @@ def top_templates(templates: DataFrame, limit: int = 10, order_by: str = "count"
 
 def text_search(events: DataFrame, text: str, limit: int = 5000) -> DataFrame:
     """template_id of templates with an event whose message or raw line holds the text, in any ASCII case."""
-    found = F.lower(F.col("message")).contains(text.lower()) | F.lower(F.col("raw")).contains(text.lower())
-    return events.where(found).select("template_id").distinct().orderBy("template_id").limit(limit)
+    return events.where(_holds(text)).select("template_id").distinct().orderBy("template_id").limit(limit)
 
 
 def matching_events(events: DataFrame, text: str) -> DataFrame:
@@ -104,8 +117,7 @@ def matching_events(events: DataFrame, text: str) -> DataFrame:
 
     Both counts come from one pass over the rows.
     """
-    low, body = text.lower(), F.coalesce("message", "raw")
-    loose = F.coalesce(F.lower(F.col("message")).contains(low), F.lit(False)) | F.coalesce(F.lower(F.col("raw")).contains(low), F.lit(False))
+    loose, body = _holds(text), F.coalesce("message", "raw")
     exact = F.coalesce(strip_ansi(body).contains(text), F.lit(False))
     counts = events.groupBy("template_id").agg(F.count_if(loose).alias("loose"), F.count_if(exact).alias("exact")).where("loose + exact > 0")
     any_loose = F.broadcast(counts.agg(F.coalesce(F.sum("loose"), F.lit(0)).alias("_all")))  # one row

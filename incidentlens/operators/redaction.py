@@ -133,9 +133,11 @@ def tallies(redacted: DataFrame) -> DataFrame:
     return redacted.select(F.inline("redactions")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
-def vault(redacted: DataFrame) -> DataFrame:
-    """token, entity, value: to be written apart, with its own permissions."""
-    return redacted.select(F.inline("redactions")).groupBy("token").agg(F.min("entity").alias("entity"), F.min("value").alias("value"))
+def vault(redacted: DataFrame, order: str = "id") -> DataFrame:
+    """token, entity, value: to be written apart, with its own permissions.  Of values with one token the first, by row and place, is kept."""
+    each = redacted.select(F.col(order).alias("row"), F.posexplode("redactions").alias("place", "r")).select("row", "place", "r.*")
+    first = F.min_by(F.struct("entity", "value"), F.struct("row", "place", "entity", "value"))
+    return each.groupBy("token").agg(first.alias("kept")).select("token", "kept.entity", "kept.value")
 
 
 def reveal(vault_table: DataFrame, token: str | None = None, everything: bool = False) -> DataFrame:

@@ -119,11 +119,11 @@ def _zoned(s, d):
 
 
 add("zone_notation", lambda s, d: A.zone_notation(_zoned(s, d)), V.sql(V.LOG_EVENTS, select="SELECT source, CASE source WHEN 'svc-0' THEN 'utc' WHEN 'svc-3' THEN 'naive' ELSE '+05:30' END AS zone, count(*) AS n FROM log_events GROUP BY ALL"))
-_SKEW = "m AS (SELECT DISTINCT source, (epoch_us(ts) // 60000000 + CASE WHEN source = 'svc-1' THEN 330 ELSE 0 END) // 15 AS slot FROM log_events WHERE id % 40 < 4)"
+_SKEW = "m AS (SELECT DISTINCT source, (epoch_us(ts) // 60000000 + CASE WHEN source = 'svc-1' THEN 330 ELSE 0 END) // 15 AS slot FROM log_events)"
 
 
 def _skewed(s, d):
-    e = V.log_events(s, d).where("id % 40 < 4")
+    e = V.log_events(s, d)
     return A.source_minutes(e).withColumn("minute", F.col("minute") + F.when(F.col("source") == "svc-1", 330).otherwise(0))
 
 
@@ -280,9 +280,6 @@ _ORDERED = "(doc_id * 100000 + line_no)"
 add("diverse_sample", lambda s, d: bootstrap.diverse_sample(V.doc_lines(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("line_no"), "line")), V.sql(V.DOC_LINES, select=rf"SELECT min({_ORDERED}) AS line_no, arg_min(line, {_ORDERED}) AS line FROM doc_lines WHERE trim(line) <> '' GROUP BY regexp_replace(line, '\d+', '#', 'g') ORDER BY line_no LIMIT 40"))
 
 # ---- redaction and templates
-_OCT = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-
-
 def _tokens(s, d):
     redactor = redaction.Redactor("salt", ("email",), "sha256")
     out = redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redactor)
@@ -290,21 +287,84 @@ def _tokens(s, d):
 
 
 add("redact_tokens", _tokens, r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.-]*[A-Za-z]\b')) AS v FROM documents) SELECT doc_id, 'email' AS entity, '[EMAIL:' || substr(sha256('salt:email:' || v), 1, 8) || ']' AS token, count(*) AS n FROM m GROUP BY ALL""")
-add("redact_documents", lambda s, d: redaction.tallies(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redaction.Redactor("salt"))))
-add("vault", lambda s, d: redaction.reveal(redaction.vault(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redaction.Redactor("salt"))), everything=True))
+# RE2 has no look-around: every character that may bound a number is doubled, so that each match has its own two.
+_MARKED = r"regexp_replace(coalesce(text, ''), '([^0-9-])', '\1\1', 'g')"
+_FOUND = rf"""docs AS (SELECT doc_id, text, {_MARKED} AS marked FROM documents),
+emails AS (SELECT doc_id, 'email' AS entity, unnest(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.-]*[A-Za-z]\b')) AS value FROM docs),
+ssns AS (SELECT doc_id, 'ssn' AS entity, unnest(regexp_extract_all(marked, '(?:^|[^0-9-])([0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?:[^0-9-]|$)', 1)) AS value FROM docs),
+found AS (SELECT * FROM emails UNION ALL SELECT * FROM ssns),
+tokens AS (SELECT doc_id, entity, value, '[' || upper(entity) || ':' || substr(sha256('salt:' || entity || ':' || value), 1, 8) || ']' AS token FROM found)"""
+
+
+def _redacted(s, d):
+    rows = V.table(s, d, "documents").select("doc_id", F.col("text").alias("message"))
+    return redaction.redact_columns(rows, redaction.Redactor("salt", ("email", "ssn"), "sha256"))
+
+
+add("redact_documents", lambda s, d: redaction.tallies(_redacted(s, d)), f"WITH {_FOUND} SELECT entity, count(*) AS n FROM tokens GROUP BY entity")
+add("vault", lambda s, d: redaction.reveal(redaction.vault(_redacted(s, d), "doc_id"), everything=True), f"WITH {_FOUND} SELECT token, entity, value FROM (SELECT DISTINCT token, entity, value FROM tokens)")
+_PLANTED = {
+    "api_key": "md5('k' || doc_id)", "email": "'u' || doc_id || '@example.org'", "ipv6": "'fe80::1:' || lower(hex(doc_id % 65536))", "ipv4": "'10.' || doc_id % 256 || '.3.4'",
+    "ssn": "lpad(CAST(doc_id % 1000 AS STRING), 3, '0') || '-12-' || lpad(CAST(doc_id % 10000 AS STRING), 4, '0')", "phone": "'(555) 010-' || lpad(CAST(doc_id % 10000 AS STRING), 4, '0')",
+}
+_PLANTED_TEXT = "'login ' || {email} || ' at ' || {ipv4} || ' or ' || {ipv6} || ', ssn ' || {ssn} || ', call ' || {phone} || ', release 1.2.3.4, api_key=' || {api_key}".format(**_PLANTED)
+
+
+def _planted(s, d):
+    rows = V.table(s, d, "documents").select("doc_id", F.expr(_PLANTED_TEXT).alias("message"))
+    out = redaction.redact_columns(rows, redaction.Redactor("salt", redaction.ENTITIES, "sha256"))
+    return out.select("doc_id", F.inline("redactions")).select("doc_id", "entity", "token", "value")
+
+
+add("redact_planted", _planted, " UNION ALL ".join(f"SELECT doc_id, '{e}' AS entity, '[{e.upper()}:' || substr(sha256('salt:{e}:' || {v}), 1, 8) || ']' AS token, {v} AS value FROM documents" for e, v in _PLANTED.items()))
+add("vault_planted", lambda s, d: redaction.reveal(redaction.vault(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.expr(_PLANTED_TEXT).alias("message")), redaction.Redactor("salt", ("ssn",), "sha256")), "doc_id"), everything=True), f"SELECT DISTINCT '[SSN:' || substr(sha256('salt:ssn:' || {_PLANTED['ssn']}), 1, 8) || ']' AS token, 'ssn' AS entity, {_PLANTED['ssn']} AS value FROM documents")
+add("redact_all_entities", lambda s, d: redaction.tallies(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redaction.Redactor("salt"))))
 add("drain_templates", lambda s, d: drain.cluster(V.doc_lines(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), F.col("line").alias("message"))).groupBy("template_id", "pattern").agg(F.count("*").alias("n")))
 add("drain_coverage", lambda s, d: drain.cluster(V.log_events(s, d)).agg(F.count("*").alias("events"), F.count("template_id").alias("covered")), "SELECT count(*) AS events, count(*) AS covered FROM events")
 
 
-def _health(s, d):
-    from incidentlens.operators import health
+#: What is planted: templates of one number go missing, the ingest had errors, lines without a time, one severity at two ends.
+_COUNTERS = {"lines_read": 10, "parse_errors": 1, "raw_lines": 100, "unparseable_timestamps": 600}
 
-    e, t = V.log_events(s, d), V.templates(s, d)
-    found = health.report(e, t, {"lines_read": 10, "parse_errors": 0})
-    return found.frame(s).select("check_name", "status")
 
+def _health_views(s, d):
+    e = V.log_events(s, d)
+    e = e.withColumn("severity", F.when((F.col("template_id") % 1000 == 7) & (F.col("id") % 2 == 0), "FATAL").otherwise(F.col("severity")))
+    e = e.withColumn("message", F.when(F.col("template_id") % 1000 < 40, F.concat(F.lit("request failed "), "message")).otherwise(F.col("message")))
+    return e, A.template_summary(e).where("template_id <> 1011")
+
+
+def _health(s, d):
+    from incidentlens.operators import health
 
-add("health_report", _health, "SELECT * FROM (VALUES ('events', 'ok'), ('timestamps', 'ok'), ('timezones', 'ok'), ('parse_errors', 'ok'), ('template_coverage', 'ok'), ('template_count', 'ok'), ('dominant_template', 'ok'), ('split_templates', 'ok'), ('unmasked_ids', 'ok'), ('over_merged', 'ok'), ('hidden_failures', 'ok'), ('multiline', 'ok')) v(check_name, status)")
+    return health.report(*_health_views(s, d), _COUNTERS).frame(s).select("check_name", "status")
+
+
+_HEALTH_EVENTS = V.LOG_EVENTS.replace("log_events AS (", "plain AS (") + """,
+log_events AS (SELECT * REPLACE (CASE WHEN template_id % 1000 = 7 AND id % 2 = 0 THEN 'FATAL' ELSE severity END AS severity, CASE WHEN template_id % 1000 < 40 THEN 'request failed ' || message ELSE message END AS message) FROM plain)"""
+_HEALTH = [
+    _HEALTH_EVENTS, V.TEMPLATES.replace("templates AS (", "every AS ("), "t AS (SELECT * FROM every WHERE template_id <> 1011)", "n AS (SELECT count(*) AS n FROM log_events)", "total AS (SELECT sum(occurrence_count) AS total, count(*) AS k, max(occurrence_count) AS top FROM t)",
+    "m AS (SELECT DISTINCT source, epoch_us(ts) // 60000000 // 15 AS slot FROM log_events)", "sizes AS (SELECT source, count(*) AS size FROM m GROUP BY source)", "busiest AS (SELECT source AS p FROM log_events GROUP BY source ORDER BY count(*) DESC, source DESC LIMIT 1)",
+    "o AS (SELECT b.source, k * 15 AS shift, count(*) / least(any_value(z.size), any_value(zp.size)) AS overlap FROM m b, (SELECT unnest(range(-56, 57)) AS k), m a, sizes z, sizes zp, busiest WHERE b.source <> p AND a.source = p AND zp.source = p AND a.slot = b.slot + k AND z.source = b.source GROUP BY b.source, k)",
+    "best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY overlap DESC, abs(shift), shift) = 1)", "skewed AS (SELECT count(*) AS n FROM best LEFT JOIN o ON o.source = best.source AND o.shift = 0 WHERE abs(best.shift) >= 30 AND best.overlap - coalesce(o.overlap, 0) >= 0.5)",
+    f"tails AS (SELECT occurrence_count, list_slice({_TOK}, greatest(len({_TOK}) - 3, 1), len({_TOK})) AS tail FROM t)", "ends AS (SELECT sum(e) AS e FROM (SELECT count(*) AS n, sum(occurrence_count) AS e FROM tails WHERE len(list_filter(tail, lambda x: x <> '<*>')) >= 2 GROUP BY tail HAVING n > 1))",
+    rf"ids AS (SELECT sum(occurrence_count) AS e FROM t WHERE len(list_filter({_TOK}, lambda x: regexp_matches(x, '{A.ID_TOKEN}'))) > 0)",
+    f"c AS (SELECT template_id, count(*) AS events, count(*) FILTER (regexp_matches(message, '{A.FAILURE}')) AS failure, count(*) FILTER (regexp_matches(message, '{A.CONTINUATION}')) AS more FROM log_events GROUP BY template_id)",
+    f"h AS (SELECT coalesce(sum(failure), 0) AS lines, coalesce(sum(failure) FILTER (failure > 0 AND failure < events AND NOT coalesce(regexp_matches(t.pattern, '{A.FAILURE}'), false)), 0) AS hidden, sum(events) AS examined, coalesce(sum(more), 0) AS more FROM c LEFT JOIN t USING (template_id))",
+]
+add("health_report", _health, V.sql(*_HEALTH, select=f"""SELECT unnest([
+  {{'check_name': 'events', 'status': CASE WHEN n.n > 0 THEN 'ok' ELSE 'fail' END}},
+  {{'check_name': 'timestamps', 'status': CASE WHEN greatest(0, 1 - {_COUNTERS['unparseable_timestamps']} / n.n) < 0.95 THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'timezones', 'status': CASE WHEN skewed.n > 0 THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'parse_errors', 'status': CASE WHEN {_COUNTERS['parse_errors']} / {_COUNTERS['lines_read']} > 0 THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'template_coverage', 'status': CASE WHEN EXISTS (SELECT 1 FROM log_events WHERE template_id NOT IN (SELECT template_id FROM t)) THEN 'fail' ELSE 'ok' END}},
+  {{'check_name': 'template_count', 'status': CASE WHEN total / k IS NULL OR (total / k > 0 AND total / k < 2) THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'dominant_template', 'status': CASE WHEN top / total > 0.6 THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'split_templates', 'status': CASE WHEN coalesce(ends.e, 0) / total > 0.35 THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'unmasked_ids', 'status': CASE WHEN coalesce(ids.e, 0) / total > 0.10 THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'over_merged', 'status': CASE WHEN EXISTS (SELECT 1 FROM t WHERE max_severity_rank - min_severity_rank + 1 >= 3) THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'hidden_failures', 'status': CASE WHEN h.lines > 0 AND hidden / h.lines > 0.25 AND hidden >= 5 THEN 'warn' ELSE 'ok' END}},
+  {{'check_name': 'multiline', 'status': CASE WHEN more / examined > 0.01 THEN 'warn' ELSE 'ok' END}}], max_depth := 2) FROM n, total, skewed, ends, ids, h"""))
 
 
 def _triggers(s, d):
@@ -317,5 +377,5 @@ def _triggers(s, d):
 
 add("metric_triggers", _triggers, "SELECT * FROM (VALUES ('a', 'm1'), ('b', 'm2'), ('b', 'm3')) v(stage, metric)")
 add("redact_nested", lambda s, d: redaction.redact_columns(s.createDataFrame([(1, '{"a": ["x@y.org", {"b": "10.1.2.3"}], "n": 4}')], "id long, fields string"), redaction.Redactor("k", digest="sha256")).select("id", F.get_json_object("fields", "$.a[0]").alias("first"), F.get_json_object("fields", "$.a[1].b").alias("second")), "SELECT 1::BIGINT AS id, '[EMAIL:' || substr(sha256('k:email:x@y.org'), 1, 8) || ']' AS first, '[IPV4:' || substr(sha256('k:ipv4:10.1.2.3'), 1, 8) || ']' AS second")
-add("drain_parameters", lambda s, d: drain.parameters(drain.cluster(V.log_events(s, d)).join(V.log_events(s, d).select("id", "message"), "id")).groupBy("pattern").agg(F.count_if(F.size("params") > 0).alias("with_params"), F.count("*").alias("n")))
+add("drain_parameters", lambda s, d: drain.parameters(drain.cluster(V.log_events(s, d)).join(V.log_events(s, d).select("id", "message"), "id")).groupBy("pattern").agg(F.count_if(F.size("params") > 0).alias("with_params"), F.count("*").alias("n")), r"""SELECT event_type || ' ' || regexp_replace(props, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, count(*) AS with_params, count(*) AS n FROM events GROUP BY ALL""")
 add("severity_mix", lambda s, d: A.severity_mix(V.templates(s, d)).select("template_id", F.array_join(F.array_sort(F.map_keys("severity_mix")), ",").alias("levels"), F.aggregate(F.map_values("severity_mix"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n")), V.sql(*V.BASE, select="SELECT template_id, CASE template_id // 1000 WHEN 2 THEN 'ERROR' WHEN 3 THEN 'WARN' WHEN 5 THEN 'DEBUG' ELSE 'INFO' END AS levels, occurrence_count AS n FROM templates"))

@@ -27,6 +27,10 @@ ELASTIC_SOURCE = ("service.name", "container.name", "kubernetes.pod.name", "host
 RAW_SEVERITY = r"\b(TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|ERR|FATAL|CRITICAL|CRIT|SEVERE)\b"
 
 
+#: Lines of a file that one task carries the last timestamp through.
+RUN_LINES = 100_000
+
+
 def _lines(df: DataFrame) -> DataFrame:
     return df.where(F.trim("line") != "")
 
@@ -60,7 +64,10 @@ def _scalar(v):
 
 
 def _json_of(v, depth: int):
-    """A tagged wire value as plain JSON: tags go, whole numbers that came as text are numbers again; ``depth`` levels of nesting."""
+    """A tagged wire value as plain JSON: tags go, whole numbers that came as text are numbers again.
+
+    ``depth`` levels of nesting are opened; what lies deeper keeps its tags, so that nothing is lost.
+    """
     text = _text(v, "$.stringValue", "$.string_value", "$.bytesValue", "$.bytes_value")
     quoted = F.substring(F.to_json(F.struct(text.alias("v"))), 6, 1 << 30)
     bare = _text(v, "$.intValue", "$.int_value", "$.boolValue", "$.bool_value", "$.doubleValue", "$.double_value")
@@ -69,15 +76,16 @@ def _json_of(v, depth: int):
         items = F.coalesce(F.try_variant_get(v, "$.arrayValue.values", "array<variant>"), F.try_variant_get(v, "$.array_value.values", "array<variant>"))
         pairs = F.coalesce(F.try_variant_get(v, "$.kvlistValue.values", "array<variant>"), F.try_variant_get(v, "$.kvlist_value.values", "array<variant>"))
         name = lambda p: F.regexp_replace(F.substring(F.to_json(F.struct(F.try_variant_get(p, "$.key", "string").alias("v"))), 6, 1 << 30), r"\}$", "")
-        inner = lambda p: F.coalesce(_json_of(p, depth - 1), F.lit("null"))
+        empty = lambda p: F.schema_of_variant(p).isin("OBJECT<>", "VOID")
+        inner = lambda p: F.coalesce(_json_of(p, depth - 1), F.when(p.isNull() | empty(p), F.lit("null")), F.to_json(p))
         out = out.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(items, inner), ","), F.lit("]")))
         out = out.when(pairs.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(name(p), F.lit(":"), inner(F.try_variant_get(p, "$.value", "variant")))), ","), F.lit("}")))
     return out
 
 
 def any_value(v):
-    """A tagged wire value as text: scalars as they are, lists and key-value lists (to two levels) as plain JSON."""
-    return F.coalesce(_scalar(v), _json_of(v, 2), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    """A tagged wire value as text: scalars as they are, lists and key-value lists as plain JSON (deeper than three levels with their tags)."""
+    return F.coalesce(_scalar(v), _json_of(v, 3), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def _attributes(v, path: str):
@@ -210,8 +218,14 @@ def raw_lines(df: DataFrame, shape: str | None = None, year: int | None = None)
     """Any text: a record a line.  A line without a timestamp takes the last one before it in its file, else 1970 and as many seconds as its number."""
     rows = _lines(df)
     own = R.parse_ts(F.nullif(F.regexp_extract("line", times.SHAPES[shape], 0), F.lit("")), year) if shape else F.lit(None).cast("timestamp")
-    before = Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("own", own).withColumn("ts", F.coalesce(F.last("own", ignorenulls=True).over(before), F.timestamp_seconds("line_no")))
+    rows = rows.withColumn("own", own).withColumn("run", F.floor(F.col("line_no") / RUN_LINES))
+    # The last time of each run of lines, then of the runs before: no task has to read a whole file.
+    ends = rows.groupBy("source_file", "run").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("line_no"))).alias("end"))
+    earlier = Window.partitionBy("source_file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("source_file").alias("_file"), F.col("run").alias("_run"), F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    rows = rows.join(ends, F.col("source_file").eqNullSafe(F.col("_file")) & (F.col("run") == F.col("_run")))
+    before = Window.partitionBy("source_file", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("ts", F.coalesce(F.last("own", ignorenulls=True).over(before), "carried", F.timestamp_seconds("line_no")))
     level = F.nullif(F.regexp_extract("line", RAW_SEVERITY, 1), F.lit(""))
     return R.record(rows, ts=F.col("ts"), source=F.lit(None).cast("string"), level=level, raw=F.col("line"), message=F.col("line"), fields=F.lit("{}"), fmt="raw_lines")
 
