@@ -379,3 +379,68 @@ add("metric_triggers", _triggers, "SELECT * FROM (VALUES ('a', 'm1'), ('b', 'm2'
 add("redact_nested", lambda s, d: redaction.redact_columns(s.createDataFrame([(1, '{"a": ["x@y.org", {"b": "10.1.2.3"}], "n": 4}')], "id long, fields string"), redaction.Redactor("k", digest="sha256")).select("id", F.get_json_object("fields", "$.a[0]").alias("first"), F.get_json_object("fields", "$.a[1].b").alias("second")), "SELECT 1::BIGINT AS id, '[EMAIL:' || substr(sha256('k:email:x@y.org'), 1, 8) || ']' AS first, '[IPV4:' || substr(sha256('k:ipv4:10.1.2.3'), 1, 8) || ']' AS second")
 add("drain_parameters", lambda s, d: drain.parameters(drain.cluster(V.log_events(s, d)).join(V.log_events(s, d).select("id", "message"), "id")).groupBy("pattern").agg(F.count_if(F.size("params") > 0).alias("with_params"), F.count("*").alias("n")), r"""SELECT event_type || ' ' || regexp_replace(props, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, count(*) AS with_params, count(*) AS n FROM events GROUP BY ALL""")
 add("severity_mix", lambda s, d: A.severity_mix(V.templates(s, d)).select("template_id", F.array_join(F.array_sort(F.map_keys("severity_mix")), ",").alias("levels"), F.aggregate(F.map_values("severity_mix"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n")), V.sql(*V.BASE, select="SELECT template_id, CASE template_id // 1000 WHEN 2 THEN 'ERROR' WHEN 3 THEN 'WARN' WHEN 5 THEN 'DEBUG' ELSE 'INFO' END AS levels, occurrence_count AS n FROM templates"))
+
+# ---- files: every event is written in a format, in several files and compressions, and read back through detection
+_AS_JSON = "to_json(named_struct('ts', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\"), 'level', severity, 'service', source, 'msg', message, 'trace_id', trace_id, 'n', id))"
+
+
+def _folder(s, d):
+    """A folder with the log of every service: plain, gzip, bzip2, and plain files in a folder below."""
+    from incidentlens.sources.scratch import scratch
+
+    root, e = scratch(s), V.log_events(s, d).select("source", F.expr(_AS_JSON).alias("value"))
+    for name, codec in (("svc-0", None), ("svc-1", "gzip"), ("svc-2", "bzip2"), ("svc-3", None)):
+        writer = e.where(F.col("source") == name).select("value").write
+        (writer.option("compression", codec) if codec else writer).text(f"{root}/{name}/deep" if name == "svc-3" else f"{root}/{name}")
+    return root
+
+
+def _read_folder(s, d):
+    from incidentlens.sources import files
+
+    return files.read_source(s, _folder(s, d))[0]
+
+
+add("folder_read", lambda s, d: _read_folder(s, d).select(times.iso(F.col("ts")).alias("ts"), "source", "severity", "message", F.get_json_object("fields", "$.n").cast("long").alias("id"), F.get_json_object("fields", "$.trace_id").alias("trace_id"), "status"),
+    V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('ts')} AS ts, source, severity, message, id, trace_id, 'ok' AS status FROM log_events"))
+add("folder_counters", lambda s, d: R.counters(_read_folder(s, d)), "SELECT count(*) AS lines_read, count(*) AS records, 0::BIGINT AS parse_errors, 0::BIGINT AS unmapped_severity FROM events")
+
+
+def _numbered(s, d):
+    from incidentlens.sources import files
+
+    rows = files.number_events(_read_folder(s, d))
+    return rows.groupBy("source").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("id").alias("n"))
+
+
+add("folder_numbering", _numbered, V.sql(V.LOG_EVENTS, select="SELECT source, CAST(1 + sum(n) OVER (ORDER BY source) - n AS BIGINT) AS first_id, CAST(sum(n) OVER (ORDER BY source) AS BIGINT) AS last_id, n FROM (SELECT source, count(*) AS n FROM log_events GROUP BY source)"))
+
+
+def _sampled(s, d):
+    """What is sampled and chosen of each file: its reader, and the lines looked at."""
+    from incidentlens.sources import files
+
+    root = _folder(s, d)
+    rows = [(path.split(f"{root.split('/')[-1]}/")[1].split("/")[0], files.choose(s, path)[0], len(files.sample(s, path, 3))) for path in files.log_files(s, root)]
+    return s.createDataFrame(rows, "source string, reader string, lines long").groupBy("source", "reader").agg(F.max("lines").alias("lines"))
+
+
+add("folder_detection", _sampled, V.sql(V.LOG_EVENTS, select="SELECT source, 'json_lines' AS reader, least(count(*), 3) AS lines FROM log_events GROUP BY source"))
+
+
+def _documents_as_files(s, d):
+    """Documents of OTLP's export format, spread over lines, a file each service."""
+    from incidentlens.sources import files
+    from incidentlens.sources.scratch import scratch
+
+    root, e = scratch(s), V.log_events(s, d)
+    rec = F.struct(F.concat(F.unix_micros("ts"), F.lit("000")).alias("timeUnixNano"), F.col("severity").alias("severityText"), F.struct(F.col("message").alias("stringValue")).alias("body"))
+    attribute = F.struct(F.lit("service.name").alias("key"), F.struct(F.col("source").alias("stringValue")).alias("value"))
+    minute = F.date_trunc("day", F.col("ts"))
+    doc = e.groupBy("source", minute.alias("day")).agg(F.collect_list(rec).alias("recs"))
+    doc = doc.select(F.to_json(F.struct(F.array(F.struct(F.struct(F.array(attribute).alias("attributes")).alias("resource"), F.array(F.struct(F.col("recs").alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")), {"pretty": "true"}).alias("value"))
+    doc.repartition(8).write.option("maxRecordsPerFile", 1).text(root)
+    return files.read_source(s, root)[0]
+
+
+add("documents_over_lines", lambda s, d: _documents_as_files(s, d).select(times.iso(F.col("ts")).alias("ts"), "source", "severity", "message", "format"), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('ts')} AS ts, source, severity, message, 'otlp' AS format FROM log_events"))

@@ -1,7 +1,9 @@
 """Log files: what may be read, decompression by content, directories, samples, reader choice per file.
 
-Compression is told by magic number and never by name.  Spark's own text reader takes plain files (and
-splits them); a compressed file is one task's stream, which is what those formats allow.
+Paths are Hadoop's: a local disk, HDFS or an object store, whatever the session knows.  Compression is told by magic
+number and never by name.  Spark's own text reader takes plain files (and splits them) and gzip or bzip2 files whose
+name says so too; what else is compressed is one task's value of 2 GB at most.  Files that one reader takes the
+same way are one scan.
 """
 
 from __future__ import annotations
@@ -10,8 +12,8 @@ import bz2
 import gzip
 import io
 import lzma
+import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,10 @@ BINARY = (
     (b"%PDF-", "a PDF"), (b"SQLite format 3\x00", "a SQLite database"), (b"\x7fELF", "an ELF binary"),
 )
 SKIP = frozenset({".git", ".svn", ".hg", "__pycache__", "node_modules", ".venv", "venv", ".tox", ".mypy_cache"})
-HEAD = 8192
+HEAD, SAMPLE_BYTES, SAMPLE_TEXT = 8192, 1 << 20, 4 << 20
+#: Names by which Spark's reader knows a compressed file.
+SUFFIX = {"gzip": ".gz", "bzip2": ".bz2"}
+CODECS = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst", ".zstd")
 
 
 class UnreadableSource(ValueError):
@@ -44,71 +49,112 @@ def check_text(name: str, head: bytes) -> None:
         raise UnreadableSource(f"{name} is {kind or 'binary'}, not a text log")
 
 
-def open_text(path: str | Path) -> io.TextIOBase:
-    """The file's text, decompressed; bytes that aren't UTF-8 are replaced."""
-    with open(path, "rb") as f:
-        head = f.read(HEAD)
-    opener = next((o for magic, _, o in MAGIC if head.startswith(magic)), open)
-    with opener(path, "rb") as f:
-        check_text(str(path), f.read(HEAD))
-    return opener(path, "rt", encoding="utf-8", errors="replace")
-
-
-def sample(path: str | Path, n: int = 100) -> list[str]:
-    """The first ``n`` lines that aren't blank, in file order."""
-    out = []
-    with open_text(path) as f:
-        for line in f:
-            if line.strip():
-                out.append(line.rstrip("\n"))
-                if len(out) == n:
-                    break
-    return out
-
-
-def log_files(root: str | Path) -> list[Path]:
-    """Every file below, sorted; hidden names and build folders are passed over."""
-    root = Path(root)
-    out = []
-    for path in sorted(root.rglob("*")):
-        parts = path.relative_to(root).parts
-        if path.is_file() and not any(p.startswith(".") or p in SKIP for p in parts):
-            out.append(path)
-    return out
-
-
-def _stream(pairs: Iterator) -> Iterator:
-    import pandas as pd
-
-    for batch in pairs:
-        for name, content in zip(batch["path"], batch["content"], strict=True):
-            opener = next((o for magic, _, o in MAGIC if content.startswith(magic)), None)
-            with opener(io.BytesIO(content), "rt", encoding="utf-8", errors="replace") as f:
-                chunk, first = [], 1
-                for line in f:
-                    chunk.append(line.rstrip("\n"))
-                    if len(chunk) == 10_000:
+def _located(spark: SparkSession, path):
+    """(Hadoop path, its file system)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_head(spark: SparkSession, path, size: int) -> bytes:
+    """The first bytes of a file on any file system; a file that can't be read is an OSError."""
+    from py4j.protocol import Py4JJavaError
+
+    target, system = _located(spark, path)
+    try:
+        stream = system.open(target)
+        try:
+            return bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+    except Py4JJavaError as e:
+        raise OSError(f"{path}: {e.java_exception.getMessage()}") from e
+
+
+def unpacked(data: bytes) -> bytes:
+    """What the first bytes of a file hold, decompressed as far as they go."""
+    kind = compression_of(data)
+    if kind is None:
+        return data
+    try:
+        if kind == "gzip":
+            return zlib.decompressobj(wbits=31).decompress(data, SAMPLE_TEXT)
+        return (bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()).decompress(data, SAMPLE_TEXT)
+    except (zlib.error, lzma.LZMAError) as e:
+        raise OSError(f"damaged {kind} stream: {e}") from e
+
+
+def sample(spark: SparkSession, path, n: int = 100) -> list[str]:
+    """The first ``n`` lines that aren't blank, in file order, as far as the first megabyte of the file has them."""
+    raw = read_head(spark, path, SAMPLE_BYTES)
+    data = unpacked(raw)
+    check_text(str(path), data[:HEAD])
+    lines = data.decode("utf-8", "replace").split("\n")
+    if len(lines) > 1 and (len(raw) == SAMPLE_BYTES or len(data) >= SAMPLE_TEXT):
+        lines.pop()  # cut off in the middle
+    return [line.removesuffix("\r") for line in lines if line.strip()][:n]
+
+
+def log_files(spark: SparkSession, root) -> list[str]:
+    """Every file below, sorted; hidden names, a writer's marks and build folders are passed over."""
+    target, system = _located(spark, root)
+    base = system.makeQualified(target).toString().rstrip("/") + "/"
+    found, listed = [], system.listFiles(target, True)
+    while listed.hasNext():
+        path = listed.next().getPath().toString()
+        parts = path.removeprefix(base).split("/")
+        if not any(p.startswith((".", "_")) or p in SKIP for p in parts):
+            found.append((parts, path))
+    return [path for _, path in sorted(found)]
+
+
+def is_folder(spark: SparkSession, path) -> bool:
+    target, system = _located(spark, path)
+    return system.exists(target) and system.getFileStatus(target).isDirectory()
+
+
+def _stream(whole: bool):
+    """Compressed contents as numbered lines, or each as one."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                opener = next((o for magic, _, o in MAGIC if content.startswith(magic)), None)
+                plain = opener(io.BytesIO(content)) if opener else io.BytesIO(content)
+                with io.TextIOWrapper(plain, encoding="utf-8", errors="replace") as f:
+                    if whole:
+                        yield pd.DataFrame({"source_file": [name], "line_no": [1], "line": [f.read()]})
+                        continue
+                    chunk, first = [], 1
+                    for line in f:
+                        chunk.append(line.rstrip("\n"))
+                        if len(chunk) == 10_000:
+                            yield pd.DataFrame({"source_file": name, "line_no": range(first, first + len(chunk)), "line": chunk})
+                            first, chunk = first + len(chunk), []
+                    if chunk:
                         yield pd.DataFrame({"source_file": name, "line_no": range(first, first + len(chunk)), "line": chunk})
-                        first, chunk = first + len(chunk), []
-                if chunk:
-                    yield pd.DataFrame({"source_file": name, "line_no": range(first, first + len(chunk)), "line": chunk})
 
+    return run
 
-def lines(spark: SparkSession, path: str | Path, whole: bool = False) -> DataFrame:
-    """source_file, line_no, line of one local or shared file; ``whole`` reads it as a single line."""
-    with open(path, "rb") as f:
-        head = f.read(HEAD)
-    uri = Path(path).resolve().as_uri()
+
+def streamed(path, head: bytes) -> bool:
+    """Whether Spark's reader can't take the file: its name doesn't say how it is compressed, or says so of a plain one."""
+    kind = compression_of(head)
+    return str(path).endswith(CODECS) if kind is None else not str(path).endswith(SUFFIX.get(kind, "\0"))
+
+
+def lines(spark: SparkSession, paths, whole: bool = False) -> DataFrame:
+    """source_file, line_no, line of one file or several that are compressed alike; ``whole`` makes each file a single line."""
+    paths = [str(p) for p in paths] if isinstance(paths, list) else [str(paths)]
+    head = read_head(spark, paths[0], HEAD)
+    check_text(paths[0], unpacked(head)[:HEAD])
+    if streamed(paths[0], head):
+        raw = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content")
+        return raw.mapInPandas(_stream(whole), "source_file string, line_no long, line string")
     if whole:
-        with open_text(path) as f:
-            return spark.createDataFrame([(uri, 1, f.read())], "source_file string, line_no long, line string")
-    if compression_of(head):
-        with open_text(path):
-            pass
-        raw = spark.read.format("binaryFile").load(uri).select("path", "content")
-        return raw.mapInPandas(_stream, "source_file string, line_no long, line string")
-    check_text(str(path), head)
-    return R.read_lines(spark, uri)
+        return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.lit(1).cast("long").alias("line_no"), F.col("value").alias("line"))
+    return R.read_lines(spark, paths)
 
 
 def is_document(first_lines: list[str]) -> bool:
@@ -124,9 +170,9 @@ def is_document(first_lines: list[str]) -> bool:
     return bool(first_lines) and first_lines[0].lstrip()[:1] in "[{"
 
 
-def choose(path: str | Path, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None) -> tuple[str, object, dict[str, float]]:
+def choose(spark: SparkSession, path, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None) -> tuple[str, object, dict[str, float]]:
     """(reader, its argument, scores): the named one, the detected one, an inferred schema (if allowed), else raw lines."""
-    head = sample(path, 2 * 400)
+    head = sample(spark, path, 2 * 400)
     scores = detect.scores(head[:100])
     if name is not None:
         readers.reader(name)
@@ -139,32 +185,36 @@ def choose(path: str | Path, name: str | None = None, allow_bootstrap: bool = Fa
     return "raw_lines", readers.adopt_shape(head[:400], year=year), scores
 
 
-def read_file(spark: SparkSession, path: str | Path, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None) -> tuple[DataFrame, str]:
-    """(records of one file, the reader used)."""
-    chosen, argument, _ = choose(path, name, allow_bootstrap, year)
-    table = lines(spark, path, whole=chosen in ("otlp", "loki", "elastic") and is_document(sample(path, 5)))
+def read_alike(spark: SparkSession, paths: list[str], chosen: str, argument, whole: bool, year: int | None = None) -> DataFrame:
+    """Records of files that one reader takes the same way: one scan."""
+    table = lines(spark, paths, whole)
     if chosen == "inferred":
-        return bootstrap.read(table, argument, year), chosen
+        return bootstrap.read(table, argument, year)
     if chosen == "raw_lines":
-        return readers.raw_lines(table, argument, year), chosen
-    return (readers.json_lines(table, year) if chosen == "json_lines" else readers.reader(chosen)(table)), chosen
+        return readers.raw_lines(table, argument, year)
+    return readers.json_lines(table, year) if chosen == "json_lines" else readers.reader(chosen)(table)
 
 
-def read_source(spark: SparkSession, source: str | Path, **options) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:
+def read_source(spark: SparkSession, source, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:
     """(records, (file, reader) pairs, why files were passed over) of a file or a folder; a folder without a readable file is an error."""
-    paths = log_files(source) if Path(source).is_dir() else [Path(source)]
-    parts, used, skipped = {}, [], []
-    for path in paths:
+    folder = is_folder(spark, source)
+    groups, used, skipped = {}, [], []
+    for path in log_files(spark, source) if folder else [str(source)]:
         try:
-            parts[str(path)], name = read_file(spark, path, **options)
-            used.append((str(path), name))
+            head = read_head(spark, path, HEAD)
+            chosen, argument, _ = choose(spark, path, name, allow_bootstrap, year)
+            whole = chosen in ("otlp", "loki", "elastic") and is_document(sample(spark, path, 5))
         except (UnreadableSource, EOFError, OSError) as e:
-            if len(paths) == 1 and not Path(source).is_dir():
+            if not folder:
                 raise
             skipped.append(f"{path}: {e}")
-    if not parts:
+            continue
+        groups.setdefault((chosen, repr(argument), whole, streamed(path, head)), (argument, []))[1].append(path)
+        used.append((path, chosen))
+    if not groups:
         raise UnreadableSource(f"nothing to read in {source}")
-    return (readers.union_files(parts) if Path(source).is_dir() else next(iter(parts.values()))), used, skipped
+    parts = {key: read_alike(spark, paths, key[0], argument, key[2], year) for key, (argument, paths) in groups.items()}
+    return (readers.union_files(parts) if folder else next(iter(parts.values()))), used, skipped
 
 
 def number_events(records: DataFrame) -> DataFrame:

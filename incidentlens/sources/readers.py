@@ -239,8 +239,8 @@ def reader(name: str):
     return READERS[name]
 
 
-def union_files(parts: dict[str, DataFrame]) -> DataFrame:
-    """Records of several files: each keeps its own reader; a file's stem names the source where the data did not."""
+def union_files(parts: dict[object, DataFrame]) -> DataFrame:
+    """Records of several groups of files: each keeps its own reader; a file's stem names the source where the data did not."""
     out = None
     for df in parts.values():
         stem = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"(?:\.(?:gz|bz2|xz))?$", "")

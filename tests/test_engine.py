@@ -1,6 +1,9 @@
 """Unit tests of functions, readers, redaction, templating, scoring and the guarded channel."""
 
+import bz2
+import gzip
 import json
+import lzma
 import math
 import random
 import re
@@ -220,11 +223,65 @@ def test_schema_inference(spark, tmp_path):
     assert bootstrap.match_rate(rows, schema).first()[0] == pytest.approx(40 / 41)
 
 
-def test_binary_is_named(tmp_path):
+def test_binary_is_named(spark, tmp_path):
     path = tmp_path / "x.log"
     path.write_bytes(b"PK\x03\x04rest")
     with pytest.raises(files.UnreadableSource, match="zip"):
-        files.sample(path)
+        files.sample(spark, path)
+    (tmp_path / "y.log").write_bytes(gzip.compress(b"PK\x03\x04rest"))
+    with pytest.raises(files.UnreadableSource, match="zip"):
+        files.sample(spark, tmp_path / "y.log")
+    with pytest.raises(OSError):
+        files.sample(spark, tmp_path / "none.log")
+
+
+def test_compression_is_told_by_content(spark, tmp_path):
+    text = "".join(f'{{"ts": "2026-01-01T00:00:{i % 60:02d}Z", "msg": "m{i}"}}\n' for i in range(500))
+    packers = {"a.log": lambda b: b, "b.log.gz": gzip.compress, "c.log.bz2": bz2.compress, "d.log.xz": lzma.compress, "e.log": gzip.compress, "f.gz": lambda b: b}
+    for name, pack in packers.items():
+        (tmp_path / name).write_bytes(pack(text.encode()))
+        assert files.sample(spark, tmp_path / name, 500) == text.splitlines()
+    (tmp_path / ".hidden").write_text("x")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "g.log").write_text(text)
+    (tmp_path / "bad.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(text.encode())[:20] + b"\xff" * 50)
+    records, used, skipped = files.read_source(spark, "file://" + str(tmp_path))  # any scheme that the session knows
+    assert sorted(u[0].rsplit("/", 1)[1] for u in used) == ["a.log", "b.log.gz", "c.log.bz2", "d.log.xz", "e.log", "f.gz", "g.log"] and {u[1] for u in used} == {"json_lines"}
+    assert len(skipped) == 2
+    got = {r["source"]: (r["n"], r["d"]) for r in records.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("message").alias("d")).collect()}
+    assert got == {x: (500, 500) for x in "abcdeg"} | {"f": (500, 500)}
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("LogicalRelation") <= 8  # one scan a group, not one a file
+
+
+def test_deep_wire_values_lose_nothing(spark):
+    value = '{"stringValue": "leaf"}'
+    for _ in range(6):
+        value = f'{{"arrayValue": {{"values": [{value}]}}}}'
+    line = f'{{"resourceLogs": [{{"scopeLogs": [{{"logRecords": [{{"timeUnixNano": "1700000000000000000", "body": {value}}}]}}]}}]}}'
+    assert "leaf" in readers.otlp(lines(spark, line)).first()["message"]
+
+
+def test_raw_lines_carry_time_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(readers, "RUN_LINES", 7)
+    text = [f"2026-01-01T00:00:{i:02d}Z start" if i in (5, 6, 40) else f"line {i}" for i in range(60)]
+    got = [r["ts"] for r in readers.raw_lines(lines(spark, *text), "iso8601").orderBy("line_no").collect()]
+    last, want = None, []
+    for n, line in enumerate(text, 1):
+        last = datetime(2026, 1, 1, 0, 0, int(line[17:19])) if line.startswith("2026") else last
+        want.append(last or datetime(1970, 1, 1, 0, 0, n))
+    assert got == want
+
+
+def test_search_folds_ascii_only(spark):
+    e = spark.createDataFrame([(1, "ÉTAT A", "ÉTAT A"), (2, "état a", None)], "template_id long, message string, raw string")
+    assert [r[0] for r in reads.text_search(e, "état A").collect()] == [2] and [r[0] for r in reads.text_search(e, "ÉTAT a").collect()] == [1]
+
+
+def test_vault_keeps_the_first_value(spark):
+    rows = spark.createDataFrame([(2, [("ssn", "t", "a")]), (1, [("ssn", "t", "z"), ("ssn", "t", "b")])], "id long, redactions array<struct<entity:string,token:string,value:string>>")
+    assert [tuple(r) for r in redaction.vault(rows).collect()] == [("t", "ssn", "z")]
 
 
 def test_line_numbers_over_splits(spark, tmp_path):
