@@ -168,3 +168,23 @@ def seeded_targets(templates: DataFrame, signal: DataFrame, chronic: DataFrame,
         .union(rarest.select(F.lit("thin-evidence").alias("name"), "template_id")).union(ghost)
         .union(pick(outside.join(F.broadcast(some), F.lit(True)), "signal-ignored", "anomaly_score", "template_id"))
     )
+
+
+def sound_conclusions(templates: DataFrame, signal: DataFrame, chronic: DataFrame, most_chronic: int = 5) -> DataFrame:
+    """name, role, place, template_id: the citations of two conclusions that no check may object to.
+
+    ``signal-accounted`` rests on every signal template in rank order; ``chronic-dismissed`` does too, and sets the first chronic
+    templates aside in a note of its own.  Without a signal there is neither, without chronic templates only the first.
+    """
+    ranked = signal.join(templates.select("template_id"), "template_id", "left_semi").select(F.lit("finding").alias("role"), F.col("rank").cast("long").alias("place"), "template_id")
+    order = Window.orderBy("template_id")
+    few = chronic.select("template_id").orderBy("template_id").limit(most_chronic)  # a top-k; the window has that many rows
+    aside = few.select(F.lit("accounting").alias("role"), F.row_number().over(order).cast("long").alias("place"), "template_id")
+    both = ranked.join(chronic.select(F.lit(True).alias("_any")).limit(1), F.lit(True)).drop("_any").union(aside.join(ranked.select(F.lit(True).alias("_any")).limit(1), F.lit(True)).drop("_any"))
+    named = lambda rows, name: rows.select(F.lit(name).alias("name"), "role", "place", "template_id")
+    return named(ranked, "signal-accounted").union(named(both, "chronic-dismissed"))
+
+
+def unseen_citations(notes: DataFrame, seen: DataFrame) -> DataFrame:
+    """note_id, log_event_id: cited events that no read has shown."""
+    return notes.select("note_id", F.explode("log_event_ids").alias("log_event_id")).distinct().join(seen.select(F.col("id").alias("log_event_id")), "log_event_id", "left_anti").select("note_id", "log_event_id")

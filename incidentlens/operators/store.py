@@ -75,10 +75,24 @@ class Store:
     def create(self, source: str, fmt: str | None = None, redaction: str | None = None, brief: str | None = None) -> None:
         self.replace("incident", self.spark.createDataFrame([(self.incident, datetime.now(UTC), source, fmt, redaction, brief)], SCHEMAS["incident"]))
 
+    def row(self) -> dict | None:
+        """The incident's row, if it has one."""
+        found = self.read("incident").orderBy("created_at").first()
+        return found.asDict() if found else None
+
+    def rename(self, incident: str) -> "Store":
+        """The same tables under another id; an id that is taken is refused."""
+        other = Store(self.spark, self.folder.parent, incident)
+        if other.folder.exists():
+            raise ValueError(f"{incident} exists")
+        self.folder.rename(other.folder)
+        other.replace("incident", other.read("incident").withColumn("incident_id", F.lit(incident)))
+        return other
+
     def write_note(self, note: dict, seen_events: set[int] | None = None) -> int:
         """Validates and appends a note; its id."""
         N.validate_note(note, seen_events)
-        number = self.read("notes").count() + 1
+        number = (self.read("notes").agg(F.max("note_id")).first()[0] or 0) + 1
         self.append("notes", [(number, note["step"], note["note"], note.get("template_ids") or [], note.get("log_event_ids") or [], note["confidence"], note.get("role") or "finding", bool(note.get("synthesis")))])
         return number
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentlens.functions import severity as S
@@ -119,16 +119,36 @@ def _zoned(s, d):
 
 
 add("zone_notation", lambda s, d: A.zone_notation(_zoned(s, d)), V.sql(V.LOG_EVENTS, select="SELECT source, CASE source WHEN 'svc-0' THEN 'utc' WHEN 'svc-3' THEN 'naive' ELSE '+05:30' END AS zone, count(*) AS n FROM log_events GROUP BY ALL"))
-_SKEW = "m AS (SELECT DISTINCT source, (epoch_us(ts) // 60000000 + CASE WHEN source = 'svc-1' THEN 330 ELSE 0 END) // 15 AS slot FROM log_events)"
+# Every source is active two hours a day; one of them writes another zone's time.
+_SHAPED = "(epoch_us(ts) // 60000000) // 1440 * 1440 + 540 + (epoch_us(ts) // 60000000) % 120 + CASE WHEN source = 'svc-1' THEN 330 ELSE 0 END"
+_SKEW = f"m AS (SELECT DISTINCT source, ({_SHAPED}) // 15 AS slot FROM log_events)"
 
 
-def _skewed(s, d):
-    e = V.log_events(s, d)
-    return A.source_minutes(e).withColumn("minute", F.col("minute") + F.when(F.col("source") == "svc-1", 330).otherwise(0))
+def _skewed_events(s, d):
+    minute = F.floor(F.unix_micros("ts") / 60_000_000)
+    shaped = F.floor(minute / 1440) * 1440 + 540 + minute % 120 + F.when(F.col("source") == "svc-1", 330).otherwise(0)
+    return V.log_events(s, d).withColumn("ts", F.timestamp_seconds(shaped * 60))
+
+
+def _overlaps_sql(reference: str) -> str:
+    return f"""o AS (SELECT b.source, k * 15 AS shift, count(*) / least(any_value(z.size), (SELECT size FROM sizes WHERE source = {reference})) AS overlap
+  FROM m b, (SELECT unnest(range(-56, 57)) AS k), m a, sizes z WHERE b.source <> {reference} AND a.source = {reference} AND a.slot = b.slot + k AND z.source = b.source GROUP BY b.source, k),
+best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY overlap DESC, abs(shift), shift) = 1)"""
+
+
+_SIZES = "sizes AS (SELECT source, count(*) AS size FROM m GROUP BY source)"
+_BEST = "SELECT best.source, best.shift, best.overlap, coalesce(o.overlap, 0) AS unshifted FROM best LEFT JOIN o ON o.source = best.source AND o.shift = 0"
+add("clock_skew", lambda s, d: A.best_shift(A.shift_overlaps(A.source_minutes(_skewed_events(s, d)), "svc-0")), V.sql(V.LOG_EVENTS, _SKEW, _SIZES, _overlaps_sql("'svc-0'"), select=_BEST))
 
 
-add("clock_skew", lambda s, d: A.best_shift(A.shift_overlaps(_skewed(s, d), "svc-0")), V.sql(V.LOG_EVENTS, _SKEW, "sizes AS (SELECT source, count(*) AS size FROM m GROUP BY source)", """o AS (SELECT b.source, k * 15 AS shift, count(*) / least(any_value(z.size), (SELECT size FROM sizes WHERE source = 'svc-0')) AS overlap
-  FROM m b, (SELECT unnest(range(-56, 57)) AS k), m a, sizes z WHERE b.source <> 'svc-0' AND a.source = 'svc-0' AND a.slot = b.slot + k AND z.source = b.source GROUP BY b.source, k)""", "best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY overlap DESC, abs(shift), shift) = 1)", select="SELECT best.source, best.shift, best.overlap, coalesce(o.overlap, 0) AS unshifted FROM best LEFT JOIN o ON o.source = best.source AND o.shift = 0"))
+def _consensus(s, d):
+    from incidentlens.operators import health
+
+    found, _ = health.clock_skews(_skewed_events(s, d), health.Thresholds())
+    return s.createDataFrame(found, "source string, shift long, overlap double, unshifted double")
+
+
+add("clock_consensus", _consensus, V.sql(V.LOG_EVENTS, _SKEW, _SIZES, "busiest AS (SELECT source AS p FROM log_events WHERE source <> 'svc-1' GROUP BY source ORDER BY count(*) DESC, source DESC LIMIT 1)", _overlaps_sql("(SELECT p FROM busiest)"), select=f"SELECT * FROM ({_BEST}) WHERE abs(shift) >= 30 AND overlap - unshifted >= 0.5"))
 
 # ---- scalar functions
 _LEVELS = ["trace", " Verbose", "FINE", "notice", "Warning", "err", "SEVERE", "crit", "panic", "wat", "", None, "information"]
@@ -444,3 +464,86 @@ def _documents_as_files(s, d):
 
 
 add("documents_over_lines", lambda s, d: _documents_as_files(s, d).select(times.iso(F.col("ts")).alias("ts"), "source", "severity", "message", "format"), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('ts')} AS ts, source, severity, message, 'otlp' AS format FROM log_events"))
+
+# ---- an incident's tables: written, read again, replaced, and the whole ingest
+
+
+def _store(s):
+    from incidentlens.operators.store import Store
+    from incidentlens.sources.scratch import scratch
+
+    return Store(s, scratch(s).removeprefix("file://").removeprefix("file:"), "2026-01-01-checked")
+
+
+def _stored(s, d):
+    """Events and templates stored twice: the later version counts."""
+    store = _store(s)
+    store.replace("events", V.log_events(s, d).limit(1))
+    store.replace("events", V.log_events(s, d))
+    store.replace("templates", A.template_summary(store.read("events")))
+    return store.read("events").join(store.read("templates").select("template_id", "occurrence_count"), "template_id").select("id", times.iso(F.col("ts")).alias("ts"), "source", "severity", "template_id", "message", "trace_id", "occurrence_count")
+
+
+add("stored_events", _stored, V.sql(*V.BASE, select=f"SELECT id, {V.ISO.format('ts')} AS ts, source, severity, template_id, message, trace_id, occurrence_count FROM log_events JOIN templates USING (template_id)"))
+
+
+def _stored_metrics(s, d):
+    store, n = _store(s), V.log_events(s, d).count()
+    store.record("ingest", {"events": 0, "format": "otlp", "left": None})
+    store.record("ingest", {"events": n})
+    store.record("templating", {"templates": V.templates(s, d).count()})
+    return store.read("metrics").select("stage", "metric", "value", "value_num")
+
+
+add("stored_metrics", _stored_metrics, V.sql(*V.BASE, select="SELECT 'ingest' AS stage, 'events' AS metric, CAST(count(*) AS VARCHAR) AS value, CAST(count(*) AS DOUBLE) AS value_num FROM log_events UNION ALL SELECT 'ingest', 'format', 'otlp', NULL UNION ALL SELECT 'ingest', 'left', NULL, NULL UNION ALL SELECT 'templating', 'templates', CAST(count(*) AS VARCHAR), CAST(count(*) AS DOUBLE) FROM templates"))
+
+
+def _investigated(s, d):
+    """A store with an incident, a note for each of the three largest templates, logged queries and a critique that was replaced."""
+    store = _store(s)
+    store.create("app.jsonl", "json_lines", "strict", "why")
+    for step, r in enumerate(reads.top_templates(V.scored_templates(s, d), 3).collect(), 1):
+        store.write_note({"step": step, "note": r["pattern"], "template_ids": [r["template_id"]], "confidence": "high"})
+        store.log_query(step, "x" * 600, r["occurrence_count"])
+    store.save_critique("upheld", objections=[("a", "c", "o", "high", "r", True)])
+    store.save_critique("revised", "weak", "other", "low", [("b", "claim", "objection", "medium", "answer", False)])
+    return store
+
+
+_TOP3 = "top3 AS (SELECT *, row_number() OVER (ORDER BY occurrence_count DESC, max_severity_rank DESC, template_id) AS step FROM scored QUALIFY step <= 3)"
+add("stored_notes", lambda s, d: _investigated(s, d).read("notes").select("note_id", "step", "note", F.col("template_ids")[0].alias("template_id"), "confidence", "role"), V.sql(*V.SCORED, _TOP3, select="SELECT step AS note_id, step, pattern AS note, template_id, 'high' AS confidence, 'finding' AS role FROM top3"))
+add("stored_queries", lambda s, d: _investigated(s, d).read("query_log").select("step", F.length("query").cast("long").alias("n_chars"), "row_count"), V.sql(*V.SCORED, _TOP3, select="SELECT step, 500::BIGINT AS n_chars, occurrence_count AS row_count FROM top3"))
+add("stored_critique", lambda s, d: (lambda x: x.read("critique").join(x.read("objections"), F.lit(True)).select("outcome", "assessment", "alternative", "revised_confidence", "objection_id", "claim", "severity", "conceded"))(_investigated(s, d)), "SELECT 'revised' AS outcome, 'weak' AS assessment, 'other' AS alternative, 'low' AS revised_confidence, 'b' AS objection_id, 'claim' AS claim, 'medium' AS severity, false AS conceded")
+
+
+def _cleared(s, d):
+    store = _investigated(s, d)
+    return s.createDataFrame([(k, n, store.read(k).count()) for k, n in store.clear_investigation().items()], "name string, dropped long, left long")
+
+
+add("stored_cleared", _cleared, V.sql(*V.SCORED, _TOP3, select="SELECT 'notes' AS name, count(*) AS dropped, 0::BIGINT AS left FROM top3 UNION ALL SELECT 'query_log', count(*), 0 FROM top3 UNION ALL SELECT 'objections', 1, 0 UNION ALL SELECT 'critique', 1, 0"))
+
+
+def _incident(s, d):
+    row = _investigated(s, d).rename("2026-01-01-renamed").row()
+    return s.createDataFrame([(row["incident_id"], row["source"], row["format"], row["redaction"], row["brief"])], "incident_id string, source string, format string, redaction string, brief string")
+
+
+add("stored_incident", _incident, "SELECT '2026-01-01-renamed' AS incident_id, 'app.jsonl' AS source, 'json_lines' AS format, 'strict' AS redaction, 'why' AS brief")
+add("unseen_citations", lambda s, d: notes.unseen_citations(V.notes(s, d), reads.get_slice(V.log_events(s, d), 50, start=_FROM)), V.sql(V.LOG_EVENTS, V.NOTES, f"seen AS (SELECT id FROM log_events WHERE ts >= TIMESTAMP '{_FROM}' ORDER BY ts, id LIMIT 50)", select="SELECT * FROM (SELECT DISTINCT note_id, unnest(log_event_ids) AS log_event_id FROM notes) WHERE log_event_id NOT IN (SELECT id FROM seen)"))
+add("sound_conclusions", lambda s, d: notes.sound_conclusions(V.scored_templates(s, d), scoring.signal_set(V.scores(s, d)), A.chronic(V.templates(s, d), V.log_events(s, d))), V.sql(*V.SCORED, V.SIGNAL, V.CHRONIC, "s AS (SELECT 'finding' AS role, rank AS place, template_id FROM signal)", "c AS (SELECT 'accounting' AS role, row_number() OVER (ORDER BY template_id) AS place, template_id FROM chronic QUALIFY place <= 5)", select="SELECT 'signal-accounted' AS name, * FROM s UNION ALL SELECT 'chronic-dismissed', * FROM s WHERE EXISTS (SELECT 1 FROM c) UNION ALL SELECT 'chronic-dismissed', * FROM c WHERE EXISTS (SELECT 1 FROM s)"))
+add("score_ranking", lambda s, d: V.scores(s, d).select("template_id", "score", F.rank().over(Window.orderBy(F.desc("score"), "template_id")).cast("long").alias("place")), V.sql(*V.SCORED, select="SELECT template_id, score, row_number() OVER (ORDER BY score DESC, template_id) AS place FROM scores"))
+
+
+def _ingested(s, d):
+    """The whole ingest of a folder of logs: detection, redaction, templates, scores, metrics."""
+    from incidentlens.plans import ingest
+    from incidentlens.sources.scratch import scratch
+
+    root = scratch(s).removeprefix("file://").removeprefix("file:")
+    return ingest.ingest(s, _folder(s, d), root, "2026-01-01-ingested", ingest.Options(calibrate=False)).store
+
+
+add("ingest_events", lambda s, d: _ingested(s, d).read("events").select(times.iso(F.col("ts")).alias("ts"), "source", "severity", "message", "trace_id", F.get_json_object("fields", "$.n").cast("long").alias("n")), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('ts')} AS ts, source, severity, message, trace_id, id AS n FROM log_events"))
+add("ingest_templates", lambda s, d: _ingested(s, d).read("templates").select("pattern", "occurrence_count", times.iso(F.col("first_seen")).alias("first_seen"), times.iso(F.col("last_seen")).alias("last_seen"), "max_severity_rank"), V.sql(V.LOG_EVENTS, select=rf"SELECT regexp_replace(message, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, count(*) AS occurrence_count, {V.ISO.format('min(ts)')} AS first_seen, {V.ISO.format('max(ts)')} AS last_seen, max({V.RANK.format('severity')}) AS max_severity_rank FROM log_events GROUP BY 1"))
+add("ingest_metrics", lambda s, d: _ingested(s, d).read("metrics").where("metric in ('lines_read', 'records', 'parse_errors', 'unmapped_severity', 'templates')").select("stage", "metric", "value_num"), V.sql(V.LOG_EVENTS, select="SELECT 'ingest' AS stage, unnest(['lines_read', 'records', 'parse_errors', 'unmapped_severity']) AS metric, unnest([count(*), count(*), 0, 0])::DOUBLE AS value_num FROM log_events UNION ALL SELECT 'templating', 'templates', count(DISTINCT regexp_replace(message, '[^ ]*[0-9]+[^ ]*$', '<*>'))::DOUBLE FROM log_events"))
