@@ -1,4 +1,4 @@
-"""Commands: ingest, health, investigate, report, run, reveal, sql."""
+"""Commands: ingest, health, investigate, report, run, reveal, sql, and the evaluations eval, eval-seeded, eval-ranking, eval-templating."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from incidentlens.agent import loop
-from incidentlens.operators import health, redaction
+from incidentlens.operators import cases, health, redaction
 from incidentlens.operators.store import Store
 from incidentlens.plans import guard, report
 from incidentlens.plans.ingest import Options, ingest
@@ -44,6 +45,17 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("report", "run"):
         sub.choices[name].add_argument("--out", default="reports")
         sub.choices[name].add_argument("--as", dest="fmt", default="markdown", choices=sorted(report.FORMATS))
+    p = sub.add_parser("eval", help="score investigations of the built-in cases")
+    p.add_argument("--case", action="append")
+    p.add_argument("--runs", type=int, default=1)
+    p.add_argument("--method", default="skeleton", choices=["skeleton", "search"])
+    p.add_argument("--out", default="evaluations")
+    sub.add_parser("eval-seeded", help="which unsound conclusions the free checks catch").add_argument("incident")
+    sub.add_parser("eval-ranking", help="where stored incidents rank the template that matters").add_argument("incidents", nargs="+")
+    p = sub.add_parser("eval-templating", help="grouping accuracy on a labelled CSV file")
+    p.add_argument("file")
+    p.add_argument("--sim-th", type=float, default=0.4)
+    p.add_argument("--depth", type=int, default=4)
     p = sub.add_parser("reveal")
     p.add_argument("vault")
     p.add_argument("--token")
@@ -59,6 +71,31 @@ def _preflight(store: Store, ignore: bool) -> None:
         store.record("investigate", {"health_overridden": True})
 
 
+def evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Runs an evaluation and prints its figures; 1 if a built-in case or a seeded conclusion fails."""
+    if args.command == "eval-templating":
+        rows = spark.read.csv(args.file, header=True, multiLine=True, escape='"').withColumn("LineId", F.col("LineId").cast("long"))
+        print(f"grouping accuracy {cases.score_labelled(rows, sim_th=args.sim_th, depth=args.depth).first()[0]:.4f}")
+        return 0
+    if args.command == "eval-ranking":
+        for name, rank, leads in cases.rank_report({i: Store(spark, args.root, i) for i in args.incidents}):
+            print(f"{name}: rank {rank or 'none'}, {'no notes' if leads is None else 'leads' if leads else 'does not lead'}")
+        return 0
+    if args.command == "eval-seeded":
+        found = cases.Seeded().run(Store(spark, args.root, args.incident))
+        for name, good in sorted(found.items()):
+            print(f"{'ok  ' if good else 'miss'} {name}")
+        return int(not all(found.values()))
+    investigate = loop.skeleton if args.method == "skeleton" else cases.grep_note
+    chosen = [c for c in cases.builtin() if not args.case or c.name in args.case]
+    results = {c.name: cases.run_case(spark, c, Path(args.out), investigate, args.runs) for c in chosen}
+    for name, runs in results.items():
+        for check, rate in cases.rates(runs).items():
+            print(f"{name}: {check} {rate}")
+    print(cases.write_results(results, args.out))
+    return int(any(c.passed is False for runs in results.values() for checks in runs for c in checks))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = spark or session()
@@ -77,6 +114,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in redaction.reveal(spark.read.parquet(args.vault), args.token, args.all).collect():
             print(r["token"], r["entity"], r["value"])
         return 0
+    if args.command.startswith("eval"):
+        return evaluation(spark, args)
     store = Store(spark, args.root, args.incident)
     if args.command == "health":
         found = health.report(store.read("events"), store.read("templates"), {k[1]: float(v) for k, v in store.metrics().items() if k[0] == "ingest" and k[1] in ("lines_read", "parse_errors")})

@@ -151,7 +151,7 @@ def write_results(results: dict[str, list[list[Check]]], folder: str | Path) ->
 
 @dataclass
 class Seeded:
-    """Deliberately wrong conclusions, and whether the free checks catch what each is built for."""
+    """Deliberately wrong conclusions, and whether the free checks catch what each is built for; and two sound ones, which none may object to."""
 
     expected: dict[str, str] = field(default_factory=lambda: {
         "chronic-as-acute": "chronic-as-cause", "volume-led": "signal-ignored", "thin-evidence": "thin-evidence", "fabricated-citation": "nonexistent-citation", "signal-ignored": "signal-ignored",
@@ -167,9 +167,29 @@ class Seeded:
             rows = store.spark.createDataFrame([(1, 1, r["name"], [r["template_id"]], [], "high", "finding", False)], notes.NOTE_SCHEMA)
             fired = {x[0] for x in notes.critique(rows, events, templates, signal, chronic).select("check_name").collect()}
             out[r["name"]] = self.expected[r["name"]] in fired
+        sound: dict[str, dict[str, list[int]]] = {}
+        for r in notes.sound_conclusions(templates, signal, chronic).orderBy("name", "role", "place").collect():
+            sound.setdefault(r["name"], {}).setdefault(r["role"], []).append(r["template_id"])
+        for name, cited in sound.items():
+            rows = [(n, n, name, ids, [], "high" if role == "finding" else "medium", role, False) for n, (role, ids) in enumerate(sorted(cited.items(), reverse=True), 1)]
+            out[name] = notes.critique(store.spark.createDataFrame(rows, notes.NOTE_SCHEMA), events, templates, signal, chronic).isEmpty()
         return out
 
 
+def rank_report(stores: dict[str, Store]) -> list[tuple[str, int | None, bool | None]]:
+    """(case, rank of the needle among scored templates, whether the leading note cites it) of finished investigations."""
+    from incidentlens.operators import scoring
+
+    out = []
+    for name, store in sorted(stores.items()):
+        templates = store.read("templates")
+        scores = templates.select("template_id", F.col("anomaly_score").alias("score"))
+        needle = scoring.needle_position(scores, templates).first()
+        lead = notes.rank_notes(store.read("notes"), scores, templates).orderBy("rank").first() if not store.read("notes").isEmpty() else None
+        out.append((name, needle and needle["rank"], None if lead is None or needle is None else needle["template_id"] in lead["template_ids"]))
+    return out
+
+
 def score_labelled(lines: DataFrame, text: str = "Content", truth: str = "EventId", order: str = "LineId", **options) -> DataFrame:
     """Grouping accuracy of the templates of a labelled corpus (columns as in the public log parsing sets)."""
     rows = lines.select(F.col(order).cast("long").alias("id"), F.col(text).alias("message"), F.col(truth).alias("truth"))

@@ -547,3 +547,18 @@ def _ingested(s, d):
 add("ingest_events", lambda s, d: _ingested(s, d).read("events").select(times.iso(F.col("ts")).alias("ts"), "source", "severity", "message", "trace_id", F.get_json_object("fields", "$.n").cast("long").alias("n")), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('ts')} AS ts, source, severity, message, trace_id, id AS n FROM log_events"))
 add("ingest_templates", lambda s, d: _ingested(s, d).read("templates").select("pattern", "occurrence_count", times.iso(F.col("first_seen")).alias("first_seen"), times.iso(F.col("last_seen")).alias("last_seen"), "max_severity_rank"), V.sql(V.LOG_EVENTS, select=rf"SELECT regexp_replace(message, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, count(*) AS occurrence_count, {V.ISO.format('min(ts)')} AS first_seen, {V.ISO.format('max(ts)')} AS last_seen, max({V.RANK.format('severity')}) AS max_severity_rank FROM log_events GROUP BY 1"))
 add("ingest_metrics", lambda s, d: _ingested(s, d).read("metrics").where("metric in ('lines_read', 'records', 'parse_errors', 'unmapped_severity', 'templates')").select("stage", "metric", "value_num"), V.sql(V.LOG_EVENTS, select="SELECT 'ingest' AS stage, unnest(['lines_read', 'records', 'parse_errors', 'unmapped_severity']) AS metric, unnest([count(*), count(*), 0, 0])::DOUBLE AS value_num FROM log_events UNION ALL SELECT 'templating', 'templates', count(DISTINCT regexp_replace(message, '[^ ]*[0-9]+[^ ]*$', '<*>'))::DOUBLE FROM log_events"))
+
+
+def _warned(s, d):
+    from incidentlens.operators import health
+
+    store, e = _store(s), V.log_events(s, d)
+    facts = e.agg(F.count("*").alias("n"), (F.count_if(F.col("severity") == "ERROR") / F.count("*")).alias("errors")).first()
+    store.record("ingest", {"unmapped_severity": facts["n"], "skipped_files": 0})
+    store.record("health", {"timestamp_coverage": facts["errors"], "dominant_share": 0.9, "reduction_factor": 0.0})
+    store.record("templating", {"status": "under_clustered"})
+    checks = s.createDataFrame([("dominant_template", "warn"), ("timestamps", "ok")], "check_name string, status string")
+    return health.warnings(store.read("metrics"), checks).select("stage", "metric")
+
+
+add("report_warnings", _warned, "SELECT 'ingest' AS stage, 'unmapped_severity' AS metric FROM events HAVING count(*) > 0 UNION ALL SELECT 'health', 'timestamp_coverage' FROM events HAVING count(*) FILTER (event_type = 'error') / count(*) < 0.95 UNION ALL SELECT 'templating', 'status'")

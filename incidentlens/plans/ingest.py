@@ -110,5 +110,5 @@ def ingest(spark: SparkSession, source: str | Path, root: str | Path, incident:
     store.create(str(source), ",".join(sorted({n for _, n in used})), "strict" if options.redact else "off", options.brief)
     store.record("ingest", {**counters, "files": len(used), "skipped_files": len(skipped), **{f"redacted_{k}": v for k, v in tallies.items()}})
     store.record("templating", {"status": status, "sim_th": sim_th, "templates": templates.count()})
-    store.record("health", {**report.metrics, "verdict": report.verdict})
+    store.record("health", {**report.metrics, "verdict": report.verdict, **{f"check_{name}": status for name, status, _ in report.checks}})
     return Result(store, counters, report, tallies, status)

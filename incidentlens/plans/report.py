@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from incidentlens.operators import aggregates as A
 from incidentlens.operators import notes as N
-from incidentlens.operators import reads
+from incidentlens.operators import health, reads
 from incidentlens.operators.store import Store
 
 FORMATS = {"json": ".json", "markdown": ".md", "html": ".html"}
@@ -37,6 +37,12 @@ def jsonable(value):
     raise TypeError(f"can't render {type(value).__name__}")
 
 
+def _checks(store: Store):
+    """check_name, status of the health report as recorded."""
+    kept = store.read("metrics").where("stage = 'health' and metric like 'check\\_%'")
+    return kept.select(F.expr("substring(metric, 7)").alias("check_name"), F.col("value").alias("status"))
+
+
 def collect(store: Store) -> dict:
     """Facts of bounded size: the top templates, every note with its cited rows, per-level and per-source counts."""
     events, templates, notes = store.read("events"), store.read("templates"), store.read("notes")
@@ -64,6 +70,7 @@ def collect(store: Store) -> dict:
         "issues": issues, "broken_citations": broken, "templates": [r.asDict() for r in reads.top_templates(templates, TOP, "anomaly_score").collect()],
         "critique": [r.asDict() for r in store.read("critique").collect()], "objections": [r.asDict() for r in store.read("objections").orderBy("objection_id").collect()],
         "queries": [r.asDict() for r in store.read("query_log").orderBy("step").collect()],
+        "warnings": [r["warning"] for r in health.warnings(store.read("metrics"), _checks(store)).orderBy("stage", "metric").collect()],
         "metrics": {f"{stage}.{name}": value for (stage, name), value in sorted(store.metrics().items())},
     }
 
@@ -78,7 +85,7 @@ def sections(data: dict) -> list[tuple[str, list[str]]]:
         out.append((f"Issue {issue['rank']}", lines + [f"{e['id']} {e['ts']} {e['source'] or 'unknown'} {e['severity']} {e['message']}" for e in issue["events"]]))
     out.append(("Templates", [f"[{t['template_id']}] {t['anomaly_score']:.3f} n={t['occurrence_count']} {t['pattern']}" for t in data["templates"]]))
     out.append(("Objections", [f"{o['objection_id']} ({o['severity']}): {o['objection']} -> {o['response'] or 'unanswered'}" for o in data["objections"]]))
-    out.append(("Warnings", [f"note {b['note_id']} cites {b['kind']} {b['id']}, which doesn't exist" for b in data["broken_citations"]]))
+    out.append(("Warnings", [f"note {b['note_id']} cites {b['kind']} {b['id']}, which doesn't exist" for b in data["broken_citations"]] + data["warnings"]))
     out.append(("Metrics", [f"{k}: {v}" for k, v in data["metrics"].items()]))
     return [(title, lines) for title, lines in out if lines]
 

@@ -43,6 +43,31 @@ def test_silence_is_not_scored(store):
 def test_seeded_conclusions_are_caught(store):
     got = cases.Seeded().run(store)
     assert got["fabricated-citation"] and got["volume-led"] and got["signal-ignored"]
+    assert got["signal-accounted"]  # a sound one
+
+
+def test_evaluation_commands(spark, store, tmp_path, capsys):
+    from incidentlens import cli
+
+    root = str(store.folder.parent)
+    store.clear_investigation()
+    loop.skeleton(store)
+    cli.main(["--root", root, "eval-seeded", "cases"], spark)
+    cli.main(["--root", root, "eval-ranking", "cases"], spark)
+    (tmp_path / "labelled.csv").write_text("LineId,Content,EventId\n" + "".join(f'{i},"disk {i} full",E\n' for i in range(20)))
+    assert cli.main(["eval-templating", str(tmp_path / "labelled.csv")], spark) == 0
+    out = capsys.readouterr().out
+    assert "ok   fabricated-citation" in out and "cases: rank " in out and "grouping accuracy 1.0000" in out
+    cli.main(["eval", "--case", cases.builtin()[0].name, "--out", str(tmp_path / "out")], spark)
+    assert "citations-resolve 1/1" in capsys.readouterr().out
+
+
+def test_report_says_what_metrics_call_for(store):
+    from incidentlens.plans import report
+
+    store.record("ingest", {"skipped_files": 3})
+    data = report.collect(store)
+    assert "3 files were passed over." in data["warnings"] and "3 files were passed over." in report.render(data, "markdown")
 
 
 def test_labelled_corpus(spark):
