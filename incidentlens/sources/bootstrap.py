@@ -35,6 +35,14 @@ def readable(text: str, year: int | None = None) -> bool:
         return True
     except ValueError:
         pass
+    bare = re.sub(times.ZONE, "", re.sub(times.WEEKDAY, "", " ".join(t.split())).replace(",", ""))
+    for shape, _, pattern in times.FREE:
+        if re.fullmatch(shape, bare):
+            try:
+                datetime.strptime(f"{bare} +0000", f"{pattern} %z")
+                return True
+            except ValueError:
+                pass
     if year is not None and re.fullmatch(times.SHAPES["syslog"], t):
         try:
             datetime.strptime(f"{year} {' '.join(t.split())}", "%Y %b %d %H:%M:%S").replace(tzinfo=UTC)
