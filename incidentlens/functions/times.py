@@ -15,7 +15,7 @@ SHAPES = {
 }
 
 
-#: Written-out forms, each as (what it looks like once a weekday and the zone are taken off, Spark's pattern, Python's).
+#: Written-out forms (common log format first), each as (what it looks like once a weekday and the zone are taken off, Spark's pattern, Python's).
 FREE = (
     (r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}", "dd/MMM/yyyy:HH:mm:ss", "%d/%b/%Y:%H:%M:%S"),
     (r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}", "d MMM yyyy HH:mm:ss", "%d %b %Y %H:%M:%S"),
@@ -28,8 +28,11 @@ FREE = (
 WEEKDAY, ZONE = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? ", r"\s?(Z|GMT|UTC|[+-]\d{2}:?\d{2})$"
 
 
-def parse_free(text: Column) -> Column:
-    """The instant of a written-out form: day and month by name, slashes (month first), or without separators; no zone means UTC."""
+def parse_free(text: Column, clf: bool = False) -> Column:
+    """The instant of a written-out form: day and month by name, slashes (month first), or without separators; no zone means UTC.
+
+    Common log format is read only if asked for.
+    """
 
     def taken_apart(text: Column) -> Column:
         t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), WEEKDAY, ""), ",", "")
@@ -37,7 +40,7 @@ def parse_free(text: Column) -> Column:
         return F.struct(F.regexp_replace(t, ZONE, "").alias("bare"), F.when(zone.isin("", "Z", "GMT", "UTC"), F.lit("+0000")).otherwise(zone).alias("zone"))
 
     def read(x: Column) -> Column:
-        return F.coalesce(*[F.when(x["bare"].rlike(f"^(?:{shape})$"), F.try_to_timestamp(F.concat_ws(" ", x["bare"], x["zone"]), F.lit(f"{pattern} Z"))) for shape, pattern, _ in FREE])
+        return F.coalesce(*[F.when(x["bare"].rlike(f"^(?:{shape})$"), F.try_to_timestamp(F.concat_ws(" ", x["bare"], x["zone"]), F.lit(f"{pattern} Z"))) for shape, pattern, _ in FREE[0 if clf else 1 :]])
 
     # Lambdas bind what is used often, and keep so large an expression out of the generated code, which other rows run.
     return F.transform(F.transform(F.array(text), taken_apart), read)[0]
@@ -57,7 +60,7 @@ def from_epoch(value: Column) -> Column:
     return F.timestamp_micros(epoch_micros(value))
 
 
-def parse(text: Column, year: int | None = None) -> Column:
+def parse(text: Column, year: int | None = None, clf: bool = False) -> Column:
     """The instant that a text names, null if none can be read.
 
     Numbers are epochs.  ISO forms may use a comma before the fraction, up to nine digits of it
@@ -68,7 +71,7 @@ def parse(text: Column, year: int | None = None) -> Column:
     digits = F.regexp_replace(F.regexp_replace(t, ",", "."), r"(\.\d{6})\d+", "$1")
     spaced = F.regexp_replace(F.regexp_replace(digits, r"^(\d{4}-\d{2}-\d{2})[ ](\d{2}:)", "$1T$2"), r"([+-]\d{2})(\d{2})$", "$1:$2")
     iso = F.when(t.rlike(rf"^(?:{SHAPES['iso8601']})$") | t.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2})?$"), F.try_to_timestamp(spaced))
-    out = F.when(t.rlike(r"^-?\d+$"), from_epoch(F.when(t.rlike(r"^-?\d+$"), t))).otherwise(F.coalesce(iso, parse_free(t)))
+    out = F.when(t.rlike(r"^-?\d+$"), from_epoch(F.when(t.rlike(r"^-?\d+$"), t))).otherwise(F.coalesce(iso, parse_free(t, clf)))
     if year is not None:
         dated = F.concat(F.lit(f"{year} "), F.regexp_replace(t, r"\s+", " "))
         out = F.coalesce(out, F.when(t.rlike(rf"^(?:{SHAPES['syslog']})$"), F.try_to_timestamp(dated, F.lit("yyyy MMM d HH:mm:ss"))))

@@ -573,7 +573,7 @@ _FORMS = {
 def _written_times(s, d):
     e = V.log_events(s, d)
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("form"), F.concat(F.date_format("ts", form), F.lit(zone)).alias("text")) for name, (form, zone) in _FORMS.items()]))
-    return e.select("id", each.alias("x")).select("id", "x.form", F.unix_micros(times.parse(F.col("x.text"))).alias("micros"))
+    return e.select("id", each.alias("x")).select("id", "x.form", F.unix_micros(times.parse(F.col("x.text"), clf=True)).alias("micros"))
 
 
 add("written_times", _written_times, V.sql(V.LOG_EVENTS, select=" UNION ALL ".join(f"SELECT id, '{name}' AS form, epoch_us(ts) // 1000000 * 1000000 - {7_200_000_000 if '+02' in zone else 0} AS micros FROM log_events" for name, (_, zone) in _FORMS.items())))
@@ -585,7 +585,7 @@ def _access_log(s, d):
     line = F.concat(F.lit("10.0.0.1 - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), "message", F.lit('" 200 '), "id")
     rows = e.select(F.lit("access.log").alias("source_file"), F.col("id").alias("line_no"), line.alias("line"))
     head = [r["line"] for r in rows.orderBy("line_no").limit(400).collect()]  # what the adoption looks at
-    return readers.raw_lines(rows, readers.adopt_shape(head)).select("line_no", times.iso(F.col("ts")).alias("ts"), F.length("message").cast("long").alias("n_chars"))
+    return readers.raw_lines(rows, readers.adopt_shape(head, clf=True), clf=True).select("line_no", times.iso(F.col("ts")).alias("ts"), F.length("message").cast("long").alias("n_chars"))
 
 
 add("access_log", _access_log, V.sql(V.LOG_EVENTS, select=f"""SELECT id AS line_no, {V.ISO.format("date_trunc('second', ts)")} AS ts, CAST(length('10.0.0.1 - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] "GET /' || message || '" 200 ' || id) AS BIGINT) AS n_chars FROM log_events"""))

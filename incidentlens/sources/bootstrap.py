@@ -25,7 +25,7 @@ WORD = "|".join(sorted(S.ALIASES, key=lambda a: (-len(a), a)))
 SOURCE_TOKEN = r"^[\w.\-/]+(?:\[\d+\])?:$"
 
 
-def readable(text: str, year: int | None = None) -> bool:
+def readable(text: str, year: int | None = None, clf: bool = False) -> bool:
     """Whether a timestamp text parses (the driver-side twin of ``times.parse``)."""
     t = text.strip()
     if re.fullmatch(r"-?\d+", t):
@@ -36,7 +36,7 @@ def readable(text: str, year: int | None = None) -> bool:
     except ValueError:
         pass
     bare = re.sub(times.ZONE, "", re.sub(times.WEEKDAY, "", " ".join(t.split())).replace(",", ""))
-    for shape, _, pattern in times.FREE:
+    for shape, _, pattern in times.FREE[0 if clf else 1 :]:
         if re.fullmatch(shape, bare):
             try:
                 datetime.strptime(f"{bare} +0000", f"{pattern} %z")

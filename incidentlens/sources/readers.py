@@ -201,7 +201,7 @@ def flat(v, prefix=None, depth: int = 4):
     return F.flatten(F.transform(entries, leaf))
 
 
-def adopt_shape(sample: list[str], share: float = 0.9, year: int | None = None) -> str | None:
+def adopt_shape(sample: list[str], share: float = 0.9, year: int | None = None, clf: bool = False) -> str | None:
     """The first shape that reads in at least ``share`` of the sampled lines."""
     import re
 
@@ -209,15 +209,18 @@ def adopt_shape(sample: list[str], share: float = 0.9, year: int | None = None)
 
     for name in ("iso8601", "epoch", "syslog", "clf"):
         found = [m[0] for line in sample if (m := re.search(times.SHAPES[name], line))]
-        if sample and sum(bootstrap.readable(t, year) for t in found) / len(sample) >= share:
+        if sample and sum(bootstrap.readable(t, year, clf) for t in found) / len(sample) >= share:
             return name
     return None
 
 
-def raw_lines(df: DataFrame, shape: str | None = None, year: int | None = None) -> DataFrame:
-    """Any text: a record a line.  A line without a timestamp takes the last one before it in its file, else 1970 and as many seconds as its number."""
+def raw_lines(df: DataFrame, shape: str | None = None, year: int | None = None, clf: bool = False) -> DataFrame:
+    """Any text: a record a line.  A line without a timestamp takes the last one before it in its file, else 1970 and as many seconds as its number.
+
+    ``clf`` reads common log format too, which is recognised but left alone by default.
+    """
     rows = _lines(df)
-    own = R.parse_ts(F.nullif(F.regexp_extract("line", times.SHAPES[shape], 0), F.lit("")), year) if shape else F.lit(None).cast("timestamp")
+    own = R.parse_ts(F.nullif(F.regexp_extract("line", times.SHAPES[shape], 0), F.lit("")), year, clf) if shape else F.lit(None).cast("timestamp")
     rows = rows.withColumn("own", own).withColumn("run", F.floor(F.col("line_no") / RUN_LINES))
     # The last time of each run of lines, then of the runs before: no task has to read a whole file.
     ends = rows.groupBy("source_file", "run").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("line_no"))).alias("end"))

@@ -84,5 +84,5 @@ def to_fields(rest: Column) -> Column:
     return object_of(F.map_entries(rest))
 
 
-def parse_ts(text: Column, year: int | None = None) -> Column:
-    return times.parse(text, year)
+def parse_ts(text: Column, year: int | None = None, clf: bool = False) -> Column:
+    return times.parse(text, year, clf)

@@ -34,7 +34,8 @@ def one(spark, column, value, kind="string"):
     ("2026-08-30T14:00:02+05:30", datetime(2026, 8, 30, 8, 30, 2)), ("2026-08-30T14:00:02+0530", datetime(2026, 8, 30, 8, 30, 2)),
     ("2026-08-30T14:00:02.123456789Z", datetime(2026, 8, 30, 14, 0, 2, 123456)), ("1756476000", datetime.fromtimestamp(1756476000, UTC).replace(tzinfo=None)),
     ("1756476000123", datetime.fromtimestamp(1756476000.123, UTC).replace(tzinfo=None)), ("1756476000123456789", datetime.fromtimestamp(1756476000.123456, UTC).replace(tzinfo=None)),
-    ("Aug 30 14:22:01", None), ("30/Aug/2026:14:22:01 +0000", None), ("nonsense", None), ("", None), (None, None),
+    ("Aug 30 14:22:01", None), ("30/Aug/2026:14:22:01 +0000", None), ("Sun, 30 Aug 2026 14:22:01 GMT", datetime(2026, 8, 30, 14, 22, 1)), ("Aug 30, 2026 14:22:01", datetime(2026, 8, 30, 14, 22, 1)),
+    ("2026/08/30 14:22:01 +02:00", datetime(2026, 8, 30, 12, 22, 1)), ("20260830T142201Z", datetime(2026, 8, 30, 14, 22, 1)), ("31 Feb 2026 00:00:00", None), ("nonsense", None), ("", None), (None, None),
 ])
 def test_timestamps(spark, text, want):
     got = one(spark, lambda x: F.date_format(times.parse(x), "yyyy-MM-dd HH:mm:ss.SSSSSS"), text)
