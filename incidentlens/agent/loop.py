@@ -25,6 +25,9 @@ class Outcome:
     degraded: list[str] = field(default_factory=list)
 
 
+REBUTTAL_READS, READS = 3, ("query_templates", "get_slice", "run_sql")
+
+
 def digest(store: Store, limit: int = DIGEST) -> str:
     """The stable head of the conversation: counts, window, what was reported, templates most anomalous first."""
     events, templates = store.read("events"), store.read("templates")
@@ -132,6 +135,21 @@ def synthesize(store: Store, provider: Provider) -> int:
     return len(ids) + len(events) - len(keep_t) - len(keep_e)
 
 
+def _rebuttal(store: Store, author: Provider, objections: list[dict]) -> dict:
+    """The author's answers; it may look at the log up to REBUTTAL_READS times before it gives them."""
+    box, left = Toolbox(store), REBUTTAL_READS
+    messages: list[dict] = [{"role": "user", "text": "Answer each objection as JSON with rebuttals (objection_id, response, conceded).\n" + json.dumps(objections)}]
+    while True:
+        turn = author.converse(RULE, messages, [{"name": n} for n in READS] if left else None)
+        if not left or not turn.calls:
+            return _asked_for_json(turn.text)
+        messages.append({"role": "assistant", "text": turn.text, "calls": [c.name for c in turn.calls]})
+        for call in turn.calls[:left]:
+            text = box.dispatch(call.name, call.arguments) if call.name in READS else f"error: only {', '.join(READS)}"
+            messages.append({"role": "tool", "id": call.id, "text": text})
+        left = max(0, left - len(turn.calls))
+
+
 def challenge(store: Store, critic: Provider, author: Provider | None = None) -> dict:
     """Objections by another model, replies by the author; objections keep the id they were given."""
     free = notes.critique(store.read("notes"), store.read("events"), store.read("templates"), store.read("signal"), _chronic(store)).collect()
@@ -142,7 +160,7 @@ def challenge(store: Store, critic: Provider, author: Provider | None = None) ->
         for i, o in enumerate(got.get("objections") or [], 1)
     ]
     if objections and author is not None:
-        reply = _asked_for_json(author.converse(RULE, [{"role": "user", "text": "Answer each objection as JSON with rebuttals (objection_id, response, conceded).\n" + json.dumps(objections)}]).text)
+        reply = _rebuttal(store, author, objections)
         by = {o["objection_id"]: o for o in objections}
         for r in reply.get("rebuttals") or []:
             target = by.get(str(r.get("objection_id", "")))

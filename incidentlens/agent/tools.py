@@ -118,7 +118,7 @@ class Toolbox:
         views = {"log_events": self.store.read("events").withColumn("ts_iso", times.iso(F.col("ts"))), "templates": self.store.read("templates")}
         found = guard.run_readonly(self.store.spark, args["query"], views, SQL_ROWS)
         rows = found.collect()
-        if "id" in found.columns and "log_events" in args["query"].lower():
+        if "id" in found.columns and "log_events" in guard.relations(self.store.spark, args["query"]):
             self.seen_events.update(r["id"] for r in rows if isinstance(r["id"], int))
         return f"{len(rows)} rows\n{fence_text(table(found.columns, [list(r) for r in rows]), 'rows')}", len(rows)
 

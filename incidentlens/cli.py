@@ -1,4 +1,4 @@
-"""Commands: ingest, health, investigate, report, run, reveal, sql, and the evaluations eval, eval-seeded, eval-ranking, eval-templating."""
+"""Commands: ingest, health, investigate, report, run, reveal, sql, mcp, and the evaluations eval, eval-seeded, eval-ranking, eval-templating."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from incidentlens.agent import loop
+from incidentlens.agent.server import Server
 from incidentlens.operators import cases, health, redaction
 from incidentlens.operators.store import Store
 from incidentlens.plans import guard, report
@@ -56,6 +57,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("file")
     p.add_argument("--sim-th", type=float, default=0.4)
     p.add_argument("--depth", type=int, default=4)
+    sub.add_parser("mcp", help="serve tools over standard input and output").add_argument("--allow", action="append", default=[], help="a folder that sources may lie in")
     p = sub.add_parser("reveal")
     p.add_argument("vault")
     p.add_argument("--token")
@@ -114,6 +116,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in redaction.reveal(spark.read.parquet(args.vault), args.token, args.all).collect():
             print(r["token"], r["entity"], r["value"])
         return 0
+    if args.command == "mcp":
+        Server(spark, args.root, args.allow).serve()
+        return 0
     if args.command.startswith("eval"):
         return evaluation(spark, args)
     store = Store(spark, args.root, args.incident)

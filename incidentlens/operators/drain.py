@@ -8,8 +8,11 @@ tree, which the cluster cap bounds, is held in memory.  Ids follow each cluster'
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from incidentlens.functions import texts
 
-WILD = "<*>"
+WILD, TREE_VERSION = "<*>", 1
 
 
 class Drain:
@@ -82,6 +85,32 @@ class Drain:
         return number
 
 
+def save_tree(tree: Drain, path) -> None:
+    """Writes the tree whole: to a fresh file that then takes the place of the old one."""
+    state = {
+        "version": TREE_VERSION, "sim_th": tree.sim_th, "depth": tree.levels + 3, "max_children": tree.max_children, "max_clusters": tree.max_clusters,
+        "root": {str(n): node for n, node in tree.root.items()}, "clusters": list(tree.clusters.items()), "made": tree.made, "evicted": tree.evicted,
+    }
+    fresh = Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fresh.write_text(json.dumps(state))
+    fresh.replace(path)
+
+
+def load_tree(path, **options) -> Drain | None:
+    """The saved tree, or None where there is none, it is damaged, or it was made with other options: then cluster again."""
+    tree = Drain(**options)
+    try:
+        state = json.loads(Path(path).read_text())
+        if state["version"] != TREE_VERSION or (state["sim_th"], state["depth"], state["max_children"], state["max_clusters"]) != (tree.sim_th, tree.levels + 3, tree.max_children, tree.max_clusters):
+            return None
+        tree.root = {int(n): node for n, node in state["root"].items()}
+        tree.clusters = OrderedDict((int(n), [str(t) for t in tokens]) for n, tokens in state["clusters"])
+        tree.made, tree.evicted = int(state["made"]), int(state["evicted"])
+        return tree
+    except (OSError, ValueError, KeyError, TypeError, AttributeError):
+        return None
+
+
 def cluster_serially(messages: Iterable[str], **options) -> tuple[list[int], dict[int, str]]:
     """(cluster of each message, pattern by cluster): the whole sequence through one tree."""
     tree, numbers, patterns = Drain(**options), [], {}

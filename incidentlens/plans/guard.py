@@ -54,6 +54,13 @@ def _bases(obj) -> str:
     return " ".join(names)
 
 
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """Names of the tables that a statement reads, common table expressions among them."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    named = [n.multipartIdentifier() for n in _nodes(plan) if n.getClass().getSimpleName() == "UnresolvedRelation"]
+    return {".".join(parts.apply(i) for i in range(parts.size())).lower() for parts in named}
+
+
 def _inspect(spark: SparkSession, sql: str, views: frozenset[str]) -> None:
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)

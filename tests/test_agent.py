@@ -92,3 +92,54 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "r" / "i.json").read_text())["issues"][0]["confidence"] == "low"
     assert cli.main([*root, "health", "i"], spark) == 0
     assert "timezones" in capsys.readouterr().out
+
+
+def test_rebuttal_may_read_three_times(store):
+    store.write_note({"step": 1, "note": "n", "template_ids": [1], "confidence": "low"})
+    critic = Scripted([Turn(json.dumps({"objections": [{"claim": "c", "objection": "o", "severity": "high"}]}))], model="other")
+    read = Turn("", (ToolCall("1", "get_slice", {"max_lines": 1}), ToolCall("2", "write_note", {})))
+    author = Scripted([read, read, Turn(json.dumps({"rebuttals": [{"objection_id": "o1", "response": "seen", "conceded": True}]}))])
+    assert loop.challenge(store, critic, author)["unrebutted_high"] == 0
+    results = [m["text"] for m in author.seen[-1][1] if m["role"] == "tool"]
+    assert len(results) == 3 and results[0].startswith("1 of ") and results[1].startswith("error: only")
+    assert store.read("objections").first()["response"] == "seen"
+    store.clear_investigation()
+
+
+def test_only_rows_of_the_events_count_as_seen(store):
+    box = Toolbox(store)
+    box.dispatch("run_sql", {"query": "SELECT template_id AS id FROM templates -- log_events"})
+    assert not box.seen_events
+    box.dispatch("run_sql", {"query": "WITH a AS (SELECT * FROM log_events) SELECT id FROM a LIMIT 3"})
+    assert len(box.seen_events) == 3
+    store.clear_investigation()
+
+
+def test_tool_server(spark, tmp_path):
+    import io
+
+    from incidentlens.agent.server import TOOLS, Server
+
+    inside, outside = tmp_path / "in", tmp_path / "out"
+    inside.mkdir(), outside.mkdir()
+    generator.write(generator.incident(600), inside / "log.jsonl")
+    generator.write(generator.incident(50), outside / "other.jsonl")
+    server = Server(spark, tmp_path / "store", [inside], Options(salt="s", calibrate=False))
+    call = lambda name, **args: server.call(name, args)
+    got = json.loads(call("ingest", source=str(inside / "log.jsonl"), incident_id="one")["content"][0]["text"])
+    assert got["incident_id"] == "one" and got["counters"]["records"] > 500
+    assert call("ingest", source=str(outside / "other.jsonl"))["isError"] and call("ingest", source=str(inside / ".." / "out" / "other.jsonl"))["isError"]
+    (inside / "link").symlink_to(outside / "other.jsonl")
+    assert "outside" in call("ingest", source=str(inside))["content"][0]["text"]
+    with server.writing("one"):
+        assert "being written" in call("health", incident_id="one")["content"][0]["text"]
+    assert len(json.loads(call("health", incident_id="one")["content"][0]["text"])["checks"]) == 12
+    assert json.loads(call("investigate", incident_id="one", restart=True)["content"][0]["text"]) == {"notes": 1}
+    assert call("investigate", incident_id="one")["isError"] and call("health", incident_id="none")["isError"] and call("report", wrong=1)["isError"]
+    assert "## " in call("report", incident_id="one")["content"][0]["text"] and "issues" in json.loads(call("report_data", incident_id="one")["content"][0]["text"])
+    assert json.loads(call("query", incident_id="one", sql="SELECT count(*) AS n FROM log_events")["content"][0]["text"])["rows"][0][0] > 500
+    assert call("query", incident_id="one", sql="DROP TABLE log_events")["isError"]
+    out = io.StringIO()
+    server.serve(['{"id": 1, "method": "tools/list"}', '{"method": "notifications/initialized"}', "{", '{"id": 2, "method": "nothing"}'], out)
+    replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [t["name"] for t in replies[0]["result"]["tools"]] == list(TOOLS) and [r.get("error", {}).get("code") for r in replies] == [None, -32700, -32601]
