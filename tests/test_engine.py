@@ -438,3 +438,13 @@ def test_saved_tree_goes_on_where_it_was(tmp_path):
     for damaged in ("{", "[]", '{"version": 1}', json.dumps(json.loads(path.read_text()) | {"clusters": [[1]]})):
         path.write_text(damaged)
         assert drain.load_tree(path) is None
+
+
+def test_needs_of_entities_spare_no_match(monkeypatch):
+    rng = random.Random(8)
+    parts = ["a@b.org", "10.1.2.3", "::1", "fe80::1:2", "123-45-6789", "(555) 010-1234", "password=hunter22", "PA\u017f\u017fWORD: abcdefgh", "api_\u212aey=" + "x" * 20, "Basic " + "Q" * 20, "token " + "y" * 18, "v1.2.3.4", " ", ":", "-", ".", "x"]
+    texts_ = ["".join(rng.choice(parts) + rng.choice([" ", "", ","]) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    redactor = redaction.Redactor("s", redaction.ENTITIES)
+    got = [redactor.redact(t) for t in texts_]
+    monkeypatch.setattr(redaction, "NEEDS", dict.fromkeys(redaction.ENTITIES, lambda text: True))
+    assert got == [redactor.redact(t) for t in texts_] and sum(g != t for g, t in zip(got, texts_, strict=True)) > 1500
