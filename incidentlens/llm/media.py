@@ -144,11 +144,11 @@ class MediaStore:
         owners = listed.groupBy("digest").agg(F.min(F.struct("key", "at")).alias("owner"), F.count("*").alias("n_uses")).where("n_uses > 1")
         borrowed = listed.join(owners.select("digest", "owner"), "digest").where("key != owner.key or at != owner.at")
         self.borrowed, _ = materialize(
-            borrowed.select("key", "at", F.col("owner.key").alias("owner"), F.col("owner.at").alias("owner_at")).distinct(), "borrowed"
+            borrowed.select("key", "at", F.col("owner.key").alias("owner"), F.col("owner.at").alias("owner_at")).distinct(), "borrowed", merge=True
         )
         skips = self.borrowed.groupBy("key").agg(F.collect_list("at").alias("skip"))  # as long as one payload's list
         marks = texts.where("n_rows > 1").join(skips, "key", "full_outer").select(F.col("key").alias("k"), "carrier", F.coalesce("n_rows", F.lit(1)).alias("n_rows"), "skip")
-        marks, _ = materialize(marks, "marks")
+        marks, _ = materialize(marks, "marks", merge=True)
         keyed = _keyed(docs, id_col, text_col)
         writers = keyed.join(maybe_broadcast(marks, 96), F.col("key") == F.col("k"), "left").where("k is null or n_rows = 1 or doc_id <=> carrier")
 
@@ -213,7 +213,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     values; repeated rows each get a row.  A null id is kept.  Empty table: no rows.
     """
     store = MediaStore(docs, id_col, text_col)
-    media, _ = materialize(store.media().dropDuplicates(["key"]), "readback")
+    media, _ = materialize(store.media().dropDuplicates(["key"]), "readback", merge=True)
     rows = store.recipes.select("doc_id", "key", "n_bytes").join(media, "key", "left")
     present = F.when(F.col("payload_sha256").isNull(), F.raise_error(F.lit("a payload is missing from the store"))).otherwise(F.col("payload_sha256"))
     return rows.select("doc_id", "n_bytes", "payload_bytes", present.alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
