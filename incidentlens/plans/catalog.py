@@ -340,6 +340,9 @@ add("redact_planted", _planted, " UNION ALL ".join(f"SELECT doc_id, '{e}' AS ent
 add("vault_planted", lambda s, d: redaction.reveal(redaction.vault(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.expr(_PLANTED_TEXT).alias("message")), redaction.Redactor("salt", ("ssn",), "sha256")), "doc_id"), everything=True), f"SELECT DISTINCT '[SSN:' || substr(sha256('salt:ssn:' || {_PLANTED['ssn']}), 1, 8) || ']' AS token, 'ssn' AS entity, {_PLANTED['ssn']} AS value FROM documents")
 add("redact_all_entities", lambda s, d: redaction.tallies(redaction.redact_columns(V.table(s, d, "documents").select("doc_id", F.col("text").alias("message")), redaction.Redactor("salt"))))
 add("drain_templates", lambda s, d: drain.cluster(V.doc_lines(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), F.col("line").alias("message"))).groupBy("template_id", "pattern").agg(F.count("*").alias("n")))
+add("drain_event_templates", lambda s, d: drain.cluster(V.log_events(s, d)).groupBy("template_id", "pattern").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n")), r"""
+SELECT row_number() OVER (ORDER BY min(event_id)) AS template_id, event_type || ' ' || regexp_replace(props, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n
+FROM events GROUP BY pattern""")
 add("drain_coverage", lambda s, d: drain.cluster(V.log_events(s, d)).agg(F.count("*").alias("events"), F.count("template_id").alias("covered")), "SELECT count(*) AS events, count(*) AS covered FROM events")
 
 

@@ -423,23 +423,6 @@ def test_registry_needs_no_session():
     assert found.returncode == 0, found.stderr[-500:]
 
 
-def test_saved_tree_goes_on_where_it_was(tmp_path):
-    rng = random.Random(3)
-    messages = [" ".join(rng.choice(["get", "put", "del", "x1"]) + rng.choice(["", "a", "7"]) for _ in range(rng.randint(1, 5))) for _ in range(400)]
-    whole, first = drain.Drain(), drain.Drain()
-    want = [whole.add(m.split()) for m in messages]
-    for m in messages[:200]:
-        first.add(m.split())
-    path = tmp_path / "tree.json"
-    drain.save_tree(first, path)
-    again = drain.load_tree(path)
-    assert [again.add(m.split()) for m in messages[200:]] == want[200:] and again.clusters == whole.clusters
-    assert drain.load_tree(path, sim_th=0.5) is None and drain.load_tree(tmp_path / "none") is None
-    for damaged in ("{", "[]", '{"version": 1}', json.dumps(json.loads(path.read_text()) | {"clusters": [[1]]})):
-        path.write_text(damaged)
-        assert drain.load_tree(path) is None
-
-
 def test_needs_of_entities_spare_no_match(monkeypatch):
     rng = random.Random(8)
     parts = ["a@b.org", "10.1.2.3", "::1", "fe80::1:2", "123-45-6789", "(555) 010-1234", "password=hunter22", "PA\u017f\u017fWORD: abcdefgh", "api_\u212aey=" + "x" * 20, "Basic " + "Q" * 20, "token " + "y" * 18, "v1.2.3.4", " ", ":", "-", ".", "x"]
