@@ -25,24 +25,19 @@ _BETWEEN = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is SQL over a text column named ``text`` that is never null."""
+    """``rejects`` is SQL over ``text`` (never null) and the base measures."""
 
     name: str
     rejects: str
 
 
-def _bare(text: str) -> str:
-    return rf"translate({text}, ' \t\n\u000b\f\r', '')"
+_LINES = r"filter(split(text, '\n'), l -> translate(l, ' \t\n\u000b\f\r', '') != '')"
 
-
-_LINES = rf"filter(split(text, '\n'), l -> {_bare('l')} != '')"
-_LETTERS = r"regexp_replace(text, '\\P{L}+', '')"
-
-#: Beside the base measures.  Thresholds are wide: a rule is meant for what no reader would call prose.
+#: Beside the base.  Thresholds are wide: a rule is meant for what no reader would call prose.
 RULES = (
-    Rule("word_length", rf"length({_bare('text')}) > 25 * size(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != ''))"),
-    Rule("symbols", f"2 * (length(text) - length(translate(text, '#*$%&|<>', ''))) > length({_bare('text')})"),
-    Rule("few_letters", f"10 * length({_LETTERS}) < 3 * length({_bare('text')})"),
+    Rule("word_length", "word_chars > 25 * n_words"),
+    Rule("symbols", "2 * n_symbols > word_chars"),
+    Rule("few_letters", r"10 * length(regexp_replace(text, '\\P{L}+', '')) < 3 * word_chars"),
     Rule("broken_characters", r"100 * (length(text) - length(translate(text, '�\u0000', ''))) > length(text)"),
     Rule("repeated_lines", f"2 * size(array_distinct({_LINES})) < size({_LINES}) and size({_LINES}) >= 10"),
     Rule("ellipsis_lines", f"10 * size(filter({_LINES}, l -> rtrim(l) rlike '(…|[.]{{3}})$')) > 9 * size({_LINES}) and size({_LINES}) >= 10"),
@@ -55,33 +50,36 @@ def words(text: Column) -> Column:
 
 
 def repeated_words(listed: Column, width: int = WINDOW) -> Column:
-    """How many words stand in a window of ``width`` words that the text holds twice or more.
+    """How many words stand in a window of ``width`` words (a power of two) that the text holds twice or more.
 
     Windows are compared by 64-bit hashes and sorted with their places, so time grows with n log n.  Of the places of
     repeated windows, in order, each covers up to the next one or ``width`` words.
     """
-    hashes = F.transform(listed, lambda w: F.xxhash64(w))
+    def bound(value: Column, use) -> Column:
+        """``use`` of ``value``, which is computed once however often it is used."""
+        return F.element_at(F.transform(F.array(value), use), 1)
 
-    def windows(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(h) - width)
-        return F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(width)]).alias("h"), i.alias("at")))
+    def doubled(step: int):
+        """Hashes of 2 * step words from those of step words."""
+        return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+
+    windows, step = F.transform(listed, lambda w: F.xxhash64(w)), 1
+    while step < width:
+        windows, step = bound(windows, doubled(step)), 2 * step
+    windows = F.slice(windows, F.lit(1), F.size(listed) - width + 1)
 
     def places(w: Column) -> Column:
         # one array, bound once: neighbours in the order of hashes that are equal
         twice = F.transform(w, lambda x, i: F.when((F.get(w, i - 1)["h"] == x["h"]) | (F.get(w, i + 1)["h"] == x["h"]), x["at"]))
-        return F.array_sort(F.filter(twice, lambda at: at.isNotNull()))
+        return F.sort_array(F.filter(twice, lambda at: at.isNotNull()))
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(at, i + 1) - x, F.lit(width))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, s: total + s)
 
-    def bound(value: Column, use) -> Column:
-        """``use`` of ``value``, which is computed once however often it is used."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    found = bound(hashes, lambda h: bound(windows(h), lambda w: F.when(
-        F.size(F.array_distinct(F.transform(w, lambda x: x["h"]))) == F.size(w), F.lit(0).cast("long")
-    ).otherwise(bound(F.array_sort(w), lambda s: bound(places(s), covered)))))
+    found = bound(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+        bound(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at")))), lambda s: bound(places(s), covered))
+    ))
     return F.when(F.size(listed) <= width, F.lit(0).cast("long")).otherwise(found)
 
 
@@ -107,13 +105,11 @@ class Profile:
     patterns: dict[frozenset[str], int]
 
 
-def profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", size: int = SAMPLE) -> Profile:
+def profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> Profile:
     """Times the rules over about ``size`` rows, chosen by a hash of the text, and counts which of them reject what."""
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     total = docs.count()
-    share = max(1, total // size)
-    chosen = docs.select(text).where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(share)) == 0).limit(2 * size)
-    sample, path = materialize(chosen, "rule-sample")
+    chosen = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(7)), F.lit(max(1, total // size))) == 0).limit(2 * size)
+    sample, path = materialize(measures(chosen, id_col, text_col), "rule-sample")
     flags = [F.expr(r.rejects).alias(r.name) for r in rules]
     rows = sample.select(*flags).groupBy(*[r.name for r in rules]).agg(F.count("*").alias("_n")).collect()  # 2 ** rules rows at most, of a bounded sample
     patterns = {frozenset(r.name for r in rules if row[r.name]): row["_n"] for row in rows}
@@ -161,7 +157,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     A null text is an empty one and fails the base.  Repeated rows and null ids are kept as rows; other columns are not read.
     ``known`` spares the estimate.  An empty table gives no rows.
     """
-    known = known or profile(docs, rules, text_col)
+    known = known or profile(docs, rules, id_col, text_col)
     rows = measures(docs, id_col, text_col)
     kept = cascade(ordered(rules, known), F.col("base_failed"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

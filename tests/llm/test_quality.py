@@ -62,7 +62,7 @@ def test_rows_against_brute_force(spark):
 
 def test_every_rule_rejects_something_and_none_prose(spark):
     rows = spark.createDataFrame([(i, t or "", "s", 1, "h") for i, t in enumerate(texts())], SCHEMA)
-    hit = rows.agg(*[F.sum(F.expr(r.rejects).cast("int")).alias(r.name) for r in quality.RULES]).first()
+    hit = quality.measures(rows, "doc_id", "text").agg(*[F.sum(F.expr(r.rejects).cast("int")).alias(r.name) for r in quality.RULES]).first()
     assert all(hit[r.name] for r in quality.RULES)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 200 and text not like '%|%|%|%'")
     clean = quality.judge(docs).where("not base_failed")
