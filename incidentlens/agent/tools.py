@@ -104,9 +104,8 @@ class Toolbox:
                 where[key] = str(args[key])
         if args.get("template_id") is not None:
             where["template_id"] = whole(args["template_id"], "template_id")
-        events = self.store.read("events")
-        rows = reads.get_slice(events, limit_of(args, SLICE, "max_lines"), **where).collect()
-        total = reads.slice_count(events, **where).first()[0]
+        rows = self.store.slice(limit_of(args, SLICE, "max_lines"), **where).collect()
+        total = self.store.slice_count(**where).first()[0]
         self.seen_events.update(r["id"] for r in rows)
         self.opened.update(r["template_id"] for r in rows)
         body = table(["id", "ts", "source", "severity", "template_id", "message"], [[r["id"], r["ts"], r["source"] or reads.UNKNOWN, r["severity"], r["template_id"], r["message"] or r["raw"]] for r in rows])

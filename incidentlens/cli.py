@@ -14,7 +14,7 @@ from incidentlens.agent.server import Server
 from incidentlens.operators import cases, health, redaction
 from incidentlens.operators.store import Store
 from incidentlens.plans import guard, report
-from incidentlens.plans.ingest import Options, ingest
+from incidentlens.plans.ingest import Options, extend, ingest
 
 
 def session() -> SparkSession:
@@ -29,14 +29,16 @@ def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="incidentlens")
     top.add_argument("--root", default="incidents", help="folder of the incident tables")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("ingest", "run"):
+    for name in ("ingest", "run", "extend"):
         p = sub.add_parser(name)
         p.add_argument("source")
-        p.add_argument("--incident")
+        p.add_argument("--incident", required=name == "extend")
+        p.add_argument("--salt", default="", required=name == "extend", help="of the placeholders; the same one to extend an incident later")
         p.add_argument("--format")
         p.add_argument("--brief", help="text, or @file")
         p.add_argument("--vault")
         p.add_argument("--year", type=int)
+        p.add_argument("--clf", action="store_true", help="read common log format's times")
         p.add_argument("--bootstrap", action="store_true")
     for name in ("health", "investigate", "report", "sql"):
         sub.add_parser(name).add_argument("incident")
@@ -101,11 +103,14 @@ def evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = spark or session()
-    if args.command in ("ingest", "run"):
-        options = Options(reader=args.format, bootstrap=args.bootstrap, year=args.year, vault=args.vault, brief=_brief(args.brief))
-        got = ingest(spark, args.source, args.root, args.incident, options)
+    if args.command in ("ingest", "run", "extend"):
+        options = Options(salt=args.salt, reader=args.format, bootstrap=args.bootstrap, year=args.year, clf=args.clf, vault=args.vault, brief=_brief(args.brief))
+        if args.command == "extend":
+            got = extend(spark, args.source, Store(spark, args.root, args.incident), options)
+        else:
+            got = ingest(spark, args.source, args.root, args.incident, options)
         print(got.store.incident, got.counters, "health:", got.report.verdict)
-        if args.command == "ingest":
+        if args.command != "run":
             return 0
         if got.report.verdict == health.FAIL:
             return 1

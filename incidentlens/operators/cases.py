@@ -215,6 +215,6 @@ def ingest_benchmark(spark: SparkSession, source: Path, folder: Path) -> dict:
     began = time.time()
     got = ingest(spark, source, folder, "benchmark", Options(salt="b"))
     took, n = time.time() - began, got.counters["records"]
-    stored = sum(p.stat().st_size for p in got.store.folder.rglob("*.parquet"))
+    stored = got.store.size()
     single = got.store.read("templates").agg(F.avg(F.when(F.col("occurrence_count") == 1, 1.0).otherwise(0.0))).first()[0]
     return {"seconds": took, "events_per_second": n / took, "bytes_per_event": stored / max(1, n), "singleton_share": single}

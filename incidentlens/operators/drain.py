@@ -116,6 +116,10 @@ def cluster_serially(messages: Iterable[str], **options) -> tuple[list[int], dic
     return numbers, patterns
 
 
+class StartOver(ValueError):
+    """A state that can't go on with these lines: all lines have to be clustered from the first."""
+
+
 @dataclass
 class Clustered:
     """``lines``: (order, template_id, pattern) of every line; ``templates``: (template_id, first, pattern), also those that only earlier lines have;
@@ -291,7 +295,7 @@ def cluster_on(lines: DataFrame, state: DataFrame | None = None, order: str = "i
     else:
         serial += again
     if state is not None and not state.where(F.col("n_tokens").isin(serial)).isEmpty():
-        raise ValueError(f"token counts {sorted(serial)} have to be clustered from their first line")
+        raise StartOver(f"token counts {sorted(serial)} have to be clustered from their first line")
     return _assembled(spark, rows, done, heads, logs, serial, order, options)
 
 

@@ -70,9 +70,22 @@ def slice_predicate(*, start=None, end=None, source=None, severity=None, templat
     return out
 
 
+def slot_predicate(start=None, end=None) -> Column:
+    """The slots (times' texts cut to minutes, hours, days or months) that can hold events of a window; rows without a slot are spared."""
+    slot, out = F.col("slot"), F.lit(True)
+    text = lambda t: F.date_format(F.lit(t).cast("timestamp"), "yyyy-MM-dd HH:mm")
+    if start is not None:
+        out &= slot >= F.substr(text(start), F.lit(1), F.length(slot))
+    if end is not None:
+        out &= slot <= text(end)
+    return slot.isNull() | out
+
+
 def matching(events: DataFrame, templates: DataFrame | None = None, noise: Noise | None = None, **where) -> DataFrame:
     """The rows of a slice; noise goes only where no template is asked for by id."""
     rows = events.where(slice_predicate(**where))
+    if "slot" in events.columns:
+        rows = rows.where(slot_predicate(where.get("start"), where.get("end")))
     if noise is not None and where.get("template_id") is None:
         rows = rows.join(noise_templates(templates, noise), "template_id", "left_anti")
     return rows

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import secrets
-import shutil
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from incidentlens.functions import texts
 from incidentlens.operators import aggregates as A
 from incidentlens.operators import drain, health, redaction, scoring
+from incidentlens.operators.commits import Files
 from incidentlens.operators.store import Store, incident_id
 from incidentlens.sources import files
 from incidentlens.sources import records as R
+from incidentlens.sources.scratch import scratch
 
 UNINFORMATIVE = 0.9
 UNCOMPRESSIBLE_CAP = 2000
@@ -26,6 +29,7 @@ class Options:
     reader: str | None = None
     bootstrap: bool = False
     year: int | None = None
+    clf: bool = False
     redact: bool = True
     entities: tuple[str, ...] = redaction.DEFAULT_ENTITIES
     salt: str = ""
@@ -60,40 +64,138 @@ def _masked(events: DataFrame, raw_reader: bool) -> DataFrame:
     return events.select("id", texts.mask_transport(texts.mask_header(text) if raw_reader else text).alias("message"))
 
 
+def _redacted(events: DataFrame, options: Options) -> DataFrame:
+    if not options.redact:
+        return events.withColumn("redactions", F.array().cast("array<struct<entity:string,token:string,value:string>>"))
+    return redaction.redact_columns(events, _redactor(options))
+
+
+def _redactor(options: Options) -> redaction.Redactor:
+    return redaction.Redactor(options.salt, options.entities)
+
+
+def _brief(options: Options) -> str | None:
+    """The brief as it may be stored and shown to a model."""
+    return options.brief if options.brief is None or not options.redact else _redactor(options).redact(options.brief)
+
+
+def _read(spark: SparkSession, source: str | Path, options: Options):
+    return files.read_source(spark, source, name=options.reader, allow_bootstrap=options.bootstrap, year=options.year, clf=options.clf)
+
+
+@contextmanager
+def _workplace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Writes tables outside of any incident and removes them however the ingest ends: they hold what redaction takes out."""
+    root = scratch(spark)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    try:
+        yield written
+    finally:
+        Files(spark, root).delete(root)
+
+
+def _salted(options: Options) -> Options:
+    """A salt that isn't given is drawn for this ingest and stored nowhere."""
+    return options if options.salt else replace(options, salt=secrets.token_hex(16))
+
+
 def ingest(spark: SparkSession, source: str | Path, root: str | Path, incident: str | None = None, options: Options = Options()) -> Result:
     """Ingests ``source``; an earlier ingest of the same incident is replaced."""
-    store = Store(spark, root, incident or incident_id(str(source)))
-    records, used, skipped = files.read_source(spark, source, name=options.reader, allow_bootstrap=options.bootstrap, year=options.year)
-    store.replace("records", records)
-    records = store.read("records")
-    counters = R.counters(records).first().asDict()
-    raw_reader = any(name == "raw_lines" for _, name in used)
-
-    events = files.number_events(records)
-    if options.redact:
-        # A salt that isn't given is drawn for this ingest and stored nowhere.
-        redactor = redaction.Redactor(options.salt or secrets.token_hex(16), options.entities)
-        events = redaction.redact_columns(events, redactor)
-    else:
-        events = events.withColumn("redactions", F.array().cast("array<struct<entity:string,token:string,value:string>>"))
-    store.replace("redacted", events)
-    events = store.read("redacted")
-    tallies = {r["entity"]: r["n"] for r in redaction.tallies(events).collect()}
+    store, options = Store(spark, root, incident or incident_id(str(source))), _salted(options)
+    with _workplace(spark) as written:
+        records, used, skipped = _read(spark, source, options)
+        records = written(records, "records")
+        counters = R.counters(records).first().asDict()
+        raw_reader = any(name == "raw_lines" for _, name in used)
+        events = written(_redacted(files.number_events(records), options), "redacted")
+        tallies = _tally(events, options)
+        events = events.drop("redactions")
+
+        masked = _masked(events, raw_reader)
+        sim_th, status, cap = options.sim_th, "disabled", options.max_clusters
+        if options.calibrate:
+            head = [r["message"] or "" for r in masked.orderBy("id").limit(drain.SAMPLE).collect()]
+            found = drain.calibrate(head, depth=options.depth, max_clusters=UNCOMPRESSIBLE_CAP)
+            status, sim_th = found["status"], found["sim_th"] or sim_th
+            cap = min(cap, UNCOMPRESSIBLE_CAP) if status == "under_clustered" else cap
+        tree = {"sim_th": sim_th, "depth": options.depth, "max_clusters": cap}
+        found = drain.cluster_on(masked, None, **tree)
+        store.replace("events", _labelled(events, found))
+    store.replace("tree", drain.stamped(found.state, **tree))
+    facts = {"ingest": {**counters, "files": len(used), "skipped_files": len(skipped), "raw_lines": raw_reader}, "templating": {"status": status, "sim_th": sim_th}}
+    store.create(str(source), ",".join(sorted({n for _, n in used})), "strict" if options.redact else "off", _brief(options))
+    return _finished(store, options, counters, tallies, status, facts)
+
+
+def extend(spark: SparkSession, source: str | Path, store: Store, options: Options = Options()) -> Result:
+    """Adds the records of ``source`` behind an incident's events, as if both had been ingested together with this salt.
+
+    Templates go on from the stored log of the tree; only where that is missing, damaged or of another version are
+    the stored messages clustered again.
+    """
+    if not options.salt:
+        raise ValueError("extending an incident needs the salt of its ingest")
+    old, known = store.read("events"), store.metrics()
+    last = old.agg(F.max("id")).first()[0] or 0
+    with _workplace(spark) as written:
+        records, used, skipped = _read(spark, source, options)
+        records = written(records, "records")
+        new = R.counters(records).first().asDict()
+        raw_reader = any(name == "raw_lines" for _, name in used)
+        fresh = files.number_events(records).withColumn("id", F.col("id") + last)
+        events = written(_redacted(fresh, options), "redacted")
+        tallies = _tally(events, options)
+        events = events.drop("redactions")
+        try:
+            stored = store.read("tree")
+            made = stored.select("sim_th", "depth", "max_clusters").first()
+        except Exception as e:  # no table, or no readable one
+            if not isinstance(e, KeyError) and "pyspark" not in type(e).__module__ and "py4j" not in type(e).__module__:
+                raise
+            stored, made = None, None
+        tree = made.asDict() if made else {"sim_th": float(known.get(("templating", "sim_th")) or options.sim_th), "depth": options.depth, "max_clusters": options.max_clusters}
+        state, masked = drain.usable(stored, **tree), _masked(events, raw_reader)
+        if state is not None:
+            try:
+                found = drain.cluster_on(masked, state, **tree)
+            except drain.StartOver:
+                state = None
+        before = old.select("id", "template_id")
+        if state is None:
+            was_raw = known.get(("ingest", "raw_lines")) == "True"
+            found = drain.cluster_on(_masked(old, was_raw).union(masked), None, **tree)
+            before = found.lines.select("id", "template_id").where(F.col("id") <= last)
+        # Templates of earlier events may have got wider: patterns come from the templates, not from what was stored.
+        both = old.drop("template_id", "pattern").join(before, "id", "left").join(found.templates.select("template_id", "pattern"), "template_id", "left")
+        both = written(both.select(*old.columns).unionByName(_labelled(events, found).select(*old.columns)), "both")
+        store.replace("events", both)
+    store.replace("tree", drain.stamped(found.state, **tree))
+    count = lambda name: int(float(known.get(("ingest", name)) or 0))
+    counters = {name: n + count(name) for name, n in new.items()}
+    tallies = {name: tallies.get(name, 0) + count(f"redacted_{name}") for name in {*tallies, *(m[9:] for s, m in known if s == "ingest" and m.startswith("redacted_"))}}
+    facts = {"ingest": {**counters, "files": len(used) + count("files"), "skipped_files": len(skipped) + count("skipped_files"), "raw_lines": raw_reader or known.get(("ingest", "raw_lines")) == "True"}}
+    return _finished(store, options, counters, tallies, known.get(("templating", "status")) or "disabled", facts | {"templating": {"resumed": state is not None}})
+
+
+def _tally(events: DataFrame, options: Options) -> dict[str, int]:
+    tallies = {r["entity"]: r["n"] for r in redaction.tallies(events).collect()}  # a row per entity
     if options.vault:
-        redaction.vault(events).write.mode("overwrite").parquet(str(options.vault))
-    events = events.drop("redactions")
-
-    masked = _masked(events, raw_reader)
-    sim_th, status, cap = options.sim_th, "disabled", options.max_clusters
-    if options.calibrate:
-        head = [r["message"] or "" for r in masked.orderBy("id").limit(drain.SAMPLE).collect()]
-        found = drain.calibrate(head, depth=options.depth, max_clusters=UNCOMPRESSIBLE_CAP)
-        status, sim_th = found["status"], found["sim_th"] or sim_th
-        cap = min(cap, UNCOMPRESSIBLE_CAP) if status == "under_clustered" else cap
-    lines = drain.cluster(masked, sim_th=sim_th, depth=options.depth, max_clusters=cap)
-    store.replace("events", events.join(lines, "id", "left").select(
+        redaction.vault(events).write.mode("append").parquet(str(options.vault))
+    return tallies
+
+
+def _labelled(events: DataFrame, found: drain.Clustered) -> DataFrame:
+    return events.join(found.lines, "id", "left").select(
         "id", "ts", "source", "severity", "template_id", "pattern", "raw", "message", "fields", texts.trace_id(F.col("fields")).alias("trace_id"),
-    ))
+    )
+
+
+def _finished(store: Store, options: Options, counters: dict, tallies: dict, status: str, facts: dict) -> Result:
+    """Templates, scores, the signal set, the health report and the metrics over the stored events."""
     events = store.read("events")
     templates = A.template_summary(events)
     unmapped = counters["unmapped_severity"] / counters["records"] if counters["records"] else 1.0
@@ -102,13 +204,8 @@ def ingest(spark: SparkSession, source: str | Path, root: str | Path, incident:
     store.replace("templates", scoring.with_scores(templates, scores))
     templates = store.read("templates")
     store.replace("signal", scoring.signal_set(templates.select("template_id", F.col("anomaly_score").alias("score")), *options.signal))
-    for name in ("records", "redacted"):  # neither may outlive the ingest: they hold what redaction took out
-        store._pointer(name).unlink()
-        for path in store.folder.glob(f"{name}-*"):
-            shutil.rmtree(path)
-    report = health.report(events, templates, counters | {"raw_lines": raw_reader}, options.thresholds)
-    store.create(str(source), ",".join(sorted({n for _, n in used})), "strict" if options.redact else "off", options.brief)
-    store.record("ingest", {**counters, "files": len(used), "skipped_files": len(skipped), **{f"redacted_{k}": v for k, v in tallies.items()}})
-    store.record("templating", {"status": status, "sim_th": sim_th, "templates": templates.count()})
+    report = health.report(events, templates, counters | {"raw_lines": facts["ingest"]["raw_lines"]}, options.thresholds)
+    store.record("ingest", facts["ingest"] | {f"redacted_{k}": v for k, v in tallies.items()})
+    store.record("templating", facts["templating"] | {"templates": templates.count()})
     store.record("health", {**report.metrics, "verdict": report.verdict, **{f"check_{name}": status for name, status, _ in report.checks}})
     return Result(store, counters, report, tallies, status)

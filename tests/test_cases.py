@@ -49,7 +49,7 @@ def test_seeded_conclusions_are_caught(store):
 def test_evaluation_commands(spark, store, tmp_path, capsys):
     from incidentlens import cli
 
-    root = str(store.folder.parent)
+    root = store.root
     store.clear_investigation()
     loop.skeleton(store)
     cli.main(["--root", root, "eval-seeded", "cases"], spark)
