@@ -4,12 +4,11 @@
    and cut into blocks of ``block`` words; running positions come from two
    levels of sums, so a source with a third of all rows is spread over buckets.
 2. Targets are filled up by weight under a cap of ``max_repeats`` times a
-   source's size; a target in words becomes whole passes over the source and,
-   of the next pass, the number of block slots whose real lengths come nearest.
-3. Output shards draw their source counts: a source's slots fall to the shards by one
-   multinomial draw, so that a shard's counts over sources are random (multinomial,
-   given how many slots it has) and yet each source's total meets its target to a block.
-4. A source's k-th slot holds block ``permute(k mod blocks)`` under a keyed
+   source's size.
+3. Every output shard draws how many of its slots each source gets: one multinomial over the
+   sources, by what each still lacks of its target.  A source's words are what the draws
+   gave it, in total near its target: only the last shard's draw stays uncorrected.
+4. The running sum of a source's counts names its slots; its k-th slot holds block ``permute(k mod blocks)`` under a keyed
    Feistel permutation of its indices, a new key for each pass over the source,
    and slots join blocks by (source, index).
 
@@ -29,6 +28,9 @@ from pyspark.sql import functions as F
 from incidentlens.llm.common import materialize, maybe_broadcast
 
 BLOCK, BUCKETS, RUN, SHARDS, MAX_REPEATS, SEED = 64, 1024, 4096, 64, 3, 20240611
+#: Sources that one task draws for; over them, groups of sources draw first.
+GROUP = 4096
+
 
 def _key(source, epoch: int, seed: int) -> int:
     name = b"\x00" if source is None else b"\x01" + source.encode()
@@ -50,32 +52,30 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return at.astype(np.int64)
 
 
-def place(value: int, n: int, key: int) -> int:
-    """Where ``permute`` has ``value``: its rounds and walk backwards."""
-    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
-    mask, at = (1 << half) - 1, value
-    while True:
-        left, right = at >> half, at & mask
-        for r in range(3, -1, -1):
-            f = (left + ((key >> 7 * r) & 0xFFFFFFFF)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-            left, right = right ^ ((f >> 33) & mask), left
-        at = (left << half) | right
-        if at < n:
-            return at
-
-
-def slot_count(goal: float, source, size: int, block: int, seed: int) -> int:
-    """The slots whose words come nearest to ``goal``: a source's last block is shorter, and counts as long as it is."""
-    n, passes = -(-size // block), int(goal // size)
-    short, rest = n * block - size, goal - passes * size
-    last = place(n - 1, n, _key(source, passes, seed))
-    near = {min(n, max(0, int(x // block) + up)) for x in (rest, rest + short) for up in (0, 1)}
-    return passes * n + min(near, key=lambda r: (abs(r * block - short * (r > last) - rest), r))
-
+def draw_counts(goals: np.ndarray, caps: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """(sources, shards): how many of its ``totals`` slots each shard draws of each source.
 
-def shard_draws(slots: int, source, shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
-    """How many of a source's slots each output shard draws; they sum to ``slots``."""
-    return np.random.default_rng(_key(source, -1, seed)).multinomial(slots, np.full(shards, 1 / shards))
+    A shard's counts are multinomial, with chances in proportion to what sources lack of their ``goals`` after the shards
+    before.  No source gets more than its cap in all: what it can't take is drawn again among the others.
+    """
+    out, given = np.zeros((len(goals), len(totals)), dtype=np.int64), np.zeros(len(goals), dtype=np.int64)
+    for shard, left in enumerate(totals.tolist()):
+        while left:
+            lacking = np.where(given < caps, np.maximum(goals - given, 0.0), 0.0)
+            if not lacking.sum():  # all have what they asked for
+                lacking = np.where(given < caps, goals, 0.0)
+                if not lacking.sum():
+                    break
+            got = np.minimum(rng.multinomial(left, lacking / lacking.sum()), caps - given)
+            out[:, shard] += got
+            given += got
+            left -= int(got.sum())
+    return out
+
+
+def shard_totals(slots: int, shards: int) -> np.ndarray:
+    """Slots of each output shard: at most one apart."""
+    return np.diff(np.arange(shards + 1, dtype=np.int64) * slots // shards)
 
 
 def cyclic_weight(source: Column, number: Column) -> Column:
@@ -138,20 +138,34 @@ class Mix:
         sources = numbered(rows.groupBy("source").agg(F.sum("size").alias("size")))
         sources, _ = materialize(sources.withColumn("weight", weights(F.col("source"), F.col("number")).cast("double")), "weights")
 
-        def draw(batches):
-            for batch in batches:
-                out = []
-                for no, source, size, goal in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    n = -(-size // block)
-                    slots = min(max_repeats * n, slot_count(goal, source, size, block, seed)) if size else 0
-                    out.append((no, source, size, goal, n, slots, np.cumsum(shard_draws(slots, source, shards, seed))))
-                types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                columns = list(zip(*out, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["source_no", "source", "source_size", "target", "blocks", "slots", "ends"])
-
-        self.facts, _ = materialize(filled(sources, max_repeats).select("number", "source", "size", "target").mapInArrow(draw, _FACTS), "facts")
+        blocks = F.ceil(F.col("size") / block)
+        wanted = filled(sources, max_repeats).select("number", "source", "size", "target", blocks.alias("blocks"))
+        # As many slots as hold the target's words, at the source's mean length of a block (its last one is shorter).
+        wanted = wanted.withColumn("goal", F.when(F.col("size") > 0, F.col("target") * F.col("blocks") / F.col("size")).otherwise(0.0)).withColumn("bundle", F.floor(F.col("number") / GROUP))
+        wanted, _ = materialize(wanted, "wanted")
+        self.facts, _ = materialize(self._drawn(wanted, shards, max_repeats), "facts")
         self.placed = self._placed(rows, sums)
 
+    def _drawn(self, wanted: DataFrame, shards: int, max_repeats: int) -> DataFrame:
+        """The sources with their slots; ``ends`` are the running sums of their counts over the shards.
+
+        A multinomial over many sources is drawn in two steps: over bundles of GROUP sources here (a row per bundle), then in each bundle by a task.
+        """
+        seed = self.seed
+        bundles = sorted(map(tuple, wanted.groupBy("bundle").agg(F.sum("goal"), F.sum(F.col("blocks") * max_repeats)).collect()))
+        goals, caps = np.array([b[1] for b in bundles], dtype=np.float64), np.array([b[2] for b in bundles], dtype=np.int64)
+        counts = draw_counts(goals, caps, shard_totals(round(float(goals.sum())), shards), np.random.default_rng(_key("bundles", -1, seed)))
+        shares = self.spark.createDataFrame([(b[0], c.tolist()) for b, c in zip(bundles, counts, strict=True)], "bundle long, totals array<long>")
+
+        def draw(rows):
+            rows = rows.sort_values("number")
+            rng = np.random.default_rng(_key("bundle", int(rows["bundle"].iloc[0]), seed))
+            counts = draw_counts(rows["goal"].to_numpy(), rows["blocks"].to_numpy() * max_repeats, np.array(rows["totals"].iloc[0]), rng)
+            out = rows[["number", "source", "size", "target", "blocks"]].set_axis(["source_no", "source", "source_size", "target", "blocks"], axis=1)
+            return out.assign(slots=counts.sum(axis=1), ends=list(np.cumsum(counts, axis=1)))
+
+        return wanted.join(shares, "bundle").groupBy("bundle").applyInPandas(draw, _FACTS)
+
     def _placed(self, rows: DataFrame, sums: DataFrame) -> DataFrame:
         """Where every document begins in its source: the sum of the buckets before, then of the rows before."""
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

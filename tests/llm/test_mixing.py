@@ -45,11 +45,39 @@ def test_permutation(n):
     assert sorted(mixing.permute(np.arange(n), n, 12345678901).tolist()) == list(range(n))
 
 
-def test_draws_are_multinomial_and_meet_the_totals():
-    got = {s: mixing.shard_draws(n, s, 16) for s, n in {"a": 16_000, "b": 37, "c": 0, None: 1}.items()}
-    assert [int(x.sum()) for x in got.values()] == [16_000, 37, 0, 1]
-    assert len(set(got["b"])) > 1 and 15 < np.std(got["a"]) < 60  # of a multinomial draw: 30.6
-    assert (got["a"] == mixing.shard_draws(16_000, "a", 16)).all() and (got["a"] != mixing.shard_draws(16_000, "d", 16)).any()
+def test_draws_are_multinomial_over_what_is_lacking():
+    goals, caps, totals = np.array([6000.0, 3000.0, 1000.0, 0.0]), np.array([10**6] * 4), mixing.shard_totals(10_000, 16)
+    draws = [mixing.draw_counts(goals, caps, totals, np.random.default_rng(seed)) for seed in range(300)]
+    assert all((d.sum(axis=0) == totals).all() and (d >= 0).all() and not d[3].any() for d in draws)
+    first = np.array([d[:, 0] for d in draws])  # a plain multinomial over the weights
+    assert np.allclose(first.mean(axis=0), 625 * goals / 10_000, atol=3) and np.allclose(first[:, 0].std(), (625 * 0.6 * 0.4) ** 0.5, rtol=0.2)
+    off = np.array([d.sum(axis=1) - goals for d in draws])
+    assert np.abs(off).max() < 5 * 625**0.5 and 3 < off[:, 0].std() < 25  # only the last shard's draw stays
+    capped = mixing.draw_counts(np.array([30.0, 70.0]), np.array([10, 200]), mixing.shard_totals(100, 7), np.random.default_rng(1))
+    assert capped.sum(axis=1).tolist() == [10, 90]
+    assert mixing.draw_counts(np.array([5.0]), np.array([3]), np.array([5]), np.random.default_rng(1)).sum() == 3  # nothing else has room
+    assert mixing.draw_counts(np.zeros(2), np.zeros(2, dtype=np.int64), np.array([0, 0]), np.random.default_rng(1)).sum() == 0
+    assert mixing.shard_totals(10, 4).tolist() == [2, 3, 2, 3]
+
+
+def test_the_draw_decides_what_is_taken(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(5), SCHEMA)
+    rows = lambda: sorted((str(r["doc_id"]), r["taken"]) for r in mixing.plan(df, block=16).taken().collect())
+    drawn, draw = rows(), mixing.draw_counts
+
+    def even(goals, caps, totals, rng):
+        share = np.minimum(np.round(goals).astype(np.int64), caps)
+        return np.stack([share * (j + 1) // len(totals) - share * j // len(totals) for j in range(len(totals))], axis=1)
+
+    monkeypatch.setattr(mixing, "draw_counts", even)
+    assert rows() != drawn
+    monkeypatch.setattr(mixing, "draw_counts", draw)
+    assert rows() == drawn
+
+
+def allowance(target, block, shards=mixing.SHARDS):
+    """Words that a source may miss its target by: some blocks, and five deviations of one shard's draw."""
+    return block * (4 + 5 * (target / block / shards) ** 0.5)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -78,7 +106,7 @@ def test_taken_against_brute_force(spark, seed):
         per[r["source"]] += r["taken"]
         assert r["taken"] <= 3 * r["size"]
     for source, target in ((r["source"], r["target"]) for r in planned.facts.collect()):
-        assert abs(per[source] - target) <= 16 * 5
+        assert abs(per[source] - target) <= allowance(target, 16)
     again = mixing.plan(spark.createDataFrame(rows[::-1], SCHEMA), block=16).taken().collect()
     key = lambda x: sorted((r["doc_id"], r["taken"]) for r in x)
     assert key(again) == key(got)
@@ -99,32 +127,26 @@ def test_empty(spark):
     assert mixing.mixed_documents(blank).count() == 2
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
-def test_place_is_the_permutation_backwards(n):
-    order = mixing.permute(np.arange(n), n, 12345678901).tolist()
-    assert [mixing.place(x, n, 12345678901) for x in order] == list(range(n))
-
-
 def test_small_sources_meet_their_targets(spark):
     sizes = {"ten": 10, "forty": 40, "more": 130, "odd": 1001, "big": 30_000}
     rows = [(i, "w " * n, s, n, "t") for i, (s, n) in enumerate(sizes.items())]
     planned = mixing.plan(spark.createDataFrame(rows, SCHEMA), weights=lambda source, number: F.when(source == "odd", 0.07).otherwise(1.0))
     goal = {r["source"]: r["target"] for r in planned.facts.collect()}
     taken = {r["source"]: r["taken"] for r in planned.taken().collect()}
-    assert (taken["ten"], taken["forty"], taken["more"]) == (30, 120, 390)
-    assert all(abs(taken[s] - goal[s]) <= 32 for s in sizes)
+    assert all(abs(taken[s] - goal[s]) <= allowance(goal[s], 64) and taken[s] <= 3 * sizes[s] for s in sizes)
 
 
-def test_more_sources_than_a_person_names_and_clashing_columns(spark):
+def test_more_sources_than_a_person_names_and_clashing_columns(spark, monkeypatch):
     rows = [(i, "w x " * (1 + i % 40), f"s{i:04d}" if i % 3 else "hot") for i in range(1500)]
     names = ["_copies", "tie", "id", "row", "copies", "size", "source_no"]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(7).alias(n) for n in names])
+    monkeypatch.setattr(mixing, "GROUP", 128)  # eight bundles
     planned = mixing.plan(df)
     taken, goal = Counter(), {}
     for r in planned.taken().collect():
         taken[r["source"]] += r["taken"]
         goal[r["source"]] = r["target"]
         assert r["taken"] <= 3 * r["size"]
-    assert len(goal) == 1001 and all(abs(taken[s] - g) <= 64 for s, g in goal.items())
+    assert len(goal) == 1001 and all(abs(taken[s] - g) <= allowance(g, 64) for s, g in goal.items()) and abs(sum(taken.values()) - sum(goal.values())) < 0.1 * sum(goal.values())
     assert mixing.mixed_documents(df).columns == df.columns
     assert mixing.mixed_documents(df, max_repeats=100).count() > 0  # no bound on passes
