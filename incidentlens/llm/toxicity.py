@@ -28,6 +28,8 @@ from incidentlens.llm import kernels as K
 from incidentlens.llm.langid import held_out
 
 MAX_ROWS = 3_000
+#: Bytes of text that are learned from at most: what the driver holds, whatever the texts' lengths.
+MAX_BYTES = 96 << 20
 PRIOR, DRIFT, LEAST_LOG_ODDS, ALPHA = 8.0, 0.4, 1.5, 0.05
 #: Lengths of the beginnings that a word backs off through; the last level is the word itself.
 STEMS = (4, 5, 6)
@@ -183,7 +185,7 @@ class Counts:
         pseudo-contexts spread like its stem's posterior.  Features of a kept stem are kept too: they may take it back.
         """
         mine, label = use[self.text], toxic[self.text]
-        base = max(1, int((mine & (label > 0)).sum())) / max(2, int(mine.sum()))
+        base = (int((mine & (label > 0)).sum()) + 1) / (int(mine.sum()) + 2)  # never 0 or 1, even of one kind of text
         share, kept, out = np.full(1, base), np.zeros(1, dtype=bool), []
         for keys, parent, which in zip(self.keys, self.parent, self.which, strict=True):
             t = np.bincount(which[mine & (label > 0)], minlength=len(keys))
@@ -255,10 +257,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_rows: int = MAX_ROWS) -> Model:
-    """A model from at most ``max_rows`` labelled rows, chosen by a hash of their id, outside the held-out fifth.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """A model from labelled rows outside the held-out fifth: at most ``max_rows``, chosen by a hash of their id, and of them, in
+    that order, those whose whole texts fit together into ``max_bytes``.
 
-    Ids with several labels take the highest; null labels and ids teach nothing.
+    Ids with several labels take the highest; of rows that repeat an id one text is learned from; null labels and ids teach nothing.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
@@ -267,9 +270,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     text = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = text.join(F.broadcast(marked), "_id").select("_text", "_toxic")  # max_rows rows
-    # The scan runs in parallel; what it found comes over in eighths.
-    return fit([(r[0], int(r[1] > 0)) for r in rows.repartition(8).toLocalIterator()])
+    rows = text.join(F.broadcast(marked), "_id")  # max_rows rows
+    kind = F.struct(F.xxhash64("_text"), F.octet_length("_text"))
+    sizes = rows.groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.min(F.struct(kind.alias("k"), F.octet_length("_text").alias("n"))).alias("m"))
+    chosen, room = [], max_bytes
+    for r in sizes.orderBy(F.xxhash64("_id"), "_id").collect():  # max_rows rows, no texts
+        if r["m"]["n"] <= room:
+            room -= r["m"]["n"]
+            chosen.append((r["_id"], r["m"]["k"][0], r["m"]["n"], r["_toxic"]))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_id long, _hash long, _size int, _toxic int"))
+    found = text.withColumn("_hash", F.xxhash64("_text")).withColumn("_size", F.octet_length("_text")).join(wanted, ["_id", "_hash", "_size"])
+    # Equal rows are one by now.  The scan runs in parallel; what it found comes over in eighths.
+    found = found.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
+    return fit([(r["_text"], int(r["_toxic"] > 0)) for r in found.repartition(8).toLocalIterator()])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

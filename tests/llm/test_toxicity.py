@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -76,6 +77,53 @@ def test_empty_and_single_class(spark):
     assert T.fit([("a b c", 0), ("d e", 0)]).score(["a"])[0][0] < 0.5
 
 
+@pytest.mark.parametrize("examples", [[("bad worse", 1)], [(f"bad {i} worse", 1) for i in range(10)], [("a b c", 0)], [("bad word here", 1), ("calm sea", 0)], [("", 1), ("12", 0)]])
+def test_one_kind_of_text_and_halves_of_one_kind(examples):
+    model = T.fit(examples)
+    assert all(0 <= p <= 1 for p, _ in model.score([t for t, _ in examples] + ["", None, "other words"]))
+    if {y for _, y in examples} == {1}:
+        assert model.score([examples[0][0]])[0][0] >= 0.5
+
+
+def test_any_split_of_two_texts_can_be_learned_from():
+    rng = random.Random(2)
+    for _ in range(60):
+        pair = [(" ".join(rng.choice("abcdefgh") * 3 for _ in range(5)), y) for y in (0, 1)]
+        assert all(0 <= p <= 1 for p, _ in T.fit(pair).score([pair[0][0], pair[1][0]]))
+
+
+def test_log_odds_against_counting(monkeypatch):
+    """The first level (shortest stems) by dictionaries over texts whose contexts are all different."""
+    monkeypatch.setattr(T, "LEAST_LOG_ODDS", 0.05)
+    texts, y = ["alpha beta gamma delta", "alpha zeta eta", "beta theta iota", "kappa alpha rho"], np.array([1, 0, 1, 0])
+    counts = T.Counts(texts)
+    got = counts.log_odds(y, np.array([True, True, True, False]))
+    levels, first = T.tokens(texts)
+    doc = np.repeat(np.arange(4), np.diff(first))
+    base = (sum(y[d] for d in doc if d < 3) + 1) / (sum(d < 3 for d in doc) + 2)
+    share = {}
+    for h, d in zip(levels[0].tolist(), doc, strict=True):
+        if d < 3:
+            t, n = share.get(h, (0, 0))
+            share[h] = (t + y[d], n + 1)
+    want = {h: math.log(p / (1 - p)) - math.log(base / (1 - base)) for h, (t, n) in share.items() for p in [(t + T.PRIOR * base) / (n + T.PRIOR)]}
+    want = {h: v for h, v in want.items() if v > T.LEAST_LOG_ODDS}
+    assert dict(zip(got[0][0].tolist(), got[0][1].tolist(), strict=True)) == pytest.approx(want) and want
+
+
+def test_what_is_learned_from_is_bounded_by_ids_rows_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").union(spark.range(4000).selectExpr("id % 40 + 1 as doc_id", "concat('other ', id % 3) as text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda examples: seen.append(examples))
+    T.learn(docs, labels, max_rows=5)
+    T.learn(docs.repartition(7), labels.repartition(3), max_rows=5)
+    assert len(seen[0]) == 5 and sorted(seen[0]) == sorted(seen[1])
+    long = spark.createDataFrame([(i, "x" * (10_000 if i % 3 else 100)) for i in range(50)], "doc_id long, text string")
+    T.learn(long, labels, max_bytes=25_000)
+    assert seen[2] and sum(len(t) for t, _ in seen[2]) <= 25_000 and any(len(t) == 100 for t, _ in seen[2])
+
+
 def test_repeated_labels_do_not_thin_the_ids(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(600)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0) for i in range(600) for _ in range(100 if i % 2 else 1)] + [(7, 1)] * 40_000, "doc_id long, toxic int")
