@@ -110,16 +110,17 @@ def virtual_slots(rows: DataFrame, slots: int = SLOTS, copies: int = COPIES) ->
     by_id = F.xxhash64("doc_id", F.floor(F.col("copy") / copies))
     piece = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(by_id, F.col("pieces")))
     part = F.pmod(F.shiftrightunsigned(F.xxhash64("group", "doc_id"), 24), F.lit(PARTS))
-    return each.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("group", piece.cast("long")), F.lit(slots)).cast("int").alias("vslot"), part.cast("int").alias("part"))
+    carried = [c for c in rows.columns if c not in ("group", "times")]
+    return each.select(*carried, F.pmod(F.xxhash64("group", piece.cast("long")), F.lit(slots)).cast("int").alias("vslot"), part.cast("int").alias("part"))
 
 
 def shard_rows(
-    docs: DataFrame, map_path: str, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8, slots: int = SLOTS,
+    docs: DataFrame, map_path: str, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 8, slots: int = SLOTS, carry: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
+    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, and the column ``carry`` (a long) if one is named.
 
     ``size`` is the text's UTF-8 bytes plus 1 (a null text has 1 and the checksum of an empty one).  ``map_path`` holds the
-    map's versions; where nothing is, version 0 deals the slots out in turn.  Law ``bytes``: shards differ by less than the smallest slot
+    map's versions; where nothing is, version 0 deals the slots out in turn; a map of more shards than asked for is an error.  Law ``bytes``: shards differ by less than the smallest slot
     that could still move.  ``slot`` numbers the rows of a shard from 0 without gaps, in order of virtual slot, part,
     id and checksum; rows equal in all of these are interchangeable.  An empty table gives no rows.
     """
@@ -127,6 +128,7 @@ def shard_rows(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group"),
+        *([F.col(carry).alias("carry")] if carry else []),
     )
     narrow, _ = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("times")), "sizes")  # the texts are read once
     placed, _ = materialize(virtual_slots(narrow, slots), "slots")
@@ -144,5 +146,5 @@ def shard_rows(
     numbered = placed.withColumn("rank", F.row_number().over(within)).join(where, ["vslot", "part"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("offset") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
+        (F.col("offset") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", *([F.col("carry").alias(carry)] if carry else []),
     )
