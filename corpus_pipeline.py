@@ -57,14 +57,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and place in it: the columns of ``sharding.shard_rows``, then those of ``docs`` that have other names.
 
-    Rows with one id and text are copies that the mix made, so one of them carries the text for all.
+    Rows that are equal in every column are copies that the mix made, so one of them carries the columns for all; rows that
+    differ in any (nulls count) keep their own.
     """
-    placed = sharding.shard_rows(docs, map_path(spark, sf_dir, "pipeline"), shards=8)
+    whole = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    keyed = docs.withColumn("_whole", whole)
+    placed = sharding.shard_rows(keyed, map_path(spark, sf_dir, "pipeline"), shards=8, carry="_whole")
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.crc32(text.cast("binary")).alias("_crc"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.struct(*docs.columns).alias("_row"))
-    once = own.groupBy("_id", "_crc", "_size").agg(F.first("_row").alias("_row"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_crc32") == F.col("_crc")) & (F.col("size") == F.col("_size"))
-    return placed.join(once, same).select(*placed.columns, *[F.col("_row")[c].alias(c) for c in docs.columns if c not in placed.columns])
+    key = F.struct("_whole", F.col("doc_id").cast("long"), F.crc32(text.cast("binary")), F.octet_length(text))
+    once = keyed.select(key.alias("_own"), F.struct(*docs.columns).alias("_row")).groupBy("_own").agg(F.first("_row").alias("_row"))
+    same = F.struct("_whole", "doc_id", "text_crc32", (F.col("size") - 1).cast("int"))
+    joined = placed.withColumn("_of", same).drop("_whole").join(once, F.col("_of") == F.col("_own"))
+    return joined.select(*[c for c in placed.columns if c != "_whole"], *[F.col("_row")[c].alias(c) for c in docs.columns if c not in placed.columns])
 
 
 STAGES = [
