@@ -115,3 +115,14 @@ def test_odd_rows_go_through_every_stage(spark, tmp_path):
     assert 7 not in ids and {50, 51} <= ids and ids <= {*range(40), 50, 51, 52, None}
     texts = {r[0]: r[1] for r in rows}
     assert all(r["text"] == texts[r["doc_id"]] for r in got) and {r["shard"] for r in got} <= set(range(8))
+
+
+def test_rows_that_share_id_and_text_keep_their_columns(spark):
+    rows = [(None, " ", "en", "a", 1), (None, " ", "fr", "b", 1), (None, " ", None, "b", 1), (None, " ", "b", None, 1), (7, "t", "en", "a", 1), (7, "t", "en", "c", 1), (7, "t", "en", "c", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = corpus_pipeline.deal_shards(spark, docs, "")
+    key = lambda r: str((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]))
+    assert sorted(map(key, out.collect())) == sorted(map(key, docs.collect()))
+    assert "_whole" not in out.columns
+    mixed = corpus_pipeline.deal_shards(spark, corpus_pipeline.mix_sources(spark, docs, ""), "").collect()
+    assert {(r["lang"], r["source"]) for r in mixed if r["doc_id"] is None} == {("en", "a"), ("fr", "b"), (None, "b"), ("b", None)}
