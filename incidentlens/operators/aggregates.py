@@ -146,18 +146,22 @@ def zone_notation(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("text").rlike(at)).groupBy("source", name.alias("zone")).agg(F.count("*").alias("n"))
 
 
-def shift_overlaps(minutes: DataFrame, reference: str, step: int = 15, hours: int = 14) -> DataFrame:
+def shift_overlaps(minutes: DataFrame, reference: str | DataFrame, step: int = 15, hours: int = 14) -> DataFrame:
     """source, shift, overlap: the share of the smaller slot set that a shift of the other source's brings together.
 
-    The band join becomes an equi join on the shifted slot.
+    ``reference`` names the source that the others are laid on, or is one row with its ``source``.  The band join becomes an equi join on the shifted slot.
     """
     slots = minutes.select("source", F.floor(F.col("minute") / step).alias("slot")).distinct()
     sizes = slots.groupBy("source").agg(F.count("*").alias("size"))
-    ref = slots.where(F.col("source") == reference).select("slot")
+    if isinstance(reference, str):
+        reference = minutes.sparkSession.createDataFrame([(reference,)], "source string")
+    fixed = F.broadcast(reference.select(F.col("source").alias("_fixed")))  # one row
+    slots = slots.join(fixed, F.lit(True))
+    ref = slots.where("source = _fixed").select("slot")
     reach = hours * 60 // step
-    shifted = slots.where(F.col("source") != reference).withColumn("shift", F.explode(F.expr(f"sequence(-{reach}, {reach})"))).select("source", "shift", (F.col("slot") + F.col("shift")).alias("slot"))
+    shifted = slots.where("source != _fixed").withColumn("shift", F.explode(F.expr(f"sequence(-{reach}, {reach})"))).select("source", "shift", (F.col("slot") + F.col("shift")).alias("slot"))
     hits = shifted.join(ref, "slot").groupBy("source", "shift").agg(F.count("*").alias("n"))
-    own = F.broadcast(sizes.where(F.col("source") == reference).select(F.col("size").alias("_ref")))  # one row
+    own = F.broadcast(sizes.join(fixed, F.col("source") == F.col("_fixed")).select(F.col("size").alias("_ref")))  # one row
     return hits.join(sizes, "source").join(own, F.lit(True)).select("source", (F.col("shift") * step).alias("shift"), (F.col("n") / F.least("size", "_ref")).alias("overlap"))
 
 

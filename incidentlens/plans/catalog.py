@@ -144,8 +144,7 @@ add("clock_skew", lambda s, d: A.best_shift(A.shift_overlaps(A.source_minutes(_s
 def _consensus(s, d):
     from incidentlens.operators import health
 
-    found, _ = health.clock_skews(_skewed_events(s, d), health.Thresholds())
-    return s.createDataFrame(found, "source string, shift long, overlap double, unshifted double")
+    return health.clock_offsets(_skewed_events(s, d), health.Thresholds()).drop("anchor")
 
 
 add("clock_consensus", _consensus, V.sql(V.LOG_EVENTS, _SKEW, _SIZES, "busiest AS (SELECT source AS p FROM log_events WHERE source <> 'svc-1' GROUP BY source ORDER BY count(*) DESC, source DESC LIMIT 1)", _overlaps_sql("(SELECT p FROM busiest)"), select=f"SELECT * FROM ({_BEST}) WHERE abs(shift) >= 30 AND overlap - unshifted >= 0.5"))
