@@ -107,7 +107,7 @@ class Server:
 
     def query(self, incident_id: str, sql: str) -> dict:
         store = self.store(incident_id)
-        found = guard.run_readonly(self.spark, sql, {"log_events": store.read("events"), "templates": store.read("templates")})
+        found = guard.run_readonly(self.spark, sql, {"log_events": store.read("events"), "templates": store.read("templates")}, time_limit=guard.SECONDS)
         return {"columns": found.columns, "rows": [[str(v) if v is not None and not isinstance(v, (bool, int, float, str)) else v for v in r] for r in found.collect()]}
 
     def call(self, name: str, arguments: dict) -> dict:

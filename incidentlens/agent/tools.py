@@ -115,7 +115,7 @@ class Toolbox:
         if not str(args.get("query") or "").strip():
             raise ToolError("query is empty")
         views = {"log_events": self.store.read("events").withColumn("ts_iso", times.iso(F.col("ts"))), "templates": self.store.read("templates")}
-        found = guard.run_readonly(self.store.spark, args["query"], views, SQL_ROWS)
+        found = guard.run_readonly(self.store.spark, args["query"], views, SQL_ROWS, guard.SECONDS)
         rows = found.collect()
         if "id" in found.columns and "log_events" in guard.relations(self.store.spark, args["query"]):
             self.seen_events.update(r["id"] for r in rows if isinstance(r["id"], int))

@@ -45,6 +45,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.choices["investigate"].add_argument("--restart", action="store_true")
     sub.choices["investigate"].add_argument("--ignore-health", action="store_true")
     sub.choices["sql"].add_argument("query")
+    sub.choices["sql"].add_argument("--seconds", type=float, help="how long the query may run")
     for name in ("report", "run"):
         sub.choices[name].add_argument("--out", default="reports")
         sub.choices[name].add_argument("--as", dest="fmt", default="markdown", choices=sorted(report.FORMATS))
@@ -138,7 +139,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "report":
         print(report.write(store, args.out, args.fmt))
     else:
-        guard.run_readonly(spark, args.query, {"log_events": store.read("events"), "templates": store.read("templates")}).show(50, False)
+        guard.run_readonly(spark, args.query, {"log_events": store.read("events"), "templates": store.read("templates")}, time_limit=args.seconds).show(50, False)
     return 0
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentlens.operators import reads
+from incidentlens.operators import reads, search
+from incidentlens.operators.ranks import numbered
 
 # The order of roles and confidences, and the share of events under which evidence is thin.
 ROLE_RANK = {"accounting": 0, "finding": 1}
@@ -119,10 +120,9 @@ def paired(objections: DataFrame, replies: DataFrame) -> DataFrame:
 
 def marker_ranks(markers: DataFrame, events: DataFrame, templates: DataFrame) -> DataFrame:
     """marker, rank: the best place in the digest order of a template whose events hold the marker (null if none)."""
-    order = Window.orderBy(F.desc("anomaly_score"), F.desc("occurrence_count"), "template_id")
-    ranks = templates.select("template_id", F.row_number().over(order).alias("rank"))
-    # Markers are a handful of literals that a case names: they go to every task.
-    hits = events.join(F.broadcast(markers), F.contains(F.lower("message"), F.lower("marker"))).select("marker", "template_id").distinct()
+    order = [F.desc("anomaly_score"), F.desc("occurrence_count"), F.col("template_id")]
+    ranks = numbered(templates.select("template_id", "anomaly_score", "occurrence_count"), order, "rank").select("template_id", F.col("rank").cast("int").alias("rank"))
+    hits = search.holders(events, markers, "template_id")
     return markers.join(hits.join(ranks, "template_id").groupBy("marker").agg(F.min("rank").alias("rank")), "marker", "left")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentlens.functions import severity as S
+from incidentlens.operators.ranks import numbered
 
 # The weights of the score and the scale of burstiness.
 WEIGHTS = {"severity": 0.5, "burstiness": 0.3, "rarity": 0.2}
@@ -66,28 +67,32 @@ def score(stats: DataFrame, buckets: DataFrame, informative: bool = True, weight
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """With ``rank``: best score first, ties by id.  One row per template, so the one window is small."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "template_id")))
+    """With ``rank``: best score first, ties by id; numbered by ranges of the score."""
+    return numbered(scores, [F.desc("score"), F.col("template_id")], "rank")
 
 
 def signal_set(scores: DataFrame, least: int = 3, most: int = 15) -> DataFrame:
     """The ranked templates above the largest drop between neighbours, at least ``least`` and at most ``most``."""
     if not 0 < least <= most:
         raise ValueError("need 0 < least <= most")
-    top = scores.orderBy(F.desc("score"), "template_id").limit(most + 1)  # a top-k; what follows has that many rows
-    order = Window.orderBy(F.desc("score"), "template_id")
-    top = top.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
-    count = top.agg(F.count("*").alias("n"))
-    gaps = top.where((F.col("rank") >= least) & (F.col("rank") < most) & F.col("next").isNotNull())
-    cut = gaps.agg(F.max_by("rank", F.struct(F.col("score") - F.col("next"), -F.col("rank"))).alias("cut"))
-    facts = F.broadcast(count.join(cut, F.lit(True)).select(F.coalesce("cut", F.least("n", F.lit(most))).alias("_cut")))
-    return top.join(facts, F.col("rank") <= F.col("_cut")).select("template_id", "score", "rank")
+    top = scores.orderBy(F.desc("score"), "template_id").limit(most + 1)  # a top-k; what follows is one row of it
+    listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "template_id", "score"))).alias("t"))
+    # The drop behind place p, for the places that may be the last: the largest wins, of equal ones the first.
+    drops = F.transform(
+        F.filter(F.sequence(F.lit(least), F.lit(most - 1)) if least < most else F.array().cast("array<int>"), lambda p: p < F.size("t")),
+        lambda p: F.struct((F.get("t", p - 1)["score"] - F.get("t", p)["score"]).alias("drop"), (-p).alias("first")),
+    )
+    cut = F.coalesce(-F.array_max(drops)["first"], F.least(F.size("t"), F.lit(most)))
+    placed = listed.select(F.posexplode(F.slice("t", F.lit(1), cut)).alias("at", "e"))
+    return placed.select(F.col("e.template_id").alias("template_id"), F.col("e.score").alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def needle_position(scores: DataFrame, templates: DataFrame) -> DataFrame:
-    """Rank of the template with the lowest id among those of the worst severity."""
+    """Rank of the template with the lowest id among those of the worst severity: one more than the templates before it."""
     worst = templates.orderBy(F.desc("max_severity_rank"), "template_id").limit(1).select("template_id")
-    return ranked(scores).join(F.broadcast(worst), "template_id").select("template_id", "rank")
+    own = F.broadcast(scores.join(F.broadcast(worst), "template_id").select(F.col("template_id").alias("_id"), F.col("score").alias("_score")))  # one row
+    before = (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("template_id") < F.col("_id")))
+    return scores.join(own, F.lit(True)).groupBy(F.col("_id").alias("template_id")).agg((F.count_if(before) + 1).cast("int").alias("rank"))
 
 
 def with_scores(templates: DataFrame, scores: DataFrame) -> DataFrame:

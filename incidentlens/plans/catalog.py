@@ -71,6 +71,11 @@ add("noise_templates", lambda s, d: reads.noise_templates(V.scored_templates(s,
 add("text_search", over_events(lambda e: reads.text_search(e, 'Error {"K": 4')), V.sql(V.LOG_EVENTS, select="""SELECT DISTINCT template_id FROM log_events WHERE contains(lower(message), lower('Error {"K": 4')) OR contains(lower(raw), lower('Error {"K": 4')) ORDER BY template_id LIMIT 5000"""))
 add("matching_events", over_events(lambda e: reads.matching_events(e, "SIGNUP")), V.sql(V.LOG_EVENTS, select="SELECT template_id, count(*) AS n FROM log_events WHERE contains(lower(message), 'signup') GROUP BY template_id"))
 add("document_search", lambda s, d: V.doc_lines(s, d).where(F.lower("line").contains("the")).groupBy("doc_id").agg(F.count("*").alias("n")), V.sql(V.DOC_LINES, select="SELECT doc_id, count(*) AS n FROM doc_lines WHERE contains(lower(line), 'the') GROUP BY doc_id"))
+# Letters beyond A-Z are told apart by case: a third of the messages ends in a small one, a third in a capital.
+_UMLAUTS = lambda e: e.withColumn("message", F.concat("message", F.when(F.col("id") % 3 == 0, " ÄRGER").when(F.col("id") % 3 == 1, " ärger").otherwise("")))
+_UMLAUT_SQL = "u AS (SELECT * REPLACE (message || CASE id % 3 WHEN 0 THEN ' ÄRGER' WHEN 1 THEN ' ärger' ELSE '' END AS message) FROM log_events)"
+add("text_search_folding", over_events(lambda e: reads.text_search(_UMLAUTS(e), "äRGER")), V.sql(V.LOG_EVENTS, _UMLAUT_SQL, select="SELECT DISTINCT template_id FROM u WHERE contains(translate(message, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ärger') ORDER BY template_id LIMIT 5000"))
+add("matching_events_folding", over_events(lambda e: reads.matching_events(_UMLAUTS(e), "K\": 7} Ärger")), V.sql(V.LOG_EVENTS, _UMLAUT_SQL, select="SELECT template_id, count(*) AS n FROM u WHERE contains(translate(message, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'k\": 7} Ärger') GROUP BY template_id"))
 add("raw_samples", over_events(lambda e: reads.first_per_source(e, 20).select("source", "id", "raw")), V.sql(V.LOG_EVENTS, select="SELECT source, id, raw FROM log_events QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 20"))
 add("stride_scan", over_events(lambda e: reads.regex_counts(e, {"failure": A.FAILURE, "even": r"[02468]\}$"}, 3)), V.sql(V.LOG_EVENTS, select=rf"SELECT template_id, count(*) AS events, count(*) FILTER (regexp_matches(message, '{A.FAILURE}')) AS failure, count(*) FILTER (regexp_matches(message, '[02468]\}}$')) AS even FROM log_events WHERE id % 3 = 0 GROUP BY template_id"))
 add("orphan_events", lambda s, d: A.orphans(V.log_events(s, d), V.templates(s, d).where("template_id % 10 != 3")), V.sql(V.LOG_EVENTS, select="SELECT count(*) AS n FROM log_events WHERE template_id % 10 = 3"))
@@ -179,11 +184,10 @@ add("needle_position", lambda s, d: scoring.needle_position(V.scores(s, d), V.te
 
 
 def _filled(s, d):
-    from pyspark.sql import Window
-
-    e = V.log_events(s, d).withColumn("own", F.when(F.col("id") % 3 != 0, F.col("ts")))
-    before = Window.partitionBy("source").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return V.iso(e.select("id", F.coalesce(F.last("own", ignorenulls=True).over(before), F.timestamp_seconds("id")).alias("ts")))
+    """A file per source; two lines of three begin with their time."""
+    line = F.concat(F.when(F.col("id") % 3 != 0, F.concat(times.iso(F.col("ts")), F.lit(" "))).otherwise(""), F.col("message"))
+    lines = V.log_events(s, d).select(F.col("source").alias("source_file"), F.col("id").alias("line_no"), line.alias("line"))
+    return V.iso(readers.raw_lines(lines, "iso8601").select(F.col("line_no").alias("id"), "ts"))
 
 
 add("forward_fill_ts", _filled, V.sql(V.LOG_EVENTS, select=f"SELECT id, {V.ISO.format('coalesce(last_value(CASE WHEN id % 3 <> 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), make_timestamp(id * 1000000))')} AS ts FROM log_events"))
@@ -201,6 +205,7 @@ add("citation_check", lambda s, d: notes.broken_citations(V.notes(s, d), V.log_e
 add("uncited_signal", lambda s, d: notes.uncited_signal(scoring.signal_set(V.scores(s, d)), V.notes(s, d), A.chronic(V.templates(s, d), V.log_events(s, d))), V.sql(*V.SCORED, V.SIGNAL, V.NOTES, V.CHRONIC, select="SELECT template_id, template_id IN (SELECT template_id FROM chronic) AS chronic FROM signal WHERE template_id NOT IN (SELECT template_id FROM cited)"))
 add("unopened_digest", lambda s, d: notes.unopened(V.scored_templates(s, d), V.notes(s, d), V.templates(s, d).where("template_id % 2 = 0").select("template_id")).select("template_id"), V.sql(*V.SCORED, V.NOTES, "top AS (SELECT * FROM scored ORDER BY anomaly_score DESC, occurrence_count DESC, template_id LIMIT 40)", select="SELECT template_id FROM top WHERE template_id % 2 <> 0 AND template_id NOT IN (SELECT template_id FROM cited) ORDER BY anomaly_score DESC, occurrence_count DESC, template_id LIMIT 3"))
 add("response_pairing", lambda s, d: notes.paired(s.createDataFrame([("o1", "a", "high"), ("o2", "b", "low")], "objection_id string, claim string, severity string"), s.createDataFrame([(1, "o1", "first", False), (2, "o1", "yes", True), (3, "o9", "what", False)], "position int, objection_id string, response string, conceded boolean")), "SELECT * FROM (VALUES ('o1', 'a', 'high', 'yes', true), ('o2', 'b', 'low', NULL, NULL), ('o9', '', 'unmatched_response', 'what', false)) v(objection_id, claim, severity, response, conceded)")
+add("many_marker_ranks", lambda s, d: notes.marker_ranks(V.log_events(s, d).select(F.upper("message").alias("marker")).union(V.log_events(s, d).select(F.concat(F.lit("user "), "trace_id"))).distinct(), V.log_events(s, d), V.scored_templates(s, d)).where("marker is not null"), V.sql(*V.SCORED, "m AS (SELECT DISTINCT upper(message) AS marker FROM log_events UNION SELECT 'user ' || trace_id FROM log_events WHERE trace_id IS NOT NULL)", "t AS (SELECT DISTINCT message, template_id FROM log_events)", "rk AS (SELECT template_id, row_number() OVER (ORDER BY anomaly_score DESC, occurrence_count DESC, template_id) AS rank FROM scored)", select="SELECT marker, min(rank) AS rank FROM m LEFT JOIN t ON contains(lower(t.message), lower(marker)) LEFT JOIN rk USING (template_id) GROUP BY marker"))
 add("digest_recall", lambda s, d: notes.marker_ranks(s.createDataFrame([('Error {"k": 7}',), ("purchase",), ("absent",)], "marker string"), V.log_events(s, d), V.scored_templates(s, d)), V.sql(*V.SCORED, "m AS (SELECT * FROM (VALUES ('Error {\"k\": 7}'), ('purchase'), ('absent')) v(marker))", "rk AS (SELECT template_id, row_number() OVER (ORDER BY anomaly_score DESC, occurrence_count DESC, template_id) AS rank FROM scored)", select="SELECT marker, min(rank) AS rank FROM m LEFT JOIN log_events e ON contains(lower(e.message), lower(marker)) LEFT JOIN rk USING (template_id) GROUP BY marker"))
 _four = lambda s, d: (V.log_events(s, d), V.scored_templates(s, d), scoring.signal_set(V.scores(s, d)), A.chronic(V.templates(s, d), V.log_events(s, d)))
 add("mechanical_critique", lambda s, d: notes.critique(V.notes(s, d), *_four(s, d), thin_share=0.01), V.sql(*V.SCORED, V.SIGNAL, V.NOTES, V.CHRONIC, """tot AS (SELECT count(*) AS total FROM log_events), sig AS (SELECT count(*) AS s, count(*) FILTER (template_id NOT IN (SELECT template_id FROM chronic)) AS acute, (SELECT sum(occurrence_count) FROM templates WHERE template_id IN (SELECT template_id FROM signal)) AS ev FROM signal),
@@ -534,7 +539,7 @@ def _incident(s, d):
 add("stored_incident", _incident, "SELECT '2026-01-01-renamed' AS incident_id, 'app.jsonl' AS source, 'json_lines' AS format, 'strict' AS redaction, 'why' AS brief")
 add("unseen_citations", lambda s, d: notes.unseen_citations(V.notes(s, d), reads.get_slice(V.log_events(s, d), 50, start=_FROM)), V.sql(V.LOG_EVENTS, V.NOTES, f"seen AS (SELECT id FROM log_events WHERE ts >= TIMESTAMP '{_FROM}' ORDER BY ts, id LIMIT 50)", select="SELECT * FROM (SELECT DISTINCT note_id, unnest(log_event_ids) AS log_event_id FROM notes) WHERE log_event_id NOT IN (SELECT id FROM seen)"))
 add("sound_conclusions", lambda s, d: notes.sound_conclusions(V.scored_templates(s, d), scoring.signal_set(V.scores(s, d)), A.chronic(V.templates(s, d), V.log_events(s, d))), V.sql(*V.SCORED, V.SIGNAL, V.CHRONIC, "s AS (SELECT 'finding' AS role, rank AS place, template_id FROM signal)", "c AS (SELECT 'accounting' AS role, row_number() OVER (ORDER BY template_id) AS place, template_id FROM chronic QUALIFY place <= 5)", select="SELECT 'signal-accounted' AS name, * FROM s UNION ALL SELECT 'chronic-dismissed', * FROM s WHERE EXISTS (SELECT 1 FROM c) UNION ALL SELECT 'chronic-dismissed', * FROM c WHERE EXISTS (SELECT 1 FROM s)"))
-add("score_ranking", lambda s, d: V.scores(s, d).select("template_id", "score", F.rank().over(Window.orderBy(F.desc("score"), "template_id")).cast("long").alias("place")), V.sql(*V.SCORED, select="SELECT template_id, score, row_number() OVER (ORDER BY score DESC, template_id) AS place FROM scores"))
+add("score_ranking", lambda s, d: scoring.ranked(V.scores(s, d)).select("template_id", "score", F.col("rank").alias("place")), V.sql(*V.SCORED, select="SELECT template_id, score, row_number() OVER (ORDER BY score DESC, template_id) AS place FROM scores"))
 
 
 def _ingested(s, d):

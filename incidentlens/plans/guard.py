@@ -15,6 +15,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS, TOOL_ROWS = 500, 200
+#: How long a query of the tools and the server may run.
+SECONDS = 10.0
 #: Logical operators that only read.
 ALLOWED = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedWith "
@@ -87,6 +89,8 @@ def _inspect(spark: SparkSession, sql: str, views: frozenset[str]) -> None:
 def run_readonly(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int = MAX_ROWS, time_limit: float | None = None) -> DataFrame:
     """The rows of one SELECT over ``views``, ``max_rows`` at most; ReadOnlyViolation for anything else.
 
+    With ``time_limit`` (seconds) the query runs here, and its jobs are cancelled when the time is over, which is a violation too.
+
     Views are published in a session of their own, so a query can see nothing else.
     """
     session = spark.newSession()
@@ -103,13 +107,23 @@ def run_readonly(spark: SparkSession, sql: str, views: dict[str, DataFrame], max
     found = found.limit(max_rows)
     if time_limit is None:
         return found
-    tag = f"guard-{uuid.uuid4().hex}"
-    spark.addTag(tag)
-    timer = threading.Timer(time_limit, lambda: spark.interruptTag(tag))
+    # Jobs of this thread carry the tag, so cancelling ends no others.
+    tag, context, late = f"guard-{uuid.uuid4().hex}", spark.sparkContext, threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    context.addJobTag(tag)
+    timer = threading.Timer(time_limit, stop)
     timer.start()
     try:
         rows = found.collect()  # max_rows at most
+    except Exception as e:
+        if late.is_set():
+            raise ReadOnlyViolation(f"the query was stopped after {time_limit:g} seconds; ask for less") from None
+        raise ReadOnlyViolation(str(e).splitlines()[0][:300]) from None
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
     return spark.createDataFrame(rows, found.schema)

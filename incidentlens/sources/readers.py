@@ -6,8 +6,11 @@ spans lines is read whole first.  Bad lines stay, with status ``error``, so that
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from incidentlens.functions import times
 from incidentlens.sources import records as R
@@ -63,36 +66,76 @@ def _scalar(v):
     return _text(v, *tags)
 
 
-def _json_of(v, depth: int):
-    """A tagged wire value as plain JSON: tags go, whole numbers that came as text are numbers again.
+_TAGS = {f"{name}{tail}": name for name in ("string", "int", "bool", "double", "bytes", "array", "kvlist") for tail in ("Value", "_value")}
+
+
+def untagged(value):
+    """A tagged wire value as plain data, however deep: whole numbers that came as text are numbers again, an empty value is null, what has no tag stays."""
+    if not isinstance(value, dict):
+        return value
+    tag = next((t for t in _TAGS if t in value), None)
+    if tag is None:
+        return value or None
+    inner, kind = value[tag], _TAGS[tag]
+    if kind == "int":
+        try:
+            return int(inner)
+        except (TypeError, ValueError):
+            return inner
+    if kind not in ("array", "kvlist"):
+        return inner
+    items = inner.get("values") if isinstance(inner, dict) else None
+    items = items if isinstance(items, list) else []
+    if kind == "array":
+        return [untagged(i) for i in items]
+    return {str(i["key"]): untagged(i.get("value")) for i in items if isinstance(i, dict) and i.get("key") is not None}
+
+
+def _compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _in_arrow_batches(function):
+    """A text-to-text function over Arrow batches; a null stays null, so rows that need no Python cost next to nothing."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else function(json.loads(t))), StringType())
+
+
+_plain = _in_arrow_batches(lambda value: _compact(untagged(value)))
+
+
+def _shown(value) -> str | None:
+    """A plain value as a field's text: scalars as they are, containers as JSON."""
+    return value if value is None or isinstance(value, str) else _compact(value)
+
+
+_plain_pairs = _in_arrow_batches(lambda pairs: _compact({str(p["key"]): _shown(untagged(p.get("value"))) for p in pairs if isinstance(p, dict) and p.get("key") is not None}))
 
-    ``depth`` levels of nesting are opened; what lies deeper keeps its tags, so that nothing is lost.
-    """
-    text = _text(v, "$.stringValue", "$.string_value", "$.bytesValue", "$.bytes_value")
-    quoted = F.substring(F.to_json(F.struct(text.alias("v"))), 6, 1 << 30)
-    bare = _text(v, "$.intValue", "$.int_value", "$.boolValue", "$.bool_value", "$.doubleValue", "$.double_value")
-    out = F.when(text.isNotNull(), F.regexp_replace(quoted, r"\}$", "")).when(bare.isNotNull(), bare)
-    if depth:
-        items = F.coalesce(F.try_variant_get(v, "$.arrayValue.values", "array<variant>"), F.try_variant_get(v, "$.array_value.values", "array<variant>"))
-        pairs = F.coalesce(F.try_variant_get(v, "$.kvlistValue.values", "array<variant>"), F.try_variant_get(v, "$.kvlist_value.values", "array<variant>"))
-        name = lambda p: F.regexp_replace(F.substring(F.to_json(F.struct(F.try_variant_get(p, "$.key", "string").alias("v"))), 6, 1 << 30), r"\}$", "")
-        empty = lambda p: F.schema_of_variant(p).isin("OBJECT<>", "VOID")
-        inner = lambda p: F.coalesce(_json_of(p, depth - 1), F.when(p.isNull() | empty(p), F.lit("null")), F.to_json(p))
-        out = out.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(items, inner), ","), F.lit("]")))
-        out = out.when(pairs.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(name(p), F.lit(":"), inner(F.try_variant_get(p, "$.value", "variant")))), ","), F.lit("}")))
-    return out
+
+def _container(v):
+    """Whether a wire value holds others."""
+    return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "variant") for n in ("arrayValue", "kvlistValue", "array_value", "kvlist_value")]).isNotNull()
+
+
+def _simple(v):
+    return F.coalesce(_scalar(v), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def any_value(v):
-    """A tagged wire value as text: scalars as they are, lists and key-value lists as plain JSON (deeper than three levels with their tags)."""
-    return F.coalesce(_scalar(v), _json_of(v, 3), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    """A tagged wire value as text: scalars as they are, lists and key-value lists of any depth as plain JSON.
+
+    Only values that hold others, whose depth no expression can follow, pass through Python.
+    """
+    return F.coalesce(_simple(v), _plain(F.when(_container(v), F.to_json(v))))
 
 
 def _attributes(v, path: str):
     """A list of key-value pairs as a map of texts; the last of equal keys wins."""
     pairs = F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    keyed = F.filter(F.transform(pairs, lambda p: F.struct(F.try_variant_get(p, "$.key", "string").alias("key"), any_value(F.try_variant_get(p, "$.value", "variant")).alias("value"))), lambda e: e["key"].isNotNull())
-    return F.aggregate(keyed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
+    keyed = F.filter(F.transform(pairs, lambda p: F.struct(F.try_variant_get(p, "$.key", "string").alias("key"), _simple(F.try_variant_get(p, "$.value", "variant")).alias("value"))), lambda e: e["key"].isNotNull())
+    flat = F.aggregate(keyed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
+    deep = F.exists(pairs, lambda p: _container(F.try_variant_get(p, "$.value", "variant")))
+    nested = F.from_json(_plain_pairs(F.when(deep, F.to_json(F.try_variant_get(v, path, "variant")))), "map<string,string>")
+    return F.coalesce(nested, flat)
 
 
 def severity_of_number(n):
@@ -115,19 +158,19 @@ def otlp(df: DataFrame) -> DataFrame:
     res = res.withColumn("resource", _attributes(F.col("res"), "$.resource.attributes"))
     scope = res.select("source_file", "line_no", "resource", F.explode(_list(F.col("res"), "scopeLogs", "scope_logs")).alias("scope"))
     recs = scope.select("source_file", "line_no", "resource", F.explode(_list(F.col("scope"), "logRecords", "log_records")).alias("rec"))
-    v, resource = F.col("rec"), F.col("resource")
+    body = any_value(F.coalesce(F.try_variant_get("rec", "$.body", "variant"), F.parse_json(F.lit("{}"))))
+    recs = recs.withColumn("own", _attributes(F.col("rec"), "$.attributes")).withColumn("body", body)
+    v, resource, own = F.col("rec"), F.col("resource"), F.col("own")
     when = F.coalesce(*[F.nullif(_text(v, p), F.lit("0")) for p in ("$.timeUnixNano", "$.time_unix_nano", "$.observedTimeUnixNano", "$.observed_time_unix_nano")])
     text = _text(v, "$.severityText", "$.severity_text")
     number = F.try_variant_get(v, "$.severityNumber", "int")
     level = F.when(mapped(text).isNotNull(), text).otherwise(F.coalesce(severity_of_number(F.coalesce(number, F.try_variant_get(v, "$.severity_number", "int"))), text))
-    own = _attributes(v, "$.attributes")
     trace, span = F.nullif(_text(v, "$.traceId", "$.trace_id"), F.lit("")), F.nullif(_text(v, "$.spanId", "$.span_id"), F.lit(""))
     merged = F.map_concat(F.map_filter(resource, lambda k, _: ~F.array_contains(F.map_keys(own), k) & ~k.isin(*OTLP_SERVICE)), own)
     for name, value in (("trace_id", trace), ("span_id", span)):
         merged = F.when(value.isNull(), merged).otherwise(_with(merged, name, value))
-    body = any_value(F.coalesce(F.try_variant_get(v, "$.body", "variant"), F.parse_json(F.lit("{}"))))
     service = F.coalesce(*[resource[F.lit(k)] for k in OTLP_SERVICE])
-    good = R.record(recs, ts=times.from_epoch(when), source=service, level=level, raw=F.to_json(v), message=F.coalesce(body, F.lit("")), fields=F.to_json(merged), fmt="otlp")
+    good = R.record(recs, ts=times.from_epoch(when), source=service, level=level, raw=F.to_json(v), message=F.coalesce("body", F.lit("")), fields=F.to_json(merged), fmt="otlp")
     return good.unionByName(_errors(bad, "otlp"))
 
 
@@ -177,30 +220,52 @@ def elastic(df: DataFrame) -> DataFrame:
     bad = rows.where("hits is null")
     docs = rows.where("hits is not null").select("source_file", "line_no", F.explode("hits").alias("hit"))
     docs = docs.select("source_file", "line_no", "hit", F.coalesce(F.try_variant_get("hit", "$._source", "variant"), F.col("hit")).alias("src"))
+    docs = _elastic_fields(docs)
     v = F.col("src")
     first = lambda paths: F.coalesce(*[F.nullif(F.trim(_at(v, p)), F.lit("")) for p in paths])
     message = first(ELASTIC_MESSAGE)
-    used = (*ELASTIC_TS, *ELASTIC_SEVERITY, *ELASTIC_MESSAGE, *ELASTIC_SOURCE)
-    rest = F.filter(flat(v), lambda e: ~e["key"].isin(*used))
     good = R.record(
         docs, ts=R.parse_ts(first(ELASTIC_TS)), source=first(ELASTIC_SOURCE), level=first(ELASTIC_SEVERITY), raw=F.to_json(v), message=F.coalesce(message, F.to_json(v)),
-        fields=R.object_of(rest), fmt="elastic",
+        fields=F.col("fields"), fmt="elastic",
     )
     return good.unionByName(_errors(bad, "elastic"))
 
 
-def flat(v, prefix=None, depth: int = 4):
+def _opened(v, prefix=None, depth: int = 3):
     """An object's leaves as (dotted key, JSON text); ``depth`` levels are opened, deeper objects stay JSON."""
     entries = F.map_entries(F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))))
 
     def leaf(e):
         key = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
         own = F.array(F.struct(key.alias("key"), F.to_json(e["value"]).alias("value")))
-        return F.when(F.schema_of_variant(e["value"]).startswith("OBJECT"), flat(e["value"], key, depth - 1)).otherwise(own) if depth > 1 else own
+        return F.when(F.schema_of_variant(e["value"]).startswith("OBJECT"), _opened(e["value"], key, depth - 1)).otherwise(own) if depth > 1 else own
 
     return F.flatten(F.transform(entries, leaf))
 
 
+def leaves(value, prefix: str = "") -> dict:
+    """Nested objects as dotted keys."""
+    out = {}
+    for key, item in value.items():
+        path = f"{prefix}.{key}" if prefix else key
+        out.update(leaves(item, path) if isinstance(item, dict) else {path: item})
+    return out
+
+
+_ELASTIC_PARTS = frozenset((*ELASTIC_TS, *ELASTIC_SEVERITY, *ELASTIC_MESSAGE, *ELASTIC_SOURCE))
+_other_leaves = _in_arrow_batches(lambda value: _compact({k: x for k, x in leaves(value).items() if k not in _ELASTIC_PARTS}))
+
+
+def _elastic_fields(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``fields``: all leaves of ``src`` but the record's parts as one JSON object, however deep.
+
+    A document nested deeper than three levels, which leaves an object among its values, passes through Python.
+    """
+    few = F.filter(_opened(F.col("src")), lambda e: ~e["key"].isin(*sorted(_ELASTIC_PARTS)))
+    docs = docs.withColumn("few", R.object_of(few))
+    return docs.withColumn("fields", F.coalesce(_other_leaves(F.when(F.contains("few", F.lit('":{')), F.to_json("src"))), "few"))
+
+
 def adopt_shape(sample: list[str], share: float = 0.9, year: int | None = None, clf: bool = False) -> str | None:
     """The first shape that reads in at least ``share`` of the sampled lines."""
     import re
