@@ -4,8 +4,8 @@ A payload (the text's UTF-8 bytes, padded with zero bytes to a positive multiple
 of 64) is cut where a rolling gear hash of its last 32 bytes has ten zero bits, so
 equal passages of different payloads give equal chunks.  Spark joins digests, not
 payloads: they decide which payload stores a shared chunk.  The store is a Parquet
-table in the shared folder: of each payload its ordered chunk list (digest, length) and the
-samples (8 bit) of the chunks it stores.  Payloads are rebuilt from it:
+table in the shared folder: of each payload the object's beginning (format, ordered chunk list of lengths and digests) and the
+samples (8 bit) of the chunks it stores.  The stored form is that beginning with all samples behind it.  Payloads are rebuilt from it:
 most hold all their chunks and are rebuilt where they are read; only chunks that
 another payload stores travel.  What is read back is held against the stored chunk list and
 the digest of the text; a chunk that is missing or differs fails the job.
@@ -72,9 +72,18 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
 
-def stored_form(parts: list[bytes]) -> bytes:
-    """The media object: a header, the ordered chunk list (length, digest) and the samples."""
-    return b"".join([MAGIC, struct.pack("<I", len(parts)), *[struct.pack("<I", len(c)) + digest(c) for c in parts], *parts])
+def head_of(parts: list[bytes]) -> bytes:
+    """The stored object's beginning: the format's name and the ordered chunk list (length, digest)."""
+    return b"".join([MAGIC, struct.pack("<I", len(parts)), *[struct.pack("<I", len(c)) + digest(c) for c in parts]])
+
+
+def listed_in(head: bytes) -> list[tuple[int, bytes]]:
+    """(length, digest) of every chunk that a stored beginning names."""
+    n = struct.unpack_from("<I", head, len(MAGIC))[0] if head.startswith(MAGIC) and len(head) >= len(MAGIC) + 4 else -1
+    if len(head) != len(MAGIC) + 4 + n * (4 + DIGEST):
+        raise ValueError("not a stored media object")
+    first, step = len(MAGIC) + 4, 4 + DIGEST
+    return [(struct.unpack_from("<I", head, at)[0], head[at + 4 : at + step]) for at in range(first, first + n * step, step)]
 
 
 def feature(data: bytes, parts: list[bytes]) -> str:
@@ -86,7 +95,7 @@ def feature(data: bytes, parts: list[bytes]) -> str:
 
 
 _CHUNK = "array<struct<digest:binary,n:int>>"
-_STORED = f"key binary, n_bytes long, listed {_CHUNK}, own array<struct<at:int,samples:binary>>"
+_STORED = "key binary, n_bytes long, n_chunks int, head binary, own array<struct<at:int,samples:binary>>"
 _MEDIA = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -113,13 +122,13 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _keyed(docs, id_col, text_col).mapInArrow(run, f"doc_id long, key binary, n_bytes long, chunks {_CHUNK}")
 
 
-def verified(key: bytes, n_bytes: int, listed: list[dict], own: list[dict]) -> list[bytes]:
-    """The payload's chunks in order, each equal to its entry in the stored list; else an error."""
-    held = {c["at"]: c["samples"] for c in own}
-    for i, entry in enumerate(listed):
+def verified(key: bytes, n_bytes: int, head: bytes, own: list[dict]) -> list[bytes]:
+    """The payload's chunks in order, each equal to its entry in the stored beginning; else an error."""
+    held, listed = {c["at"]: c["samples"] for c in own}, listed_in(head)
+    for i, (length, known) in enumerate(listed):
         if i not in held:
             raise ValueError(f"chunk {i} of payload {key.hex()} is missing")
-        if len(held[i]) != entry["n"] or digest(held[i]) != entry["digest"]:
+        if len(held[i]) != length or digest(held[i]) != known:
             raise ValueError(f"chunk {i} of payload {key.hex()} differs from its digest")
     parts = [held[i] for i in range(len(listed))]
     if hashlib.sha256(b"".join(parts)[:n_bytes]).digest() != key:
@@ -154,16 +163,18 @@ class MediaStore:
 
         def write(batches):
             for batch in batches:
-                own, listed, sizes = [], [], []
+                own, heads, counts, sizes = [], [], [], []
                 for text, skip in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     data, n = payload(text)
                     parts, left_out = chunks(data), set(skip or ())
                     sizes.append(n)
-                    listed.append([{"digest": digest(c), "n": len(c)} for c in parts])
+                    heads.append(head_of(parts))
+                    counts.append(len(parts))
                     own.append([{"at": i, "samples": c} for i, c in enumerate(parts) if i not in left_out])
-                shapes = [pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32())])), pa.list_(pa.struct([("at", pa.int32()), ("samples", pa.binary())]))]
+                samples = pa.list_(pa.struct([("at", pa.int32()), ("samples", pa.binary())]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(listed, shapes[0]), pa.array(own, shapes[1])], names=["key", "n_bytes", "listed", "own"],
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int32()), pa.array(heads, pa.binary()), pa.array(own, samples)],
+                    names=["key", "n_bytes", "n_chunks", "head", "own"],
                 )
 
         self.store, self.store_path = materialize(writers.select("key", "text", "skip").mapInArrow(write, _STORED), "media")
@@ -173,21 +184,22 @@ class MediaStore:
 
         A missing chunk, one that differs from its digest in the stored list, or a payload that differs from its key is an error.
         """
-        whole = self.store.where(F.size("own") == F.size("listed")).select("key", "n_bytes", "listed", "own")
-        partial = self.store.where(F.size("own") < F.size("listed")).select("key", "n_bytes", "listed", "own")
+        whole = self.store.where(F.size("own") == F.col("n_chunks")).select("key", "n_bytes", "head", "own")
+        partial = self.store.where(F.size("own") < F.col("n_chunks")).select("key", "n_bytes", "head", "own")
         needed = self.borrowed.select(F.col("owner").alias("okey"), F.col("owner_at").alias("oat"), "key", "at")
         lenders = self.borrowed.select(F.col("owner").alias("okey")).distinct()
         lent = self.store.select(F.col("key").alias("okey"), "own").join(maybe_broadcast(lenders, 48), "okey")
         lent = lent.select("okey", F.inline("own")).select("okey", F.col("at").alias("oat"), "samples")
         come = needed.join(lent.dropDuplicates(["okey", "oat"]), ["okey", "oat"]).groupBy("key").agg(F.collect_list(F.struct("at", "samples")).alias("come"))
-        filled = partial.join(come, "key", "left").select("key", "n_bytes", "listed", F.when(F.col("come").isNull(), F.col("own")).otherwise(F.concat("own", "come")).alias("own"))
+        filled = partial.join(come, "key", "left").select("key", "n_bytes", "head", F.when(F.col("come").isNull(), F.col("own")).otherwise(F.concat("own", "come")).alias("own"))
 
         def rebuild(batches):
             for batch in batches:
                 rows = []
-                for key, n, listed, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    parts = verified(key, n, listed, own)
-                    data, form = b"".join(parts), stored_form(parts)
+                for key, n, head, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    parts = verified(key, n, head, own)
+                    data = b"".join(parts)
+                    form = head + data  # the object's bytes as they were read
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(form), hashlib.sha256(form).hexdigest(), feature(data, parts)))
                 types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 columns = list(zip(*rows, strict=True)) or [[]] * 6

@@ -56,7 +56,7 @@ def test_round_trip_and_columns(spark):
     for i, t, _, _ in rows:
         data, n = media.payload(t)
         parts = media.chunks(data)
-        form = media.stored_form(parts)
+        form = media.head_of(parts) + b"".join(parts)
         want.append((i, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(form), hashlib.sha256(form).hexdigest(), media.feature(data, parts)))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -84,3 +84,21 @@ def test_a_damaged_store_fails(spark):
     store.store, store.borrowed = good.withColumn("n_bytes", F.col("n_bytes") - 1), borrowed
     with pytest.raises(Exception, match="payload .* differs"):
         store.media().collect()
+
+
+def test_stored_beginnings_are_read_back_or_refused(spark):
+    parts = [b"a" * 300, b"b" * 64]
+    head = media.head_of(parts)
+    assert media.listed_in(head) == [(300, media.digest(parts[0])), (64, media.digest(parts[1]))]
+    for damaged in (b"", head[:-1], head + b"x", b"XXXX" + head[4:]):
+        with pytest.raises(ValueError):
+            media.listed_in(damaged)
+    rows = [(1, "text one", "", ""), (2, None, "", "")]
+    store = media.MediaStore(spark.createDataFrame(rows, SCHEMA))
+    held = store.store.collect()
+    assert {r["head"][:4] for r in held} == {media.MAGIC}
+    got = {r["key"]: r for r in store.media().collect()}
+    for r in held:  # the digests are of stored bytes
+        whole = bytes(r["head"]) + b"".join(bytes(c["samples"]) for c in sorted(r["own"], key=lambda c: c["at"]))
+        if len(r["own"]) == r["n_chunks"]:
+            assert got[r["key"]]["media_sha256"] == hashlib.sha256(whole).hexdigest() and got[r["key"]]["media_bytes"] == len(whole)
