@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 3, 1, 1, 2
 BLOCK = 4096
+#: A block ends before it holds more bytes of text than this, but for a single turn that does.
+BLOCK_BYTES = 8 << 20
 SHORT, CACHED_TURNS = 32, 1 << 17
 INF = 1 << 40
 
@@ -170,11 +173,16 @@ def _blocks(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_
     def number(batches):
         from pyspark import TaskContext
 
-        base, n = TaskContext.get().partitionId() << 32, 0
+        block, n, rows, held = TaskContext.get().partitionId() << 32, 0, 0, 0
         for batch in batches:
-            at = np.arange(n, n + batch.num_rows)
+            at, blocks = np.arange(n, n + batch.num_rows), []
             n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(base + at // BLOCK), pa.array(at), *batch.columns[:5]], names=["block", "pos", "conv_id", "turn", "role", "code", "text"])
+            for size in pc.fill_null(pc.binary_length(batch.column(4)), 0).to_pylist():
+                if rows and (rows == BLOCK or held + size > BLOCK_BYTES):
+                    block, rows, held = block + 1, 0, 0
+                rows, held = rows + 1, held + size
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(at), *batch.columns[:5]], names=["block", "pos", "conv_id", "turn", "role", "code", "text"])
 
     numbered = ordered.select("conv_id", "turn", "role", "code", "text").mapInArrow(
         number, "block long, pos long, conv_id long, turn long, role string, code int, text string"

@@ -105,3 +105,13 @@ def test_defined_cases(spark):
     got = chat.repair(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 4 and sorted(r["action"] for r in got if r["conv_id"] == 1) == ["keep", "merge"]
     assert chat.repair(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    rows = [(1, t, "user" if t % 2 else "assistant", "x" * 900, 5) for t in range(40)] + [(2, 0, "user", "y" * 9000, 5), (3, 0, None, None, 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, chat.repair(df).collect()))
+    monkeypatch.setattr(chat, "BLOCK_BYTES", 4000)
+    assert sorted(map(str, chat.repair(df).collect())) == want
+    sizes = chat._blocks(df, "conv_id", "turn", "role", "text").groupBy("block").agg({"text": "count", "pos": "count"}).count()
+    assert sizes >= 11
