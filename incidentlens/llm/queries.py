@@ -12,8 +12,9 @@ from incidentlens.llm.common import scratch_root, table
 
 
 def map_path(spark: SparkSession, sf_dir: str, user: str) -> str:
-    """Where the shard map of one data set and user is: later runs over it in this application edit what earlier ones stored."""
-    return f"{scratch_root(spark)}/shard-map-{user}-{zlib.crc32(sf_dir.encode())}"
+    """Where the shard map of one data set and user is: in the cluster's shared folder it outlives the application, and later runs edit what earlier ones stored."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/') if shared else scratch_root(spark)}/shard-maps/{user}-{zlib.crc32(sf_dir.encode())}"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Texts hash into a fixed number of virtual slots; bytes are summed per slot; a
 versioned map sends slots to shards and is *edited* when it is rebalanced, so
 that only the rows of moved slots change place.  The map has ``slots`` rows
 whatever the data, which is why it may be collected and broadcast.  Its versions
-are stored: a run reads the last one, edits it and appends what it changed.
+are stored, a file each: a run reads the last one, edits it and stores what it changed as the next.
 
 One rule places rows at every size of table: a text's copies go together in pieces of
 about ``COPIES``.  Up to that many share a slot; of more, the id (and, for equal
@@ -13,10 +13,13 @@ rows, their number) decides the piece.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from incidentlens.llm.common import exists, materialize, maybe_broadcast
+from incidentlens.llm.common import materialize, maybe_broadcast
+from incidentlens.operators.commits import Files
 
 SLOTS, PARTS, COPIES = 4096, 8, 64
 
@@ -71,31 +74,36 @@ def grown(owner: list[int], weight: list[int], shards: int) -> list[int]:
     return owner
 
 
-def write_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
-    """Appends a version; earlier ones stay readable.  A map has one writer at a time."""
-    rows = spark.createDataFrame([(version, s, o) for s, o in enumerate(owner)], "version int, vslot int, shard int")
-    rows.coalesce(1).write.mode("append").parquet(path)
+def write_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> bool:
+    """Stores a version as a file of its own unless there is one by that number; whether it did.  Earlier ones stay readable."""
+    files = Files(spark, path)
+    return files.create(files.at(f"{version:08d}.json"), json.dumps(owner))
 
 
-def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
-    """(version, owners by slot): the latest version by default."""
-    rows = spark.read.schema("version int, vslot int, shard int").parquet(path)
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:
+    """(version, owners by slot): the latest version by default; None where no map is."""
+    files = Files(spark, path)
     if version is None:
-        version = rows.agg(F.max("version")).first()[0]
-    return version, [r["shard"] for r in rows.where(F.col("version") == version).orderBy("vslot").collect()]  # slots rows
+        version = max((int(n[:-5]) for n in files.names(files.folder) if n.endswith(".json") and n[:-5].isdigit()), default=-1)
+    return (version, json.loads(files.read(files.at(f"{version:08d}.json")))) if version >= 0 else None
 
 
 def edited_map(spark: SparkSession, path: str, weight: list[int], shards: int) -> list[int]:
-    """The last stored version rebalanced for ``weight``; a change is appended as the next version and read back."""
-    if not exists(spark, path):
-        write_map(spark, path, 0, initial_map(shards, len(weight)))
-    version, owner = read_map(spark, path)
-    if len(owner) != len(weight) or max(owner) >= shards:
-        raise ValueError(f"the map at {path} has {len(owner)} slots and {max(owner) + 1} shards, not {len(weight)} and {shards}")
-    changed = rebalanced(owner, weight, shards)
-    if changed != owner:
-        write_map(spark, path, version + 1, changed)
-    return read_map(spark, path)[1]
+    """The last stored version rebalanced for ``weight``; a change is stored as the next version.
+
+    Whoever stores a version second edits the one that came first.
+    """
+    while True:
+        stored = read_map(spark, path)
+        if stored is None:
+            write_map(spark, path, 0, initial_map(shards, len(weight)))
+            continue
+        version, owner = stored
+        if len(owner) != len(weight) or max(owner) >= shards:
+            raise ValueError(f"the map at {path} has {len(owner)} slots and {max(owner) + 1} shards, not {len(weight)} and {shards}")
+        changed = rebalanced(owner, weight, shards)
+        if changed == owner or write_map(spark, path, version + 1, changed):
+            return changed
 
 
 def virtual_slots(rows: DataFrame, slots: int = SLOTS, copies: int = COPIES) -> DataFrame:

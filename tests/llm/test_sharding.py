@@ -85,6 +85,10 @@ def test_map_is_edited_and_versioned(spark, tmp_path):
     for version, owner in enumerate((first, second, third)):
         sharding.write_map(spark, path, version, owner)
     assert sharding.read_map(spark, path) == (2, third) and sharding.read_map(spark, path, 0) == (0, first)
+    assert not sharding.write_map(spark, path, 2, first) and sharding.read_map(spark, path) == (2, third)  # a version is stored once
+    assert sharding.read_map(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError):
+        sharding.edited_map(spark, path, weight, 4)  # fewer shards than the map has
 
 
 def test_empty(spark, tmp_path):
