@@ -40,6 +40,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--year", type=int)
         p.add_argument("--clf", action="store_true", help="read common log format's times")
         p.add_argument("--bootstrap", action="store_true")
+        p.add_argument("--schemas", help="folder of inferred line schemas, for files to come")
     for name in ("health", "investigate", "report", "sql"):
         sub.add_parser(name).add_argument("incident")
     sub.choices["investigate"].add_argument("--restart", action="store_true")
@@ -105,7 +106,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = _parser().parse_args(argv)
     spark = spark or session()
     if args.command in ("ingest", "run", "extend"):
-        options = Options(salt=args.salt, reader=args.format, bootstrap=args.bootstrap, year=args.year, clf=args.clf, vault=args.vault, brief=_brief(args.brief))
+        options = Options(salt=args.salt, reader=args.format, bootstrap=args.bootstrap, schemas=args.schemas, year=args.year, clf=args.clf, vault=args.vault, brief=_brief(args.brief))
         if args.command == "extend":
             got = extend(spark, args.source, Store(spark, args.root, args.incident), options)
         else:

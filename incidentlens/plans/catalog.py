@@ -553,6 +553,16 @@ def _ingested(s, d):
 
 add("ingest_events", lambda s, d: _ingested(s, d).read("events").select(times.iso(F.col("ts")).alias("ts"), "source", "severity", "message", "trace_id", F.get_json_object("fields", "$.n").cast("long").alias("n")), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('ts')} AS ts, source, severity, message, trace_id, id AS n FROM log_events"))
 add("ingest_templates", lambda s, d: _ingested(s, d).read("templates").select("pattern", "occurrence_count", times.iso(F.col("first_seen")).alias("first_seen"), times.iso(F.col("last_seen")).alias("last_seen"), "max_severity_rank"), V.sql(V.LOG_EVENTS, select=rf"SELECT regexp_replace(message, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, count(*) AS occurrence_count, {V.ISO.format('min(ts)')} AS first_seen, {V.ISO.format('max(ts)')} AS last_seen, max({V.RANK.format('severity')}) AS max_severity_rank FROM log_events GROUP BY 1"))
+add("ingest_stage_metrics", lambda s, d: _ingested(s, d).read("metrics").where("stage in ('ingest', 'redaction', 'templating', 'anomaly') and metric in ('lines_read', 'events_loaded', 'detect_confidence', 'total', 'coverage', 'events_per_template', 'largest_share', 'compression_ratio', 'over_merged', 'serial_token_counts', 'unmapped_severity_share', 'fallback_share')").select("stage", "metric", "value_num"), V.sql(V.LOG_EVENTS, "p AS (SELECT regexp_replace(message, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, count(*) AS n, max(rank) - min(rank) AS span FROM (SELECT *, CASE severity WHEN 'DEBUG' THEN 1 WHEN 'INFO' THEN 2 WHEN 'WARN' THEN 3 ELSE 4 END AS rank FROM log_events) GROUP BY 1)", "f AS (SELECT sum(n) AS n, count(*) AS k, max(n) AS top FROM p)", select="SELECT unnest(['ingest', 'ingest', 'ingest', 'redaction', 'templating', 'templating', 'templating', 'templating', 'templating', 'templating', 'anomaly']) AS stage, unnest(['lines_read', 'events_loaded', 'detect_confidence', 'total', 'coverage', 'events_per_template', 'largest_share', 'compression_ratio', 'over_merged', 'serial_token_counts', 'unmapped_severity_share']) AS metric, unnest([n, n, 1.0, 0, 1, round(n / k, 2), round(top / n, 4), round(k / n, 5), 0, 0, 0])::DOUBLE AS value_num FROM f"))
+# The stored events of a window and of a trace, from the folders that can hold them.
+def _laid_out(s, d):
+    store = _store(s)
+    store.write_events(V.log_events(s, d), slot_rows=10)
+    return store
+
+
+add("stored_slice_window", lambda s, d: V.iso(_laid_out(s, d).slice(60, start=_FROM, end=_TO, severity="ERROR").select(*_SLICE)), V.sql(V.LOG_EVENTS, select=f"{_SLICE_SQL} FROM log_events WHERE ts >= TIMESTAMP '{_FROM}' AND ts <= TIMESTAMP '{_TO}' AND severity = 'ERROR' ORDER BY log_events.ts, id LIMIT 60"))
+add("stored_slice_trace", lambda s, d: V.iso(_laid_out(s, d).slice(200, trace_id="u5").select(*_SLICE)), V.sql(V.LOG_EVENTS, select=f"{_SLICE_SQL} FROM log_events WHERE trace_id = 'u5' ORDER BY log_events.ts, id LIMIT 200"))
 add("ingest_metrics", lambda s, d: _ingested(s, d).read("metrics").where("metric in ('lines_read', 'records', 'parse_errors', 'unmapped_severity', 'templates')").select("stage", "metric", "value_num"), V.sql(V.LOG_EVENTS, select="SELECT 'ingest' AS stage, unnest(['lines_read', 'records', 'parse_errors', 'unmapped_severity']) AS metric, unnest([count(*), count(*), 0, 0])::DOUBLE AS value_num FROM log_events UNION ALL SELECT 'templating', 'templates', count(DISTINCT regexp_replace(message, '[^ ]*[0-9]+[^ ]*$', '<*>'))::DOUBLE FROM log_events"))
 
 

@@ -123,6 +123,11 @@ def is_folder(spark: SparkSession, path) -> bool:
     return system.exists(target) and system.getFileStatus(target).isDirectory()
 
 
+def file_size(spark: SparkSession, path) -> int:
+    target, system = _located(spark, path)
+    return system.getFileStatus(target).getLen()
+
+
 def _stream(whole: bool):
     """Compressed contents as numbered lines, or each as one."""
 
@@ -181,8 +186,13 @@ def is_document(first_lines: list[str]) -> bool:
     return bool(first_lines) and first_lines[0].lstrip()[:1] in "[{"
 
 
-def choose(spark: SparkSession, path, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None, clf: bool = False) -> tuple[str, object, dict[str, float]]:
-    """(reader, its argument, scores): the named one, the detected one, an inferred schema (if allowed), else raw lines."""
+def choose(
+    spark: SparkSession, path, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None, clf: bool = False, schemas=None, provider=None,
+) -> tuple[str, object, dict[str, float]]:
+    """(reader, its argument, scores): the named one, the detected one, a stored or inferred schema (if allowed), else raw lines.
+
+    ``schemas`` is a folder: its schemas are ranked with the inferred one, and a new one that passes is stored there.
+    """
     head = sample(spark, path, 2 * 400)
     scores = detect.scores(head[:100])
     if name is not None:
@@ -191,8 +201,12 @@ def choose(spark: SparkSession, path, name: str | None = None, allow_bootstrap:
     found, scores = detect.detect(head[:100])
     if found:
         return found, None, scores
-    if allow_bootstrap and (schema := bootstrap.bootstrap(head[:100], head[100:], year=year)):
-        return "inferred", schema, scores
+    if allow_bootstrap:
+        known = bootstrap.load(spark, schemas) if schemas else []
+        if schema := bootstrap.bootstrap(head[:100], head[100:], known, year, provider=provider):
+            if schemas and not schema.origin.startswith("stored"):
+                bootstrap.save(spark, schema, schemas)
+            return "inferred", schema, scores
     return "raw_lines", readers.adopt_shape(head[:400], year=year, clf=clf), scores
 
 
@@ -206,14 +220,17 @@ def read_alike(spark: SparkSession, paths: list[str], chosen: str, argument, who
     return readers.json_lines(table, year) if chosen == "json_lines" else readers.reader(chosen)(table)
 
 
-def read_source(spark: SparkSession, source, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None, clf: bool = False) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:
-    """(records, (file, reader) pairs, why files were passed over) of a file or a folder; a folder without a readable file is an error."""
+def read_source(spark: SparkSession, source, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None, clf: bool = False, schemas=None, provider=None, told: list | None = None) -> tuple[DataFrame, list[tuple[str, str]], list[str]]:
+    """(records, (file, reader) pairs, why files were passed over) of a file or a folder; a folder without a readable file is an error.
+
+    ``told`` is given a dict for every file read: path, reader, argument, confidence, bytes.
+    """
     folder = is_folder(spark, source)
     groups, used, skipped = {}, [], []
     for path in log_files(spark, source) if folder else [str(source)]:
         try:
             head = read_head(spark, path, HEAD)
-            chosen, argument, _ = choose(spark, path, name, allow_bootstrap, year, clf)
+            chosen, argument, scores = choose(spark, path, name, allow_bootstrap, year, clf, schemas, provider)
             whole = chosen in ("otlp", "loki", "elastic") and is_document(sample(spark, path, 5))
         except (UnreadableSource, EOFError, OSError) as e:
             if not folder:
@@ -222,6 +239,9 @@ def read_source(spark: SparkSession, source, name: str | None = None, allow_boot
             continue
         groups.setdefault((chosen, repr(argument), whole, streamed(path, head)), (argument, []))[1].append(path)
         used.append((path, chosen))
+        if told is not None:
+            rate = argument.rate if chosen == "inferred" else scores.get(chosen, 0.0)
+            told.append({"path": path, "reader": chosen, "argument": argument, "confidence": rate, "bytes": file_size(spark, path)})
     if not groups:
         raise UnreadableSource(f"nothing to read in {source}")
     parts = {key: read_alike(spark, paths, key[0], argument, key[2], year, clf) for key, (argument, paths) in groups.items()}

@@ -51,10 +51,15 @@ def record(df: DataFrame, *, ts: Column, source: Column, level: Column, raw: Col
     )
 
 
-def counters(records: DataFrame) -> DataFrame:
-    """One row: lines read, records, errors, and records whose severity is unknown."""
+def counted() -> list:
+    """Aggregates over records: lines read, records, errors, and records whose severity is unknown."""
     ok = F.col("status") == "ok"
-    return records.agg(F.count("*").alias("lines_read"), F.count_if(ok).alias("records"), F.count_if(~ok).alias("parse_errors"), F.count_if(ok & ~F.col("severity_mapped")).alias("unmapped_severity"))
+    return [F.count("*").alias("lines_read"), F.count_if(ok).alias("records"), F.count_if(~ok).alias("parse_errors"), F.count_if(ok & ~F.col("severity_mapped")).alias("unmapped_severity")]
+
+
+def counters(records: DataFrame) -> DataFrame:
+    """One row of ``counted``."""
+    return records.agg(*counted())
 
 
 def first_key(obj: Column, keys: tuple[str, ...]) -> Column:

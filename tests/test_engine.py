@@ -215,9 +215,9 @@ def test_schema_inference(spark, tmp_path):
     text = [f"2026-08-30 14:00:{i:02d} host{i} [ERROR] svc: failed {i}" for i in range(40)]
     schema = bootstrap.bootstrap(text[:20], text[20:])
     assert schema.timestamp == "iso8601" and schema.has_severity and schema.rate == 1.0
-    bootstrap.save(schema, tmp_path)
+    bootstrap.save(spark, schema, tmp_path)
     (tmp_path / "bad.json").write_text("{")
-    assert [s.pattern() for s in bootstrap.load(tmp_path)] == [schema.pattern()]
+    assert [s.pattern() for s in bootstrap.load(spark, tmp_path)] == [schema.pattern()]
     assert bootstrap.bootstrap(["no time here"] * 5, []) is None
     rows = lines(spark, *text, "stray")
     assert bootstrap.read(rows, schema).where("status = 'ok' and severity = 'ERROR'").count() == 40
