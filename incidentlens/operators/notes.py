@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentlens.operators import reads, search
-from incidentlens.operators.ranks import numbered
+from incidentlens.operators.ranks import numbered, written
 
 # The order of roles and confidences, and the share of events under which evidence is thin.
 ROLE_RANK = {"accounting": 0, "finding": 1}
@@ -133,6 +133,8 @@ def critique(notes: DataFrame, events: DataFrame, templates: DataFrame, signal:
     rests on a sliver of the events.  The last two hold only where the log can tell them apart, and notes that
     account for templates they were handed are exempt.
     """
+    # Each is looked at several times and has a row per template at most: they are computed once.
+    signal, chronic, templates = written(signal.select("template_id")), written(chronic.select("template_id")), written(templates.select("template_id", "occurrence_count"))
     broken = broken_citations(notes, events, templates).select(F.lit("nonexistent-citation").alias("check_name"), "note_id").distinct()
     cited = notes.select("note_id", "role", F.explode("template_ids").alias("template_id"))
     touched = cited.join(signal.select("template_id"), "template_id", "left_semi").agg(F.count("*").alias("t"))

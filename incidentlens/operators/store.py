@@ -110,7 +110,9 @@ class Store:
         same = F.col("raw").eqNullSafe(F.col("message"))
         rows = df.withColumn("_same", same).withColumn("raw", F.when(~F.col("_same"), F.col("raw"))).withColumn("slot", F.coalesce(F.substring(text, 1, chars), F.lit("none")))
         ordered = rows.repartitionByRange("slot", "severity", "ts", "id").sortWithinPartitions("slot", "severity", "ts", "id")
-        options = {"parquet.bloom.filter.enabled#trace_id": "true"} if "trace_id" in df.columns else {}
+        # A filter takes its size from how many traces a slot is expected to hold; without that it would be a megabyte in every file.
+        traces = min(1_000_000, max(64, 2 * counts["n"] // max(1, counts[str(chars)])))
+        options = {"parquet.bloom.filter.enabled#trace_id": "true", "parquet.bloom.filter.expected.ndv#trace_id": str(traces)} if "trace_id" in df.columns else {}
         table = self.table("events")
         table.replace(ordered, "slot", **options)
         if "trace_id" in df.columns:

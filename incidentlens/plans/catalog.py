@@ -157,7 +157,8 @@ add("clock_consensus", _consensus, V.sql(V.LOG_EVENTS, _SKEW, _SIZES, "busiest A
 # ---- scalar functions
 _LEVELS = ["trace", " Verbose", "FINE", "notice", "Warning", "err", "SEVERE", "crit", "panic", "wat", "", None, "information"]
 _LEVEL_SQL = "(VALUES ('trace', 'TRACE'), (' Verbose', 'TRACE'), ('FINE', 'DEBUG'), ('notice', 'INFO'), ('Warning', 'WARN'), ('err', 'ERROR'), ('SEVERE', 'ERROR'), ('crit', 'FATAL'), ('panic', 'FATAL'), ('wat', NULL), ('', NULL), (NULL, NULL), ('information', 'INFO')) v(x, m)"
-add("severity_normalize", lambda s, d: s.createDataFrame([(x,) for x in _LEVELS], "x string").select("x", S.normalize(F.col("x")).alias("level"), S.mapped(F.col("x")).isNotNull().alias("mapped"), S.rank(S.normalize(F.col("x"))).alias("rank")), f"SELECT x, coalesce(m, 'INFO') AS level, m IS NOT NULL AS mapped, {V.RANK.format("coalesce(m, 'INFO')")} AS rank FROM {_LEVEL_SQL}")
+_WRITTEN = lambda s, d: V.log_events(s, d).withColumn("x", F.get(F.array(*[F.lit(x) for x in _LEVELS]), F.pmod("id", F.lit(len(_LEVELS))).cast("int")))
+add("severity_normalize", lambda s, d: _WRITTEN(s, d).groupBy("x").agg(F.count("*").alias("n")).select("x", "n", S.normalize(F.col("x")).alias("level"), S.mapped(F.col("x")).isNotNull().alias("mapped"), S.rank(S.normalize(F.col("x"))).alias("rank")), f"SELECT v.x, count(*) AS n, coalesce(m, 'INFO') AS level, m IS NOT NULL AS mapped, {V.RANK.format("coalesce(m, 'INFO')")} AS rank FROM (SELECT [{', '.join('NULL' if x is None else repr(x) for x in _LEVELS)}][event_id % {len(_LEVELS)} + 1] AS x FROM events) e JOIN {_LEVEL_SQL} ON e.x IS NOT DISTINCT FROM v.x GROUP BY ALL")
 add("epoch_units", over_events(lambda e: e.select("id", *[times.epoch_micros((F.unix_micros("ts") * m if m > 1 else F.floor(F.unix_micros("ts") / n))).alias(f"from_{u}") for u, m, n in (("s", 1, 10**6), ("ms", 1, 10**3), ("us", 1, 1), ("ns", 1000, 1))])), V.sql(V.LOG_EVENTS, select="SELECT id, epoch_us(ts) // 1000000 * 1000000 AS from_s, epoch_us(ts) // 1000 * 1000 AS from_ms, epoch_us(ts) AS from_us, epoch_us(ts) AS from_ns FROM log_events"))
 add("iso_round_trip", over_events(lambda e: e.select("id", times.iso(F.col("ts")).alias("text"), F.unix_micros(times.parse(times.iso(F.col("ts")))).alias("micros"))), V.sql(V.LOG_EVENTS, select=f"SELECT id, {V.ISO.format('ts')} AS text, epoch_us(ts) AS micros FROM log_events"))
 add("lexical_severity", lambda s, d: V.doc_lines(s, d).groupBy(S.lexical(F.col("line")).alias("weight")).agg(F.count("*").alias("n")), V.sql(V.DOC_LINES, select=f"SELECT {V.LEXICAL.format('line')} AS weight, count(*) AS n FROM doc_lines GROUP BY 1"))
@@ -204,10 +205,16 @@ add("issue_list", lambda s, d: notes.issues(*_all(s, d), A.chronic(V.templates(s
 add("citation_check", lambda s, d: notes.broken_citations(V.notes(s, d), V.log_events(s, d), V.templates(s, d)), V.sql(*V.BASE, V.NOTES, select="SELECT note_id, 'template' AS kind, template_id AS id FROM cited WHERE template_id NOT IN (SELECT template_id FROM templates) UNION SELECT note_id, 'event', e FROM (SELECT note_id, unnest(log_event_ids) AS e FROM notes) WHERE e NOT IN (SELECT id FROM log_events)"))
 add("uncited_signal", lambda s, d: notes.uncited_signal(scoring.signal_set(V.scores(s, d)), V.notes(s, d), A.chronic(V.templates(s, d), V.log_events(s, d))), V.sql(*V.SCORED, V.SIGNAL, V.NOTES, V.CHRONIC, select="SELECT template_id, template_id IN (SELECT template_id FROM chronic) AS chronic FROM signal WHERE template_id NOT IN (SELECT template_id FROM cited)"))
 add("unopened_digest", lambda s, d: notes.unopened(V.scored_templates(s, d), V.notes(s, d), V.templates(s, d).where("template_id % 2 = 0").select("template_id")).select("template_id"), V.sql(*V.SCORED, V.NOTES, "top AS (SELECT * FROM scored ORDER BY anomaly_score DESC, occurrence_count DESC, template_id LIMIT 40)", select="SELECT template_id FROM top WHERE template_id % 2 <> 0 AND template_id NOT IN (SELECT template_id FROM cited) ORDER BY anomaly_score DESC, occurrence_count DESC, template_id LIMIT 3"))
-add("response_pairing", lambda s, d: notes.paired(s.createDataFrame([("o1", "a", "high"), ("o2", "b", "low")], "objection_id string, claim string, severity string"), s.createDataFrame([(1, "o1", "first", False), (2, "o1", "yes", True), (3, "o9", "what", False)], "position int, objection_id string, response string, conceded boolean")), "SELECT * FROM (VALUES ('o1', 'a', 'high', 'yes', true), ('o2', 'b', 'low', NULL, NULL), ('o9', '', 'unmatched_response', 'what', false)) v(objection_id, claim, severity, response, conceded)")
+_OBJECTED = lambda s, d: V.templates(s, d).where("template_id % 3 > 0").select(F.concat(F.lit("o"), "template_id").alias("objection_id"), F.col("pattern").alias("claim"), F.when(F.col("occurrence_count") % 2 == 0, "high").otherwise("low").alias("severity"))
+_REPLIES = lambda s, d: V.log_events(s, d).where("template_id % 5 > 0").select(F.col("id").alias("position"), F.concat(F.lit("o"), "template_id").alias("objection_id"), F.col("trace_id").alias("response"), (F.col("id") % 2 == 0).alias("conceded"))
+add("response_pairing", lambda s, d: notes.paired(_OBJECTED(s, d), _REPLIES(s, d)), V.sql(*V.BASE, "o AS (SELECT 'o' || template_id AS objection_id, pattern AS claim, CASE WHEN occurrence_count % 2 = 0 THEN 'high' ELSE 'low' END AS severity FROM templates WHERE template_id % 3 > 0)", "r AS (SELECT 'o' || template_id AS objection_id, arg_max_null(trace_id, id) AS response, arg_max(id % 2 = 0, id) AS conceded FROM log_events WHERE template_id % 5 > 0 GROUP BY template_id)", select="SELECT coalesce(o.objection_id, r.objection_id) AS objection_id, coalesce(claim, '') AS claim, coalesce(severity, 'unmatched_response') AS severity, response, conceded FROM o FULL JOIN r ON o.objection_id = r.objection_id"))
 add("many_marker_ranks", lambda s, d: notes.marker_ranks(V.log_events(s, d).select(F.upper("message").alias("marker")).union(V.log_events(s, d).select(F.concat(F.lit("user "), "trace_id"))).distinct(), V.log_events(s, d), V.scored_templates(s, d)).where("marker is not null"), V.sql(*V.SCORED, "m AS (SELECT DISTINCT upper(message) AS marker FROM log_events UNION SELECT 'user ' || trace_id FROM log_events WHERE trace_id IS NOT NULL)", "t AS (SELECT DISTINCT message, template_id FROM log_events)", "rk AS (SELECT template_id, row_number() OVER (ORDER BY anomaly_score DESC, occurrence_count DESC, template_id) AS rank FROM scored)", select="SELECT marker, min(rank) AS rank FROM m LEFT JOIN t ON contains(lower(t.message), lower(marker)) LEFT JOIN rk USING (template_id) GROUP BY marker"))
 add("digest_recall", lambda s, d: notes.marker_ranks(s.createDataFrame([('Error {"k": 7}',), ("purchase",), ("absent",)], "marker string"), V.log_events(s, d), V.scored_templates(s, d)), V.sql(*V.SCORED, "m AS (SELECT * FROM (VALUES ('Error {\"k\": 7}'), ('purchase'), ('absent')) v(marker))", "rk AS (SELECT template_id, row_number() OVER (ORDER BY anomaly_score DESC, occurrence_count DESC, template_id) AS rank FROM scored)", select="SELECT marker, min(rank) AS rank FROM m LEFT JOIN log_events e ON contains(lower(e.message), lower(marker)) LEFT JOIN rk USING (template_id) GROUP BY marker"))
-_four = lambda s, d: (V.log_events(s, d), V.scored_templates(s, d), scoring.signal_set(V.scores(s, d)), A.chronic(V.templates(s, d), V.log_events(s, d)))
+def _four(s, d):
+    events, templates, scores = V.ranking(s, d)
+    return events, scoring.with_scores(templates, scores), scoring.signal_set(scores), A.chronic(templates, events)
+
+
 add("mechanical_critique", lambda s, d: notes.critique(V.notes(s, d), *_four(s, d), thin_share=0.01), V.sql(*V.SCORED, V.SIGNAL, V.NOTES, V.CHRONIC, """tot AS (SELECT count(*) AS total FROM log_events), sig AS (SELECT count(*) AS s, count(*) FILTER (template_id NOT IN (SELECT template_id FROM chronic)) AS acute, (SELECT sum(occurrence_count) FROM templates WHERE template_id IN (SELECT template_id FROM signal)) AS ev FROM signal),
 per AS (SELECT note_id, bool_and(c.template_id IN (SELECT template_id FROM chronic)) AS oc, coalesce(sum(occurrence_count), 0) AS covered FROM cited c LEFT JOIN templates t USING (template_id) WHERE role <> 'accounting' GROUP BY note_id)""", select="""SELECT 'nonexistent-citation' AS check_name, note_id FROM (SELECT note_id FROM cited WHERE template_id NOT IN (SELECT template_id FROM templates) UNION SELECT note_id FROM (SELECT note_id, unnest(log_event_ids) AS e FROM notes) WHERE e NOT IN (SELECT id FROM log_events))
 UNION ALL SELECT 'signal-ignored', NULL FROM sig WHERE s > 0 AND NOT EXISTS (SELECT 1 FROM cited WHERE template_id IN (SELECT template_id FROM signal))
@@ -231,21 +238,26 @@ add("guarded_sql", lambda s, d: guard.run_readonly(s, _GUARDED, {"log_events": V
 _REFUSED = ["DELETE FROM log_events", "DROP TABLE log_events", "WITH x AS (SELECT 1) DELETE FROM log_events", "SELECT 1; SELECT 2", "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SELECT * FROM vault", "SELECT * FROM parquet.`/tmp`", "INSERT INTO log_events SELECT * FROM log_events", "SET x = 1", "CACHE TABLE log_events", "SELECT id FROM log_events WHERE id IN (SELECT id FROM vault)", "EXPLAIN SELECT 1"]
 
 
+_ALLOWED = ["SELECT count(*) AS n FROM log_events", "SELECT count(DISTINCT template_id) AS n FROM log_events WHERE severity = 'ERROR'", "WITH x AS (SELECT id FROM log_events WHERE id % 2 = 0) SELECT count(*) AS n FROM x"]
+
+
 def _refusals(s, d):
-    out = []
-    for sql in _REFUSED:
+    """Each statement, whether it was refused, and what those that were not say of the events."""
+    out, views = [], {"log_events": V.log_events(s, d)}
+    for sql in _ALLOWED + _REFUSED:
         try:
-            guard.run_readonly(s, sql, {"log_events": V.log_events(s, d)})
-            out.append((sql, False))
+            out.append((sql, False, guard.run_readonly(s, sql, views).first()["n"]))
         except guard.ReadOnlyViolation:
-            out.append((sql, True))
-    return s.createDataFrame(out, "statement string, refused boolean")
+            out.append((sql, True, None))
+    return s.createDataFrame(out, "statement string, refused boolean, n long")
 
 
-add("guarded_sql_refusals", _refusals, "SELECT statement, true AS refused FROM (VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in _REFUSED) + ") v(statement)")
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+add("guarded_sql_refusals", _refusals, V.sql(V.LOG_EVENTS, select="SELECT statement, true AS refused, NULL::BIGINT AS n FROM (VALUES " + ", ".join(f"({_quoted(x)})" for x in _REFUSED) + ") v(statement)" + "".join(f" UNION ALL SELECT {_quoted(x)}, false, ({x})" for x in _ALLOWED)))
 
 # ---- metrics
-add("token_totals", lambda s, d: A.token_totals(s.createDataFrame([("loop", "input_tokens", 100), ("loop", "cached_input_tokens", 40), ("loop", "output_tokens", 7), ("critique", "input_tokens", 9), ("loop", "input_tokens", 50)], "stage string, metric string, value long")), "SELECT * FROM (VALUES ('loop', 150::BIGINT, 40::BIGINT, 7::BIGINT, 157::BIGINT), ('critique', 9, 0, 0, 9)) v(stage, input_tokens, cached_input_tokens, output_tokens, total_tokens)")
+_SPENT = lambda e: e.where("severity != 'INFO'").select(F.col("source").alias("stage"), F.when(F.col("severity") == "ERROR", "input_tokens").when(F.col("severity") == "WARN", "cached_input_tokens").otherwise("output_tokens").alias("metric"), F.round(F.col("value") * 100).cast("long").alias("value"))
+add("token_totals", over_events(lambda e: A.token_totals(_SPENT(e))), V.sql(V.LOG_EVENTS, "t AS (SELECT source AS stage, severity, round(value * 100)::BIGINT AS v FROM log_events)", "u AS (SELECT stage, coalesce(sum(v) FILTER (severity = 'ERROR'), 0)::BIGINT AS input_tokens, coalesce(sum(v) FILTER (severity = 'WARN'), 0)::BIGINT AS cached_input_tokens, coalesce(sum(v) FILTER (severity = 'DEBUG'), 0)::BIGINT AS output_tokens FROM t WHERE severity <> 'INFO' GROUP BY stage)", select="SELECT *, input_tokens + output_tokens AS total_tokens FROM u"))
 add("pass_rates", over_events(lambda e: A.pass_rates(e.select(F.col("source").alias("check_name"), F.when(F.col("severity") == "INFO", None).otherwise(F.col("severity") == "ERROR").alias("passed")))), V.sql(V.LOG_EVENTS, select="SELECT source AS check_name, count(*) FILTER (severity = 'ERROR') AS passed, count(*) FILTER (severity <> 'INFO') AS scorable FROM log_events GROUP BY source"))
 
 
@@ -291,12 +303,28 @@ _schema_line = lambda e: F.concat(times.iso(F.col("ts")), F.lit(" "), "severity"
 add("inferred_roundtrip", _round_trip(_schema_line, lambda df: bootstrap.read(df, _schema)), _READ_SQL)
 add("schema_match_rate", lambda s, d: bootstrap.match_rate(V.log_events(s, d).select(F.when(F.col("id") % 4 == 0, F.lit("at no time")).otherwise(_schema_line(None)).alias("line")), _schema), "SELECT (count(*) FILTER (event_id % 4 <> 0)) / count(*) AS rate FROM events")
 add("reader_counters", lambda s, d: R.counters(readers.json_lines(R.from_lines(V.log_events(s, d).select("id", F.when(F.col("id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("ts", F.when(F.col("id") % 2 == 0, F.col("severity")).otherwise(F.lit("odd")).alias("level")))).alias("line")), order="id"))), "SELECT count(*) AS lines_read, count(*) FILTER (event_id % 5 <> 0) AS records, count(*) FILTER (event_id % 5 = 0) AS parse_errors, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 <> 0) AS unmapped_severity FROM events")
-_SAMPLES = {
-    "json": ['{"timestamp": "2026-01-01T00:00:00Z", "level": "INFO", "message": "x"}', '{"a": 1}', "plain"],
-    "otlp": ['{"resourceLogs": []}'], "loki": ['{"data": {"resultType": "streams", "result": []}}'], "logcli": ['{"labels": {}, "line": "x", "timestamp": "1"}', "no"],
-    "elastic": ['{"_index": "a", "_source": {"message": "m"}}'], "ecs": ['{"@timestamp": "2026-01-01T00:00:00Z", "log.level": "info", "service": {"name": "s"}}'], "text": ["Aug 30 14:22:01 host app: x"],
-}
-add("format_detection_matrix", lambda s, d: s.createDataFrame(detect.matrix(_SAMPLES), "sample string, reader string, score double"), "SELECT s AS sample, r AS reader, coalesce(x, 0.0::DOUBLE) AS score FROM (SELECT unnest(['json', 'otlp', 'loki', 'logcli', 'elastic', 'ecs', 'text']) AS s), (SELECT unnest(['json_lines', 'otlp', 'loki', 'elastic', 'raw_lines']) AS r) LEFT JOIN (VALUES ('json', 'json_lines', 2::DOUBLE / 3 * (0.4::DOUBLE + 0.6::DOUBLE * 0.5::DOUBLE)), ('otlp', 'json_lines', 0.4::DOUBLE), ('otlp', 'otlp', 0.98::DOUBLE), ('loki', 'json_lines', 0.4::DOUBLE), ('loki', 'loki', 0.98::DOUBLE), ('logcli', 'json_lines', 0.5::DOUBLE), ('logcli', 'loki', 0.6::DOUBLE + 0.38::DOUBLE * 0.5::DOUBLE), ('elastic', 'json_lines', 0.4::DOUBLE), ('elastic', 'elastic', 0.6::DOUBLE + 0.38::DOUBLE), ('ecs', 'json_lines', 1.0::DOUBLE), ('ecs', 'elastic', 0.6::DOUBLE + 0.35::DOUBLE)) v(a, b, x) ON a = s AND b = r")
+#: A detection looks at a file's first hundred lines; these are the first events in each format, some spoilt.
+HEAD_LINES = 100
+
+
+def _samples(s, d):
+    e = V.log_events(s, d)
+    kinds = {
+        "json": F.when(F.col("id") % 3 == 0, F.col("message")).when(F.col("id") % 2 == 0, F.to_json(F.struct("message"))).otherwise(F.to_json(F.struct(times.iso(F.col("ts")).alias("timestamp"), "message"))),
+        "otlp": _otlp_line(e), "text": F.concat(F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host app: "), "message"),
+        "logcli": F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.struct("source").alias("labels"), F.col("message").alias("line"), _nanos().alias("timestamp")))).otherwise(F.lit("no")),
+        "elastic": F.when(F.col("id") % 4 > 0, F.to_json(F.struct(F.lit("a").alias("_index"), F.struct("message").alias("_source")))).otherwise(F.col("message")),
+        "ecs": F.to_json(F.struct(times.iso(F.col("ts")).alias("@timestamp"), F.col("severity").alias("log.level"), F.struct(F.col("source").alias("name")).alias("service"))),
+    }
+    head = e.orderBy("id").limit(HEAD_LINES).select("id", *[v.alias(k) for k, v in kinds.items()]).orderBy("id").collect()
+    return {k: [r[k] for r in head] for k in kinds}
+
+
+_SCORE_SQL = """h AS (SELECT event_id AS id FROM events ORDER BY event_id LIMIT 100),
+c AS (SELECT count(*) AS n, count(*) FILTER (id % 3 <> 0) AS obj, count(*) FILTER (id % 3 <> 0 AND id % 2 = 1) AS timed, count(*) FILTER (id % 2 = 0) AS even, count(*) FILTER (id % 4 > 0) AS dumped FROM h)"""
+add("format_detection_matrix", lambda s, d: s.createDataFrame(detect.matrix(_samples(s, d)), "sample string, reader string, score double").withColumn("score", F.round("score", 9)), V.sql(_SCORE_SQL, select="""SELECT s AS sample, r AS reader, coalesce(round(x, 9), 0.0::DOUBLE) AS score FROM (SELECT unnest(['json', 'otlp', 'text', 'logcli', 'elastic', 'ecs']) AS s), (SELECT unnest(['json_lines', 'otlp', 'loki', 'elastic', 'raw_lines']) AS r)
+LEFT JOIN (SELECT unnest(['json', 'otlp', 'otlp', 'logcli', 'logcli', 'elastic', 'elastic', 'ecs', 'ecs']) AS a, unnest(['json_lines', 'json_lines', 'otlp', 'json_lines', 'loki', 'json_lines', 'elastic', 'json_lines', 'elastic']) AS b,
+unnest([obj / n * (0.4 + 0.6 * timed / obj), 0.4, 0.98, even / n, 0.6 + 0.38 * even / n, 0.4 * dumped / n, 0.6 + 0.38 * dumped / n, 1.0, 0.95])::DOUBLE AS x FROM c) ON a = s AND b = r"""))
 _STAMP_SQL = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in times.SHAPES.items()) + " END"
 _TOK_L = _TOK.replace("pattern", "line")
 add("line_shapes", lambda s, d: bootstrap.line_shapes(V.doc_lines(s, d)), V.sql(V.DOC_LINES, f"t AS (SELECT line, {_TOK_L} AS tok FROM doc_lines WHERE trim(line) <> '')", select=rf"SELECT {_STAMP_SQL} AS timestamp, regexp_matches(line, '(?i)\b(?:{bootstrap.WORD})\b') AS has_severity, len(list_filter(tok[1:5], lambda x: regexp_matches(x, '{bootstrap.SOURCE_TOKEN}'))) > 0 AS has_source, CASE WHEN len(tok) <= 6 THEN 'short' WHEN len(tok) <= 15 THEN 'medium' ELSE 'long' END AS width, count(*) AS n FROM t GROUP BY ALL"))
@@ -395,15 +423,24 @@ add("health_report", _health, V.sql(*_HEALTH, select=f"""SELECT unnest([
 
 
 def _triggers(s, d):
+    """Per source: the share of errors, the mean value, and its commonest kind of event, as metrics under three rules."""
     from incidentlens.operators import health
 
-    metrics = s.createDataFrame([("a", "m1", "0.7", 0.7), ("a", "m2", "0.0", 0.0), ("b", "m2", "1.5", 1.5), ("b", "m3", "skipped", None), ("c", "m9", "1", 1.0)], "stage string, metric string, value string, value_num double")
-    rules = s.createDataFrame([("m1", "gt", 0.6, None, None), ("m2", "lt", 2.0, 0.0, None), ("m3", "in", None, None, ["skipped", "none"])], "metric string, op string, bound double, floor double, values array<string>")
-    return health.triggers(metrics, rules)
-
-
-add("metric_triggers", _triggers, "SELECT * FROM (VALUES ('a', 'm1'), ('b', 'm2'), ('b', 'm3')) v(stage, metric)")
-add("redact_nested", lambda s, d: redaction.redact_columns(s.createDataFrame([(1, '{"a": ["x@y.org", {"b": "10.1.2.3"}], "n": 4}')], "id long, fields string"), redaction.Redactor("k", digest="sha256")).select("id", F.get_json_object("fields", "$.a[0]").alias("first"), F.get_json_object("fields", "$.a[1].b").alias("second")), "SELECT 1::BIGINT AS id, '[EMAIL:' || substr(sha256('k:email:x@y.org'), 1, 8) || ']' AS first, '[IPV4:' || substr(sha256('k:ipv4:10.1.2.3'), 1, 8) || ']' AS second")
+    e = V.log_events(s, d)
+    facts = e.groupBy("source").agg(F.avg((F.col("severity") == "ERROR").cast("double")).alias("m1"), (F.avg("value") - 100).alias("m2"), F.max("template_id").alias("top"))
+    entry = lambda name, text, number: F.struct(F.lit(name).alias("metric"), text.alias("value"), number.cast("double").alias("value_num"))
+    named = facts.select("source", F.inline(F.array(
+        entry("m1", F.col("m1").cast("string"), F.col("m1")), entry("m2", F.col("m2").cast("string"), F.col("m2")),
+        entry("m3", F.concat(F.lit("kind "), F.col("top") % 2), F.lit(None)), entry("m9", F.lit("1"), F.lit(1)),
+    ))).withColumnRenamed("source", "stage")
+    rules = s.createDataFrame([("m1", "gt", 0.2, None, None), ("m2", "lt", 1.0, -50.0, None), ("m3", "in", None, None, ["kind 1", "none"])], "metric string, op string, bound double, floor double, values array<string>")
+    return health.triggers(named, rules)
+
+
+add("metric_triggers", _triggers, V.sql(V.LOG_EVENTS, "f AS (SELECT source AS stage, avg(CASE WHEN severity = 'ERROR' THEN 1.0 ELSE 0.0 END) AS m1, avg(value) - 100 AS m2, max(template_id) AS top FROM log_events GROUP BY source)", select="SELECT stage, 'm1' AS metric FROM f WHERE m1 > 0.2 UNION ALL SELECT stage, 'm2' FROM f WHERE m2 < 1.0 AND m2 > -50 UNION ALL SELECT stage, 'm3' FROM f WHERE top % 2 = 1"))
+_NESTED = lambda e: e.select("id", F.to_json(F.struct(F.array(F.concat("trace_id", F.lit("@y.org")), F.concat(F.lit('{"b": "10.1.2.'), F.col("id") % 250, F.lit('"}'))).alias("a"), F.struct(F.struct(F.concat(F.lit("10.9."), F.col("id") % 200, F.lit(".7")).alias("d")).alias("c"), "value").alias("n"))).alias("fields"))
+_TOKEN_SQL = "'[' || upper({0}) || ':' || substr(sha256('k:' || {0} || ':' || {1}), 1, 8) || ']'"
+add("redact_nested", over_events(lambda e: redaction.redact_columns(_NESTED(e.where("trace_id is not null")), redaction.Redactor("k", digest="sha256")).select("id", F.get_json_object("fields", "$.a[0]").alias("first"), F.get_json_object("fields", "$.n.c.d").alias("second"), F.size("redactions").alias("n"))), V.sql(V.LOG_EVENTS, select=f"SELECT id, {_TOKEN_SQL.format("'email'", "trace_id || '@y.org'")} AS first, {_TOKEN_SQL.format("'ipv4'", "'10.9.' || id % 200 || '.7'")} AS second, 3 AS n FROM log_events WHERE trace_id IS NOT NULL"))
 add("drain_parameters", lambda s, d: drain.parameters(drain.cluster(V.log_events(s, d)).join(V.log_events(s, d).select("id", "message"), "id")).groupBy("pattern").agg(F.count_if(F.size("params") > 0).alias("with_params"), F.count("*").alias("n")), r"""SELECT event_type || ' ' || regexp_replace(props, '[^ ]*[0-9]+[^ ]*$', '<*>') AS pattern, count(*) AS with_params, count(*) AS n FROM events GROUP BY ALL""")
 add("severity_mix", lambda s, d: A.severity_mix(V.templates(s, d)).select("template_id", F.array_join(F.array_sort(F.map_keys("severity_mix")), ",").alias("levels"), F.aggregate(F.map_values("severity_mix"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n")), V.sql(*V.BASE, select="SELECT template_id, CASE template_id // 1000 WHEN 2 THEN 'ERROR' WHEN 3 THEN 'WARN' WHEN 5 THEN 'DEBUG' ELSE 'INFO' END AS levels, occurrence_count AS n FROM templates"))
 
@@ -508,19 +545,20 @@ add("stored_metrics", _stored_metrics, V.sql(*V.BASE, select="SELECT 'ingest' AS
 def _investigated(s, d):
     """A store with an incident, a note for each of the three largest templates, logged queries and a critique that was replaced."""
     store = _store(s)
-    store.create("app.jsonl", "json_lines", "strict", "why")
-    for step, r in enumerate(reads.top_templates(V.scored_templates(s, d), 3).collect(), 1):
+    top = reads.top_templates(V.scored_templates(s, d), 3).collect()
+    store.create(f"{top[0]['pattern']}.jsonl", "json_lines", "strict", f"{top[1]['pattern']}, {top[1]['occurrence_count']} times")
+    for step, r in enumerate(top, 1):
         store.write_note({"step": step, "note": r["pattern"], "template_ids": [r["template_id"]], "confidence": "high"})
         store.log_query(step, "x" * 600, r["occurrence_count"])
     store.save_critique("upheld", objections=[("a", "c", "o", "high", "r", True)])
-    store.save_critique("revised", "weak", "other", "low", [("b", "claim", "objection", "medium", "answer", False)])
+    store.save_critique("revised", top[0]["pattern"], top[2]["pattern"], "low", [(f"t{r['template_id']}", r["pattern"], "objection", "medium", "answer", r["template_id"] % 2 == 0) for r in top[1:]])
     return store
 
 
 _TOP3 = "top3 AS (SELECT *, row_number() OVER (ORDER BY occurrence_count DESC, max_severity_rank DESC, template_id) AS step FROM scored QUALIFY step <= 3)"
 add("stored_notes", lambda s, d: _investigated(s, d).read("notes").select("note_id", "step", "note", F.col("template_ids")[0].alias("template_id"), "confidence", "role"), V.sql(*V.SCORED, _TOP3, select="SELECT step AS note_id, step, pattern AS note, template_id, 'high' AS confidence, 'finding' AS role FROM top3"))
 add("stored_queries", lambda s, d: _investigated(s, d).read("query_log").select("step", F.length("query").cast("long").alias("n_chars"), "row_count"), V.sql(*V.SCORED, _TOP3, select="SELECT step, 500::BIGINT AS n_chars, occurrence_count AS row_count FROM top3"))
-add("stored_critique", lambda s, d: (lambda x: x.read("critique").join(x.read("objections"), F.lit(True)).select("outcome", "assessment", "alternative", "revised_confidence", "objection_id", "claim", "severity", "conceded"))(_investigated(s, d)), "SELECT 'revised' AS outcome, 'weak' AS assessment, 'other' AS alternative, 'low' AS revised_confidence, 'b' AS objection_id, 'claim' AS claim, 'medium' AS severity, false AS conceded")
+add("stored_critique", lambda s, d: (lambda x: x.read("critique").join(x.read("objections"), F.lit(True)).select("outcome", "assessment", "alternative", "revised_confidence", "objection_id", "claim", "severity", "conceded"))(_investigated(s, d)), V.sql(*V.SCORED, _TOP3, select="SELECT 'revised' AS outcome, (SELECT pattern FROM top3 WHERE step = 1) AS assessment, (SELECT pattern FROM top3 WHERE step = 3) AS alternative, 'low' AS revised_confidence, 't' || template_id AS objection_id, pattern AS claim, 'medium' AS severity, template_id % 2 = 0 AS conceded FROM top3 WHERE step > 1"))
 
 
 def _cleared(s, d):
@@ -536,7 +574,7 @@ def _incident(s, d):
     return s.createDataFrame([(row["incident_id"], row["source"], row["format"], row["redaction"], row["brief"])], "incident_id string, source string, format string, redaction string, brief string")
 
 
-add("stored_incident", _incident, "SELECT '2026-01-01-renamed' AS incident_id, 'app.jsonl' AS source, 'json_lines' AS format, 'strict' AS redaction, 'why' AS brief")
+add("stored_incident", _incident, V.sql(*V.SCORED, _TOP3, select="SELECT '2026-01-01-renamed' AS incident_id, (SELECT pattern FROM top3 WHERE step = 1) || '.jsonl' AS source, 'json_lines' AS format, 'strict' AS redaction, pattern || ', ' || occurrence_count || ' times' AS brief FROM top3 WHERE step = 2"))
 add("unseen_citations", lambda s, d: notes.unseen_citations(V.notes(s, d), reads.get_slice(V.log_events(s, d), 50, start=_FROM)), V.sql(V.LOG_EVENTS, V.NOTES, f"seen AS (SELECT id FROM log_events WHERE ts >= TIMESTAMP '{_FROM}' ORDER BY ts, id LIMIT 50)", select="SELECT * FROM (SELECT DISTINCT note_id, unnest(log_event_ids) AS log_event_id FROM notes) WHERE log_event_id NOT IN (SELECT id FROM seen)"))
 add("sound_conclusions", lambda s, d: notes.sound_conclusions(V.scored_templates(s, d), scoring.signal_set(V.scores(s, d)), A.chronic(V.templates(s, d), V.log_events(s, d))), V.sql(*V.SCORED, V.SIGNAL, V.CHRONIC, "s AS (SELECT 'finding' AS role, rank AS place, template_id FROM signal)", "c AS (SELECT 'accounting' AS role, row_number() OVER (ORDER BY template_id) AS place, template_id FROM chronic QUALIFY place <= 5)", select="SELECT 'signal-accounted' AS name, * FROM s UNION ALL SELECT 'chronic-dismissed', * FROM s WHERE EXISTS (SELECT 1 FROM c) UNION ALL SELECT 'chronic-dismissed', * FROM c WHERE EXISTS (SELECT 1 FROM s)"))
 add("score_ranking", lambda s, d: scoring.ranked(V.scores(s, d)).select("template_id", "score", F.col("rank").alias("place")), V.sql(*V.SCORED, select="SELECT template_id, score, row_number() OVER (ORDER BY score DESC, template_id) AS place FROM scores"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentlens.functions import times
 from incidentlens.operators import aggregates, scoring
+from incidentlens.operators.ranks import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,14 @@ def scored_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.with_scores(templates(spark, sf_dir), scores(spark, sf_dir))
 
 
+def ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, templates, scores) for a query that needs them several times: templates and scores are computed once and read from tables."""
+    events = log_events(spark, sf_dir)
+    rows = written(templates(spark, sf_dir))
+    stats = aggregates.burst_stats(events, rows).join(rows.select("template_id", "pattern"), "template_id")
+    return events, rows, written(scoring.score(stats, aggregates.bucket_count(events), True))
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, line: the documents' lines, numbered from 1."""
     docs = table(spark, sf_dir, "documents")

@@ -12,8 +12,11 @@ import bz2
 import gzip
 import io
 import lzma
+import pickle
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,8 @@ SKIP = frozenset({
     "site-packages",  # the same, unpacked elsewhere
 })
 HEAD, SAMPLE_BYTES, SAMPLE_TEXT = 8192, 1 << 20, 4 << 20
+#: Files that the driver looks at by itself, and how many at once.
+FEW, READERS_AT_ONCE = 64, 16
 #: Names by which Spark's reader knows a compressed file.
 SUFFIX = {"gzip": ".gz", "bzip2": ".bz2"}
 CODECS = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst", ".zstd")
@@ -96,26 +101,33 @@ def unpacked(data: bytes) -> bytes:
 
 def sample(spark: SparkSession, path, n: int = 100) -> list[str]:
     """The first ``n`` lines that aren't blank, in file order, as far as the first megabyte of the file has them."""
-    raw = read_head(spark, path, SAMPLE_BYTES)
+    return sample_of(str(path), read_head(spark, path, SAMPLE_BYTES), n)
+
+
+def sample_of(path: str, raw: bytes, n: int = 100) -> list[str]:
     data = unpacked(raw)
-    check_text(str(path), data[:HEAD])
+    check_text(path, data[:HEAD])
     lines = data.decode("utf-8", "replace").split("\n")
     if len(lines) > 1 and (len(raw) == SAMPLE_BYTES or len(data) >= SAMPLE_TEXT):
         lines.pop()  # cut off in the middle
     return [line.removesuffix("\r") for line in lines if line.strip()][:n]
 
 
-def log_files(spark: SparkSession, root) -> list[str]:
-    """Every file below, sorted; hidden names, a writer's marks and build folders are passed over."""
+def listed(spark: SparkSession, root) -> list[tuple[str, int]]:
+    """(path, bytes) of every file below, sorted by its folders and name; hidden names, a writer's marks and build folders are passed over.
+
+    Spark lists the folders, in tasks where there are many.
+    """
     target, system = _located(spark, root)
     base = system.makeQualified(target).toString().rstrip("/") + "/"
-    found, listed = [], system.listFiles(target, True)
-    while listed.hasNext():
-        path = listed.next().getPath().toString()
-        parts = path.removeprefix(base).split("/")
-        if not any(p.startswith((".", "_")) or p in SKIP for p in parts):
-            found.append((parts, path))
-    return [path for _, path in sorted(found)]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).select("path", "length").collect()  # a row per file, no contents
+    rows = [(r["path"].removeprefix(base).split("/"), r["path"], r["length"]) for r in found]
+    return [(path, size) for parts, path, size in sorted(rows) if not any(p.startswith((".", "_")) or p in SKIP for p in parts)]
+
+
+def log_files(spark: SparkSession, root) -> list[str]:
+    """The paths of ``listed``."""
+    return [path for path, _ in listed(spark, root)]
 
 
 def is_folder(spark: SparkSession, path) -> bool:
@@ -124,8 +136,13 @@ def is_folder(spark: SparkSession, path) -> bool:
 
 
 def file_size(spark: SparkSession, path) -> int:
+    from py4j.protocol import Py4JJavaError
+
     target, system = _located(spark, path)
-    return system.getFileStatus(target).getLen()
+    try:
+        return system.getFileStatus(target).getLen()
+    except Py4JJavaError as e:
+        raise OSError(f"{path}: {e.java_exception.getMessage()}") from e
 
 
 def _stream(whole: bool):
@@ -186,6 +203,53 @@ def is_document(first_lines: list[str]) -> bool:
     return bool(first_lines) and first_lines[0].lstrip()[:1] in "[{"
 
 
+@dataclass(frozen=True)
+class How:
+    """How a file is to be read, or why it can't be (``error``)."""
+
+    reader: str | None = None
+    argument: object = None
+    confidence: float = 0.0
+    whole: bool = False
+    streamed: bool = False
+    error: str | None = None
+
+
+@dataclass(frozen=True)
+class Choice:
+    """What decides a reader: the named one, or what detection and (if allowed) stored and inferred schemas say."""
+
+    name: str | None = None
+    allow_bootstrap: bool = False
+    year: int | None = None
+    clf: bool = False
+    known: tuple = ()
+    provider: object = None
+
+    def of(self, path: str, raw: bytes) -> tuple[str, object, dict[str, float]]:
+        """(reader, its argument, scores) from a file's first bytes."""
+        head = sample_of(path, raw, 2 * 400)
+        scores = detect.scores(head[:100])
+        if self.name is not None:
+            readers.reader(self.name)
+            return self.name, readers.adopt_shape(head[:400], year=self.year, clf=self.clf) if self.name == "raw_lines" else None, scores
+        found, scores = detect.detect(head[:100])
+        if found:
+            return found, None, scores
+        if self.allow_bootstrap and (schema := bootstrap.bootstrap(head[:100], head[100:], list(self.known), self.year, provider=self.provider)):
+            return "inferred", schema, scores
+        return "raw_lines", readers.adopt_shape(head[:400], year=self.year, clf=self.clf), scores
+
+    def how(self, path: str, raw: bytes) -> How:
+        try:
+            chosen, argument, scores = self.of(path, raw)
+            whole = chosen in ("otlp", "loki", "elastic") and is_document(sample_of(path, raw, 5))
+        except (UnreadableSource, EOFError, OSError) as e:
+            return How(error=str(e))
+        rate = argument.rate if chosen == "inferred" else scores.get(chosen, 0.0)
+        return How(chosen, argument, rate, whole, streamed(path, raw[:HEAD]))
+
+
 def choose(
     spark: SparkSession, path, name: str | None = None, allow_bootstrap: bool = False, year: int | None = None, clf: bool = False, schemas=None, provider=None,
 ) -> tuple[str, object, dict[str, float]]:
@@ -193,21 +257,44 @@ def choose(
 
     ``schemas`` is a folder: its schemas are ranked with the inferred one, and a new one that passes is stored there.
     """
-    head = sample(spark, path, 2 * 400)
-    scores = detect.scores(head[:100])
-    if name is not None:
-        readers.reader(name)
-        return name, readers.adopt_shape(head[:400], year=year, clf=clf) if name == "raw_lines" else None, scores
-    found, scores = detect.detect(head[:100])
-    if found:
-        return found, None, scores
-    if allow_bootstrap:
-        known = bootstrap.load(spark, schemas) if schemas else []
-        if schema := bootstrap.bootstrap(head[:100], head[100:], known, year, provider=provider):
-            if schemas and not schema.origin.startswith("stored"):
-                bootstrap.save(spark, schema, schemas)
-            return "inferred", schema, scores
-    return "raw_lines", readers.adopt_shape(head[:400], year=year, clf=clf), scores
+    known = tuple(bootstrap.load(spark, schemas)) if schemas and allow_bootstrap else ()
+    found = Choice(name, allow_bootstrap, year, clf, known, provider).of(str(path), read_head(spark, path, SAMPLE_BYTES))
+    _keep(spark, [found[1]], schemas)
+    return found
+
+
+def _keep(spark: SparkSession, arguments: list, schemas) -> None:
+    for schema in arguments:
+        if schemas and isinstance(schema, bootstrap.LineSchema) and not schema.origin.startswith("stored"):
+            bootstrap.save(spark, schema, schemas)
+
+
+def _looked_at(spark: SparkSession, files: list[tuple[str, int]], choice: Choice) -> dict[str, How]:
+    """How each file is to be read, from one read of its first megabyte.
+
+    Of more than FEW files those that are no longer than that are looked at by tasks; the driver's threads take the others.
+    """
+    small = [path for path, size in files if size <= SAMPLE_BYTES] if len(files) > FEW and choice.provider is None else []
+    out: dict[str, How] = {}
+    if small:
+        def each(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            for batch in batches:
+                yield pd.DataFrame({"path": batch["path"], "how": [pickle.dumps(choice.how(p, c)) for p, c in zip(batch["path"], batch["content"], strict=True)]})
+
+        seen = spark.read.format("binaryFile").load(small).select("path", "content").mapInPandas(each, "path string, how binary")
+        out = {r["path"]: pickle.loads(r["how"]) for r in seen.collect()}  # a short row per file
+
+    def one(path: str) -> How:
+        try:
+            return choice.how(path, read_head(spark, path, SAMPLE_BYTES))
+        except OSError as e:
+            return How(error=str(e))
+
+    rest = [path for path, _ in files if path not in out]
+    with ThreadPoolExecutor(READERS_AT_ONCE) as pool:
+        return out | dict(zip(rest, pool.map(one, rest), strict=True))
 
 
 def read_alike(spark: SparkSession, paths: list[str], chosen: str, argument, whole: bool, year: int | None = None, clf: bool = False) -> DataFrame:
@@ -226,22 +313,22 @@ def read_source(spark: SparkSession, source, name: str | None = None, allow_boot
     ``told`` is given a dict for every file read: path, reader, argument, confidence, bytes.
     """
     folder = is_folder(spark, source)
+    known = tuple(bootstrap.load(spark, schemas)) if schemas and allow_bootstrap else ()
+    files = listed(spark, source) if folder else [(str(source), file_size(spark, source))]
+    hows = _looked_at(spark, files, Choice(name, allow_bootstrap, year, clf, known, provider))
+    _keep(spark, [h.argument for h in hows.values()], schemas)
     groups, used, skipped = {}, [], []
-    for path in log_files(spark, source) if folder else [str(source)]:
-        try:
-            head = read_head(spark, path, HEAD)
-            chosen, argument, scores = choose(spark, path, name, allow_bootstrap, year, clf, schemas, provider)
-            whole = chosen in ("otlp", "loki", "elastic") and is_document(sample(spark, path, 5))
-        except (UnreadableSource, EOFError, OSError) as e:
+    for path, size in files:
+        how = hows[path]
+        if how.error is not None:
             if not folder:
-                raise
-            skipped.append(f"{path}: {e}")
+                raise UnreadableSource(how.error)
+            skipped.append(f"{path}: {how.error}")
             continue
-        groups.setdefault((chosen, repr(argument), whole, streamed(path, head)), (argument, []))[1].append(path)
-        used.append((path, chosen))
+        groups.setdefault((how.reader, repr(how.argument), how.whole, how.streamed), (how.argument, []))[1].append(path)
+        used.append((path, how.reader))
         if told is not None:
-            rate = argument.rate if chosen == "inferred" else scores.get(chosen, 0.0)
-            told.append({"path": path, "reader": chosen, "argument": argument, "confidence": rate, "bytes": file_size(spark, path)})
+            told.append({"path": path, "reader": how.reader, "argument": how.argument, "confidence": how.confidence, "bytes": size})
     if not groups:
         raise UnreadableSource(f"nothing to read in {source}")
     parts = {key: read_alike(spark, paths, key[0], argument, key[2], year, clf) for key, (argument, paths) in groups.items()}

@@ -88,3 +88,28 @@ def test_stage_metrics_come_from_the_passes_that_write(spark, tmp_path, monkeypa
     from incidentlens.plans import report
 
     assert any("No reader knew" in w for w in report.collect(got.store)["warnings"])
+
+
+def test_many_files_are_looked_at_by_tasks(spark, tmp_path, monkeypatch):
+    for i in range(90):
+        folder = tmp_path / f"d{i % 7}"
+        folder.mkdir(exist_ok=True)
+        if i % 3 == 0:
+            (folder / f"{i}.jsonl").write_text(json.dumps({"ts": "2024-01-01T00:00:00Z", "message": f"m{i}"}) + "\n")
+        elif i % 3 == 1:
+            (folder / f"{i}.log").write_text(f"2024-01-01 00:00:00 plain {i}\n" * (40_000 if i == 40 else 1))
+        else:
+            (folder / f"{i}.bin").write_bytes(b"\x7fELF" + bytes(10))
+    (tmp_path / "d1" / "venv").mkdir()
+    (tmp_path / "d1" / "venv" / "x.log").write_text("no")
+    one_by_one = []
+    head = files.read_head
+    monkeypatch.setattr(files, "read_head", lambda s, p, n: one_by_one.append(str(p)) or head(s, p, n))
+    told = []
+    records, used, skipped = files.read_source(spark, str(tmp_path), told=told)
+    looked = [p for p in one_by_one if p.endswith("/40.log")]
+    assert len(used) == 60 and len(skipped) == 30 and all("program" in s for s in skipped) and looked and len(set(one_by_one)) < 10
+    assert {t["reader"] for t in told} == {"json_lines", "raw_lines"} and records.count() == 59 + 40_000
+    monkeypatch.setattr(files, "FEW", 1000)
+    again = files.read_source(spark, str(tmp_path))
+    assert (again[1], again[2]) == (used, skipped)
