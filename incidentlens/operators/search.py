@@ -26,14 +26,15 @@ def _chunks(placed: DataFrame) -> list[list[tuple[int, str]]]:
                 yield [(r["number"], r["marker"]) for r in rows]
 
 
-def holders(rows: DataFrame, markers: DataFrame, key: str, text: str = "message") -> DataFrame:
-    """(marker, key): the distinct keys of the rows whose text holds each marker, A-Z folded.
+def holders(rows: DataFrame, markers: DataFrame, key: str, text: str = "message", fold: bool = True) -> DataFrame:
+    """(marker, key): the distinct keys of the rows whose text holds each marker, A-Z folded unless ``fold`` is off.
 
     ``markers`` has a column ``marker``; repeated markers count once, a null one is found nowhere, an empty one in every text.
     """
     import ahocorasick
 
-    distinct = markers.where("marker is not null").select(ascii_lower(F.col("marker")).alias("marker")).distinct()
+    same = ascii_lower if fold else lambda c: c
+    distinct = markers.where("marker is not null").select(same(F.col("marker")).alias("marker")).distinct()
     placed, spark, found = numbered(distinct, ["marker"], "number"), rows.sparkSession, None
     kind = rows.schema[key].dataType.simpleString()
     for chunk in _chunks(placed):
@@ -53,7 +54,7 @@ def holders(rows: DataFrame, markers: DataFrame, key: str, text: str = "message"
                     if body is not None:
                         hits.update((number, owner) for number in always)
                         if len(automaton):
-                            hits.update((number, owner) for _, number in automaton.iter(body.translate(_FOLD)))
+                            hits.update((number, owner) for _, number in automaton.iter(body.translate(_FOLD) if fold else body))
                 yield pd.DataFrame(sorted(hits), columns=["number", "key"])
 
         some = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, f"number long, key {kind}").distinct()
@@ -61,4 +62,4 @@ def holders(rows: DataFrame, markers: DataFrame, key: str, text: str = "message"
     if found is None:
         return spark.createDataFrame([], f"marker string, {key} {kind}")
     named = found.join(placed, "number").select(F.col("marker").alias("_low"), F.col("key").alias(key))
-    return markers.select("marker").distinct().join(named, ascii_lower(F.col("marker")) == F.col("_low")).select("marker", key)
+    return markers.select("marker").distinct().join(named, same(F.col("marker")) == F.col("_low")).select("marker", key)

@@ -509,6 +509,22 @@ def _documents_as_files(s, d):
 
 add("documents_over_lines", lambda s, d: _documents_as_files(s, d).select(times.iso(F.col("ts")).alias("ts"), "source", "severity", "message", "format"), V.sql(V.LOG_EVENTS, select=f"SELECT {V.ISO.format('ts')} AS ts, source, severity, message, 'otlp' AS format FROM log_events"))
 
+# ---- ground truth: a document per source names every template as a signal, of kinds and lengths that can and can't be looked for
+def _truth(s, d):
+    from incidentlens.operators import truth
+
+    e, t = V.log_events(s, d), V.templates(s, d)
+    text = F.when(F.col("template_id") % 4 == 0, F.concat(F.col("pattern"), F.lit(" beyond"))).when(F.col("template_id") % 4 == 1, "x").otherwise(F.regexp_replace("pattern", " k=(.*)", ' {"k": $1}'))
+    kind, weight = F.when(F.col("template_id") % 10 == 3, "exit_code").otherwise("error"), F.when(F.col("template_id") % 3 == 0, "important").otherwise("critical")
+    signal = F.struct(kind.alias("type"), weight.alias("importance"), text.alias("value"))
+    docs = t.groupBy().agg(F.sort_array(F.collect_list(F.struct("template_id", signal.alias("s")))).alias("all")).select(F.to_json(F.struct(F.col("all.s").alias("required_signals"))).alias("document"))
+    lines = e.select(F.col("source").alias("case_id"), F.concat(F.lit("\x1b[31m"), "message", F.lit("\x1b[0m")).alias("line"))
+    return truth.markers(e.select(F.col("source").alias("case_id")).distinct().join(F.broadcast(docs), F.lit(True)), lines)
+
+
+add("truth_markers", lambda s, d: _truth(s, d).groupBy("case_id", "kind", "verdict").agg(F.count("*").alias("n"), F.min("marker").alias("first")), V.sql(*V.BASE, """t AS (SELECT template_id, CASE template_id % 4 WHEN 0 THEN pattern || ' beyond' WHEN 1 THEN 'x' ELSE regexp_replace(pattern, ' k=(.*)', ' {"k": \\1}') END AS marker, CASE WHEN template_id % 10 = 3 THEN 'exit_code' ELSE 'error' END AS kind FROM templates WHERE template_id % 3 <> 0),
+v AS (SELECT c.source AS case_id, kind, marker, CASE WHEN kind = 'exit_code' THEN 'not text' WHEN length(marker) < 12 THEN 'short' WHEN EXISTS (SELECT 1 FROM log_events e WHERE e.source = c.source AND contains(e.message, marker)) THEN 'kept' ELSE 'absent' END AS verdict FROM t, (SELECT DISTINCT source FROM log_events) c)""", select="SELECT case_id, kind, verdict, count(*) AS n, min(marker) AS first FROM v GROUP BY ALL"))
+
 # ---- an incident's tables: written, read again, replaced, and the whole ingest
 
 
