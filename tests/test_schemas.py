@@ -113,3 +113,36 @@ def test_many_files_are_looked_at_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "FEW", 1000)
     again = files.read_source(spark, str(tmp_path))
     assert (again[1], again[2]) == (used, skipped)
+
+
+def test_blank_files_beside_others_are_no_fallback(spark, tmp_path):
+    """A writer leaves an empty file for a partition without rows; nobody could tell its format, and it holds no record."""
+    import bz2
+    import gzip
+
+    from incidentlens.sources import files
+
+    line = '{"ts": "2026-01-01T00:00:00Z", "level": "INFO", "service": "a", "msg": "m"}\n'
+    (tmp_path / "a.jsonl").write_text(line)
+    (tmp_path / "b.jsonl").write_text("")
+    (tmp_path / "c.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "d.bz2").write_bytes(bz2.compress(b" \n"))
+    (tmp_path / "e.gz").write_bytes(gzip.compress(b"") + gzip.compress(line.encode()))  # text behind an empty stream
+    told = []
+    records, used, skipped = files.read_source(spark, tmp_path, told=told)
+    assert [path.rsplit("/", 1)[1] for path, _ in used] == ["a.jsonl", "e.gz"] and skipped == [] and len(told) == 2
+    assert records.where("status = 'ok'").count() == 2
+    (tmp_path / "a.jsonl").unlink()
+    (tmp_path / "e.gz").unlink()
+    assert files.read_source(spark, tmp_path)[0].count() == 0  # blank files alone are a log without records
+
+
+def test_detection_of_a_folder_passes_over_its_empty_files(spark, tmp_path, monkeypatch):
+    from incidentlens.plans import catalog
+    from incidentlens.plans import views as V
+
+    monkeypatch.setattr(V, "log_events", lambda s, d: s.sql(
+        "select id, timestamp'2026-01-01' as ts, concat('svc-', id % 4) as source, 'INFO' as severity, 'm' as message, 't' as trace_id from range(-40, 40, 1, 4) where id >= 0"
+    ))  # its first partition has no row
+    got = sorted(map(tuple, catalog.queries()["folder_detection"](spark, "").collect()))
+    assert got == [(f"svc-{i}", "json_lines", 3) for i in range(4)]
