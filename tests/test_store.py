@@ -217,3 +217,11 @@ def test_common_log_format_on_the_ingest_path(spark, tmp_path):
     log.write_text("".join(f'10.0.0.{i} - - [10/Oct/2023:13:55:{i:02d} -0700] "GET /x HTTP/1.0" 200 {i}\n' for i in range(30)))
     got = I.ingest(spark, log, tmp_path, "i", I.Options(calibrate=False, clf=True, redact=False))
     assert got.store.read("events").agg(F.min("ts").cast("string")).first()[0].startswith("2023-10-10 20:55:00")
+
+
+def test_stored_cleared_gives_what_its_sql_says(spark):
+    """Notes and queries of three templates, one objection and one critique; nothing is left."""
+    from incidentlens.plans import catalog
+
+    rows = catalog.queries()["stored_cleared"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, rows)) == [("critique", 1, 0), ("notes", 3, 0), ("objections", 1, 0), ("query_log", 3, 0)]
