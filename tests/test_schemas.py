@@ -146,3 +146,62 @@ def test_detection_of_a_folder_passes_over_its_empty_files(spark, tmp_path, monk
     ))  # its first partition has no row
     got = sorted(map(tuple, catalog.queries()["folder_detection"](spark, "").collect()))
     assert got == [(f"svc-{i}", "json_lines", 3) for i in range(4)]
+
+
+def test_lines_are_numbered_where_they_are(spark, tmp_path):
+    """Splits of a few bytes, files of all lengths: numbers are places, and no line is dealt or sorted for them."""
+    from incidentlens.sources import records as R
+
+    texts = {f"f{i}.log": [f"{i} line {j}" + "x" * (j % 7) for j in range(i * 13)] for i in range(1, 6)}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        df = R.read_lines(spark, str(tmp_path))
+        got = {(r["source_file"].rsplit("/", 1)[1], r["line_no"]): r["line"] for r in df.collect()}
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(name, i): line for name, lines in texts.items() for i, line in enumerate(lines, 1)}
+    assert "row_number" not in plan
+
+
+def test_events_are_numbered_past_gaps_and_repeats(spark):
+    """Whole blocks, blocks with missing lines, lines of several records, and as many records as the span of their lines has lines."""
+    from incidentlens.sources import files
+
+    rows = [("a", n, "x", "ok") for n in range(1, 40_001)] + [("b", n, "x", "error" if n % 3 == 0 else "ok") for n in range(1, 50)]
+    rows += [("c", 1, "p", "ok"), ("c", 1, "q", "ok"), ("c", 3, "r", "ok"), (None, 1, "y", "ok"), (None, 2, "z", "ok")]
+    df = spark.createDataFrame(rows, "source_file string, line_no long, raw string, status string").repartition(5)
+    want = sorted((r for r in rows if r[3] == "ok"), key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    got = sorted((r["id"], r["source_file"], r["line_no"], r["raw"]) for r in files.number_events(df).collect())
+    assert got == [(i, *r[:3]) for i, r in enumerate(want, 1)]
+
+
+def test_json_values_with_and_without_escapes(spark):
+    import json
+
+    from incidentlens.sources import readers
+
+    texts = ["plain", "", "a\"b", "back\\slash", "tab\tnew\nline", "ümläut", "null", '"quoted"']
+    rows = [("f", i, json.dumps({"ts": "2026-01-01T00:00:00Z", "level": "warn", "service": t, "message": None, "msg": t, "k": {"v": t}})) for i, t in enumerate(texts)]
+    rows += [("f", 90, '{"ts": "2026-01-01T00:00:00Z", "msg": 5, "level": null, "lvl": "err"}'), ("f", 91, "{broken"), ("f", 92, '{"msg": "no time"}')]
+    got = {r["line_no"]: r for r in readers.json_lines(spark.createDataFrame(rows, "source_file string, line_no long, line string")).collect()}
+    for i, t in enumerate(texts):
+        fields = {"k": {"v": t}, "message": None}
+        assert (got[i]["message"], got[i]["source"], got[i]["severity"], json.loads(got[i]["fields"]), got[i]["status"]) == (t, t.strip() or None, "WARN", fields, "ok")
+    assert (got[90]["message"], got[90]["severity"], got[90]["source"]) == ("5", "ERROR", None) and json.loads(got[90]["fields"]) == {"level": None}
+    assert [got[i]["status"] for i in (91, 92)] == ["error", "error"] and got[91]["message"] == "{broken" and got[92]["message"] == "no time"
+
+
+def test_redaction_holds_a_bounded_piece_of_text():
+    import pyarrow as pa
+
+    from incidentlens.operators import redaction
+
+    texts = ["a" * n for n in (10, 900, 200, 5000, 0, 300, 700)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["id", "message"])
+    got = list(redaction.pieces(batch, ["message"], 1000))
+    assert [p.column(0).to_pylist() for p in got] == [[0, 1], [2], [3, 4][:1], [4, 5, 6, 7]]
+    assert [t for p in got for t in p.column(1).to_pylist()] == texts
