@@ -150,3 +150,47 @@ def test_a_leaf_of_many_templates_is_not_compared_token_by_token():
     tree = drain.Drain()
     tree._best = None  # a log is taken in without a search
     assert [tree.take(line.split(), None) for line in lines] == numbers and tree.take(lines[7].split(), 7) == 7
+
+
+def test_an_indexed_leaf_finds_what_comparing_tokens_finds(monkeypatch):
+    monkeypatch.setattr(drain, "INDEX_ROWS", 3)
+    monkeypatch.setattr(drain, "VOCABULARY", 20)  # ids change while there is an index
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(25)] + list("abcdefgh") + ["<*>"]
+    for cap in (5, 60, 10_000):
+        messages = [" ".join(["go", *(rng.choice(words) for _ in range(rng.choice([0, 1, 4, 7])))]) for _ in range(1500)]
+        for sim_th in (0.3, 0.5, 1.0):
+            assert drain.cluster_serially(messages, sim_th=sim_th, max_clusters=cap) == _plain_numbers(messages, sim_th, cap)
+
+
+def test_a_line_is_compared_with_few_templates_of_its_leaf(monkeypatch):
+    """3,000 templates of 20 tokens: every line was compared with all of them, which is most of the time of a token count at its cap."""
+    import types
+
+    import numpy as np
+
+    met = []
+
+    def counted(a, **options):
+        met.append(a.shape[0])
+        return np.count_nonzero(a, **options)
+
+    monkeypatch.setattr(drain, "np", types.SimpleNamespace(**{n: getattr(np, n) for n in dir(np) if not n.startswith("__")} | {"count_nonzero": counted}))
+    rng = random.Random(9)
+    lines = ["same start " + " ".join(rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(18)) for _ in range(3000)]
+    numbers, _ = drain.cluster_serially(lines)
+    assert numbers == list(range(3000)) and sum(met) < 3000 * 3000 / 2 / 3
+
+
+def test_serial_groups_write_each_template_once(spark):
+    lines = ["get a 1", "get a 2", "put b", "put c", "", "del x y", "get q 7", "set r s"]
+    rows = drain._rows(frame(spark, lines), "id", "message")
+    out = drain._serially(rows, {"max_clusters": 2}).collect()
+    assert sorted(r["line"] for r in out if r["pattern"] is None) == list(range(8))
+    heads = {(r["n_tokens"], r["line"], r["pattern"]) for r in out if r["pattern"] is not None}
+    tree, want = drain.Drain(max_clusters=2), {}
+    for i, line in enumerate(lines):
+        if len(line.split()) == 3:
+            number = tree.add(line.split())
+            want[number] = (3, want.get(number, (3, i, ""))[1], " ".join(tree.clusters[number]))
+    assert {h for h in heads if h[0] == 3} == set(want.values()) and len([r for r in out if r["pattern"] is not None]) == len(heads)
